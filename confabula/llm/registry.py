@@ -8,14 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op6_decontamination, op6_sql
 from .language_id import op8_language_id
+from .near_dedup import op9_near_dedup
+from .packing import op10_packing
 from .quality_rules import op7_quality_rules, op7_sql
 from .sharding import op2_sharding, op2_sql
+from .suffix_dedup import op5_suffix_dedup
+from .token_output import op1_token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_output": op1_token_output,
     "op2_sharding": op2_sharding,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_quality_rules": op7_quality_rules,
     "op8_language_id": op8_language_id,
+    "op9_near_dedup": op9_near_dedup,
+    "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_sharding": op2_sql(),
