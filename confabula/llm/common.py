@@ -6,6 +6,8 @@ Every operator takes and returns DataFrames. Intermediate tables are written by
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,8 +47,35 @@ def remainder(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into pieces of about limit bytes of the column, at least one row each; rows are never cut."""
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, after limiting what is sent to a Python worker at once (session settings, unless they are lower already)."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
+        now = conf.get(key)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return df
+
+
+def tidy() -> None:
+    """Give freed memory of this worker back to the system, as workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(run):
+    """A function over Arrow batches that gives memory back when its task ends."""
+
+    def and_tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        tidy()
+
+    return and_tidy
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into pieces of about limit bytes of the column (numpy work takes some hundred times that), at least one row each; rows are never cut."""
     import numpy as np
 
     n = batch.num_rows

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 
 _RNG = np.random.default_rng(99991)
@@ -20,18 +18,18 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-@cache
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, BASE, np.uint64), np.full(size, INVERSE, np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n of the base and of its inverse."""
-    size = 1 << max(20, int(n).bit_length())
-    up, down = _powers(size)
-    return up[: n + 1], down[: n + 1]
+    if len(_POWERS[0]) <= n:
+        size = 1 << max(20, int(n).bit_length())
+        for i, x in enumerate((BASE, INVERSE)):
+            own = np.full(size, x, np.uint64)
+            own[0] = 1
+            _POWERS[i] = np.cumprod(own, dtype=np.uint64)
+    return _POWERS[0][: n + 1], _POWERS[1][: n + 1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed, slices, stored, table
+from .common import bounded_batches, packed, slices, stored, table, tidied
 from .hashing import LOWER, Substrings, mix, words
 from .id_filter import keep_ids
 
@@ -39,8 +39,8 @@ SUBKEYS, HASHES = 8, 2
 N_HASHES = 2 * SUBKEYS * HASHES
 #: A pair of similarity 0.8 has fewer equal minhashes than this about once in a million.
 LEAST_EQUAL = 13
-#: Pairs across components that are compared at once, or four for each row of their buckets if that is more; beyond, buckets shrink first.
-AT_ONCE = 200_000
+#: Comparisons of minhashes across components that are made at once, in all or for each row of the open buckets; beyond, buckets shrink first.
+AT_ONCE, AT_ONCE_A_ROW = 2_000_000, 100
 
 _RNG = np.random.default_rng(424243)
 _XOR = _RNG.integers(0, 1 << 63, N_HASHES, np.uint64)
@@ -87,7 +87,7 @@ def table_keys(minima: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Per row of (doc_id, text): n_shingles, two sums that identify the set, table keys, and a byte of each minhash."""
+    """Per row of (doc_id, text): n_shingles, two sums that identify the set, table keys, and a byte of each minhash, eight to a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -100,30 +100,31 @@ def signatures(docs: DataFrame) -> DataFrame:
                     minima = minhashes([sets[i] for i in full])
                     own, low = table_keys(minima).view(np.int64), (minima & np.uint64(255)).astype(np.uint8)
                     for k, i in enumerate(full):
-                        keys[i], sig[i] = own[k], low[k].tobytes()
+                        keys[i], sig[i] = own[k], low[k].view(np.int64)
                         one[i], two[i] = sets[i].sum(dtype=np.uint64).view(np.int64), mix(sets[i] + _SECOND).sum(dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(one), pa.array(two), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "one", "two", "keys", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(one), pa.array(two), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "one", "two", "keys", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, one long, two long, keys array<long>, sig binary")
+    return docs.mapInArrow(tidied(run), "doc_id long, n_shingles long, one long, two long, keys array<long>, sig array<long>")
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose full sets are similar enough."""
-    own = nodes.select("node", F.col("n_shingles").alias("n"), "sig")
-    sized = pairs.join(own.toDF("a", "n_a", "sig_a"), "a").join(own.toDF("b", "n_b", "sig_b"), "b")
-    sized = sized.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT)
-    likely = stored(sized.mapInArrow(_alike, "a long, b long, n_a long, n_b long"), "likely")
+def alike(a: str, b: str) -> Column:
+    """Whether sizes (n_) and minhashes (sig_) of two nodes allow the similarity."""
+    equal = [f"if(((sig_{a}[{i}] ^ sig_{b}[{i}]) & {255 << 8 * k if k < 7 else -(1 << 56)}L) = 0, 1, 0)" for i in range(N_HASHES // 8) for k in range(8)]
+    return F.expr(f"least(n_{a}, n_{b}) * 100 >= greatest(n_{a}, n_{b}) * {PERCENT} AND {' + '.join(equal)} >= {LEAST_EQUAL}")
+
+
+def sized(rows: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
+    """rows with the size and minhashes of the node in that column, as n_ and sig_ columns."""
+    return rows.join(nodes.select(F.col("node").alias(node), F.col("n_shingles").alias(f"n_{node}"), F.col("sig").alias(f"sig_{node}")), node)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b, n_a, n_b) of nodes whose full sets are similar enough."""
+    likely = stored(pairs, "likely")
     ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id"))
     texts = stored(keep_ids(docs.where("doc_id is not null"), "doc_id", ids), "texts")
     full = likely.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return full.mapInArrow(_confirm, "a long, b long").distinct()
-
-
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, N_HASHES) for c in ("sig_a", "sig_b"))
-            yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array((a == b).sum(axis=1) >= LEAST_EQUAL))
+    return full.mapInArrow(tidied(_confirm), "a long, b long").distinct()
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +174,8 @@ def links_between(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
     members = stored(keys.join(shared, "key").select("key", "node", "pivot"), "buckets")
     pairs = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = stored(confirmed(pairs, nodes, docs), "links")
+    pairs = sized(sized(pairs, nodes, "a"), nodes, "b").where(alike("a", "b")).select("a", "b", "n_a", "n_b")
+    links = stored(confirmed(pairs, docs), "links")
     parts = components(links)
     left = members.where("node <> pivot").select("key", "node")
     while True:
@@ -187,13 +189,16 @@ def links_between(nodes: DataFrame, docs: DataFrame) -> DataFrame:
             return parts
         a = outside.select("key", F.col("node").alias("a"), F.col("component").alias("c"))
         b = named.select("key", F.col("node").alias("b"), F.col("component").alias("d"), (F.col("component") != F.col("low.component")).alias("out"))
-        at_once = work.pairs <= max(AT_ONCE, 4 * named.count() if AT_ONCE else 0)
+        at_once = work.pairs <= max(AT_ONCE, AT_ONCE_A_ROW * named.count())
         if not at_once:
             a = a.groupBy("key").agg(F.min(F.struct("a", "c")).alias("x")).select("key", "x.a", "x.c")
             left = named.select("key", "node").join(a.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
-        met = a.join(b, "key").where((F.col("c") != F.col("d")) & (~F.col("out") | (F.col("a") > F.col("b")) | F.lit(not at_once)))
-        pairs = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        more = stored(confirmed(pairs, nodes, docs), "links")
+        a, b = sized(a, nodes, "a"), sized(b, nodes, "b")
+        once = ~F.col("out") | (F.col("a") > F.col("b")) if at_once else F.lit(True)
+        met = a.join(b, (a["key"] == b["key"]) & (F.col("c") != F.col("d")) & once & alike("a", "b"))
+        swap = F.col("a") < F.col("b")
+        pairs = met.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"), F.when(swap, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(swap, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b"))
+        more = stored(confirmed(pairs.toDF("a", "b", "n_a", "n_b").distinct(), docs), "links")
         links = links.union(more)
         if more.limit(1).count():
             parts = components(links)
@@ -204,7 +209,7 @@ def links_between(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id linked with it, directly or not), kept."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = stored(signatures(docs), "signatures")
     sets = rows.where("n_shingles > 0 and doc_id is not null").groupBy("one", "two")
     nodes = stored(sets.agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "nodes")

@@ -10,14 +10,18 @@ from .decontamination import op6_decontamination, op6_sql
 from .language_id import op8_language_id
 from .near_dedup import op9_near_dedup
 from .packing import op10_packing
+from .quality_pu import op4_quality_classifier
 from .quality_rules import op7_quality_rules, op7_sql
 from .sharding import op2_sharding, op2_sql
 from .suffix_dedup import op5_suffix_dedup
 from .token_output import op1_token_output
+from .toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_sharding": op2_sharding,
+    "op3_toxicity": op3_toxicity,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_quality_rules": op7_quality_rules,

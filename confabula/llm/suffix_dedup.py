@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed, slices, stored, table
+from .common import bounded_batches, packed, slices, stored, table, tidied, utf8
 from .hashing import Substrings, mix
 from .id_filter import id_bitmap, keep_ids
 
@@ -46,8 +46,8 @@ SPAN = 400
 CHOICES = 200
 PREFIX = SPAN - CHOICES + 1
 #: Bytes of entries in a run, and entries that a merging task should get.
-RUN_BYTES = 24 << 20
-ENTRIES = 40_000
+RUN_BYTES = 16 << 20
+ENTRIES = 30_000
 #: Bytes of a document that are looked at together; longer ones are taken in overlapping pieces.
 PIECE = 4 << 20
 
@@ -338,31 +338,33 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """docs: (rid, doc_id, text). (rid, doc_id, first, last) ranges of starts of strings that also start elsewhere."""
-    prints = docs.select("rid", "text").mapInArrow(_fingerprints, "prefix long, rid long")
+    prints = docs.select("rid", "text").mapInArrow(tidied(_fingerprints), "prefix long, rid long")
     twice = prints.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix")
     again = stored(prints.join(twice, "prefix").groupBy("rid").agg(F.collect_set("prefix").alias("prefixes")), "prefixes")
     total = again.agg(F.sum(F.size("prefixes")).alias("n")).first().n or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / ENTRIES))
     bitmap = id_bitmap(again, "rid")
     texts = keep_ids(docs, "rid", again, bitmap, exact=False).join(again, "rid")
-    runs = stored(texts.mapInArrow(sorted_runs(parts), RUNS), "runs")
+    runs = stored(texts.mapInArrow(tidied(sorted_runs(parts)), RUNS), "runs")
     chunks = runs.where("part is not null").select("part", "run", "heads", "rest").repartition(parts, "part").sortWithinPartitions("part", "run")
-    found = chunks.mapInArrow(_merge, "run long, entry long, first long, last long")
+    found = chunks.mapInArrow(tidied(_merge), "run long, entry long, first long, last long")
     places = runs.where("part is null").select("run", "rid", "doc_id", F.explode(F.arrays_zip("entries", "lows")).alias("x"))
     places = places.select("run", F.col("x.entries").cast("long").alias("entry"), "rid", "doc_id", F.col("x.lows").alias("low"))
     return places.join(found, ["run", "entry"]).select("rid", "doc_id", (F.col("low") + F.col("first")).alias("first"), (F.col("low") + F.col("last")).alias("last"))
 
 
+_RESULT = ["n_bytes", "n_removed", "n_spans", "spans"]
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-RESULT = "n_bytes long, n_removed long, n_spans long, spans array<struct<first: long, end: long>>, kept_bytes binary"
+RESULT = "n_bytes long, n_removed long, n_spans long, spans array<struct<first: long, end: long>>"
 
 
-def _apply(names: list[str], text: str):
+def _apply(names: list[str], text: str, as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text, 4 << 20):
                 rows = []
-                for x, found in zip(batch.column(text).cast(pa.binary()).to_pylist(), batch.column("_starts").to_pylist(), strict=True):
+                starts = batch.column("_starts").to_pylist() if "_starts" in batch.schema.names else [None] * batch.num_rows
+                for x, found in zip(utf8(batch.column(text)), starts, strict=True):
                     x, spans = x or b"", []
                     for a, b in sorted((s["first"], s["last"] + SPAN) for s in found or ()):
                         if spans and a <= spans[-1]["end"]:
@@ -371,27 +373,28 @@ def _apply(names: list[str], text: str):
                             spans.append({"first": a, "end": b})
                     edges = [0, *(e for s in spans for e in (s["first"], s["end"])), len(x)]
                     kept = b"".join(x[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if spans else x
-                    rows.append((len(x), len(x) - len(kept), len(spans), spans, kept))
-                columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int64(), _SPANS, pa.binary()], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + columns, [*names, *(x.split()[0] for x in ("n_bytes", "n_removed", "n_spans", "spans", "kept_bytes"))])
+                    rows.append((len(x), len(x) - len(kept), len(spans), spans, kept.decode(errors="ignore") if as_text else kept))
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int64(), _SPANS, pa.string() if as_text else pa.binary()], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + columns, [*names, *_RESULT, "kept_text" if as_text else "kept_bytes"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans, the removed byte spans, and the bytes kept."""
-    docs = docs.drop(*[c for c in ("n_bytes", "n_removed", "n_spans", "spans", "kept_bytes", "_rid", "_id", "_starts") if c not in (doc_id, text)])
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans, the removed byte spans, and kept_bytes; as_text: kept_text, without cut characters."""
+    docs = bounded_batches(docs).drop(*[c for c in (*_RESULT, "kept_bytes", "kept_text", "_rid", "_id", "_other", "_starts") if c not in (doc_id, text)])
     names = docs.columns
     rows = docs.withColumn("_rid", row_id(doc_id, text)).withColumn("_id", F.col(doc_id).cast("long"))
     long = rows.where(F.octet_length(text) >= SPAN).select(F.col("_rid").alias("rid"), F.col("_id").alias("doc_id"), F.col(text).alias("text"))
     spans = repeated_starts(long).groupBy("rid", "doc_id").agg(F.collect_set(F.struct("first", "last")).alias("_starts"))
     spans = stored(spans.select(F.col("rid").alias("_rid"), F.col("doc_id").alias("_id"), "_starts"), "repeats")
     bitmap = id_bitmap(spans, "_rid")
-    types = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [RESULT])
+    types = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [RESULT, "kept_text string" if as_text else "kept_bytes binary"])
     maybe = keep_ids(rows, "_rid", spans, bitmap, exact=False)
     joined = maybe.join(spans.withColumnRenamed("_id", "_other"), (maybe["_rid"] == spans["_rid"]) & F.col("_id").eqNullSafe(F.col("_other")), "left")
-    never = keep_ids(rows, "_rid", spans, bitmap, exact=False, wanted=False).select(*names, F.lit(None).cast("array<struct<first: long, last: long>>").alias("_starts"))
-    return joined.select(*names, "_starts").mapInArrow(_apply(names, text), types).union(never.mapInArrow(_apply(names, text), types))
+    apply = _apply(names, text, as_text)
+    never = keep_ids(rows.select(*names, "_rid"), "_rid", spans, bitmap, exact=False, wanted=False, then=apply, schema=types)
+    return joined.select(*names, "_starts").mapInArrow(tidied(apply), types).union(never)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,17 @@
-"""Registered queries over the reference domain."""
+"""Registered queries over the chat domain: name -> (query, its DuckDB form or None)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from . import chat, content, models, streams
 
+ALL: dict = {**chat.Q, **models.Q, **content.Q, **streams.Q}
 
-def oracle_sql() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable]:
+    return {name: q for name, (q, _) in ALL.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in ALL.items() if sql}

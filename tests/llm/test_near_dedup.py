@@ -53,6 +53,7 @@ def test_rounds_with_one_node_of_each_bucket(spark, monkeypatch):
     from confabula.llm import near_dedup
 
     monkeypatch.setattr(near_dedup, "AT_ONCE", 0)
+    monkeypatch.setattr(near_dedup, "AT_ONCE_A_ROW", 0)
     rows = texts(4, 100)
     assert sorted(map(tuple, near_duplicates(frame(spark, rows)).collect())) == brute(rows)
 
