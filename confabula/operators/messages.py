@@ -6,18 +6,25 @@ shuffles on session_id at most once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-IS_USER = F.expr("cast(role = 'user' as bigint)")
-SESSION = Window.partitionBy("session_id")
-UP_TO = SESSION.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-FROM_END = SESSION.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def is_user() -> Column:
+    return F.expr("cast(role = 'user' as bigint)")
+
+
+def whole() -> WindowSpec:
+    return Window.partitionBy("session_id")
+
+
+def up_to(order: Column) -> WindowSpec:
+    return whole().orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def turns(messages: DataFrame) -> DataFrame:
     """turn_no: every user row starts a turn; what comes before the first one is turn 0."""
-    return messages.withColumn("turn_no", F.sum(IS_USER).over(UP_TO))
+    return messages.withColumn("turn_no", F.sum(is_user()).over(up_to(F.asc("pos"))))
 
 
 def turn_counts(messages: DataFrame) -> DataFrame:
@@ -28,7 +35,7 @@ def history_page(messages: DataFrame, page: int, size: int) -> DataFrame:
     """The rows of the page's turns, newest turns on page 1, with turn_rank (1: newest). System rows and turn 0 are never shown."""
     if page < 1 or not 1 <= size <= 100:
         raise ValueError("page is at least 1, size between 1 and 100")
-    own = turns(messages).withColumn("turn_rank", F.sum(IS_USER).over(SESSION) - F.col("turn_no") + 1)
+    own = turns(messages).withColumn("turn_rank", F.sum(is_user()).over(whole()) - F.col("turn_no") + 1)
     return own.where((F.col("turn_no") > 0) & F.col("turn_rank").between((page - 1) * size + 1, page * size) & F.col("role").isin("user", "assistant", "tool"))
 
 
@@ -66,9 +73,9 @@ def context_window(messages: DataFrame, budget: Column | int, low: float = 0.5,
     """run_tokens from the newest row back; keep while it is within the low mark, else compress; and whether to compress at all."""
     budget = F.lit(budget) if isinstance(budget, int) else budget
     tokens = F.coalesce("token_count", F.lit(0))
-    run = F.sum(tokens).over(FROM_END)
+    run = F.sum(tokens).over(up_to(F.desc("pos")))
     mark = lambda ratio: (budget * F.lit(ratio)).cast("int")
-    return messages.withColumn("run_tokens", run).withColumn("total_tokens", F.sum(tokens).over(SESSION)).withColumn("bucket", F.when(F.col("run_tokens") <= mark(low), "keep").otherwise("compress")).withColumn("needs_compress", F.col("total_tokens") >= mark(high))
+    return messages.withColumn("run_tokens", run).withColumn("total_tokens", F.sum(tokens).over(whole())).withColumn("bucket", F.when(F.col("run_tokens") <= mark(low), "keep").otherwise("compress")).withColumn("needs_compress", F.col("total_tokens") >= mark(high))
 
 
 def newest(rows: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:

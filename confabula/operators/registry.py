@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAPPING_ORDER = [F.desc("is_active"), F.desc("is_preferred"), F.asc("priority"), F.asc("created_at"), F.asc("provider_id")]
-CHOICE = [F.desc("is_preferred"), F.asc("priority"), F.asc("created_at"), F.asc("provider_id")]
+
+def choice() -> list[Column]:
+    return [F.desc("is_preferred"), F.asc("priority"), F.asc("created_at"), F.asc("provider_id")]
 
 
 def in_scope(user: Column) -> Column:
@@ -20,7 +21,7 @@ def in_scope(user: Column) -> Column:
 
 def models_with_mappings(models: DataFrame, mappings: DataFrame) -> DataFrame:
     """Each model with its mappings as an array in listing order; empty, not null, without any."""
-    rank = F.row_number().over(Window.partitionBy("model_id").orderBy(*MAPPING_ORDER))
+    rank = F.row_number().over(Window.partitionBy("model_id").orderBy(F.desc("is_active"), *choice()))
     one = F.struct(F.col("rank"), "provider_id", "is_active", "is_preferred", "priority")
     nested = mappings.withColumn("rank", rank).groupBy("model_id").agg(F.array_sort(F.collect_list(one)).alias("mappings"))
     joined = models.join(nested, models["id"] == nested["model_id"], "left").drop("model_id")
@@ -47,7 +48,7 @@ def resolve(models: DataFrame, mappings: DataFrame, providers: DataFrame) -> Dat
 
     The best mapping is chosen before providers are joined; filtering providers first would change the choice.
     """
-    rank = F.row_number().over(Window.partitionBy("model_id").orderBy(*CHOICE))
+    rank = F.row_number().over(Window.partitionBy("model_id").orderBy(*choice()))
     best = mappings.where("is_active").withColumn("rank", rank).where("rank = 1").select("model_id", "provider_id")
     named = providers.select(F.col("id").alias("provider_id"), "name", F.col("is_active").alias("provider_active"))
     own = models.select(F.col("id").alias("model_id"), "is_active").join(best, "model_id", "left").join(named, "provider_id", "left")

@@ -7,18 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions.text import title_or_default, total_pages
 
-LISTING = [F.desc("is_pinned"), F.desc_nulls_last("pinned_at"), F.desc("updated_at"), F.asc("id")]
+
+def listing() -> list[Column]:
+    return [F.desc("is_pinned"), F.desc_nulls_last("pinned_at"), F.desc("updated_at"), F.asc("id")]
 
 
 def session_page(sessions: DataFrame, page: int, size: int) -> DataFrame:
     """That page of every user's list: pinned first, then by last change."""
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(*LISTING)).cast("long")
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(*listing())).cast("long")
     return sessions.withColumn("rank", rank).where(F.col("rank").between((page - 1) * size + 1, page * size))
 
 
 def user_page(sessions: DataFrame, user_id: int, page: int, size: int) -> DataFrame:
     """That page of one user's list, as a bounded top-k."""
-    return sessions.where(F.col("user_id") == user_id).orderBy(*LISTING).offset((page - 1) * size).limit(size)
+    return sessions.where(F.col("user_id") == user_id).orderBy(*listing()).offset((page - 1) * size).limit(size)
 
 
 def page_totals(sessions: DataFrame, size: int) -> DataFrame:
