@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_path
 from ..streaming import flows
 
 
@@ -26,8 +27,10 @@ def dedup(spark, d):
 
 
 def hot(spark, d):
-    out = flows.finished(flows.hot_list(flows.event_stream(spark, d)), "update", "stream-hot")
-    return out.select("user_id", "event_id", "rank")
+    path = shared_path(spark, "stream-hot")
+    query = flows.start(flows.file_stream(spark, d, "events.parquet", flows.EVENTS), "append", path, flows.hot_list_step(path))
+    query.awaitTermination()
+    return flows.hot_lists(spark, path, query.lastProgress["batchId"]).select("user_id", "event_id", "rank")
 
 
 Q: dict = {

@@ -5,13 +5,11 @@ Sinks are files in the shared folder; each flow can run until what is there has
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.shared import shared_path
 
@@ -67,25 +65,32 @@ def once_each(events: DataFrame) -> DataFrame:
     return events.dropDuplicatesWithinWatermark(["event_id"])
 
 
-HOT = "user_id long, event_id long, ts timestamp, rank long"
+HOT = "user_id long, event_id long, ts timestamp, written timestamp"
 
 
-def hot_list(events: DataFrame, length: int = 50) -> DataFrame:
-    """The newest events of each user as state: at most length rows, dropped a day after the last write."""
+def hot_list_step(path: str, length: int = 50, ttl: str = "INTERVAL 24 HOURS") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that keeps the newest rows of each user, at most length, as one table for each batch number.
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = [tuple(x) for x in zip(*state.get, strict=True)] if state.exists else []
-        for batch in batches:
-            kept += [(int(t.value // 1000), int(i)) for t, i in zip(batch.ts, batch.event_id, strict=True)]
-            kept = sorted(kept, reverse=True)[:length]
-        state.update(([t for t, _ in kept], [i for _, i in kept]))
-        state.setTimeoutDuration(24 * 3600 * 1000)
-        yield pd.DataFrame({"user_id": key[0], "event_id": [i for _, i in kept], "ts": pd.to_datetime([t for t, _ in kept], unit="us"), "rank": range(1, len(kept) + 1)})
+    What it reads and writes is bounded by users times length. A user without a new row for the time to live is dropped.
+    A batch that is run again writes the same table again.
+    """
 
-    return events.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(update, HOT, "at array<long>, ids array<long>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    def run(batch: DataFrame, number: int) -> None:
+        rows = batch.select("user_id", "event_id", "ts", F.current_timestamp().alias("written"))
+        if number:
+            rows = rows.union(batch.sparkSession.read.schema(HOT).parquet(f"{path}/{number - 1}"))
+        own = Window.partitionBy("user_id")
+        rows = rows.withColumn("_last", F.max("written").over(own)).where(F.col("_last") >= F.current_timestamp() - F.expr(ttl)).drop("_last")
+        rank = F.row_number().over(own.orderBy(F.desc("ts"), F.desc("event_id")))
+        rows.withColumn("_rank", rank).where(F.col("_rank") <= length).drop("_rank").write.mode("overwrite").parquet(f"{path}/{number}")
+
+    return run
+
+
+def hot_lists(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """The hot lists after that batch, with rank (1: newest)."""
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
+    return spark.read.schema(HOT).parquet(f"{path}/{number}").withColumn("rank", rank.cast("long"))
 
 
 def finaliser(steps: list[tuple[str, Callable[[DataFrame, int], None], bool]], report: Callable[[str, Exception], None]) -> Callable[[DataFrame, int], None]:
