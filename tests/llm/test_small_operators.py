@@ -62,7 +62,7 @@ def test_repeated_words_counts_words_in_repeated_windows():
 
 
 def test_rules_over_rows(spark):
-    good = " ".join(f"word{i} runs{i} on and on." for i in range(40))
+    good = " ".join(f"word{i} runs{i} on{i} and{i} on." for i in range(40))
     rows = [(1, good), (2, good + "\nHome\nAll rights reserved."), (3, None), (4, ""), (None, "a b c " * 100), (5, "\n".join(["x | y | z"] * 30) + "\n" + good)]
     out = {r.doc_id: r for r in quality_rules.apply_rules(frame(spark, rows).selectExpr("*", "'?' AS kept"), clean=True).collect()}
     assert [out[i].kept for i in (1, 2, 3, 4, None, 5)] == [True, True, False, False, False, False]
