@@ -7,11 +7,13 @@ similarity 0.8 share a key with probability 0.9994; sets further alike are misse
 
 1. Sets that are equal are one node, named by the smallest doc_id (pre-aggregated; copies go no further).
 2. Keys that only one node has are dropped. In every other bucket each node is paired with the bucket's smallest node.
-   Pairs whose sizes or minhashes rule similarity 0.8 out are dropped; the rest is confirmed on the texts' full sets.
+   Pairs whose sizes, parity bits or minhashes rule similarity 0.8 out are dropped; the rest is confirmed on the texts'
+   full sets. (A parity bit tells whether an odd number of shingles fall on it: a lower bound of what two sets differ in.)
 3. Links give components (alternating large and small stars; every round is written, only counts reach the driver).
 4. A bucket whose nodes are not all in one component may still hide a link between two of its other nodes. Its smallest
    node has met all others and leaves; what is left across components is paired at once if that is in proportion to the
-   data, else again with one node of each bucket, and so on until no bucket has an unmet pair across components.
+   data or if one node of each bucket no longer finds links, else again with one node of each bucket, and so on until no
+   bucket has an unmet pair across components. From here on a pair is compared in the first bucket it shares only.
 
 So no bucket is expanded into all its pairs, none is capped, and every candidate pair across components is confirmed.
 
@@ -39,8 +41,10 @@ SUBKEYS, HASHES = 8, 2
 N_HASHES = 2 * SUBKEYS * HASHES
 #: A pair of similarity 0.8 has fewer equal minhashes than this about once in a million.
 LEAST_EQUAL = 13
+#: Parity bits of a set.
+SKETCH = 512
 #: Comparisons of minhashes across components that are made at once, in all or for each row of the open buckets; beyond, buckets shrink first.
-AT_ONCE, AT_ONCE_A_ROW = 2_000_000, 100
+AT_ONCE, AT_ONCE_A_ROW = 2_000_000, 500
 
 _RNG = np.random.default_rng(424243)
 _XOR = _RNG.integers(0, 1 << 63, N_HASHES, np.uint64)
@@ -76,18 +80,40 @@ def minhashes(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def table_keys(minima: np.ndarray) -> np.ndarray:
-    """SUBKEYS ** 2 keys for each row: all pairs of sub-keys of the two collections."""
+def sub_keys(minima: np.ndarray) -> np.ndarray:
+    """The sub-keys of both collections for each row, as 32-bit integers."""
     sub = np.zeros((len(minima), 2 * SUBKEYS), np.uint64)
     for i in range(2 * SUBKEYS):
         for k in range(HASHES):
             sub[:, i] = mix(sub[:, i] * _ODD[i] + minima[:, i * HASHES + k] + np.uint64(i))
-    left, right = sub[:, :SUBKEYS], sub[:, SUBKEYS:]
-    return mix(left[:, :, None] ^ mix(right[:, None, :] + _SECOND)).reshape(len(minima), -1)
+    return (sub >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def planes(minima: np.ndarray) -> np.ndarray:
+    """The low byte of every minhash, bit by bit: the first bits of all minhashes, then the second ones and so on, in longs."""
+    bits = np.unpackbits((minima & np.uint64(255)).astype(np.uint8)[:, :, None], axis=2)
+    return np.packbits(bits.transpose(0, 2, 1).reshape(len(minima), -1), axis=1).view(np.int64)
+
+
+def parity_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """SKETCH bits for each set, in longs: whether an odd number of shingles fall on the bit."""
+    bit = (mix(np.concatenate(sets) ^ _SECOND) % np.uint64(SKETCH)).astype(np.int64)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    odd = np.bincount(row * SKETCH + bit, minlength=len(sets) * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(sets), SKETCH), axis=1).view(np.int64)
+
+
+def table_keys(nodes: DataFrame) -> DataFrame:
+    """(node, place, key): SUBKEYS ** 2 table keys for each node, all pairs of a sub-key of the one and of the other collection."""
+    placed = nodes.select("node", "sub", F.explode(F.sequence(F.lit(0), F.lit(SUBKEYS * SUBKEYS - 1))).alias("place"))
+    return placed.select("node", "place", F.expr(f"xxhash64(sub[place div {SUBKEYS}], sub[{SUBKEYS} + place % {SUBKEYS}], place)").alias("key"))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Per row of (doc_id, text): n_shingles, two sums that identify the set, table keys, and a byte of each minhash, eight to a long."""
+    """Per row of (doc_id, text): n_shingles, two sums that identify the set, its sub-keys, and its sketch.
+
+    The sketch is a byte of each minhash, in planes of bits, and then the parity bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -95,27 +121,44 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets(*packed(batch.column("text")))
                 sizes = np.array([len(x) for x in sets], np.int64)
                 full = np.flatnonzero(sizes)
-                keys, sig, one, two = [None] * len(sets), [None] * len(sets), np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
+                subs, sig, one, two = [None] * len(sets), [None] * len(sets), np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
                 if len(full):
-                    minima = minhashes([sets[i] for i in full])
-                    own, low = table_keys(minima).view(np.int64), (minima & np.uint64(255)).astype(np.uint8)
+                    filled = [sets[i] for i in full]
+                    minima = minhashes(filled)
+                    own = sub_keys(minima)
+                    sketch = np.concatenate([planes(minima), parity_sketches(filled)], axis=1)
                     for k, i in enumerate(full):
-                        keys[i], sig[i] = own[k], low[k].view(np.int64)
+                        subs[i], sig[i] = own[k], sketch[k]
                         one[i], two[i] = sets[i].sum(dtype=np.uint64).view(np.int64), mix(sets[i] + _SECOND).sum(dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(one), pa.array(two), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "one", "two", "keys", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(one), pa.array(two), pa.array(subs, pa.list_(pa.int32())), pa.array(sig, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "one", "two", "sub", "sig"])
 
-    return docs.mapInArrow(tidied(run), "doc_id long, n_shingles long, one long, two long, keys array<long>, sig array<long>")
+    return docs.mapInArrow(tidied(run), "doc_id long, n_shingles long, one long, two long, sub array<int>, sig array<long>")
 
 
 def alike(a: str, b: str) -> Column:
-    """Whether sizes (n_) and minhashes (sig_) of two nodes allow the similarity."""
-    equal = [f"if(((sig_{a}[{i}] ^ sig_{b}[{i}]) & {255 << 8 * k if k < 7 else -(1 << 56)}L) = 0, 1, 0)" for i in range(N_HASHES // 8) for k in range(8)]
-    return F.expr(f"least(n_{a}, n_{b}) * 100 >= greatest(n_{a}, n_{b}) * {PERCENT} AND {' + '.join(equal)} >= {LEAST_EQUAL}")
+    """Whether sizes (n_) and sketches (sig_) of two nodes allow the similarity.
+
+    Two sets differ in no fewer shingles than their parity bits do, so that bound loses nothing.
+    """
+
+    planes = " | ".join(f"(sig_{a}[{i}] ^ sig_{b}[{i}])" for i in range(N_HASHES // 8))
+    others = f"bit_count(({planes} | shiftrightunsigned({planes}, 32)) & {0xFFFFFFFF}L)"
+    differ = [f"bit_count(sig_{a}[{i}] ^ sig_{b}[{i}])" for i in range(N_HASHES // 8, N_HASHES // 8 + SKETCH // 64)]
+    sizes = f"least(n_{a}, n_{b}) * 100 >= greatest(n_{a}, n_{b}) * {PERCENT}"
+    return F.expr(f"{sizes} AND ({' + '.join(differ)}) * {100 + PERCENT} <= (n_{a} + n_{b}) * {100 - PERCENT} AND {others} <= {N_HASHES - LEAST_EQUAL}")
+
+
+def first_shared(a: str, b: str) -> Column:
+    """The place of the first table key that two nodes share: the one bucket in which the pair is compared."""
+    def first(start: int) -> str:
+        return "CASE " + " ".join(f"WHEN sub_{a}[{start + i}] = sub_{b}[{start + i}] THEN {i}" for i in range(SUBKEYS)) + " END"
+
+    return F.expr(f"{SUBKEYS} * ({first(0)}) + ({first(SUBKEYS)})")
 
 
 def sized(rows: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
-    """rows with the size and minhashes of the node in that column, as n_ and sig_ columns."""
-    return rows.join(nodes.select(F.col("node").alias(node), F.col("n_shingles").alias(f"n_{node}"), F.col("sig").alias(f"sig_{node}")), node)
+    """rows with the size, sketch and sub-keys of the node in that column, as n_, sig_ and sub_ columns."""
+    return rows.join(nodes.select(F.col("node").alias(node), F.col("n_shingles").alias(f"n_{node}"), F.col("sig").alias(f"sig_{node}"), F.col("sub").alias(f"sub_{node}")), node)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -165,42 +208,45 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def label(members: DataFrame, parts: DataFrame) -> DataFrame:
-    return members.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    return members.join(parts, "node", "left").select("key", "place", "node", F.coalesce("component", "node").alias("component"))
 
 
 def links_between(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, component) for the nodes that have links."""
-    keys = nodes.select("node", F.explode("keys").alias("key"))
+    keys = table_keys(nodes)
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
-    members = stored(keys.join(shared, "key").select("key", "node", "pivot"), "buckets")
+    members = stored(keys.join(shared, "key").select("key", "place", "node", "pivot"), "buckets")
     pairs = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     pairs = sized(sized(pairs, nodes, "a"), nodes, "b").where(alike("a", "b")).select("a", "b", "n_a", "n_b")
     links = stored(confirmed(pairs, docs), "links")
     parts = components(links)
-    left = members.where("node <> pivot").select("key", "node")
+    left, found = members.where("node <> pivot").select("key", "place", "node"), True
     while True:
-        # what a bucket still has to compare: nodes outside the component of its smallest remaining node, with all others
+        # what a bucket still has to compare: nodes outside the component that most of its remaining nodes are in, with all others
         named = label(left, parts)
-        seen = named.groupBy("key").agg(F.min(F.struct("component", "node")).alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low.component < high")
-        named = stored(named.join(seen.select("key", "low", "n"), "key"), "open")
-        outside = named.where("component <> low.component")
+        seen = named.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
+        seen = seen.agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n")).where("most.n < n")
+        named = stored(named.join(seen.select("key", F.col("most.component").alias("main"), "n"), "key"), "open")
+        outside = named.where("component <> main")
         work = outside.agg(F.count("*").alias("outside"), F.sum("n").alias("pairs")).first()
         if not work.outside:
             return parts
-        a = outside.select("key", F.col("node").alias("a"), F.col("component").alias("c"))
-        b = named.select("key", F.col("node").alias("b"), F.col("component").alias("d"), (F.col("component") != F.col("low.component")).alias("out"))
-        at_once = work.pairs <= max(AT_ONCE, AT_ONCE_A_ROW * named.count())
+        a = outside.select("key", "place", F.col("node").alias("a"), F.col("component").alias("c"))
+        b = named.select("key", F.col("node").alias("b"), F.col("component").alias("d"), (F.col("component") != F.col("main")).alias("out"))
+        at_once = not found or work.pairs <= max(AT_ONCE, AT_ONCE_A_ROW * named.count())
         if not at_once:
-            a = a.groupBy("key").agg(F.min(F.struct("a", "c")).alias("x")).select("key", "x.a", "x.c")
-            left = named.select("key", "node").join(a.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
+            # buckets take different nodes, so that a node of many buckets meets many others in one round
+            a = a.groupBy("key", "place").agg(F.min(F.struct(F.xxhash64("key", "a"), "a", "c")).alias("x")).select("key", "place", "x.a", "x.c")
+            left = named.select("key", "place", "node").join(a.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
         a, b = sized(a, nodes, "a"), sized(b, nodes, "b")
         once = ~F.col("out") | (F.col("a") > F.col("b")) if at_once else F.lit(True)
-        met = a.join(b, (a["key"] == b["key"]) & (F.col("c") != F.col("d")) & once & alike("a", "b"))
+        met = a.join(b, (a["key"] == b["key"]) & (F.col("c") != F.col("d")) & once & alike("a", "b") & (F.col("place") == first_shared("a", "b")))
         swap = F.col("a") < F.col("b")
         pairs = met.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"), F.when(swap, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(swap, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b"))
         more = stored(confirmed(pairs.toDF("a", "b", "n_a", "n_b").distinct(), docs), "links")
         links = links.union(more)
-        if more.limit(1).count():
+        found = more.limit(1).count() > 0
+        if found:
             parts = components(links)
         if at_once:
             return parts
@@ -212,7 +258,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     docs = bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = stored(signatures(docs), "signatures")
     sets = rows.where("n_shingles > 0 and doc_id is not null").groupBy("one", "two")
-    nodes = stored(sets.agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "nodes")
+    nodes = stored(sets.agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sub").alias("sub"), F.first("sig").alias("sig")), "nodes")
     parts = links_between(nodes, docs)
     own = rows.select("doc_id", "n_shingles", "one", "two").join(nodes.select("one", "two", "node"), ["one", "two"], "left")
     out = own.join(parts, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("found"))
