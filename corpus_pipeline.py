@@ -1,7 +1,7 @@
 """A training-corpus pipeline of five stages; each is written as Parquet and read again as the next one's documents.
 
 1. quality rules: lines that fail are removed from the text, documents that fail go;
-2. MinHash near-dedup: one document of every class stays;
+2. MinHash near-dedup: one row of every class stays (rows without a doc_id have no class and stay);
 3. suffix-array dedup: bytes of repeated 400-byte strings are removed from the texts (a text may become empty);
 4. benchmark decontamination: documents with a benchmark window go;
 5. best-fit packing: the pieces of the documents left, with their places in the sequences.
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confabula.llm.common import new_path, table
+from confabula.llm.common import new_path, stored, table
 from confabula.llm.decontamination import decontaminate
 from confabula.llm.id_filter import drop_ids
 from confabula.llm.near_dedup import near_duplicates
@@ -23,6 +23,8 @@ from confabula.llm.quality_rules import apply_rules
 from confabula.llm.suffix_dedup import remove_repeats
 from confabula.llm.tokenization import vocabulary
 
+ROW = "_row"
+
 
 def _with_text(docs: DataFrame, names: list[str], text) -> DataFrame:
     changed = docs.withColumn("text", text)
@@ -35,7 +37,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_ids(docs, "doc_id", near_duplicates(docs).where("not kept").select("doc_id"))
+    """One row of a class stays, the first by doc_id and text. Rows are numbered if a doc_id comes more than once, with one text or several."""
+    ids = docs.where("doc_id is not null")
+    if not ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        return drop_ids(docs, "doc_id", near_duplicates(docs).where("not kept").select("doc_id"))
+    rows = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    own = rows.where("doc_id is not null").select(ROW, "doc_id", "text")
+    found = stored(near_duplicates(own, doc_id=ROW).select(F.col("doc_id").alias(ROW), "component_id"), "classes")
+    place = own.select(ROW, F.struct("doc_id", F.xxhash64("text").alias("text"), ROW).alias("place"))
+    first = found.join(place, ROW).groupBy("component_id").agg(F.min("place").alias("place")).select(f"place.{ROW}")
+    return drop_ids(rows, ROW, found.select(ROW).join(first, ROW, "left_anti")).select(docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,3 +66,31 @@ def test_run_is_the_stages_one_after_the_other(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert sorted(tuple(r[:5]) for r in out.collect()) == sorted(tuple(r[:5]) for r in got)
     assert test_packing.valid(out.collect()) == test_packing.valid(got)
+
+
+def test_near_dedup_decides_by_row(spark, sf_dir):
+    """Repeated rows leave one, and a doc_id with several texts loses only those that another row stands for."""
+    words = [f"w{k}" for k in range(300)]
+    one, other, third = " ".join(words[:120]), " ".join(words[100:220]), " ".join(words[200:])
+    near = one.replace("w60 ", "v60 ")
+    rows = [(7, one), (7, one), (7, one), (3, other), (9, other), (9, third), (12, near), (12, third), (12, ""), (12, ""), (None, one)]
+    docs = frame(spark, rows)
+    out = corpus_pipeline.near_dedup(spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(7, one), (3, other), (9, third), (12, ""), (12, ""), (None, one)], key=str)
+
+
+def test_text_repeated_under_its_own_id_stays_in_the_corpus(spark, sf_dir):
+    text = " ".join(f"w{k}" for k in range(200))
+    docs = frame(spark, [(7, text), (7, text)])
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        out = stage(spark, docs, sf_dir)
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    assert [(r.doc_id, r.text) for r in docs.collect()] == [(7, text)]
+
+
+def test_texts_of_one_id_are_classes_of_their_own(spark, sf_dir):
+    one, other = (" ".join(f"{c}{k}" for k in range(100)) for c in "ab")
+    out = corpus_pipeline.near_dedup(spark, frame(spark, [(5, one), (5, other), (6, other)]), sf_dir)
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(5, one), (5, other)]
