@@ -29,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
-from .tokenization import END, pieces, vocabulary
+from .common import slices, stored, table, tidied
+from .tokenization import pieces, vocabulary
 
 LENGTH = 2048
 
@@ -106,21 +106,24 @@ def cut(docs: DataFrame, vocabulary_path: str, doc_id: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, part = pieces(vocabulary_path), TaskContext.get().partitionId()
         ranks = [0] * (length + 1)
-        for batch in batches:
-            rows: list[tuple] = []
-            for name, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = known.word_level(x) + END
-                for k, at in enumerate(range(0, len(own), 4 * length)):
-                    piece = own[at : at + 4 * length]
-                    n = len(piece) // 4
-                    rows.append((name, k, at // 4, n, zlib.crc32(piece), part, ranks[n]) + ((piece,) if ids else ()))
-                    ranks[n] += 1
-            columns = list(zip(*rows, strict=True)) or [()] * (7 + ids)
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, _ARROW, strict=False)], names[: 7 + ids])
+        for whole in batches:
+            for batch in slices(whole, "text", 4 << 20):
+                found, counts = known.encode(batch.column("text"))
+                data, at = memoryview(found.tobytes()), 0
+                rows: list[tuple] = []
+                for name, n in zip(batch.column("doc_id").to_pylist(), counts.tolist(), strict=True):
+                    for k, start in enumerate(range(0, n, length)):
+                        size = min(length, n - start)
+                        piece = data[4 * (at + start) : 4 * (at + start + size)]
+                        rows.append((name, k, start, size, zlib.crc32(piece), part, ranks[size]) + ((bytes(piece),) if ids else ()))
+                        ranks[size] += 1
+                    at += n
+                columns = list(zip(*rows, strict=True)) or [()] * (7 + ids)
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, _ARROW, strict=False)], names[: 7 + ids])
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", "ids"]
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids binary" * ids)
+    return docs.mapInArrow(tidied(run), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids binary" * ids)
 
 
 _ARROW = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]

@@ -8,8 +8,10 @@ segment in the whole: its partition, whose total is all that the driver sees, an
 
 Spark writes and reads the files, so they can be in any store that Spark reaches, and a lost task is written again.
 
-Defined cases: a null or empty text is its end id alone; a null doc_id sorts first; repeated rows are written as often
-as they come, in the order of their text; an empty table gives no segments; columns besides id and text are left out.
+Defined cases: a null or empty text is its end id alone; doc_id must be an integer, a null one sorts first; repeated rows
+are written as often as they come, rows of one id in the order of a hash of their text; a text of any length is one
+document, and one of more ids than a segment is meant to hold fills a segment by itself; an empty table gives no
+segments; columns besides id and text are left out, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table
-from .tokenization import END, pieces, vocabulary
+from .common import new_path, slices, table, tidied
+from .tokenization import pieces, vocabulary
 
 SEGMENT_IDS = 1 << 20
 SAMPLE = 64
@@ -79,38 +81,40 @@ SCHEMA = "part int, first long, n_ids long, doc_ids array<long>, width int, ids
 def write_tokens(docs: DataFrame, path: str, vocabulary_path: str, doc_id: str = "doc_id", text: str = "text", segment_ids: int = SEGMENT_IDS) -> None:
     """Encode the whole texts and write the segments to path."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    placed = docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    placed = docs.withColumn("_order", F.xxhash64("text")).repartitionByRange("doc_id", "_order").sortWithinPartitions("doc_id", "_order").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces(vocabulary_path)
         width = 2 if known.tokenizer.get_vocab_size() <= 1 << 16 else 4
         part, first = TaskContext.get().partitionId(), 0
-        names: list = []
+        names: list[pa.Array] = []
         coded: list[bytes] = []
-        ends: list[int] = []
+        ends: list[np.ndarray] = []
         total = 0
 
         def segment() -> pa.RecordBatch:
-            bounds = EliasFano.of(np.array(ends), total)
-            row = [part, first, total, names, width, b"".join(coded), bounds.low_bits, bounds.low, bounds.high, bounds.samples]
+            bounds = EliasFano.of(np.concatenate(ends), total)
+            row = [part, first, total, pa.concat_arrays(names).to_pylist(), width, b"".join(coded), bounds.low_bits, bounds.low, bounds.high, bounds.samples]
             return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, _ARROW, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for name, x in zip(ids, texts, strict=True):
-                own = np.frombuffer(known.byte_level(x) + END, "<u4")
-                names.append(name)
-                coded.append(own.astype(f"<u{width}").tobytes())
-                total += len(own)
-                ends.append(total)
-                if total >= segment_ids:
-                    yield segment()
-                    first += total
-                    names, coded, ends, total = [], [], [], 0
+        for whole in batches:
+            for batch in slices(whole, "text", 4 << 20):
+                ids, counts = known.encode(batch.column("text"))
+                ids, upto, at, done = ids.astype(f"<u{width}"), np.cumsum(counts), 0, 0
+                while at < len(upto):
+                    to = min(len(upto), int(np.searchsorted(upto, done + segment_ids - total)) + 1)  # the document that fills the segment is its last
+                    names.append(batch.column("doc_id").slice(at, to - at))
+                    ends.append(upto[at:to] - done + total)
+                    coded.append(ids[done : upto[to - 1]].tobytes())
+                    total, done, at = total + int(upto[to - 1]) - done, int(upto[to - 1]), to
+                    if total >= segment_ids:
+                        yield segment()
+                        first += total
+                        names, coded, ends, total = [], [], [], 0
         if names:
             yield segment()
 
-    placed.mapInArrow(run, SCHEMA).write.parquet(path)
+    placed.mapInArrow(tidied(run), SCHEMA).write.parquet(path)
 
 
 _ARROW = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]

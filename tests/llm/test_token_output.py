@@ -1,6 +1,8 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -16,7 +18,6 @@ ODD = ["", " ", "a  b", "a\n\nb", "x,,y", "x.,y .z", "it's we'll. 'tis", "3.14,
 
 def whole(name):
     t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
@@ -29,11 +30,40 @@ def expected(rows):
     return out
 
 
-@pytest.mark.parametrize("name,form", [("byte_bpe_50k.json", "byte_level"), ("word_bpe_49k.json", "word_level")])
-def test_pieces_give_the_ids_of_the_whole_text(name, form):
+NAMES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_pieces_give_the_ids_of_the_whole_text(name):
     encode, own = whole(name), pieces(vocabulary(name))
-    for x in ODD + [t for _, t in texts(2)]:
-        assert np.frombuffer(getattr(own, form)(x), "<u4").tolist() == encode(x), x
+    rows = ODD + [t for _, t in texts(2)]
+    ids, counts = own.encode(pa.array(rows, pa.string()))
+    assert ids.tolist() == [i for x in rows for i in [*encode(x), 0]]
+    assert counts.tolist() == [len(encode(x)) + 1 for x in rows]
+    assert own.encode(pa.array([], pa.string()))[0].tolist() == []
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_pieces_of_random_strings(name):
+    """Letters that change their length in lower case, marks, unusual blanks, special tokens and punctuation in any order."""
+    rng = random.Random(11)
+    letters = [*"abXYZ  \n\n.,.,'!-_12é", *"\u0301İßſKÅ½²٣中あ가ᅡक़ \t ’“ẞΣςͅ😀ǅ\x00\x85", "<|endoftext|>", "<|startoftext|>", "'s", "'ll", "'S"]
+    rows = ["".join(rng.choice(letters if i % 2 else letters[:20]) for _ in range(rng.randint(0, 14))) for i in range(8000)]
+    encode = whole(name)
+    ids, counts = pieces(vocabulary(name)).encode(pa.array(rows), None)
+    ends = np.cumsum(counts)
+    for x, a, b in zip(rows, ends - counts, ends, strict=True):
+        assert ids[a:b].tolist() == encode(x), ascii(x)
+
+
+def test_remembered_pieces_change_no_ids(monkeypatch):
+    from confabula.llm import tokenization
+
+    monkeypatch.setattr(tokenization, "REMEMBERED", 5)
+    own, rows = tokenization.Pieces(PATH), [t for _, t in texts(5)]
+    ids, _ = own.encode(pa.array(rows, pa.string()))
+    encode = whole("byte_bpe_50k.json")
+    assert ids.tolist() == [i for x in rows for i in [*encode(x), 0]]
 
 
 @pytest.mark.parametrize("segment_ids", [1, 500, 1 << 20])
