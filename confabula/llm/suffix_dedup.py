@@ -1,28 +1,34 @@
 """Removal of repeated byte strings by a common-prefix-aware distributed merge sort of suffixes.
 
-A byte is removed if a 400-byte string that covers it also starts anywhere else. Strings are judged on the input.
-
-Sorting a suffix for every byte is not needed to decide this. Every start p of a 400-byte string is given an anchor: of
-the next 200 eight-byte words the one with the least hash, the first of them if equal. The choice depends on nothing but
-the string, so equal strings have their anchors at the same distance, and starts that share an anchor form one range.
-Two equal strings therefore have anchors with the same suffix for 201 bytes at least; it is these suffixes, about one in
-a hundred, that are sorted:
-
-1. Fingerprints of the first 201 bytes at every anchor are counted; suffixes whose fingerprint is unique can't have a
-   partner and go no further (only false partners can pass, and the sort finds them out).
+A byte is removed if a string of a given length (400 bytes by default) that covers it also starts anywhere else. Strings
+are judged on the input. Repeats of a second, shorter length can be reported from the same sort.
+
+Sorting a suffix for every byte is not needed to decide this. With base the shorter length, every start p of a string of
+base bytes is given an anchor: of the next base / 2 eight-byte words the one with the least hash, the first of them if
+equal. The choice depends on nothing but the string, so equal strings have their anchors at the same distance, and starts
+that share an anchor form one range. Two equal strings therefore have anchors with the same suffix for base / 2 + 1 bytes
+at least, the prefix; it is these suffixes, about one for each base / 4 bytes, that are sorted:
+
+1. Fingerprints of the prefix at every anchor are counted; suffixes whose fingerprint is unique can't have a partner and
+   go no further (only false partners can pass, and the sort finds them out). A fingerprint that is very frequent is
+   spread over many tasks when the rows are marked.
 2. Each task sorts what is left of its documents into runs of bounded size. An entry is the text from the anchor to the
    end of the last string of its range, then the text before the anchor backwards to the first. Equal entries collapse,
    so a run has a text once however many copies there are. Runs are front-coded (length of the prefix shared with the
-   entry before, and the rest) and cut by fingerprint, so that entries with a common 201-byte prefix meet in one task.
+   entry before, and the rest) and cut by fingerprint, so that entries with a common prefix meet in one task.
 3. There the runs are merged with a loser tree that carries the common prefix of each candidate with the last entry put
    out: candidates with different common prefixes are decided by those, others compare from the known prefix on.
-4. Neighbours in the merged order that share 201 bytes form a group. An entry that came at least twice is repeated as a
-   whole. Where entries differ, their 400-byte windows at equal distance from the anchor are compared.
-5. The outcome goes back to run and entry number, and from there to the documents, whose places never left their run.
-
-Defined cases: a null text is empty; texts under 400 bytes lose nothing; equal rows are copies of each other, so both
-lose what is at least 400 bytes long; ids may be null or repeated (rows are told apart by id and text); an empty table
-gives an empty result; columns of the documents that have the name of a result column are replaced.
+4. Neighbours in the merged order that share the prefix form a group. An entry that came at least twice is repeated as a
+   whole. Where entries differ, their strings at equal distance from the anchor are compared by 64-bit hashes (two
+   different strings pass for equal with a chance of about 2 ** -60; all else is compared byte by byte).
+5. A prefix that occurs more than HOT times would gather too many entries in one task. Its entries stay in their run,
+   which counts the hashes of their strings; what isn't decided there is counted by Spark, partially first.
+6. The outcome goes back to run and entry number, and from there to the documents, whose places never left their run.
+
+Defined cases: a null text is empty; texts shorter than the string length lose nothing; a text of any length is worked
+through whole, in overlapping pieces; equal rows are copies of each other, so both lose what is at least that long; ids
+must be integers and may be null or repeated (rows are told apart by id and text); an empty table gives an empty result;
+columns of the documents that have the name of a result column are replaced.
 """
 
 from __future__ import annotations
@@ -30,6 +36,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +49,17 @@ from .hashing import Substrings, mix
 from .id_filter import id_bitmap, keep_ids
 
 SPAN = 400
-#: Eight-byte words among which an anchor is chosen; the rest of the span is the prefix that partners must share.
-CHOICES = 200
-PREFIX = SPAN - CHOICES + 1
+#: Bytes of a passage of about fifty short words.
+PASSAGE = 240
+#: A prefix with more occurrences than this is counted by Spark and not merged in one task.
+HOT = 20_000
+#: Tasks among which the rows of a hot prefix are spread.
+SPREAD = 64
 #: Bytes of entries in a run, and entries that a merging task should get.
 RUN_BYTES = 16 << 20
 ENTRIES = 30_000
+#: Parts that a merging task works through one after the other, where there are more parts than shuffle partitions.
+PARTS_A_TASK = 8
 #: Bytes of a document that are looked at together; longer ones are taken in overlapping pieces.
 PIECE = 4 << 20
 
@@ -55,14 +67,38 @@ _ODD = np.uint64(0xD1342543DE82EF95)
 _PLACE = np.uint64((1 << 30) - 1)
 
 
-def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Lengths:
+    """The string lengths looked for; the first is the one that is removed."""
+
+    sizes: tuple[int, ...]
+
+    @property
+    def base(self) -> int:
+        return min(self.sizes)
+
+    @property
+    def longest(self) -> int:
+        return max(self.sizes)
+
+    @property
+    def choices(self) -> int:
+        """Eight-byte words among which an anchor is chosen; the rest of the base is the prefix that partners must share."""
+        return self.base // 2
+
+    @property
+    def prefix(self) -> int:
+        return self.base - self.choices + 1
+
+
+def anchors(data: np.ndarray, bounds: np.ndarray, of: Lengths) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, first and last start, anchor and prefix fingerprint of every range of starts in packed rows of under 2**30 bytes."""
-    n = len(data)
+    n, base, choices = len(data), of.base, of.choices
     valid = np.zeros(n + 1, np.int32)
     sizes = np.diff(bounds)
-    long = sizes >= SPAN
+    long = sizes >= base
     np.add.at(valid, bounds[:-1][long], 1)
-    np.add.at(valid, bounds[1:][long] - SPAN + 1, -1)
+    np.add.at(valid, bounds[1:][long] - base + 1, -1)
     starts = np.flatnonzero(np.cumsum(valid[:-1]))
     if not len(starts):
         none = np.zeros(0, np.int64)
@@ -70,27 +106,27 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     words = np.ndarray((n,), "<u8", data.tobytes() + bytes(8), 0, (1,)) * _ODD
     least = ((words ^ words >> np.uint64(32)) * _ODD & ~_PLACE) | np.arange(n, dtype=np.uint64)
     width = 1
-    while 2 * width <= CHOICES:
+    while 2 * width <= choices:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
-    least = np.minimum(least[: n - CHOICES + 1], least[CHOICES - width :])
+    least = np.minimum(least[: n - choices + 1], least[choices - width :])
     at = (least[starts] & _PLACE).astype(np.int64)
     new = np.flatnonzero((at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)) + 1
     first, last = np.concatenate([[0], new]), np.concatenate([new - 1, [len(starts) - 1]])
     low, high, at = starts[first], starts[last], at[first]
-    return np.searchsorted(bounds, low, "right") - 1, low, high, at, Substrings(data).hash(at, at + PREFIX).view(np.int64)
+    return np.searchsorted(bounds, low, "right") - 1, low, high, at, Substrings(data).hash(at, at + of.prefix).view(np.int64)
 
 
-def ranges(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+def ranges(data: np.ndarray, bounds: np.ndarray, of: Lengths) -> Iterator[tuple[np.ndarray, ...]]:
     """anchors() of packed rows; a row longer than PIECE is taken in pieces that overlap by a string."""
     if len(data) <= PIECE:
-        yield anchors(data, bounds)
+        yield anchors(data, bounds, of)
         return
     for row in range(len(bounds) - 1):
         a, b = int(bounds[row]), int(bounds[row + 1])
-        for at in range(a, max(a + 1, b - SPAN + 1), PIECE):
-            part = data[at : min(b, at + PIECE + SPAN - 1)]
-            rows, low, high, anchor, prefix = anchors(part, np.array([0, len(part)]))
+        for at in range(a, max(a + 1, b - of.base + 1), PIECE):
+            part = data[at : min(b, at + PIECE + of.base - 1)]
+            rows, low, high, anchor, prefix = anchors(part, np.array([0, len(part)]), of)
             yield rows + row, low + at, high + at, anchor + at, prefix
 
 
@@ -98,12 +134,15 @@ def row_id(doc_id: str, text: str):
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in slices(whole):
-            ids = batch.column("rid").to_numpy()
-            for rows, _, _, _, prefix in ranges(*packed(batch.column("text"))):
-                yield pa.RecordBatch.from_arrays([pa.array(prefix), pa.array(ids[rows])], ["prefix", "rid"])
+def _fingerprints(of: Lengths):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                ids = batch.column("rid").to_numpy()
+                for rows, _, _, _, prefix in ranges(*packed(batch.column("text")), of):
+                    yield pa.RecordBatch.from_arrays([pa.array(prefix), pa.array(ids[rows])], ["prefix", "rid"])
+
+    return run
 
 
 def shared_prefix(x: bytes, y: bytes, start: int = 0) -> int:
@@ -116,16 +155,16 @@ def shared_prefix(x: bytes, y: bytes, start: int = 0) -> int:
 
 
 class Chunk:
-    """Front-coded entries of a run in order: shared prefix, length of the rest, bytes after the anchor, copies (2: more), number."""
+    """Front-coded entries of a run in order: shared prefix, length of the rest, bytes after the anchor, starts, copies (2: more), number."""
 
     def __init__(self) -> None:
-        self.heads: list[tuple[int, int, int, int, int]] = []
+        self.heads: list[tuple[int, int, int, int, int, int]] = []
         self.rest: list[bytes] = []
         self.last = b""
 
-    def add(self, entry: bytes, right: int, copies: int, number: int) -> None:
+    def add(self, entry: bytes, right: int, starts: int, copies: int, number: int) -> None:
         same = shared_prefix(self.last, entry)
-        self.heads.append((same, len(entry) - same, right, copies, number))
+        self.heads.append((same, len(entry) - same, right, starts, copies, number))
         self.rest.append(entry[same:])
         self.last = entry
 
@@ -133,12 +172,12 @@ class Chunk:
         return np.array(self.heads, "<i4").tobytes(), b"".join(self.rest)
 
 
-def decoded(heads: bytes, rest: bytes) -> Iterator[tuple[int, bytes, int, int, int]]:
+def decoded(heads: bytes, rest: bytes) -> Iterator[tuple[int, bytes, int, int, int, int]]:
     last, at = b"", 0
-    for same, more, right, copies, number in np.frombuffer(heads, "<i4").reshape(-1, 5).tolist():
+    for same, more, right, starts, copies, number in np.frombuffer(heads, "<i4").reshape(-1, 6).tolist():
         last = last[:same] + rest[at : at + more]
         at += more
-        yield same, last, right, copies, number
+        yield same, last, right, starts, copies, number
 
 
 class LoserTree:
@@ -184,12 +223,52 @@ class LoserTree:
             self.winner = i
 
 
-def sorted_runs(parts: int):
-    """Map side: documents with their repeated fingerprints -> chunks (a row for each run and part) and places (a row for each run and document)."""
+class Windows:
+    """The strings of differing entries, and how often each is there."""
+
+    def __init__(self, entries: list[tuple[bytes, int, int, int]], size: int, groups: list[int] | None = None):
+        """entries: text (after the anchor, then backwards before it), bytes after the anchor, starts, copies."""
+        texts = [entry[right:][::-1] + entry[:right] for entry, right, _, _ in entries]
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        length = np.array([len(x) for x in texts], np.int64)
+        starts = np.array([x[2] for x in entries], np.int64)
+        weight = np.array([min(2, x[3]) for x in entries], np.int64)
+        n = np.maximum(0, np.minimum(starts, length - size + 1))
+        self.owner = np.repeat(np.arange(len(n)), n)
+        self.inside = np.arange(len(self.owner)) - (np.cumsum(n) - n)[self.owner]
+        at = (np.cumsum(length) - length)[self.owner] + self.inside
+        self.keys = Substrings(data).hash(at, at + size)
+        if groups is not None:
+            left = length - np.array([x[1] for x in entries], np.int64)
+            self.keys = self.keys ^ mix((left[self.owner] - self.inside + (np.array(groups, np.int64)[self.owner] << 16)).astype(np.uint64))
+        order = np.argsort(self.keys)
+        keys = self.keys[order]
+        edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        self.twice = np.zeros(len(keys), bool)
+        if len(keys):
+            times = np.add.reduceat(weight[self.owner[order]], edge)
+            self.twice[order] = np.repeat(times > 1, np.diff(np.concatenate([edge, [len(keys)]])))
+
+    def repeated(self) -> np.ndarray:
+        """Rows (entry, first, last): the maximal ranges of starts that came twice or more."""
+        new = self.inside == 0
+        begin = np.flatnonzero(self.twice & (new | ~np.concatenate([[False], self.twice[:-1]])))
+        end = np.flatnonzero(self.twice & ~np.concatenate([self.twice[1:] & ~new[1:], [False]])) if len(new) else begin
+        return np.stack([self.owner[begin], self.inside[begin], self.inside[end]], axis=1)
+
+
+def whole_range(length: int, starts: int, size: int) -> int:
+    """How many strings of the size start in an entry."""
+    return max(0, min(starts, length - size + 1))
+
+
+def sorted_runs(parts: int, of: Lengths):
+    """Map side: documents with their repeated fingerprints -> rows of RUNS: chunks (for each run and part), places (for each
+    run and document), and of the entries of hot prefixes what is repeated in the run, and the hashes of the other strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held = TaskContext.get().partitionId() << 24, 0
-        entries: list[tuple[bytes, int, int, int]] = []  # entry, bytes after the anchor, document here, first start
+        entries: list[tuple[bytes, int, int, int, int, bool]] = []  # entry, bytes after the anchor, starts, document here, first start, hot
         docs: list[tuple[int, int | None]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -197,22 +276,42 @@ def sorted_runs(parts: int):
             entries.sort()
             chunks: dict[int, Chunk] = {}
             places: dict[int, tuple[list[int], list[int]]] = {}
+            hot: list[tuple[bytes, int, int, int]] = []
+            numbers: list[int] = []
             i = count = 0
             while i < len(entries):
-                entry, right = entries[i][:2]
+                entry, right, starts = entries[i][:3]
                 j = i
-                while j < len(entries) and entries[j][1] == right and entries[j][0] == entry:
-                    nos, lows = places.setdefault(entries[j][2], ([], []))
+                while j < len(entries) and entries[j][1] == right and entries[j][2] == starts and entries[j][0] == entry:
+                    nos, lows = places.setdefault(entries[j][3], ([], []))
                     nos.append(count)
-                    lows.append(entries[j][3])
+                    lows.append(entries[j][4])
                     j += 1
-                part = int.from_bytes(hashlib.blake2b(entry[:PREFIX], digest_size=8).digest(), "little") % parts
-                chunks.setdefault(part, Chunk()).add(entry, right, min(2, j - i), count)
+                if entries[i][5]:
+                    hot.append((entry, right, starts, j - i))
+                    numbers.append(count)
+                else:
+                    part = int.from_bytes(hashlib.blake2b(entry[: of.prefix], digest_size=8).digest(), "little") % parts
+                    chunks.setdefault(part, Chunk()).add(entry, right, starts, min(2, j - i), count)
                 i, count = j, count + 1
-            rows = [(number, part, *c.coded(), None, None, None, None) for part, c in chunks.items()]
-            rows += [(number, None, None, None, *docs[d], *places[d]) for d in places]
+            rows = [{"run": number, "part": part} | dict(zip(("heads", "rest"), c.coded(), strict=True)) for part, c in chunks.items()]
+            rows += [{"run": number, "rid": docs[d][0], "doc_id": docs[d][1], "entries": places[d][0], "firsts": places[d][1]} for d in places]
+            if hot:
+                no = np.array(numbers, np.int64)
+                for size in of.sizes:
+                    w = Windows(hot, size)
+                    found, once = w.repeated(), np.flatnonzero(~w.twice)
+                    twice = np.unique(w.keys[w.twice]).view(np.int64)
+                    for at in range(0, len(found), 50_000):
+                        own = found[at : at + 50_000]
+                        rows.append({"run": number, "size": size, "entries": no[own[:, 0]], "firsts": own[:, 1], "lasts": own[:, 2]})
+                    for at in range(0, len(once), 50_000):
+                        own = once[at : at + 50_000]
+                        rows.append({"run": number, "size": size, "entries": no[w.owner[own]], "firsts": w.inside[own], "keys": w.keys[own].view(np.int64)})
+                    for at in range(0, len(twice), 50_000):
+                        rows.append({"run": number, "size": size, "keys": twice[at : at + 50_000]})
             for at in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows[at : at + 256], strict=True), _RUNS, strict=True)], [x.split()[0] for x in RUNS.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows[at : at + 256]], kind) for c, kind in _RUNS.items()], list(_RUNS))
             number, held = number + 1, 0
             entries.clear()
             docs.clear()
@@ -222,181 +321,222 @@ def sorted_runs(parts: int):
                 data, bounds = packed(batch.column("text"))
                 ids, names = batch.column("rid").to_pylist(), batch.column("doc_id").to_pylist()
                 wanted = [np.array(x, np.int64) for x in batch.column("prefixes").to_pylist()]
+                often = np.unique(np.concatenate([np.array(x, np.int64) for x in batch.column("hot").to_pylist()]))
                 own, base = data.tobytes(), len(docs)
                 docs += zip(ids, names, strict=True)
-                for rows, low, high, at, prefix in ranges(data, bounds):
+                for rows, low, high, at, prefix in ranges(data, bounds, of):
                     edges = np.searchsorted(rows, np.arange(len(wanted) + 1))
                     hits = [np.flatnonzero(np.isin(prefix[a:b], w)) + a for a, b, w in zip(edges, edges[1:], wanted, strict=False)]
                     k = np.concatenate(hits) if hits else np.zeros(0, np.int64)
-                    for r, a, b, x in zip(rows[k].tolist(), low[k].tolist(), high[k].tolist(), at[k].tolist(), strict=True):
-                        entry = own[x : b + SPAN] + own[a:x][::-1]
-                        entries.append((entry, b + SPAN - x, base + r, a - int(bounds[r])))
+                    hot = np.isin(prefix[k], often)
+                    for r, a, b, x, h in zip(rows[k].tolist(), low[k].tolist(), high[k].tolist(), at[k].tolist(), hot.tolist(), strict=True):
+                        end = min(b + of.longest, int(bounds[r + 1]))
+                        entry = own[x:end] + own[a:x][::-1]
+                        entries.append((entry, end - x, b - a + 1, base + r, a - int(bounds[r]), h))
                         held += len(entry) + 200
-                    if held >= RUN_BYTES:
-                        yield from flush()
-                        docs += zip(ids, names, strict=True)
-                        base = 0
+                        if held >= RUN_BYTES:
+                            yield from flush()
+                            docs += zip(ids, names, strict=True)
+                            base = 0
         if entries:
             yield from flush()
 
     return run
 
 
-RUNS = "run long, part int, heads binary, rest binary, rid long, doc_id long, entries array<int>, lows array<long>"
-_RUNS = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+RUNS = "run long, part int, heads binary, rest binary, rid long, doc_id long, size int, entries array<int>, firsts array<long>, lasts array<long>, keys array<long>"
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+_RUNS = {x.split()[0]: _ARROW[x.split()[1]] for x in RUNS.split(", ")}
 
 
 class Groups:
     """Decides which starts of each entry are repeated; groups of differing entries are looked at many at a time."""
 
-    def __init__(self) -> None:
-        self.found: list[np.ndarray] = []  # rows: run, entry, first and last repeated start, counted from the range's first
-        self.texts: list[bytes] = []
-        self.about: list[tuple[int, int, int, int]] = []  # group, bytes before the anchor, windows, weight
+    def __init__(self, of: Lengths) -> None:
+        self.of = of
+        self.found: list[np.ndarray] = []  # rows: run, entry, first and last repeated start, counted from the range's first, and size
+        self.entries: list[tuple[bytes, int, int, int]] = []
+        self.numbers: list[int] = []
         self.owners: list[list[tuple[int, int]]] = []
         self.held = self.groups = 0
 
-    def add(self, group: dict[tuple[bytes, int], list]) -> None:
-        """group: (entry, bytes after the anchor) -> [copies, (run, number)...]."""
+    def add(self, group: dict[tuple[bytes, int, int], list]) -> None:
+        """group: (entry, bytes after the anchor, starts) -> [copies, (run, number)...]."""
         if len(group) == 1:
-            ((entry, _), (copies, *owners)) = next(iter(group.items()))
+            ((entry, _, starts), (copies, *owners)) = next(iter(group.items()))
             if copies > 1:
-                self.found.append(np.array([(r, n, 0, len(entry) - SPAN) for r, n in owners], np.int64))
+                for size in self.of.sizes:
+                    if n := whole_range(len(entry), starts, size):
+                        self.found.append(np.array([(r, e, 0, n - 1, size) for r, e in owners], np.int64))
             return
         self.groups += 1
-        for (entry, right), (copies, *owners) in group.items():
-            self.texts.append(entry[right:][::-1] + entry[:right])
-            self.about.append((self.groups, len(entry) - right, len(entry) - SPAN + 1, min(2, copies)))
+        for (entry, right, starts), (copies, *owners) in group.items():
+            self.entries.append((entry, right, starts, copies))
+            self.numbers.append(self.groups)
             self.owners.append(owners)
             self.held += len(entry)
         if self.held > 1 << 20:
             self.decide()
 
     def decide(self) -> None:
-        if not self.texts:
+        if not self.entries:
             return
-        data = np.frombuffer(b"".join(self.texts), np.uint8)
-        base = np.cumsum([0] + [len(x) for x in self.texts[:-1]])
-        group, left, windows, weight = np.array(self.about, np.int64).T
-        owner = np.repeat(np.arange(len(windows)), windows)
-        first = np.cumsum(windows) - windows
-        inside = np.arange(len(owner)) - first[owner]
-        starts = base[owner] + inside
-        keys = Substrings(data).hash(starts, starts + SPAN) ^ mix((left[owner] - inside + (group[owner] << 16)).astype(np.uint64))
-        order = np.argsort(keys)
-        keys = keys[order]
-        edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        times = np.add.reduceat(weight[owner[order]], edge)
-        twice = np.zeros(len(owner), bool)
-        twice[order] = np.repeat(times > 1, np.diff(np.concatenate([edge, [len(keys)]])))
-        begin = np.flatnonzero(twice & np.concatenate([[True], ~twice[:-1] | (inside[1:] == 0)]))
-        end = np.flatnonzero(twice & np.concatenate([~twice[1:] | (inside[1:] == 0), [True]]))
-        for e, a, b in zip(owner[begin].tolist(), inside[begin].tolist(), inside[end].tolist(), strict=True):
-            self.found.append(np.array([(r, n, a, b) for r, n in self.owners[e]], np.int64))
-        self.texts, self.about, self.owners, self.held = [], [], [], 0
+        for size in self.of.sizes:
+            for e, a, b in Windows(self.entries, size, self.numbers).repeated().tolist():
+                self.found.append(np.array([(r, n, a, b, size) for r, n in self.owners[e]], np.int64))
+        self.entries, self.numbers, self.owners, self.held = [], [], [], 0
 
     def take(self) -> np.ndarray:
-        out = np.concatenate(self.found) if self.found else np.zeros((0, 4), np.int64)
+        out = np.concatenate(self.found) if self.found else np.zeros((0, 5), np.int64)
         self.found = []
         return out
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduce side: chunks sorted by part -> (run, entry, first, last)."""
-    out = Groups()
+def _merge(of: Lengths):
+    """Reduce side: chunks sorted by part -> (run, entry, first, last, size)."""
 
-    def merged(chunks: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        group: dict[tuple[bytes, int], list] = {}
-        for same, source, (_, entry, right, copies, number) in LoserTree([decoded(h, r) for _, h, r in chunks]):
-            if same < PREFIX and group:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Groups(of)
+
+        def merged(chunks: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+            group: dict[tuple[bytes, int, int], list] = {}
+            for same, source, (_, entry, right, starts, copies, number) in LoserTree([decoded(h, r) for _, h, r in chunks]):
+                if same < of.prefix and group:
+                    out.add(group)
+                    group = {}
+                    if len(out.found) > 20_000:
+                        yield table_of(out.take())
+                own = group.setdefault((entry, right, starts), [0])
+                own[0] += copies
+                own.append((chunks[source][0], number))
+            if group:
                 out.add(group)
-                group = {}
-                if len(out.found) > 20_000:
-                    yield table_of(out.take())
-            own = group.setdefault((entry, right), [0])
-            own[0] += copies
-            own.append((chunks[source][0], number))
-        if group:
-            out.add(group)
-        out.decide()
-        yield table_of(out.take())
-
-    def table_of(rows: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], ["run", "entry", "first", "last"])
-
-    part, chunks = None, []
-    for batch in batches:
-        for p, number, heads, rest in zip(*(batch.column(c).to_pylist() for c in ("part", "run", "heads", "rest")), strict=True):
-            if p != part and chunks:
-                yield from merged(chunks)
-                chunks = []
-            part = p
-            chunks.append((number, heads, rest))
-    if chunks:
-        yield from merged(chunks)
-
-
-def repeated_starts(docs: DataFrame) -> DataFrame:
-    """docs: (rid, doc_id, text). (rid, doc_id, first, last) ranges of starts of strings that also start elsewhere."""
-    prints = docs.select("rid", "text").mapInArrow(tidied(_fingerprints), "prefix long, rid long")
-    twice = prints.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix")
-    again = stored(prints.join(twice, "prefix").groupBy("rid").agg(F.collect_set("prefix").alias("prefixes")), "prefixes")
+            out.decide()
+            yield table_of(out.take())
+
+        def table_of(rows: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], ["run", "entry", "first", "last", "size"])
+
+        part, chunks = None, []
+        for batch in batches:
+            for p, number, heads, rest in zip(*(batch.column(c).to_pylist() for c in ("part", "run", "heads", "rest")), strict=True):
+                if p != part and chunks:
+                    yield from merged(chunks)
+                    chunks = []
+                part = p
+                chunks.append((number, heads, rest))
+        if chunks:
+            yield from merged(chunks)
+
+    return run
+
+
+def marked_rows(docs: DataFrame, of: Lengths, hot_at: int) -> DataFrame:
+    """(rid, prefixes, hot): the fingerprints of each row that are there more than once, and those of them that are hot."""
+    prints = docs.select("rid", "text").mapInArrow(tidied(_fingerprints(of)), "prefix long, rid long")
+    twice = prints.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1")
+    spread = F.when(F.col("n") > hot_at, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    twice = stored(twice.select("prefix", (F.col("n") > hot_at).alias("hot"), "n"), "prefixes")
+    # at most one prefix in hot_at rows is hot; the list is broadcast only where it has at most 100,000 of them
+    few = twice.where("hot").limit(100_001).count() <= 100_000
+    sides = twice.select("prefix", "hot", F.explode(spread).alias("salt"))
+    if few:
+        known = F.broadcast(twice.where("hot").select("prefix", F.lit(True).alias("often")))
+        salted = prints.join(known, "prefix", "left").select("prefix", "rid", F.when(F.col("often"), F.pmod("rid", F.lit(SPREAD))).otherwise(0).cast("int").alias("salt"))
+    else:
+        salted, sides = prints.withColumn("salt", F.lit(0)), sides.where("salt = 0")
+    found = salted.join(sides, ["prefix", "salt"]).groupBy("rid")
+    return found.agg(F.collect_set("prefix").alias("prefixes"), F.collect_set(F.when(F.col("hot"), F.col("prefix"))).alias("hot"))
+
+
+def repeated_starts(docs: DataFrame, of: Lengths, hot_at: int = HOT) -> DataFrame:
+    """docs: (rid, doc_id, text). (rid, doc_id, first, last, size) ranges of starts of strings that also start elsewhere."""
+    again = stored(marked_rows(docs, of, hot_at), "prefixes")
     total = again.agg(F.sum(F.size("prefixes")).alias("n")).first().n or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / ENTRIES))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(tasks, math.ceil(total / ENTRIES))
+    tasks = max(tasks, math.ceil(parts / PARTS_A_TASK))
     bitmap = id_bitmap(again, "rid")
     texts = keep_ids(docs, "rid", again, bitmap, exact=False).join(again, "rid")
-    runs = stored(texts.mapInArrow(tidied(sorted_runs(parts)), RUNS), "runs")
-    chunks = runs.where("part is not null").select("part", "run", "heads", "rest").repartition(parts, "part").sortWithinPartitions("part", "run")
-    found = chunks.mapInArrow(tidied(_merge), "run long, entry long, first long, last long")
-    places = runs.where("part is null").select("run", "rid", "doc_id", F.explode(F.arrays_zip("entries", "lows")).alias("x"))
-    places = places.select("run", F.col("x.entries").cast("long").alias("entry"), "rid", "doc_id", F.col("x.lows").alias("low"))
-    return places.join(found, ["run", "entry"]).select("rid", "doc_id", (F.col("low") + F.col("first")).alias("first"), (F.col("low") + F.col("last")).alias("last"))
+    runs = stored(texts.mapInArrow(tidied(sorted_runs(parts, of)), RUNS), "runs")
+    chunks = runs.where("part is not null").select("part", "run", "heads", "rest").repartition(tasks, "part").sortWithinPartitions("part", "run")
+    found = chunks.mapInArrow(tidied(_merge(of)), "run long, entry long, first long, last long, size long")
+    hot = runs.where("size is not null")
+    local = hot.where("lasts is not null").select("run", "size", F.explode(F.arrays_zip("entries", "firsts", "lasts")).alias("x")).select("run", F.col("x.entries").cast("long"), "x.firsts", "x.lasts", F.col("size").cast("long"))
+    once = hot.where("keys is not null AND entries is not null").select("run", F.col("size").cast("long").alias("size"), F.explode(F.arrays_zip("keys", "entries", "firsts")).alias("x")).select("run", "size", F.col("x.keys").alias("key"), F.col("x.entries").cast("long").alias("entry"), F.col("x.firsts").alias("first"))
+    often = hot.where("keys is not null AND entries is null").select(F.col("size").cast("long").alias("size"), F.explode("keys").alias("key"), F.lit(2).alias("n"))
+    counts = once.select("size", "key", F.lit(1).alias("n")).unionByName(often).groupBy("size", "key").agg(F.sum("n").alias("n")).where("n > 1")
+    met = once.join(counts.select("size", "key"), ["size", "key"]).select("run", "entry", "first", F.col("first").alias("last"), "size")
+    found = found.union(local).union(met)
+    places = runs.where("rid is not null").select("run", "rid", "doc_id", F.explode(F.arrays_zip("entries", "firsts")).alias("x"))
+    places = places.select("run", F.col("x.entries").cast("long").alias("entry"), "rid", "doc_id", F.col("x.firsts").alias("low"))
+    return places.join(found, ["run", "entry"]).select("rid", "doc_id", (F.col("low") + F.col("first")).alias("first"), (F.col("low") + F.col("last")).alias("last"), F.col("size").cast("int").alias("size"))
 
 
 _RESULT = ["n_bytes", "n_removed", "n_spans", "spans"]
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 RESULT = "n_bytes long, n_removed long, n_spans long, spans array<struct<first: long, end: long>>"
+#: With a second length: bytes covered by strings of that length that also start elsewhere, and their runs.
+ALSO = ["n_repeated", "n_passages"]
+
 
+def covered(starts: list[dict], size: int) -> list[dict]:
+    """The maximal byte ranges that strings of the size cover, of ranges of starts."""
+    spans: list[dict] = []
+    for a, b in sorted((s["first"], s["last"] + size) for s in starts if s["size"] == size):
+        if spans and a <= spans[-1]["end"]:
+            spans[-1]["end"] = max(b, spans[-1]["end"])
+        else:
+            spans.append({"first": a, "end": b})
+    return spans
+
+
+def _apply(names: list[str], text: str, as_text: bool, of: Lengths):
+    kinds = [pa.int64(), pa.int64(), pa.int64(), _SPANS, *[pa.int64()] * (2 * len(of.sizes) - 2), pa.string() if as_text else pa.binary()]
+    results = [*_RESULT, *ALSO[: 2 * len(of.sizes) - 2], "kept_text" if as_text else "kept_bytes"]
 
-def _apply(names: list[str], text: str, as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text, 4 << 20):
                 rows = []
                 starts = batch.column("_starts").to_pylist() if "_starts" in batch.schema.names else [None] * batch.num_rows
                 for x, found in zip(utf8(batch.column(text)), starts, strict=True):
-                    x, spans = x or b"", []
-                    for a, b in sorted((s["first"], s["last"] + SPAN) for s in found or ()):
-                        if spans and a <= spans[-1]["end"]:
-                            spans[-1]["end"] = max(b, spans[-1]["end"])
-                        else:
-                            spans.append({"first": a, "end": b})
+                    x = x or b""
+                    spans, *others = [covered(found or [], size) for size in of.sizes]
                     edges = [0, *(e for s in spans for e in (s["first"], s["end"])), len(x)]
                     kept = b"".join(x[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if spans else x
-                    rows.append((len(x), len(x) - len(kept), len(spans), spans, kept.decode(errors="ignore") if as_text else kept))
-                columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int64(), _SPANS, pa.string() if as_text else pa.binary()], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + columns, [*names, *_RESULT, "kept_text" if as_text else "kept_bytes"])
+                    also = [n for o in others for n in (sum(s["end"] - s["first"] for s in o), len(o))]
+                    rows.append((len(x), len(x) - len(kept), len(spans), spans, *also, kept.decode(errors="ignore") if as_text else kept))
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + columns, [*names, *results])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans, the removed byte spans, and kept_bytes; as_text: kept_text, without cut characters."""
-    docs = bounded_batches(docs).drop(*[c for c in (*_RESULT, "kept_bytes", "kept_text", "_rid", "_id", "_other", "_starts") if c not in (doc_id, text)])
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", as_text: bool = False, span: int = SPAN, also: int | None = None, hot_at: int = HOT) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans, the removed byte spans, and kept_bytes; as_text: kept_text, without cut characters.
+
+    span: length in bytes of the strings looked for, 32 at least. also: another length, up to span, whose repeats are reported
+    in n_repeated and n_passages and stay in the text.
+    """
+    if span < 32 or (also is not None and not 32 <= also < span):
+        raise ValueError("span is at least 32, also less than span and at least 32")
+    of = Lengths((span,) if also is None else (span, also))
+    docs = bounded_batches(docs).drop(*[c for c in (*_RESULT, *ALSO[: 2 * len(of.sizes) - 2], "kept_bytes", "kept_text", "_rid", "_id", "_other", "_starts") if c not in (doc_id, text)])
     names = docs.columns
     rows = docs.withColumn("_rid", row_id(doc_id, text)).withColumn("_id", F.col(doc_id).cast("long"))
-    long = rows.where(F.octet_length(text) >= SPAN).select(F.col("_rid").alias("rid"), F.col("_id").alias("doc_id"), F.col(text).alias("text"))
-    spans = repeated_starts(long).groupBy("rid", "doc_id").agg(F.collect_set(F.struct("first", "last")).alias("_starts"))
+    long = rows.where(F.octet_length(text) >= of.base).select(F.col("_rid").alias("rid"), F.col("_id").alias("doc_id"), F.col(text).alias("text"))
+    spans = repeated_starts(long, of, hot_at).groupBy("rid", "doc_id").agg(F.collect_set(F.struct("first", "last", "size")).alias("_starts"))
     spans = stored(spans.select(F.col("rid").alias("_rid"), F.col("doc_id").alias("_id"), "_starts"), "repeats")
     bitmap = id_bitmap(spans, "_rid")
-    types = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [RESULT, "kept_text string" if as_text else "kept_bytes binary"])
+    types = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [RESULT] + [f"{c} long" for c in ALSO[: 2 * len(of.sizes) - 2]] + ["kept_text string" if as_text else "kept_bytes binary"])
     maybe = keep_ids(rows, "_rid", spans, bitmap, exact=False)
     joined = maybe.join(spans.withColumnRenamed("_id", "_other"), (maybe["_rid"] == spans["_rid"]) & F.col("_id").eqNullSafe(F.col("_other")), "left")
-    apply = _apply(names, text, as_text)
+    apply = _apply(names, text, as_text, of)
     never = keep_ids(rows.select(*names, "_rid"), "_rid", spans, bitmap, exact=False, wanted=False, then=apply, schema=types)
     return joined.select(*names, "_starts").mapInArrow(tidied(apply), types).union(never)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+    done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), also=PASSAGE)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"), *ALSO)
