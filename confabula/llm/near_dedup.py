@@ -1,25 +1,31 @@
 """Near-duplicate classes by MinHash with tensored banding, every link confirmed on the full sets.
 
-A document's set is its distinct two-word shingles, as 64-bit hashes. Tensored banding makes many table keys from few
-minhashes: there are two small collections of eight sub-keys, each sub-key made from two minhashes, and every pair of a
-sub-key of the one and a sub-key of the other is a table key, so 32 minhashes serve 64 tables of four hashes. Two sets of
-similarity 0.8 share a key with probability 0.9994; sets further alike are missed less often.
+A document's set is its distinct shingles (five words by default), as 64-bit hashes; two shingles pass for equal with a
+chance of about 2 ** -60. Tensored banding makes many table keys from few minhashes: there are two small collections of
+eight sub-keys, each sub-key made from two minhashes, and every pair of a sub-key of the one and a sub-key of the other is
+a table key, so 32 minhashes serve 64 tables of four hashes. Two sets of similarity 0.8 share a key with probability
+0.9994; sets further alike are missed less often.
 
 1. Sets that are equal are one node, named by the smallest doc_id (pre-aggregated; copies go no further).
 2. Keys that only one node has are dropped. In every other bucket each node is paired with the bucket's smallest node.
-   Pairs whose sizes, parity bits or minhashes rule similarity 0.8 out are dropped; the rest is confirmed on the texts'
-   full sets. (A parity bit tells whether an odd number of shingles fall on it: a lower bound of what two sets differ in.)
+   Pairs whose sizes or parity bits rule similarity 0.8 out are dropped, which loses nothing (a parity bit tells whether an
+   odd number of shingles fall on it: a lower bound of what two sets differ in). Pairs with fewer than LEAST_EQUAL of 32
+   equal minhashes are dropped too: of pairs of similarity 0.8 that are about one in a million, fewer above. What is left
+   is confirmed on the texts' full sets.
 3. Links give components (alternating large and small stars; every round is written, only counts reach the driver).
 4. A bucket whose nodes are not all in one component may still hide a link between two of its other nodes. Its smallest
-   node has met all others and leaves; what is left across components is paired at once if that is in proportion to the
-   data or if one node of each bucket no longer finds links, else again with one node of each bucket, and so on until no
-   bucket has an unmet pair across components. From here on a pair is compared in the first bucket it shares only.
-
-So no bucket is expanded into all its pairs, none is capped, and every candidate pair across components is confirmed.
-
-Defined cases: null and empty texts, or texts without words, have an empty set and no links; a text of one word has that
-word as its only shingle; a doc_id that comes with several texts is classed text by text, but sets whose smallest
-doc_id is the same one share a class; rows with a null doc_id take no part in links and are kept; an empty table gives an empty result.
+   node has met all others and leaves; then in each round some nodes of every such bucket meet all its others across
+   components, as many as keep a round's comparisons in proportion to its rows (AT_ONCE_A_ROW), and leave. A pair is compared
+   in the first bucket it shares only. Large buckets are spread over tasks.
+
+No bucket is expanded into all its pairs at once, none is capped, and every candidate pair across components that step 2
+doesn't rule out is confirmed.
+
+Defined cases: null and empty texts, or texts without words, have an empty set and no links; a text of fewer words than a
+shingle has all of them as its only shingle; a text of any length is hashed whole; a doc_id that comes with several texts
+is classed text by text, but sets whose smallest doc_id is the same one share a class; repeated rows share a class; doc_id
+must be an integer, rows with a null one take no part in links and are kept; an empty table gives an empty result; only
+the columns of the result are returned, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, packed, slices, stored, table, tidied
@@ -36,6 +42,8 @@ from .hashing import LOWER, Substrings, mix, words
 from .id_filter import keep_ids
 
 PERCENT = 80
+#: Words in a shingle.
+WORDS = 5
 #: Sub-keys in each of the two collections, and minhashes in a sub-key.
 SUBKEYS, HASHES = 8, 2
 N_HASHES = 2 * SUBKEYS * HASHES
@@ -43,27 +51,37 @@ N_HASHES = 2 * SUBKEYS * HASHES
 LEAST_EQUAL = 13
 #: Parity bits of a set.
 SKETCH = 512
-#: Comparisons of minhashes across components that are made at once, in all or for each row of the open buckets; beyond, buckets shrink first.
+#: Comparisons of minhashes across components in a round, in all or for each row of the open buckets: so many nodes of each bucket meet its others.
 AT_ONCE, AT_ONCE_A_ROW = 2_000_000, 500
+#: Rows of one bucket, or pairs with one node, that a task should get; more of them are spread.
+A_TASK = 10_000
 
 _RNG = np.random.default_rng(424243)
 _XOR = _RNG.integers(0, 1 << 63, N_HASHES, np.uint64)
 _ODD = _RNG.integers(0, 1 << 63, N_HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
-_ONE_WORD = np.uint64(0x5851F42D4C957F2D)
+_FEW_WORDS = np.uint64(0x5851F42D4C957F2D)
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
-def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-    """The sorted shingle hashes of every row of a packed text column."""
+def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int = WORDS) -> list[np.ndarray]:
+    """The sorted hashes of the shingles (size words) of every row of a packed text column; with fewer words, of all of them as one."""
     data = LOWER[data]
     rows, starts, ends = words(data, bounds)
     h = Substrings(data).hash(starts, ends)
-    pair = mix(h[:-1] ^ mix(h[1:] * _SECOND)) if len(h) else h
+    shingle = h[: max(0, len(h) - size + 1)]
+    for k in range(1, size):
+        shingle = mix(shingle ^ mix(h[k : k + len(shingle)] * _SECOND))
     first = np.searchsorted(rows, np.arange(len(bounds)), "left")
     out = []
     for i in range(len(bounds) - 1):
         a, b = first[i], first[i + 1]
-        out.append(np.unique(pair[a : b - 1]) if b - a > 1 else mix(h[a:b] ^ _ONE_WORD))
+        if b - a >= size:
+            out.append(np.unique(shingle[a : b - size + 1]))
+            continue
+        few = mix(h[a : min(a + 1, b)] ^ _FEW_WORDS)
+        for k in range(a + 1, b):
+            few = mix(few ^ mix(h[k : k + 1] * _SECOND))
+        out.append(few)
     return out
 
 
@@ -109,7 +127,7 @@ def table_keys(nodes: DataFrame) -> DataFrame:
     return placed.select("node", "place", F.expr(f"xxhash64(sub[place div {SUBKEYS}], sub[{SUBKEYS} + place % {SUBKEYS}], place)").alias("key"))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, size: int = WORDS) -> DataFrame:
     """Per row of (doc_id, text): n_shingles, two sums that identify the set, its sub-keys, and its sketch.
 
     The sketch is a byte of each minhash, in planes of bits, and then the parity bits.
@@ -118,7 +136,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                sets = shingle_sets(*packed(batch.column("text")))
+                sets = shingle_sets(*packed(batch.column("text")), size)
                 sizes = np.array([len(x) for x in sets], np.int64)
                 full = np.flatnonzero(sizes)
                 subs, sig, one, two = [None] * len(sets), [None] * len(sets), np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
@@ -161,32 +179,43 @@ def sized(rows: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
     return rows.join(nodes.select(F.col("node").alias(node), F.col("n_shingles").alias(f"n_{node}"), F.col("sig").alias(f"sig_{node}"), F.col("sub").alias(f"sub_{node}")), node)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b, n_a, n_b) of nodes whose full sets are similar enough."""
+def confirmed(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """Those of the pairs (a, b, n_a, n_b) of nodes whose full sets are similar enough.
+
+    A node's text becomes its set once for a task and node. Nodes with many pairs (at most one in A_TASK pairs) are spread:
+    their text goes to several tasks, each with a share of the pairs.
+    """
     likely = stored(pairs, "likely")
     ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id"))
     texts = stored(keep_ids(docs.where("doc_id is not null"), "doc_id", ids), "texts")
-    full = likely.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return full.mapInArrow(tidied(_confirm), "a long, b long").distinct()
+    often = likely.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > A_TASK).select("b", F.ceil(F.col("n") / A_TASK).cast("int").alias("shares"))
+    often = stored(often, "often")
+    salted = likely.join(often, "b", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("a"), F.col("shares")), F.lit(0)).cast("int")).drop("shares")
+    kept = texts.toDF("b", "text_b").join(often, "b", "left").select("b", "text_b", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias("salt"))
+    full = salted.join(texts.toDF("a", "text_a"), "a").join(kept, ["b", "salt"])
+    return full.mapInArrow(tidied(_confirm(size)), "a long, b long").distinct()
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last, kept = None, None
-    for batch in batches:
-        good = []
-        for a, b, n_a, n_b, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n_a", "n_b", "text_a", "text_b")), strict=True):
-            if last != (b, text_b):  # rows come sorted by b
-                last, kept = (b, text_b), set_of(text_b)
-            own = set_of(text_a)
-            common = len(np.intersect1d(own, kept, assume_unique=True))
-            if len(own) == n_a and len(kept) == n_b and 100 * common >= PERCENT * (n_a + n_b - common):
-                good.append((a, b))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in good], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-
-def set_of(text: str | None) -> np.ndarray:
+def _confirm(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, kept = None, None
+        for batch in batches:
+            good = []
+            for a, b, n_a, n_b, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n_a", "n_b", "text_a", "text_b")), strict=True):
+                if last != (b, text_b):  # rows come sorted by b
+                    last, kept = (b, text_b), set_of(text_b, size)
+                own = set_of(text_a, size)
+                common = len(np.intersect1d(own, kept, assume_unique=True))
+                if len(own) == n_a and len(kept) == n_b and 100 * common >= PERCENT * (n_a + n_b - common):
+                    good.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in good], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def set_of(text: str | None, size: int) -> np.ndarray:
     data = np.frombuffer((text or "").encode(), np.uint8)
-    return shingle_sets(data, np.array([0, len(data)]))[0]
+    return shingle_sets(data, np.array([0, len(data)]), size)[0]
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -211,16 +240,16 @@ def label(members: DataFrame, parts: DataFrame) -> DataFrame:
     return members.join(parts, "node", "left").select("key", "place", "node", F.coalesce("component", "node").alias("component"))
 
 
-def links_between(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def links_between(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """(node, component) for the nodes that have links."""
     keys = table_keys(nodes)
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
     members = stored(keys.join(shared, "key").select("key", "place", "node", "pivot"), "buckets")
     pairs = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     pairs = sized(sized(pairs, nodes, "a"), nodes, "b").where(alike("a", "b")).select("a", "b", "n_a", "n_b")
-    links = stored(confirmed(pairs, docs), "links")
+    links = stored(confirmed(pairs, docs, size), "links")
     parts = components(links)
-    left, found = members.where("node <> pivot").select("key", "place", "node"), True
+    left = members.where("node <> pivot").select("key", "place", "node")
     while True:
         # what a bucket still has to compare: nodes outside the component that most of its remaining nodes are in, with all others
         named = label(left, parts)
@@ -231,35 +260,40 @@ def links_between(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         work = outside.agg(F.count("*").alias("outside"), F.sum("n").alias("pairs")).first()
         if not work.outside:
             return parts
-        a = outside.select("key", "place", F.col("node").alias("a"), F.col("component").alias("c"))
-        b = named.select("key", F.col("node").alias("b"), F.col("component").alias("d"), (F.col("component") != F.col("main")).alias("out"))
-        at_once = not found or work.pairs <= max(AT_ONCE, AT_ONCE_A_ROW * named.count())
-        if not at_once:
+        shares = F.ceil(F.col("n") / A_TASK).cast("int")
+        a = outside.select("key", "place", F.col("node").alias("a"), F.col("component").alias("c"), "n")
+        b = named.select("key", F.col("node").alias("b"), F.col("component").alias("d"), (F.col("component") != F.col("main")).alias("out"), F.pmod(F.xxhash64("node"), shares).cast("int").alias("salt"))
+        rows = named.count()
+        each = max(AT_ONCE, AT_ONCE_A_ROW * rows) // rows  # nodes of a bucket that meet its others in this round
+        last = work.pairs <= max(AT_ONCE, AT_ONCE_A_ROW * rows)
+        if not last:
             # buckets take different nodes, so that a node of many buckets meets many others in one round
-            a = a.groupBy("key", "place").agg(F.min(F.struct(F.xxhash64("key", "a"), "a", "c")).alias("x")).select("key", "place", "x.a", "x.c")
+            order = Window.partitionBy("key").orderBy(F.xxhash64("key", "a"), "a")
+            a = stored(a.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= max(1, each)).drop("_rank"), "chosen")
             left = named.select("key", "place", "node").join(a.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
+        a = a.select("key", "place", "a", "c", F.explode(F.sequence(F.lit(0), shares - 1)).alias("salt"))
         a, b = sized(a, nodes, "a"), sized(b, nodes, "b")
-        once = ~F.col("out") | (F.col("a") > F.col("b")) if at_once else F.lit(True)
-        met = a.join(b, (a["key"] == b["key"]) & (F.col("c") != F.col("d")) & once & alike("a", "b") & (F.col("place") == first_shared("a", "b")))
+        # of two nodes that both take their turn, one meets the other
+        once = ~F.col("out") | (F.col("a") > F.col("b")) if last else F.lit(True)
+        met = a.join(b, (a["key"] == b["key"]) & (a["salt"] == b["salt"]) & (F.col("c") != F.col("d")) & once & alike("a", "b") & (F.col("place") == first_shared("a", "b")))
         swap = F.col("a") < F.col("b")
         pairs = met.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"), F.when(swap, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(swap, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b"))
-        more = stored(confirmed(pairs.toDF("a", "b", "n_a", "n_b").distinct(), docs), "links")
+        more = stored(confirmed(pairs.toDF("a", "b", "n_a", "n_b").distinct(), docs, size), "links")
         links = links.union(more)
-        found = more.limit(1).count() > 0
-        if found:
+        if more.limit(1).count():
             parts = components(links)
-        if at_once:
+        if last:
             return parts
         left = stored(left, "left")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest doc_id linked with it, directly or not), kept."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (the smallest doc_id linked with it, directly or not), kept. size: words in a shingle."""
     docs = bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = stored(signatures(docs), "signatures")
+    rows = stored(signatures(docs, size), "signatures")
     sets = rows.where("n_shingles > 0 and doc_id is not null").groupBy("one", "two")
     nodes = stored(sets.agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sub").alias("sub"), F.first("sig").alias("sig")), "nodes")
-    parts = links_between(nodes, docs)
+    parts = links_between(nodes, docs, size)
     own = rows.select("doc_id", "n_shingles", "one", "two").join(nodes.select("one", "two", "node"), ["one", "two"], "left")
     out = own.join(parts, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("found"))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")))
@@ -267,4 +301,4 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2)

@@ -7,14 +7,14 @@ from confabula.llm.near_dedup import components, near_duplicates, op9_near_dedup
 from .helpers import SCHEMA, frame, texts
 
 
-def shingles(text):
+def shingles(text, size):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = low.encode().split()
-    return {tuple(words)} if len(words) == 1 else set(zip(words, words[1:], strict=False))
+    return {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
 
 
-def brute(rows):
-    sets = [(i, shingles(t)) for i, t in rows]
+def brute(rows, size=2):
+    sets = [(i, shingles(t, size)) for i, t in rows]
     parent = {i: i for i, _ in sets}
 
     def root(x):
@@ -33,7 +33,8 @@ def brute(rows):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_against_all_pairs(spark, seed):
     rows = texts(seed, 150)
-    assert sorted(map(tuple, near_duplicates(frame(spark, rows)).collect())) == brute(rows)
+    assert sorted(map(tuple, near_duplicates(frame(spark, rows), size=2).collect())) == brute(rows)
+    assert sorted(map(tuple, near_duplicates(frame(spark, rows)).collect())) == brute(rows, 5)
 
 
 def test_chain_of_links_in_one_bucket(spark):
@@ -46,7 +47,15 @@ def test_chain_of_links_in_one_bucket(spark):
     order = list(range(40))
     rng.shuffle(order)
     rows = [(order[i], t) for i, t in rows]
-    assert sorted(map(tuple, near_duplicates(frame(spark, rows)).collect())) == brute(rows)
+    assert sorted(map(tuple, near_duplicates(frame(spark, rows), size=2).collect())) == brute(rows)
+
+
+def test_buckets_and_nodes_spread_over_tasks(spark, monkeypatch):
+    from confabula.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "A_TASK", 3)
+    rows = texts(5, 120)
+    assert sorted(map(tuple, near_duplicates(frame(spark, rows), size=2).collect())) == brute(rows)
 
 
 def test_rounds_with_one_node_of_each_bucket(spark, monkeypatch):
@@ -55,13 +64,13 @@ def test_rounds_with_one_node_of_each_bucket(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "AT_ONCE", 0)
     monkeypatch.setattr(near_dedup, "AT_ONCE_A_ROW", 0)
     rows = texts(4, 100)
-    assert sorted(map(tuple, near_duplicates(frame(spark, rows)).collect())) == brute(rows)
+    assert sorted(map(tuple, near_duplicates(frame(spark, rows), size=2).collect())) == brute(rows)
 
 
 def test_nulls_repeated_rows_and_empty_table(spark):
     text = "a b c d e f g h i j"
     rows = [(5, text), (5, text), (None, text), (9, text), (10, None), (11, "")]
-    got = sorted(map(tuple, near_duplicates(frame(spark, rows)).collect()), key=str)
+    got = sorted(map(tuple, near_duplicates(frame(spark, rows), size=2).collect()), key=str)
     assert got == sorted([(5, 9, 5, True)] * 2 + [(None, 9, None, True), (9, 9, 5, False), (10, 0, 10, True), (11, 0, 11, True)], key=str)
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -73,7 +82,7 @@ def test_components_of_long_path(spark):
 
 
 def test_signature_of_equal_sets_is_equal(spark):
-    rows = signatures(frame(spark, [(1, "A b c a b"), (2, "a  B\nc A b")]).select("doc_id", "text")).collect()
+    rows = signatures(frame(spark, [(1, "A b c a b"), (2, "a  B\nc A b")]).select("doc_id", "text"), 2).collect()
     assert rows[0][1:] == rows[1][1:] and rows[0].n_shingles == 3
 
 
