@@ -4,10 +4,10 @@ A byte is removed if a string of a given length (400 bytes by default) that cove
 are judged on the input. Repeats of a second, shorter length can be reported from the same sort.
 
 Sorting a suffix for every byte is not needed to decide this. With base the shorter length, every start p of a string of
-base bytes is given an anchor: of the next base / 2 eight-byte words the one with the least hash, the first of them if
+base bytes is given an anchor: of the next base * 2 / 3 eight-byte words the one with the least hash, the first of them if
 equal. The choice depends on nothing but the string, so equal strings have their anchors at the same distance, and starts
-that share an anchor form one range. Two equal strings therefore have anchors with the same suffix for base / 2 + 1 bytes
-at least, the prefix; it is these suffixes, about one for each base / 4 bytes, that are sorted:
+that share an anchor form one range. Two equal strings therefore have anchors with the same suffix for base / 3 + 1 bytes
+at least, the prefix; it is these suffixes, about one for each base / 3 bytes, that are sorted:
 
 1. Fingerprints of the prefix at every anchor are counted; suffixes whose fingerprint is unique can't have a partner and
    go no further (only false partners can pass, and the sort finds them out). A fingerprint that is very frequent is
@@ -84,7 +84,7 @@ class Lengths:
     @property
     def choices(self) -> int:
         """Eight-byte words among which an anchor is chosen; the rest of the base is the prefix that partners must share."""
-        return self.base // 2
+        return self.base * 2 // 3
 
     @property
     def prefix(self) -> int:
@@ -169,12 +169,13 @@ class Chunk:
         self.last = entry
 
     def coded(self) -> tuple[bytes, bytes]:
-        return np.array(self.heads, "<i4").tobytes(), b"".join(self.rest)
+        return np.array(self.heads, "<i4").tobytes(), pa.compress(b"".join(self.rest), "zstd", asbytes=True)
 
 
 def decoded(heads: bytes, rest: bytes) -> Iterator[tuple[int, bytes, int, int, int, int]]:
-    last, at = b"", 0
-    for same, more, right, starts, copies, number in np.frombuffer(heads, "<i4").reshape(-1, 6).tolist():
+    last, at, rows = b"", 0, np.frombuffer(heads, "<i4").reshape(-1, 6)
+    rest = pa.decompress(rest, int(rows[:, 1].sum()), "zstd", asbytes=True)
+    for same, more, right, starts, copies, number in rows.tolist():
         last = last[:same] + rest[at : at + more]
         at += more
         yield same, last, right, starts, copies, number
@@ -449,8 +450,8 @@ def marked_rows(docs: DataFrame, of: Lengths, hot_at: int) -> DataFrame:
     return found.agg(F.collect_set("prefix").alias("prefixes"), F.collect_set(F.when(F.col("hot"), F.col("prefix"))).alias("hot"))
 
 
-def repeated_starts(docs: DataFrame, of: Lengths, hot_at: int = HOT) -> DataFrame:
-    """docs: (rid, doc_id, text). (rid, doc_id, first, last, size) ranges of starts of strings that also start elsewhere."""
+def repeated_spans(docs: DataFrame, of: Lengths, hot_at: int = HOT) -> DataFrame:
+    """docs: (rid, doc_id, text). (rid, doc_id, spans) of the documents with strings that also start elsewhere; spans: (first, end, size)."""
     again = stored(marked_rows(docs, of, hot_at), "prefixes")
     total = again.agg(F.sum(F.size("prefixes")).alias("n")).first().n or 0
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -467,10 +468,51 @@ def repeated_starts(docs: DataFrame, of: Lengths, hot_at: int = HOT) -> DataFram
     often = hot.where("keys is not null AND entries is null").select(F.col("size").cast("long").alias("size"), F.explode("keys").alias("key"), F.lit(2).alias("n"))
     counts = once.select("size", "key", F.lit(1).alias("n")).unionByName(often).groupBy("size", "key").agg(F.sum("n").alias("n")).where("n > 1")
     met = once.join(counts.select("size", "key"), ["size", "key"]).select("run", "entry", "first", F.col("first").alias("last"), "size")
-    found = found.union(local).union(met)
-    places = runs.where("rid is not null").select("run", "rid", "doc_id", F.explode(F.arrays_zip("entries", "firsts")).alias("x"))
-    places = places.select("run", F.col("x.entries").cast("long").alias("entry"), "rid", "doc_id", F.col("x.firsts").alias("low"))
-    return places.join(found, ["run", "entry"]).select("rid", "doc_id", (F.col("low") + F.col("first")).alias("first"), (F.col("low") + F.col("last")).alias("last"), F.col("size").cast("int").alias("size"))
+    found = found.union(local).union(met).withColumn("kind", F.lit(0))
+    places = runs.where("rid is not null").select("run", "rid", "doc_id", "entries", "firsts", F.lit(1).alias("kind"))
+    both = found.unionByName(places, allowMissingColumns=True).repartition(tasks, "run").sortWithinPartitions("run", "kind")
+    spans = both.select("run", "kind", "entry", "first", "last", "size", "rid", "doc_id", "entries", "firsts").mapInArrow(tidied(_placed), "rid long, doc_id long, spans array<struct<first: long, end: long, size: int>>")
+    return spans.groupBy("rid", "doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+_SIZED = pa.struct([("first", pa.int64()), ("end", pa.int64()), ("size", pa.int32())])
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by run, those with repeated starts before the documents of the run -> the byte spans covered in each document."""
+    now, parts = None, []
+    entry = first = last = size = np.zeros(0, np.int64)
+    for batch in batches:
+        runs, kinds = batch.column("run").to_numpy(), batch.column("kind").to_numpy()
+        edges = np.flatnonzero((runs[1:] != runs[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(runs)], strict=True):
+            if runs[a] != now:
+                now, parts = runs[a], []
+                entry = first = last = size = np.zeros(0, np.int64)
+            own = batch.slice(a, b - a)
+            if kinds[a] == 0:
+                parts.append([own.column(c).to_numpy() for c in ("entry", "first", "last", "size")])
+                continue
+            if parts:
+                entry, first, last, size = (np.concatenate(x) for x in zip(*([entry, first, last, size], *parts), strict=True))
+                order, parts = np.argsort(entry, kind="stable"), []
+                entry, first, last, size = entry[order], first[order], last[order], size[order]
+            lists = own.column("entries")
+            doc = np.repeat(np.arange(len(own)), np.diff(np.asarray(lists.offsets)))
+            no, low = np.asarray(lists.flatten()).astype(np.int64), np.asarray(own.column("firsts").flatten())
+            begin, end = np.searchsorted(entry, no, "left"), np.searchsorted(entry, no, "right")
+            n = end - begin
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
+            doc, x, y, z = np.repeat(doc, n), np.repeat(low, n) + first[at], np.repeat(low, n) + last[at] + size[at], size[at]
+            order = np.lexsort((x, z, doc))
+            doc, x, y, z = doc[order], x[order], y[order], z[order]
+            group = np.concatenate([[0], np.cumsum((doc[1:] != doc[:-1]) | (z[1:] != z[:-1]))]) if len(doc) else doc
+            reach = np.maximum.accumulate(y + (group << 40)) if len(doc) else y
+            new = np.flatnonzero(np.concatenate([[True], x[1:] + (group[1:] << 40) > reach[:-1]])) if len(doc) else doc
+            till = reach[np.concatenate([new[1:] - 1, [len(doc) - 1]])] - (group[new] << 40) if len(doc) else y
+            spans = pa.StructArray.from_arrays([pa.array(x[new]), pa.array(till), pa.array(z[new].astype(np.int32))], fields=list(_SIZED))
+            bounds = np.searchsorted(doc[new], np.arange(len(own) + 1))
+            yield pa.RecordBatch.from_arrays([own.column("rid"), own.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), spans)], ["rid", "doc_id", "spans"])
 
 
 _RESULT = ["n_bytes", "n_removed", "n_spans", "spans"]
@@ -480,10 +522,10 @@ RESULT = "n_bytes long, n_removed long, n_spans long, spans array<struct<first:
 ALSO = ["n_repeated", "n_passages"]
 
 
-def covered(starts: list[dict], size: int) -> list[dict]:
-    """The maximal byte ranges that strings of the size cover, of ranges of starts."""
+def covered(found: list[dict], size: int) -> list[dict]:
+    """The maximal byte ranges that strings of the size cover."""
     spans: list[dict] = []
-    for a, b in sorted((s["first"], s["last"] + size) for s in starts if s["size"] == size):
+    for a, b in sorted((s["first"], s["end"]) for s in found if s["size"] == size):
         if spans and a <= spans[-1]["end"]:
             spans[-1]["end"] = max(b, spans[-1]["end"])
         else:
@@ -499,8 +541,8 @@ def _apply(names: list[str], text: str, as_text: bool, of: Lengths):
         for whole in batches:
             for batch in slices(whole, text, 4 << 20):
                 rows = []
-                starts = batch.column("_starts").to_pylist() if "_starts" in batch.schema.names else [None] * batch.num_rows
-                for x, found in zip(utf8(batch.column(text)), starts, strict=True):
+                given = batch.column("_spans").to_pylist() if "_spans" in batch.schema.names else [None] * batch.num_rows
+                for x, found in zip(utf8(batch.column(text)), given, strict=True):
                     x = x or b""
                     spans, *others = [covered(found or [], size) for size in of.sizes]
                     edges = [0, *(e for s in spans for e in (s["first"], s["end"])), len(x)]
@@ -522,19 +564,18 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if span < 32 or (also is not None and not 32 <= also < span):
         raise ValueError("span is at least 32, also less than span and at least 32")
     of = Lengths((span,) if also is None else (span, also))
-    docs = bounded_batches(docs).drop(*[c for c in (*_RESULT, *ALSO[: 2 * len(of.sizes) - 2], "kept_bytes", "kept_text", "_rid", "_id", "_other", "_starts") if c not in (doc_id, text)])
+    docs = bounded_batches(docs).drop(*[c for c in (*_RESULT, *ALSO[: 2 * len(of.sizes) - 2], "kept_bytes", "kept_text", "_rid", "_id", "_other", "_spans") if c not in (doc_id, text)])
     names = docs.columns
     rows = docs.withColumn("_rid", row_id(doc_id, text)).withColumn("_id", F.col(doc_id).cast("long"))
     long = rows.where(F.octet_length(text) >= of.base).select(F.col("_rid").alias("rid"), F.col("_id").alias("doc_id"), F.col(text).alias("text"))
-    spans = repeated_starts(long, of, hot_at).groupBy("rid", "doc_id").agg(F.collect_set(F.struct("first", "last", "size")).alias("_starts"))
-    spans = stored(spans.select(F.col("rid").alias("_rid"), F.col("doc_id").alias("_id"), "_starts"), "repeats")
+    spans = stored(repeated_spans(long, of, hot_at).toDF("_rid", "_id", "_spans"), "repeats")
     bitmap = id_bitmap(spans, "_rid")
     types = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [RESULT] + [f"{c} long" for c in ALSO[: 2 * len(of.sizes) - 2]] + ["kept_text string" if as_text else "kept_bytes binary"])
     maybe = keep_ids(rows, "_rid", spans, bitmap, exact=False)
     joined = maybe.join(spans.withColumnRenamed("_id", "_other"), (maybe["_rid"] == spans["_rid"]) & F.col("_id").eqNullSafe(F.col("_other")), "left")
     apply = _apply(names, text, as_text, of)
     never = keep_ids(rows.select(*names, "_rid"), "_rid", spans, bitmap, exact=False, wanted=False, then=apply, schema=types)
-    return joined.select(*names, "_starts").mapInArrow(tidied(apply), types).union(never)
+    return joined.select(*names, "_spans").mapInArrow(tidied(apply), types).union(never)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
