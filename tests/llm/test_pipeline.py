@@ -1,25 +1,15 @@
 import corpus_pipeline
 from confabula.llm.quality_rules import Rules, judge
+from confabula.llm.suffix_dedup import PASSAGE
 
 from . import test_decontamination, test_near_dedup, test_packing, test_suffix_dedup
 from .helpers import frame, texts
 
 
 def kept_text(rows):
-    """Brute force of the third stage: the bytes outside all strings of 400 bytes that start twice."""
-    data = {i: t.encode() for i, t in rows}
-    span, count = test_suffix_dedup.SPAN, {}
-    for x in data.values():
-        for p in range(len(x) - span + 1):
-            count[x[p : p + span]] = count.get(x[p : p + span], 0) + 1
-    out = []
-    for i, x in data.items():
-        hit = bytearray(len(x))
-        for p in range(len(x) - span + 1):
-            if count[x[p : p + span]] > 1:
-                hit[p : p + span] = b"\1" * span
-        out.append((i, bytes(b for b, h in zip(x, hit, strict=True) if not h).decode(errors="ignore")))
-    return out
+    """Brute force of the third stage: the bytes outside all strings of PASSAGE bytes that start twice."""
+    marked = test_suffix_dedup.marks(rows, PASSAGE)
+    return [(i, bytes(b for b, h in zip(x, hit, strict=False) if not h).decode(errors="ignore")) for (i, _), (x, hit) in zip(rows, marked, strict=True)]
 
 
 def brute(rows, items):
@@ -29,7 +19,7 @@ def brute(rows, items):
         if found["kept"]:
             step.append((i, t if found["clean_text"] is None else found["clean_text"]))
     yield step
-    kept = {r[0] for r in test_near_dedup.brute(step) if r[3]}
+    kept = {r[0] for r in test_near_dedup.brute(step, 5) if r[3]}
     step = [(i, t) for i, t in step if i in kept]
     yield step
     step = kept_text(step)
@@ -94,3 +84,18 @@ def test_texts_of_one_id_are_classes_of_their_own(spark, sf_dir):
     one, other = (" ".join(f"{c}{k}" for k in range(100)) for c in "ab")
     out = corpus_pipeline.near_dedup(spark, frame(spark, [(5, one), (5, other), (6, other)]), sf_dir)
     assert sorted((r.doc_id, r.text) for r in out.collect()) == [(5, one), (5, other)]
+
+
+def test_passages_of_fifty_words_go_and_nulls_and_other_columns_do_no_harm(spark, sf_dir):
+    passage = " ".join(f"passage{k}" for k in range(51))
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(80)) + " " + passage + f" end{k}") for k in range(4)]
+    docs = frame(spark, [*rows, (None, rows[0][1] + " more"), (9, None), (10, "")]).selectExpr("*", "1 AS kept", "'x' AS spans", "2 AS _row")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        left = docs.collect()
+    assert sorted(r.doc_id for r in left if r.doc_id is not None) == [0, 1, 2, 3]
+    assert not any("passage25" in r.text for r in left) and all(f"w{r.doc_id}x70" in r.text for r in left if r.doc_id)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), sf_dir).count() == 0, name
