@@ -1,12 +1,18 @@
 """A training-corpus pipeline of five stages; each is written as Parquet and read again as the next one's documents.
 
 1. quality rules: lines that fail are removed from the text, documents that fail go;
-2. MinHash near-dedup: one row of every class stays (rows without a doc_id have no class and stay);
-3. suffix-array dedup: bytes of repeated 400-byte strings are removed from the texts (a text may become empty);
+2. MinHash near-dedup over shingles of five words: one row of every class stays, decided by row, so that a doc_id with
+   several texts loses only those that another row stands for (rows without a doc_id have no class and stay);
+3. suffix-array dedup: passages of about fifty words (240 bytes) that repeat are removed from the texts wherever they are,
+   so no copy stays (a text may become empty);
 4. benchmark decontamination: documents with a benchmark window go;
 5. best-fit packing: the pieces of the documents left, with their places in the sequences.
 
 All but the last return the columns of documents, n_chars being the length of the text as it is then.
+
+Defined cases: null and empty texts fail the quality rules; so do texts of under fifty words. Of equal rows one stays. Texts
+of any length are worked through whole. doc_id must be an integer and may be null. An empty table gives an empty result.
+Columns beside those of documents are left out, so that their names can't clash with an operator's result.
 """
 
 from __future__ import annotations
@@ -20,24 +26,31 @@ from confabula.llm.id_filter import drop_ids
 from confabula.llm.near_dedup import near_duplicates
 from confabula.llm.packing import pack
 from confabula.llm.quality_rules import apply_rules
-from confabula.llm.suffix_dedup import remove_repeats
+from confabula.llm.suffix_dedup import PASSAGE, remove_repeats
 from confabula.llm.tokenization import vocabulary
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ROW = "_row"
 
 
+def _own(docs: DataFrame) -> DataFrame:
+    return docs.select([c for c in COLUMNS if c in docs.columns])
+
+
 def _with_text(docs: DataFrame, names: list[str], text) -> DataFrame:
     changed = docs.withColumn("text", text)
-    return changed.withColumn("n_chars", F.length("text").cast("long")).select(names)
+    return (changed.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else changed).select(names)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = _own(docs)
     judged = apply_rules(docs, clean=True).where("kept")
     return _with_text(judged, docs.columns, F.coalesce("clean_text", "text"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of a class stays, the first by doc_id and text. Rows are numbered if a doc_id comes more than once, with one text or several."""
+    docs = _own(docs)
     ids = docs.where("doc_id is not null")
     if not ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         return drop_ids(docs, "doc_id", near_duplicates(docs).where("not kept").select("doc_id"))
@@ -50,10 +63,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_text(remove_repeats(docs, as_text=True), docs.columns, F.col("kept_text"))
+    docs = _own(docs)
+    return _with_text(remove_repeats(docs, as_text=True, span=PASSAGE), docs.columns, F.col("kept_text"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = _own(docs)
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(docs.columns)
 
 
