@@ -29,14 +29,28 @@ def prompt_budget(context: Column, output: Column, default: int = 128_000, reser
     return F.greatest(F.coalesce(F.nullif(context, F.lit(0)), F.lit(default)) - F.coalesce(F.nullif(output, F.lit(0)), F.lit(reserve)), F.lit(least)).cast("long")
 
 
+_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
+
+
 def tokens(text: Column, least: int = 2) -> Column:
-    """Lower-case runs of letters and digits of at least that length."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda x: F.length(x) >= least)
+    """Lower-case runs of letters and digits of at least that length; runs of scripts without spaces as overlapping pairs."""
+    runs = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda x: F.length(x) >= least)
+    pairs = lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substr(x, i, F.lit(2)))
+    return F.flatten(F.transform(runs, lambda x: F.when(x.rlike(_UNSPACED), pairs(x)).otherwise(F.array(x))))
+
+
+def stable_id(prefix: str, *parts: Column) -> Column:
+    """An id with a prefix that the same parts always give again."""
+    return F.concat(F.lit(prefix), F.md5(F.concat_ws("\0", *[p.cast("string") for p in parts]).cast("binary")))
+
+
+def iso_time(time: Column) -> Column:
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss")
 
 
 def clean_title(text: Column) -> Column:
     """Without white space and quotes around it; null if nothing is left."""
-    return F.nullif(F.regexp_replace(F.trim(text), "^[\"']+|[\"']+$", ""), F.lit(""))
+    return F.nullif(F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), "^[\"']+|[\"']+$", ""), F.lit(""))
 
 
 def title_or_default(text: Column, default: str = "New Chat") -> Column:

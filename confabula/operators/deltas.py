@@ -64,17 +64,53 @@ def unbalanced(log: DataFrame) -> DataFrame:
     return log.groupBy("message_id", "step").agg(ends("reasoning").alias("reasoning"), ends("text").alias("text")).where("reasoning <> 0 OR text <> 0")
 
 
-def frames(log: DataFrame) -> DataFrame:
-    """Each event as a 'data: <json>' line between the envelope's lines, ordered by (message_id, n)."""
-    body = F.to_json(F.struct(F.col("event").alias("type"), F.concat(F.substring("event", 1, 1), F.lit("_"), F.col("step").cast("string")).alias("id"), "delta"))
-    known = F.col("event").isin("reasoning-start", "reasoning-delta", "reasoning-end", "text-start", "text-delta", "text-end")
-    line = F.when(known, F.concat(F.lit("data: "), body, F.lit("\n\n"))).otherwise(F.raise_error(F.concat(F.lit("unknown event "), "event")).cast("string"))
+EVENTS = ("start-step", "reasoning-start", "reasoning-delta", "reasoning-end", "text-start", "text-delta", "text-end", "tool-input-start", "tool-input-available", "tool-output-available", "finish-step")
+
+
+def step_log(log: DataFrame, steps: DataFrame, calls: DataFrame) -> DataFrame:
+    """The whole event log of messages: each step begins with start-step, then come its deltas, the two input events of every
+    tool call, the outputs in the order of the calls, and finish-step.
+
+    log: from lifecycle(); steps: (message_id, step); calls: (message_id, step, index, call_id, tool, input, output), input JSON.
+    """
+    none, far = F.lit(None).cast("string"), 1 << 40
+    empty = {c: none.alias(c) for c in ("delta", "call_id", "tool", "input", "output")}
+
+    def rows(df: DataFrame, seq: Column, sub: int, event: str, *filled: str) -> DataFrame:
+        return df.select("message_id", "step", seq.cast("long").alias("seq"), F.lit(sub).alias("sub"), F.lit(event).alias("event"), *[F.col(c) if c in filled else x for c, x in empty.items()])
+
+    at = F.col("index").cast("long")
+    out = rows(steps, F.lit(-1), 0, "start-step").unionByName(rows(steps, F.lit(4 * far), 0, "finish-step"))
+    out = out.unionByName(log.select("message_id", "step", "seq", "sub", "event", "delta", *[x for c, x in empty.items() if c != "delta"]))
+    out = out.unionByName(rows(calls, at + far, 0, "tool-input-start", "call_id", "tool")).unionByName(rows(calls, at + far, 1, "tool-input-available", "call_id", "tool", "input"))
+    return out.unionByName(rows(calls, at + 2 * far, 0, "tool-output-available", "call_id", "output"))
+
+
+def frames(log: DataFrame, ends: DataFrame) -> DataFrame:
+    """Each event as a 'data: <json>' line between the envelope's lines, ordered by (message_id, n); an unknown event is an error.
+
+    log: from step_log(); ends: (message_id, status, error), one row a message, with or without events. status: finished;
+    aborted (the user cancelled); failed (error is the reason); refused (a business error in mid-stream: the text goes out as
+    a raw line, and the envelope finishes).
+    """
+    kind = F.col("event")
+    id_of = F.when(kind.startswith("text-") | kind.startswith("reasoning-"), F.concat(F.substring("event", 1, 1), F.lit("_"), F.col("step").cast("string")))
+    tool = F.when(kind.startswith("tool-input"), F.col("tool"))
+    body = F.to_json(F.struct(kind.alias("type"), id_of.alias("id"), "delta", F.col("call_id").alias("toolCallId"), tool.alias("toolName"), F.try_parse_json("input").alias("input"), "output"))
+    line = F.when(kind.isin(*EVENTS), F.concat(F.lit("data: "), body, F.lit("\n\n"))).otherwise(F.raise_error(F.concat(F.lit("unknown event "), "event")).cast("string"))
     n = F.row_number().over(Window.partitionBy("message_id").orderBy("step", "seq", "sub")).cast("long")
-    ids = log.groupBy("message_id").agg(F.count("*").alias("last"))
-    head = ids.select("message_id", F.lit(0).cast("long").alias("n"), F.lit('data: {"type":"start"}\n\n').alias("frame"))
-    tail = ids.select("message_id", (F.col("last") + 1).alias("n"), F.lit('data: {"type":"finish"}\n\n').alias("frame"))
-    done = ids.select("message_id", (F.col("last") + 2).alias("n"), F.lit("data: [DONE]\n\n").alias("frame"))
-    return head.union(log.select("message_id", n.alias("n"), line.alias("frame"))).union(tail).union(done)
+    data = lambda *c: F.concat(F.lit("data: "), F.to_json(F.struct(*c)), F.lit("\n\n"))
+    counted = ends.join(log.groupBy("message_id").agg(F.count("*").alias("last")), "message_id", "left").withColumn("last", F.coalesce("last", F.lit(0)))
+    head = ends.select("message_id", F.lit(0).cast("long").alias("n"), data(F.lit("start").alias("type"), F.concat(F.lit("msg_"), F.col("message_id").cast("string")).alias("messageId")).alias("frame"))
+    raw = counted.where("status = 'refused'").select("message_id", (F.col("last") + 1).alias("n"), F.concat(F.lit("\n[System Error]: "), F.coalesce("error", F.lit(""))).alias("frame"))
+    closing = (
+        F.when(F.col("status") == "aborted", data(F.lit("abort").alias("type"), F.lit("user_cancelled").alias("reason")))
+        .when(F.col("status") == "failed", data(F.lit("error").alias("type"), F.coalesce("error", F.lit("")).alias("errorText")))
+        .otherwise(data(F.lit("finish").alias("type")))
+    )
+    tail = counted.select("message_id", (F.col("last") + 2).alias("n"), closing.alias("frame"))
+    done = counted.select("message_id", (F.col("last") + 3).alias("n"), F.lit("data: [DONE]\n\n").alias("frame"))
+    return head.union(log.select("message_id", n.alias("n"), line.alias("frame"))).union(raw).union(tail).union(done)
 
 
 def exhausted(steps: DataFrame, most: int = MAX_STEPS) -> DataFrame:

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.text import cosine
 
 
-def recall(queries: DataFrame, memories: DataFrame, limit: int = 10, threshold: float | None = None, scorer=cosine) -> DataFrame:
+def recall(queries: DataFrame, memories: DataFrame, limit: int = 10, threshold: float | None = None, scorer=cosine, shares: int = 8) -> DataFrame:
     """queries: (query_id, user_id, vector). The nearest memories of the same user, by an exact score; equal scores by id.
 
-    Work is split by user_id, so a user's memories are only compared with that user's queries; the rank is limited within
-    each task before anything is shuffled for it.
+    Work is split by user_id, and a user's memories into shares by their id, so that one user's aren't all in one task; the
+    queries, which are few, go to every share. The rank is limited within each task before anything is shuffled for it.
     """
-    joined = queries.join(memories, "user_id").withColumn("score", F.round(scorer(F.col("vector"), F.col("embedding")), 6))
+    salted = queries.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).join(memories.withColumn("_share", F.pmod(F.xxhash64("id"), F.lit(shares)).cast("int")), ["user_id", "_share"])
+    joined = salted.withColumn("score", F.round(scorer(F.col("vector"), F.col("embedding")), 6))
     if threshold is not None:
         joined = joined.where(F.col("score") >= threshold)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))).cast("long")
@@ -34,3 +35,8 @@ def forget(memories: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFra
 
 def forget_user(memories: DataFrame, user: Column) -> DataFrame:
     return memories.where(F.col("user_id") != user)
+
+
+def listing(memories: DataFrame) -> DataFrame:
+    """Every memory with the fields that clients see; absent ones are empty."""
+    return memories.select("id", "user_id", F.coalesce("memory", F.lit("")).alias("memory"), F.coalesce("metadata", F.lit("{}")).alias("metadata"))

@@ -45,28 +45,40 @@ def ui_groups(messages: DataFrame) -> DataFrame:
     return shown.groupBy("session_id", "turn_no", (F.col("role") == "user").alias("is_user")).agg(F.count("*").alias("n_parts"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
 
+_PART = "array<struct<kind: string, text: string, call_id: string, input: string>>"
+
+
+def _part(kind: Column, text: Column, call: Column | None = None, arguments: Column | None = None) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(kind.alias("kind"), text.alias("text"), (none if call is None else call).alias("call_id"), (none if arguments is None else arguments).alias("input"))
+
+
 def ui_messages(messages: DataFrame) -> DataFrame:
-    """session_id, turn_no, role, parts in order. Needs reasoning_content, tool_calls, tool_call_id besides.
+    """session_id, turn_no, role, first_pos, parts in order. Needs reasoning_content, tool_calls (id, name, arguments) and tool_call_id.
 
-    A user row has a text part. Assistant rows give reasoning, text and tool parts in that order; a tool part has the output
-    of the last tool row of its group with that call id, or an empty one.
+    A user row is a message of its own. The other rows between two user rows make one message: each assistant row gives a
+    step-start part, then reasoning, tool calls and text, where it has them. A tool part is named by its tool; its text is the
+    output of the last tool row of the group with that call id, or empty, its input the arguments, {} if they aren't JSON.
+    Groups without an assistant row give no message. One session's group is sorted in one task.
     """
     shown = turns(messages.where("role <> 'system'")).withColumn("is_user", F.col("role") == "user")
-    part = "struct<kind: string, text: string, call_id: string, tool: string, input: string>"
+    none = F.expr(f"cast(array() as {_PART})")
 
-    def one(kind: str, text: Column) -> Column:
-        made = F.struct(F.lit(kind).alias("kind"), text.alias("text"), F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("string").alias("tool"), F.lit(None).cast("string").alias("input"))
-        return F.when(F.coalesce(text, F.lit("")) != "", F.array(made)).otherwise(F.array().cast(f"array<{part}>"))
+    def text(kind: str, value: str) -> Column:
+        return F.when(F.coalesce(value, F.lit("")) != "", F.array(_part(F.lit(kind), F.col(value)))).otherwise(none)
 
-    tools = F.transform(F.coalesce("tool_calls", F.array().cast("array<struct<id: string, name: string, arguments: string>>")), lambda c: F.struct(F.lit("tool").alias("kind"), F.lit(None).cast("string").alias("text"), c["id"].alias("call_id"), c["name"].alias("tool"), c["arguments"].alias("input")))
-    made = F.when(F.col("role") == "user", one("text", F.col("content"))).when(F.col("role") == "assistant", F.concat(one("reasoning", F.col("reasoning_content")), one("text", F.col("content")), tools))
-    result = F.when(F.col("role") == "tool", F.struct("pos", F.col("tool_call_id").alias("id"), F.col("content").alias("output")))
+    arguments = lambda c: F.when(F.try_parse_json(c).isNotNull(), c).otherwise("{}")
+    calls = F.coalesce("tool_calls", F.expr("cast(array() as array<struct<id: string, name: string, arguments: string>>)"))
+    tools = F.transform(calls, lambda c: _part(F.concat(F.lit("tool-"), c["name"]), F.lit(None).cast("string"), F.coalesce(c["id"], F.lit("")), arguments(c["arguments"])))
+    start = F.array(_part(F.lit("step-start"), F.lit(None).cast("string")))
+    made = F.when(F.col("role") == "user", text("text", "content")).when(F.col("role") == "assistant", F.concat(start, text("reasoning", "reasoning_content"), tools, text("text", "content")))
+    result = F.when((F.col("role") == "tool") & (F.coalesce("tool_call_id", F.lit("")) != ""), F.struct("pos", F.col("tool_call_id").alias("id"), F.coalesce("content", F.lit("")).alias("output")))
     groups = shown.groupBy("session_id", "turn_no", "is_user").agg(
-        F.array_sort(F.collect_list(F.when(made.isNotNull(), F.struct("pos", made.alias("parts"))))).alias("rows"), F.array_sort(F.collect_list(result)).alias("results")
+        F.min("pos").alias("first_pos"), F.array_sort(F.collect_list(F.when(made.isNotNull(), F.struct("pos", made.alias("parts"))))).alias("rows"), F.array_sort(F.collect_list(result)).alias("results")
     )
-    output = lambda c: F.coalesce(F.element_at(F.filter("results", lambda r: r["id"] == c), -1)["output"], F.lit(""))
-    parts = F.transform(F.flatten(F.transform("rows", lambda r: r["parts"])), lambda p: F.when(p["kind"] == "tool", p.withField("text", output(p["call_id"]))).otherwise(p))
-    return groups.where(F.size("rows") > 0).select("session_id", "turn_no", F.when(F.col("is_user"), "user").otherwise("assistant").alias("role"), parts.alias("parts"))
+    output = lambda c: F.coalesce(F.try_element_at(F.filter("results", lambda r: r["id"] == c), F.lit(-1))["output"], F.lit(""))
+    parts = F.transform(F.flatten(F.transform("rows", lambda r: r["parts"])), lambda p: F.when(p["kind"].startswith("tool-"), p.withField("text", output(p["call_id"]))).otherwise(p))
+    return groups.where(F.size("rows") > 0).select("session_id", "turn_no", F.when(F.col("is_user"), "user").otherwise("assistant").alias("role"), "first_pos", parts.alias("parts"))
 
 
 def context_window(messages: DataFrame, budget: Column | int, low: float = 0.5, high: float = 0.8) -> DataFrame:
@@ -123,7 +135,46 @@ def prompt_sections(messages: DataFrame, summaries: DataFrame, facts: DataFrame,
     return head.union(summary).union(history)
 
 
-def llm_row(messages: DataFrame) -> Column:
-    """A message as JSON for a model: role and content, and the other keys only where they have a value."""
+def llm_row() -> Column:
+    """A message as JSON for a model: role and content, and tool_calls, tool_call_id and name only where they have a value."""
     keep = lambda c: F.nullif(F.col(c), F.lit(""))
-    return F.to_json(F.struct("role", F.coalesce("content", F.lit("")).alias("content"), keep("tool_call_id").alias("tool_call_id"), keep("name").alias("name")))
+    calls = F.when(F.size("tool_calls") > 0, F.col("tool_calls"))
+    return F.to_json(F.struct("role", F.coalesce("content", F.lit("")).alias("content"), calls.alias("tool_calls"), keep("tool_call_id").alias("tool_call_id"), keep("name").alias("name")))
+
+
+def after_summary(messages: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Messages newer than their session's summary (id, summary_updated_at); all where there is no summary yet."""
+    at = sessions.select(F.col("id").alias("session_id"), "summary_updated_at")
+    return messages.join(at, "session_id").where("summary_updated_at IS NULL OR created_at > summary_updated_at").drop("summary_updated_at")
+
+
+def summary_input(window: DataFrame, summaries: DataFrame) -> DataFrame:
+    """(session_id, prompt) of sessions that need compressing: the old summary, if any, and the transcript of what is to be compressed."""
+    old = summaries.select("session_id", F.nullif("summary", F.lit("")).alias("summary"))
+    due = transcript(window.where("needs_compress AND bucket = 'compress'")).join(old, "session_id", "left")
+    return due.select("session_id", F.concat_ws("\n\n", F.concat(F.lit("Summary so far:\n"), "summary"), F.concat(F.lit("New messages:\n"), "transcript")).alias("prompt"))
+
+
+def summarised(window: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """results: (session_id, summary) from a model. The summaries to store, without blank ones, and what stays in those sessions' hot lists."""
+    new = results.where("trim(coalesce(summary, '')) <> ''").select("session_id", "summary")
+    return new, window.where("bucket = 'keep'").join(new.select("session_id"), "session_id", "left_semi")
+
+
+def turn_rows(user: DataFrame, steps: DataFrame, answer: DataFrame) -> DataFrame:
+    """The rows of a turn in their order: the user's, those of its steps, the answer. All: (session_id, turn, pos, content)."""
+    named = [x.withColumn("part", F.lit(i)) for i, x in enumerate((user, steps, answer))]
+    order = F.row_number().over(Window.partitionBy("session_id", "turn").orderBy("part", "pos")).cast("long")
+    return named[0].unionByName(named[1]).unionByName(named[2]).withColumn("place", order).drop("part")
+
+
+def added(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What a loop appended: the rows of a session behind as many as it had. after: (session_id, pos, …)."""
+    had = before.groupBy("session_id").agg(F.count("*").alias("_had"))
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("pos"))
+    return after.withColumn("_place", place).join(had, "session_id", "left").where(F.col("_place") > F.coalesce("_had", F.lit(0))).drop("_place", "_had")
+
+
+def active_facts(states: Column) -> Column:
+    """The values of an array of (value, disabled) that aren't disabled and not empty."""
+    return F.transform(F.filter(states, lambda x: ~F.coalesce(x["disabled"], F.lit(False)) & (F.coalesce(x["value"], F.lit("")) != "")), lambda x: x["value"])

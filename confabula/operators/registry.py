@@ -117,11 +117,57 @@ def delete_providers(providers: DataFrame, request: DataFrame, mappings: DataFra
 
 
 def delete_models(models: DataFrame, mappings: DataFrame, request: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(models left, mappings left): a model's mappings go with it."""
+    """(models left, mappings left): a model's mappings go with it. A request with a user_id counts only for that owner's models."""
     gone = request.select("model_id")
+    if "user_id" in request.columns:
+        owned = models.select(F.col("id").alias("model_id"), F.col("owner_user_id").alias("user_id"))
+        gone = request.join(owned, request["model_id"].eqNullSafe(owned["model_id"]) & request["user_id"].eqNullSafe(owned["user_id"]), "left_semi").select("model_id")
     return models.join(gone.withColumnRenamed("model_id", "id"), "id", "left_anti"), mappings.join(gone, "model_id", "left_anti")
 
 
 def preference_violations(mappings: DataFrame) -> DataFrame:
     """Models with more than one mapping that is both preferred and active."""
     return mappings.where("is_preferred AND is_active").groupBy("model_id").agg(F.count("*").alias("n_preferred")).where("n_preferred > 1")
+
+
+def listed(rows: DataFrame, owner: str = "owner_user_id") -> DataFrame:
+    """rank: each owner's rows, active first, then by last change."""
+    order = Window.partitionBy(owner).orderBy(F.desc("is_active"), F.desc_nulls_last("updated_at"), F.asc("id"))
+    return rows.withColumn("rank", F.row_number().over(order).cast("long"))
+
+
+def fingerprint(key: Column) -> Column:
+    """A digest that tells keys apart without storing them; null for no key."""
+    return F.sha2(key.cast("binary"), 256)
+
+
+def create_owned(rows: DataFrame, new: DataFrame, name: str, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Insert rows of a user (null: the system's): scope follows from the owner, rows are active, a name is taken once an owner.
+
+    A column api_key gives api_key_fingerprint as well.
+    """
+    made = new.withColumn("scope", F.when(F.col("owner_user_id").isNull(), "SYSTEM").otherwise("USER")).withColumn("is_active", F.lit(True)).withColumn("created_at", now).withColumn("updated_at", now)
+    if "api_key" in new.columns:
+        made = made.withColumn("api_key_fingerprint", fingerprint(F.col("api_key")))
+    return insert_unique(rows, made, ["scope", "owner_user_id", name], ["id"])
+
+
+def update_providers(rows: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """sparse_update of a provider's columns; a new key brings its fingerprint."""
+    changes = changes.withColumn("present", F.when(F.array_contains("present", "api_key"), F.array_append("present", F.lit("api_key_fingerprint"))).otherwise(F.col("present")))
+    return sparse_update(rows, changes.withColumn("api_key_fingerprint", fingerprint(F.col("api_key"))), "id", ["name", "api_base_url", "api_key", "type", "is_active", "api_key_fingerprint"], now)
+
+
+def bind_outcome(requests: DataFrame, models: DataFrame, providers: DataFrame, kind: str = "OPENAI_COMPATIBLE_LLM") -> DataFrame:
+    """Whether each (model_id, provider_id, user_id) may be bound: both must be the user's, and the provider of that type."""
+    mine = models.select(F.col("id").alias("model_id"), F.col("owner_user_id").alias("_m"), F.lit(True).alias("_model"))
+    theirs = providers.select(F.col("id").alias("provider_id"), F.col("owner_user_id").alias("_p"), F.col("type").alias("_type"), F.lit(True).alias("_provider"))
+    joined = requests.join(mine, "model_id", "left").join(theirs, "provider_id", "left")
+    owns = lambda c: F.col(c).eqNullSafe(F.col("user_id"))
+    outcome = (
+        F.when(F.col("_model").isNull() | ~owns("_m"), "MODEL_NOT_FOUND")
+        .when(F.col("_provider").isNull() | ~owns("_p"), "PROVIDER_NOT_FOUND")
+        .when(~F.col("_type").eqNullSafe(F.lit(kind)), "TYPE_UNSUPPORTED")
+        .otherwise("OK")
+    )
+    return joined.select("model_id", "provider_id", "user_id", outcome.alias("outcome"))

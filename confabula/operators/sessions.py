@@ -60,10 +60,16 @@ def delete(sessions: DataFrame, requests: DataFrame) -> DataFrame:
     return sessions.join(requests.select("id", "user_id"), ["id", "user_id"], "left_anti").select(sessions.columns)
 
 
-def set_summary(sessions: DataFrame, summaries: DataFrame) -> DataFrame:
-    """summaries: (id, summary). Unknown ids are ignored, an empty summary changes nothing, and updated_at stays."""
+def set_summary(sessions: DataFrame, summaries: DataFrame, now: Column | None = None) -> DataFrame:
+    """summaries: (id, summary). Unknown ids are ignored, an empty summary changes nothing, and updated_at stays.
+
+    now: also set summary_updated_at.
+    """
     new = summaries.where("coalesce(summary, '') <> ''").select("id", F.col("summary").alias("_summary"))
-    return sessions.join(new, "id", "left").withColumn("current_summary", F.coalesce("_summary", "current_summary")).select(sessions.columns)
+    joined = sessions.join(new, "id", "left").withColumn("current_summary", F.coalesce("_summary", "current_summary"))
+    if now is not None:
+        joined = joined.withColumn("summary_updated_at", F.when(F.col("_summary").isNotNull(), now).otherwise(F.col("summary_updated_at")))
+    return joined.select(sessions.columns)
 
 
 def auto_title(sessions: DataFrame, titles: DataFrame, default: str = "New Chat") -> DataFrame:

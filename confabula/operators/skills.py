@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_ignoring_case
-
 META = ["skill_id", "display_name", "enabled"]
 
 
@@ -14,30 +12,56 @@ def skill_meta(skills: DataFrame) -> DataFrame:
     return skills.where("enabled").select(META)
 
 
+#: Triggers that are compared with a text in one expression.
+TRIGGERS_AT_ONCE = 1000
+
+
 def match(queries: DataFrame, skills: DataFrame, key: str, text: str, k: int = 2) -> DataFrame:
     """The k skills with most trigger hits for each query; a trigger listed twice counts twice, an empty one never.
 
-    The catalogue is a small dimension: Spark broadcasts it under its own size threshold, and hits are counted in one pass.
+    The catalogue's distinct triggers are brought to the driver and become arrays that each text is compared with in
+    generated code, TRIGGERS_AT_ONCE to a pass; the triggers found are then joined with the skills that list them. So texts
+    aren't multiplied by skills, and no trigger is evaluated twice.
     """
-    catalogue = skills.where("enabled").select("skill_id", "triggers")
-    paired = queries.select(key, text).join(catalogue, F.exists("triggers", lambda t: contains_ignoring_case(F.col(text), t)))
-    hits = F.size(F.filter("triggers", lambda t: contains_ignoring_case(F.col(text), t)))
+    listed = skills.where("enabled").select("skill_id", F.explode("triggers").alias("trigger")).where("trigger <> ''").select("skill_id", F.lower("trigger").alias("trigger"))
+    weights = listed.groupBy("trigger", "skill_id").agg(F.count("*").alias("times"))
+    known = [r.trigger for r in listed.select("trigger").distinct().orderBy("trigger").collect()]  # the catalogue, a small dimension
+    low = queries.select(key, F.lower(text).alias("_low"))
+    found = None
+    for at in range(0, max(1, len(known)), TRIGGERS_AT_ONCE):
+        some = F.array(*map(F.lit, known[at : at + TRIGGERS_AT_ONCE])).cast("array<string>")
+        part = low.select(key, F.explode(F.filter(some, lambda t: F.contains(F.col("_low"), t))).alias("trigger"))
+        found = part if found is None else found.union(part)
+    hits = found.join(weights, "trigger").groupBy(key, "skill_id").agg(F.sum("times").alias("hits"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("hits"), F.asc("skill_id")))
-    return paired.withColumn("hits", hits.cast("long")).withColumn("rank", rank.cast("long")).where(F.col("rank") <= max(1, k)).select(key, "skill_id", "hits", "rank")
+    return hits.withColumn("rank", rank.cast("long")).where(F.col("rank") <= max(1, k)).select(key, "skill_id", "hits", "rank")
+
+
+def exposure(matches: DataFrame, key: str) -> DataFrame:
+    """Requests with a matching skill: the tools this exposes, and the skills they may load."""
+    tools = F.array(F.lit("load_skill"), F.lit("load_skill_asset"))
+    return matches.groupBy(key).agg(F.array_sort(F.collect_set("skill_id")).alias("allowed_skills")).withColumn("expose", tools)
 
 
 def visible_tools(tools: DataFrame, scopes: DataFrame) -> DataFrame:
     """tools: (tool, default_visible); scopes: (scope_id, expose, allow, deny), arrays of names, allow may be null.
 
     A tool that is hidden by default is visible only if exposed, which overrides allow and deny; any other must be
-    allowed (if there is a list) and not denied, unless exposed.
+    allowed (if there is a list) and not denied, unless exposed. Names given in a list are looked up by equality; only scopes
+    without an allow list take the tools that are visible by default, which each of them sees.
     """
-    name = F.col("tool")
-    exposed = F.array_contains("expose", name)
-    allowed = F.col("allow").isNull() | F.array_contains("allow", name)
-    return scopes.join(tools, exposed | (F.col("default_visible") & allowed & ~F.array_contains("deny", name))).select("scope_id", "tool")
+    given = scopes.select("scope_id", "deny", F.explode(F.array_union(F.coalesce("expose", F.expr("cast(array() as array<string>)")), F.coalesce("allow", F.expr("cast(array() as array<string>)")))).alias("tool"), "expose")
+    named = given.join(F.broadcast(tools), "tool")  # the tools of a registry, as many as are written
+    exposed = F.coalesce(F.array_contains("expose", F.col("tool")), F.lit(False))
+    denied = F.coalesce(F.array_contains("deny", F.col("tool")), F.lit(False))
+    named = named.where(exposed | (F.col("default_visible") & ~denied)).select("scope_id", "tool")
+    seen_by_default = [r.tool for r in tools.where("default_visible").select("tool").distinct().collect()]
+    none = F.expr("cast(array() as array<string>)")
+    left = F.array_except(F.array_except(F.array(*map(F.lit, seen_by_default)).cast("array<string>"), F.coalesce("deny", none)), F.coalesce("expose", none))
+    return named.union(scopes.where("allow IS NULL").select("scope_id", F.explode(left).alias("tool")))
 
 
 def rendered_skill(name: Column, body: Column, manifest: Column) -> Column:
-    lines = F.transform(manifest, lambda a: F.concat(F.lit("- "), a["path"], F.lit(" ("), a["kind"], F.lit(")")))
-    return F.concat_ws("\n", F.concat(F.lit("# "), name), body, F.array_join(lines, "\n"))
+    """Header, body without trailing blanks, and a line for each asset, if there are any."""
+    lines = F.transform(manifest, lambda a: F.concat(F.lit("- "), a["path"], F.lit(" ("), a["kind"], F.lit(", "), a["size_bytes"].cast("string"), F.lit(" bytes)")))
+    return F.concat_ws("\n", F.concat(F.lit("# "), name), F.regexp_replace(body, r"\s+$", ""), F.when(F.size(manifest) > 0, F.array_join(lines, "\n")))

@@ -39,42 +39,65 @@ def check_arguments(calls: DataFrame, json: str, required: list[str], types: dic
 
 
 def run_results(calls: DataFrame, tools: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Each call with its outcome: unknown tools, missing context, and errors become results; the order of calls is kept.
+    """Each call with its outcome, in the order of the calls (index): unknown tools, missing context, errors and calls that took
+    longer than their tool may become results with an error.
 
-    calls: (message_id, index, id, name, context); tools: (name, required_context, persist); outputs: (id, output, error).
+    calls: (message_id, index, id, name, context); tools: (name, required_context, persist, timeout_seconds); outputs: (id,
+    output, error, seconds). A tool whose output isn't kept has a placeholder, its own one or a fixed text.
     """
     joined = calls.join(tools.withColumn("_known", F.lit(True)), "name", "left").join(outputs, "id", "left")
     missing = ~F.forall("required_context", lambda k: F.array_contains("context", k))
-    error = F.when(F.col("_known").isNull(), F.concat(F.lit("Tool unavailable: "), "name")).when(missing, "Missing context").when(F.col("error").isNotNull(), F.col("error"))
-    placeholder = F.when(~F.coalesce("persist", F.lit(True)), F.lit("[output not kept]"))
+    error = (
+        F.when(F.col("_known").isNull(), F.concat(F.lit("Tool unavailable: "), "name"))
+        .when(missing, "Missing context")
+        .when(F.col("seconds") > F.col("timeout_seconds"), "Timeout")
+        .when(F.col("error").isNotNull(), F.col("error"))
+    )
+    own = F.col("placeholder") if "placeholder" in outputs.columns else F.lit(None).cast("string")
+    placeholder = F.when(~F.coalesce("persist", F.lit(True)), F.coalesce(own, F.lit("[output not kept]")))
     return joined.select("message_id", "index", "id", "name", F.when(error.isNull(), F.col("output")).alias("output"), error.alias("error"), placeholder.alias("placeholder"))
 
 
+def elapsed(log: DataFrame) -> DataFrame:
+    """log: (id, ts). When each call began and ended, and the seconds between."""
+    own = log.groupBy("id").agg(F.min("ts").alias("started"), F.max("ts").alias("finished"))
+    return own.withColumn("seconds", (F.col("finished").cast("timestamp").cast("double") - F.col("started").cast("timestamp").cast("double")))
+
+
 def overlay(base: DataFrame, extra: DataFrame, key: str) -> DataFrame:
     """Rows of both by key; those of extra win."""
     return base.join(extra.select(key), key, "left_anti").unionByName(extra)
 
 
-def gray_pool(instances: DataFrame, requests: DataFrame) -> DataFrame:
+def pools(instances: DataFrame, requests: DataFrame) -> DataFrame:
     """instances: (service, instance, developer, healthy, enabled); requests: (request_id, service, developer).
 
-    A tagged request gets its developer's instances if there are any, else those without a tag; missing flags mean usable.
+    (request_id, service, instances): a tagged request gets its developer's instances if there are any, else those without a
+    tag; missing flags mean usable. Instances are one sorted array for each service and tag, so requests aren't multiplied.
     """
-    usable = instances.where("coalesce(healthy, true) AND coalesce(enabled, true)").select("service", "instance", F.col("developer").alias("tag"))
-    joined = requests.join(usable, "service").where(F.col("tag").isNull() | (F.col("tag") == F.col("developer")))
-    own = F.max(F.col("tag").isNotNull()).over(Window.partitionBy("request_id"))
-    return joined.withColumn("_own", own).where(F.col("tag").isNotNull() == F.col("_own")).select("request_id", "service", "instance")
+    usable = instances.where("coalesce(healthy, true) AND coalesce(enabled, true)").groupBy("service", F.col("developer").alias("tag")).agg(F.array_sort(F.collect_set("instance")).alias("own"))
+    tagged = usable.where("tag IS NOT NULL").withColumnRenamed("tag", "developer")
+    base = usable.where("tag IS NULL").select("service", F.col("own").alias("base"))
+    joined = requests.join(tagged, ["service", "developer"], "left").join(base, "service", "left")
+    return joined.select("request_id", "service", F.coalesce("own", "base").alias("instances")).where("instances IS NOT NULL")
+
+
+def gray_pool(instances: DataFrame, requests: DataFrame) -> DataFrame:
+    """pools() with a row for each instance."""
+    return pools(instances, requests).select("request_id", "service", F.explode("instances").alias("instance"))
 
 
 def without_tried(pool: DataFrame, tried: DataFrame) -> DataFrame:
-    return pool.join(tried, ["request_id", "instance"], "left_anti")
+    """pool: from pools(). tried: (request_id, instance), the instances that a request shall not get again."""
+    seen = tried.groupBy("request_id").agg(F.collect_set("instance").alias("_tried"))
+    left = F.when(F.col("_tried").isNull(), F.col("instances")).otherwise(F.array_except("instances", "_tried"))
+    return pool.join(seen, "request_id", "left").withColumn("instances", left).where(F.size("instances") > 0).drop("_tried")
 
 
 def round_robin(pool: DataFrame, turn: Column) -> DataFrame:
     """One instance a request: its place in order is the turn modulo their number."""
-    w = Window.partitionBy("request_id")
-    ranked = pool.withColumn("_i", F.row_number().over(w.orderBy("instance")) - 1).withColumn("_n", F.count("*").over(w)).withColumn("_turn", turn)
-    return ranked.where(F.col("_i") == F.pmod("_turn", "_n")).drop("_i", "_n", "_turn")
+    at = (F.pmod(turn, F.size("instances")) + 1).cast("int")
+    return pool.select("request_id", "service", F.element_at("instances", at).alias("instance"))
 
 
 def weighted_pick(pool: DataFrame, seed: int) -> DataFrame:
@@ -101,3 +124,9 @@ def group_role(roles: Column, group: Column) -> Column:
 
 def access(user: Column, identity: Column, allowed: list[str]) -> Column:
     return F.when(user.isNull(), "NOT_LOGIN").when(~F.coalesce(identity.isin(allowed), F.lit(False)), "NO_PERMISSION").otherwise("OK")
+
+
+def group_access(roles: Column, group: Column, required: list[str] | None = None) -> Column:
+    """Whether a caller is a member of the group, with one of the roles required, if any are."""
+    role = group_role(roles, group)
+    return F.when(role == "NOT_MEMBER", "NO_PERMISSION").when(F.lit(required is None) | role.isin(required or []), "OK").otherwise("NO_PERMISSION")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chat, content, models, streams
+from . import catalogue, chat, content, models, rows, streams
 
-ALL: dict = {**chat.Q, **models.Q, **content.Q, **streams.Q}
+ALL: dict = {**chat.Q, **rows.Q, **models.Q, **catalogue.Q, **content.Q, **streams.Q}
 
 
 def queries() -> dict[str, Callable]:

@@ -11,6 +11,7 @@ from ..operators import search as H
 from ..operators import skills as K
 from ..operators import tools as X
 from ..sources import catalog as C
+from ..sources.shared import shared_path
 from .chat import MSG
 
 KEYWORD = "The, house of QUE"
@@ -18,9 +19,21 @@ TOK = f"""SELECT DISTINCT unnest(list_filter(regexp_extract_all(lower(content),
 HIT = f"""SELECT DISTINCT session_id, pos FROM ({TOK}) WHERE token IN ('the', 'house', 'of', 'que')"""
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def written_index(spark, d):
+    """The token index of the messages, written once for a session and directory."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        path = shared_path(spark, "token-index")
+        H.write_index(H.token_index(C.messages(spark, d)), path)
+        _INDEXES[key] = path
+    return spark.read.parquet(_INDEXES[key])
+
+
 def found(spark, d):
-    m = C.messages(spark, d)
-    return H.search(m, H.token_index(m), KEYWORD)
+    return H.search(C.messages(spark, d), written_index(spark, d), KEYWORD)
 
 
 def timed(spark, d):
@@ -123,7 +136,6 @@ Q: dict = {
           SELECT doc_id, skill_id, hits, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, skill_id) AS rank FROM (
             SELECT doc_id, skill_id, len(list_filter(triggers, lambda t: t <> '' AND contains(lower(text), lower(t))))::BIGINT AS hits FROM documents, s) WHERE hits > 0) WHERE rank <= 2""",
     ),
-    "skill_meta": (lambda s, d: K.skill_meta(C.skills(s)), "SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{n}', {str(e).lower()})" for i, n, e, _ in C.SKILLS) + ") t(skill_id, display_name, enabled) WHERE enabled"),
     "tool_visibility": (visible, VISIBLE),
     "truncate_marker": (
         lambda s, d: C.table(s, d, "documents").select("doc_id", F.md5(T.truncate(F.col("text")).cast("binary")).alias("digest")),
@@ -161,14 +173,17 @@ Q: dict = {
         f"""WITH c AS ({CHUNK}), l AS (SELECT *, max(step) OVER (PARTITION BY message_id) AS last FROM c)
           SELECT message_id, max(step)::BIGINT AS step, coalesce(string_agg(reasoning, '' ORDER BY i), '') AS reasoning, coalesce(string_agg(content, '' ORDER BY i), '') AS content FROM l WHERE step = last GROUP BY 1""",
     ),
-    "event_frames": (lambda s, d: E.frames(E.lifecycle(C.chunks(s, d))), None),
     "lifecycle_events": (
         lambda s, d: E.lifecycle(C.chunks(s, d)).groupBy("message_id", "event").agg(F.count("*").alias("n")),
         f"""WITH c AS ({CHUNK}), st AS (SELECT message_id, step, count(reasoning) AS r, count(content) AS t FROM c GROUP BY 1, 2),
           e AS (SELECT message_id, unnest(['reasoning-start', 'reasoning-delta', 'reasoning-end', 'text-start', 'text-delta', 'text-end']) AS event, unnest([least(r, 1), r, least(r, 1), least(t, 1), t, least(t, 1)]) AS n FROM st)
           SELECT message_id, event, sum(n)::BIGINT AS n FROM e GROUP BY 1, 2 HAVING sum(n) > 0""",
     ),
-    "lifecycle_check": (lambda s, d: E.unbalanced(E.lifecycle(C.chunks(s, d))).select("message_id", "step"), "SELECT 0::BIGINT AS message_id, 0 AS step WHERE false"),
+    "lifecycle_check": (
+        lambda s, d: E.unbalanced(E.lifecycle(C.chunks(s, d)).where("NOT (event = 'text-end' AND message_id % 3 = 0) AND NOT (event = 'reasoning-start' AND message_id % 5 = 0)")).select("message_id", "step"),
+        f"""WITH c AS ({CHUNK}), st AS (SELECT message_id, step, count(reasoning) AS r, count(content) AS t FROM c GROUP BY 1, 2)
+          SELECT message_id, step FROM st WHERE (message_id % 3 = 0 AND t > 0) OR (message_id % 5 = 0 AND r > 0)""",
+    ),
     "exhausted_turns": (
         lambda s, d: E.exhausted(steps(s, d)),
         "SELECT event_id - event_id % 5 AS message_id FROM events WHERE event_id % 5 = 4 AND user_id % 3 <> 0 AND event_id % 4 > 0",

@@ -55,7 +55,7 @@ def usage(spark, d):
     """Each event is a turn's usage, of the model its user and event number give."""
     e = C.events(spark, d)
     m = C.models(spark, d).select(F.col("id").alias("mid"), "display_name", "type", "billing_ratio")
-    n = F.col("event_id") % 100 + 1
+    n = F.col("event_id") % C.models(spark, d).count() + 1
     joined = e.withColumn("mid", n).join(m, "mid")
     return U.billed(
         joined.select(
@@ -65,13 +65,12 @@ def usage(spark, d):
 
 
 USE = f"""SELECT (m.id % 7) AS provider_id, e.user_id, e.event_id AS trace_id, m.display_name AS model_name, m.type::BIGINT AS model_type, m.billing_ratio::BIGINT AS billing_ratio, floor(e.value)::BIGINT AS usage_tokens,
-  CASE WHEN event_type = 'click' THEN 'USER' ELSE 'SYSTEM' END AS scope, CASE WHEN event_type = 'click' THEN 0 ELSE floor(e.value)::BIGINT * m.billing_ratio END AS billable_tokens, ts FROM events e JOIN ({MODEL}) m ON m.id = e.event_id % 100 + 1"""
+  CASE WHEN event_type = 'click' THEN 'USER' ELSE 'SYSTEM' END AS scope, CASE WHEN event_type = 'click' THEN 0 ELSE floor(e.value)::BIGINT * m.billing_ratio END AS billable_tokens, ts FROM events e JOIN ({MODEL}) m ON m.id = e.event_id % (SELECT count(*) FROM part) + 1"""
 
 
 def in_use(spark, d):
     asked = C.providers(spark, d).select((F.col("id") * 2).alias("provider_id"))
-    few = C.mappings(spark, d).where("model_id <= 20").select("provider_id")
-    return R.delete_providers(C.providers(spark, d), asked, few)
+    return R.delete_providers(C.providers(spark, d), asked, C.mappings(spark, d))
 
 
 def cascade(spark, d):
@@ -84,7 +83,7 @@ def pools(spark, d):
     s = C.table(spark, d, "supplier")
     pool = s.select(F.col("s_nationkey").alias("service"), F.col("s_suppkey").alias("instance"), F.expr("if(s_suppkey % 7 = 0, 'dev', null)").alias("developer"), (F.col("s_acctbal") >= 0).alias("healthy"), F.lit(None).cast("boolean").alias("enabled"))
     asked = C.table(spark, d, "customer").select(F.col("c_custkey").alias("request_id"), F.col("c_nationkey").alias("service"), F.expr("if(c_custkey % 2 = 0, 'dev', null)").alias("developer"))
-    return X.gray_pool(pool, asked)
+    return X.pools(pool, asked)
 
 
 POOL = """WITH i AS (SELECT s_nationkey AS service, s_suppkey AS instance, CASE WHEN s_suppkey % 7 = 0 THEN 'dev' END AS tag FROM supplier WHERE s_acctbal >= 0),
@@ -134,7 +133,7 @@ Q: dict = {
     ),
     "provider_delete_restrict": (
         in_use,
-        f"""SELECT id * 2 AS provider_id, CASE WHEN id * 2 NOT IN (SELECT id FROM ({PROV})) THEN 'PROVIDER_NOT_FOUND' WHEN id * 2 IN (SELECT provider_id FROM ({MAP}) WHERE model_id <= 20) THEN 'PROVIDER_IN_USE' ELSE 'DELETED' END AS outcome FROM ({PROV})""",
+        f"""SELECT id * 2 AS provider_id, CASE WHEN id * 2 NOT IN (SELECT id FROM ({PROV})) THEN 'PROVIDER_NOT_FOUND' WHEN id * 2 IN (SELECT provider_id FROM ({MAP})) THEN 'PROVIDER_IN_USE' ELSE 'DELETED' END AS outcome FROM ({PROV})""",
     ),
     "model_delete_cascade": (cascade, f"SELECT m.id AS model_id, x.n AS n_mappings FROM ({MODEL}) m LEFT JOIN (SELECT model_id, count(*) AS n FROM ({MAP}) GROUP BY 1) x ON x.model_id = m.id WHERE m.id % 5 <> 0"),
     "sparse_update_model": (
@@ -156,7 +155,7 @@ Q: dict = {
         f"""SELECT user_id::VARCHAR AS "userId", NULL::VARCHAR AS "groupId", usage_tokens AS "usageTokens", billing_ratio AS "billingRatio", trace_id::VARCHAR AS "traceId", model_name AS "modelName", model_type AS "modelType", strftime(ts, '%Y-%m-%dT%H:%M:%S') AS "requestTime"
           FROM ({USE}) WHERE scope = 'SYSTEM' AND usage_tokens > 0""",
     ),
-    "gray_pool": (pools, f"{POOL} SELECT request_id, service, instance FROM pool"),
+    "gray_pool": (lambda s, d: pools(s, d).select("request_id", "service", F.explode("instances").alias("instance")), f"{POOL} SELECT request_id, service, instance FROM pool"),
     "round_robin_pick": (
         lambda s, d: X.round_robin(X.without_tried(pools(s, d), C.table(s, d, "customer").select(F.col("c_custkey").alias("request_id"), (F.col("c_custkey") % 100 + 1).alias("instance"))), F.col("request_id")),
         f"""{POOL}, p AS (SELECT * FROM pool WHERE instance <> request_id % 100 + 1)

@@ -43,5 +43,5 @@ Q: dict = {
             SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, k""",
     ),
     "stream_dedup": (dedup, "SELECT event_id, event_type FROM events"),
-    "stream_hot_list": (hot, "SELECT user_id, event_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events) WHERE rank <= 50"),
+    "stream_hot_list": (hot, "SELECT user_id, event_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank, max(ts) OVER (PARTITION BY user_id) AS last, max(ts) OVER () AS now FROM events) WHERE rank <= 50 AND last >= now - INTERVAL 24 HOURS"),
 }

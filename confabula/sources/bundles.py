@@ -14,10 +14,9 @@ _FRONT = r"(?s)^---\n(.*?)\n---(?:\n(.*))?$"
 def files(spark: SparkSession, root: str) -> DataFrame:
     """skill_id, version, path, content of every file below root, by Spark's binary source."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    own = F.regexp_extract("path", r"[^/]+/[^/]+/(?:SKILL\.md|(?:[^/]+/)*[^/]+)$", 0)
     base = F.lit(root.rstrip("/").split("/")[-1])
     below = F.regexp_replace("path", F.concat(F.lit("^.*/"), base, F.lit("/")), F.lit(""))
-    return read.select(below.alias("below"), "content", own.alias("_")).select(
+    return read.select(below.alias("below"), "content").select(
         F.regexp_extract("below", _PATH, 1).alias("skill_id"), F.regexp_extract("below", _PATH, 2).alias("version"), F.regexp_extract("below", _PATH, 3).alias("path"), "content"
     ).where("skill_id <> ''")
 
@@ -45,8 +44,12 @@ def items(front: Column, key: str) -> Column:
 
 
 def bundles(spark: SparkSession, root: str) -> DataFrame:
-    """One row for each skill: its last version's document fields and its asset manifest. The directory's version counts."""
-    found = files(spark, root)
+    return bundles_of(files(spark, root))
+
+
+def bundles_of(found: DataFrame) -> DataFrame:
+    """found: (skill_id, version, path, content). One row for each skill: its last version's document fields and its asset
+    manifest in order of path. The directory's version counts; without frontmatter the fields have their defaults."""
     text = F.col("content").cast("string")
     docs = found.where("path = 'SKILL.md'").select("skill_id", "version", text.alias("skill_md")).withColumn("front", front_matter(F.col("skill_md")))
     docs = docs.select(
@@ -63,4 +66,5 @@ def bundles(spark: SparkSession, root: str) -> DataFrame:
     whole = docs.join(assets, ["skill_id", "version"], "left")
     row = F.struct(*[c for c in whole.columns if c != "skill_id"])
     last = whole.groupBy("skill_id").agg(F.max_by(row, "version").alias("x"))
-    return last.select("skill_id", "x.*")
+    empty = F.expr("cast(array() as array<struct<path: string, object_key: string, kind: string, size_bytes: bigint>>)")
+    return last.select("skill_id", "x.*").withColumn("assets_manifest", F.coalesce("assets_manifest", empty))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.shared import shared_path
+from ..sources.shared import remove, shared_path
 
 
 def file_stream(spark: SparkSession, directory: str, name: str, schema: str, files_per_batch: int = 100) -> DataFrame:
@@ -65,24 +65,29 @@ def once_each(events: DataFrame) -> DataFrame:
     return events.dropDuplicatesWithinWatermark(["event_id"])
 
 
-HOT = "user_id long, event_id long, ts timestamp, written timestamp"
+HOT = "user_id long, event_id long, ts timestamp, clock timestamp"
 
 
 def hot_list_step(path: str, length: int = 50, ttl: str = "INTERVAL 24 HOURS") -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that keeps the newest rows of each user, at most length, as one table for each batch number.
 
-    What it reads and writes is bounded by users times length. A user without a new row for the time to live is dropped.
-    A batch that is run again writes the same table again.
+    What it reads and writes is bounded by users times length. Time is that of the rows: the clock stands at the newest row
+    seen so far, and a user whose newest row is older than the time to live is dropped. So a batch that is run again writes
+    the same table again. The table of the batch before stays for that; older ones are deleted.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        rows = batch.select("user_id", "event_id", "ts", F.current_timestamp().alias("written"))
+        spark = batch.sparkSession
+        rows = batch.select("user_id", "event_id", "ts", F.col("ts").alias("clock"))
         if number:
-            rows = rows.union(batch.sparkSession.read.schema(HOT).parquet(f"{path}/{number - 1}"))
+            rows = rows.union(spark.read.schema(HOT).parquet(f"{path}/{number - 1}"))
+        now = rows.agg(F.max("clock")).first()[0]
         own = Window.partitionBy("user_id")
-        rows = rows.withColumn("_last", F.max("written").over(own)).where(F.col("_last") >= F.current_timestamp() - F.expr(ttl)).drop("_last")
+        rows = rows.withColumn("clock", F.lit(now).cast("timestamp")).withColumn("_last", F.max("ts").over(own)).where(F.col("_last") >= F.col("clock") - F.expr(ttl)).drop("_last")
         rank = F.row_number().over(own.orderBy(F.desc("ts"), F.desc("event_id")))
         rows.withColumn("_rank", rank).where(F.col("_rank") <= length).drop("_rank").write.mode("overwrite").parquet(f"{path}/{number}")
+        if number > 1:
+            remove(spark, f"{path}/{number - 2}")
 
     return run
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from confabula import plans
@@ -19,10 +21,21 @@ def duck(sf_dir):
     return con
 
 
+def plain(x):
+    """A value as the same text from either engine: whole numbers without a fraction, any missing value as None."""
+    if isinstance(x, list | dict) or (hasattr(x, "__len__") and not isinstance(x, str | bytes)):
+        return [plain(y) for y in x] if not isinstance(x, dict) else x
+    if pd.isna(x):
+        return None
+    x = x.item() if isinstance(x, np.generic) else x
+    if isinstance(x, float):
+        return int(x) if x.is_integer() else round(x, 6)
+    return x
+
+
 def normal(frame) -> list[str]:
     frame = frame[sorted(frame.columns)]
-    rows = [[round(x, 6) if isinstance(x, float) else list(x) if hasattr(x, "__len__") and not isinstance(x, str | bytes | dict) else x for x in r] for r in frame.itertuples(index=False)]
-    return sorted(str([None if not isinstance(x, list | dict) and x != x else x for x in r]) for r in rows)
+    return sorted(str([plain(x) for x in r]) for r in frame.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -32,6 +45,5 @@ def test_query_gives_the_rows_of_its_sql(name, spark, sf_dir, duck):
     assert normal(got) == normal(want)
 
 
-def test_every_query_without_sql_runs(spark, sf_dir):
-    for name in set(QUERIES) - set(SQL):
-        assert QUERIES[name](spark, sf_dir).columns
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
