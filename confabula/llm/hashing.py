@@ -50,9 +50,9 @@ class Substrings:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * _A)
 
 
-def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start and end of every run of bytes that aren't ASCII white space; bounds: where rows begin, and the end."""
-    solid = ~IS_SPACE[data]
+def words(data: np.ndarray, bounds: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of every run of bytes that aren't between words (ASCII white space); bounds: where rows begin, and the end."""
+    solid = ~between[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[bounds] = True
     before = np.concatenate([[False], solid[:-1]]) if len(solid) else solid

@@ -19,15 +19,22 @@ def _place(key: str):
     return F.pmod(F.xxhash64(key), F.lit(BITS))
 
 
-def id_bitmap(ids: DataFrame, key: str) -> np.ndarray:
-    """A bit for the hash of every id in the column; at most BITS / 64 rows reach the driver."""
-    places = ids.where(F.col(key).isNotNull()).select(_place(key).alias("p")).groupBy((F.col("p") / 64).cast("int").alias("w"))
+def id_bitmap(ids: DataFrame, key: str, hashed: bool = False) -> np.ndarray:
+    """A bit for the hash of every id in the column; at most BITS / 64 rows reach the driver. hashed: ids are hashes already."""
+    place = F.col(key).bitwiseAND(F.lit(BITS - 1)) if hashed else _place(key)
+    places = ids.where(F.col(key).isNotNull()).select(place.alias("p")).groupBy((F.col("p") / 64).cast("int").alias("w"))
     found = places.agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("b")).toArrow()
     bitmap = np.zeros(BITS // 64, np.int64)
     bitmap[found["w"].to_numpy()] = found["b"].to_numpy()
     return bitmap
 
 
+def among(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be among those of a bitmap made with hashed=True."""
+    p = hashes.astype(np.int64) & (BITS - 1)
+    return (bitmap[p >> 6] >> (p & 63) & 1).astype(bool)
+
+
 def keep_ids(rows: DataFrame, key: str, ids: DataFrame, bitmap: np.ndarray | None = None, exact: bool = True, wanted: bool = True, then=None, schema: str | None = None) -> DataFrame:
     """rows whose key may be among ids (a column of that name), by the bitmap; exact: then by a semi-join of what passes.
 

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from confabula.llm import decontamination
 from confabula.llm.decontamination import decontaminate, op6_decontamination
 
 from .helpers import SCHEMA, frame, texts
@@ -39,13 +40,16 @@ def digest(df):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
-def test_against_all_windows(spark, block_bytes):
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_against_all_windows(spark, few, monkeypatch):
+    """few 0: windows aren't broadcast; then every word of more than one document counts as frequent."""
+    if not few:
+        monkeypatch.setattr(decontamination, "OFTEN", 1)
     rows = texts(1)
     long = [t for _, t in rows if t and len(t.split()) > 60]
     items = [(k, " ".join(t.split()[3 : 3 + n]).title()) for k, (t, n) in enumerate(zip(long, [1, 4, 9, 10, 11, 12, 25, 40, 40, 40], strict=False))]
     items += [(50, None), (51, ""), (52, "..."), (53, "two, WORDS!"), (54, "one"), (55, "ab ab ab ab ab ab ab ab ab ab ab ab")]
-    found = decontaminate(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes)
+    found = decontaminate(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), few=few)
     assert digest(found) == brute(rows, items)
 
 
@@ -63,3 +67,11 @@ def test_nulls_clashing_columns_and_empty_tables(spark):
     items = spark.createDataFrame([(None, "A, b")], "item_id long, text string")
     assert [r.item_ids for r in decontaminate(docs, items).collect() if r.contaminated] == [["null"]]
     assert decontaminate(spark.createDataFrame([], SCHEMA), items).count() == 0
+
+
+def test_long_text_repeated_rows_and_odd_letters(spark):
+    filler = " ".join(f"w{k % 977}" for k in range(150_000))
+    item = "Ångström ÜBER 12 straße-bahn élan vital x1 y2 z3 q4 r5 s6"
+    rows = [(1, filler + " " + item + ". " + filler), (1, item), (1, item), (2, item.replace("x1", "X1!")), (3, item.replace("ÜBER", "über"))]
+    items = [(7, item), (8, "q4 r5 s6"), (7, item)]
+    assert digest(decontaminate(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))) == brute(rows, items)
