@@ -91,14 +91,57 @@ def test_language_edge_cases(spark):
     assert language_id.identify(docs.where("false"), ["a"], prototypes).count() == 0
 
 
-def test_bundles_are_sums_of_bound_trigrams():
+def bundled(text):
+    """The sum of a text's bound trigrams, letter by letter."""
     import numpy as np
 
-    text = "Straße, Äpfel"
-    rows, keys = language_id.trigrams([text])
-    whole = language_id.Bundler().bundle([text, text])
-    assert np.array_equal(whole[0], whole[1]) and np.array_equal(whole[0], language_id.trigram_vectors(keys.astype(np.int64)).sum(axis=0))
-    assert len(keys) == sum(c.isalpha() for c in text) and not rows.any()
+    text = " " + (text or "") + " "
+    low = [ord(c.lower()[0]) if c.isalpha() else 0 for c in text]
+    v = language_id.letter_vector
+    return sum((np.roll(v(a), 2).astype(int) * np.roll(v(b), 1) * v(c) for a, b, c in zip(low, low[1:], low[2:], strict=False) if b), np.zeros(language_id.DIMENSIONS, int))
+
+
+def test_bundles_are_sums_of_bound_trigrams(monkeypatch):
+    import numpy as np
+
+    texts_ = ["Straße, Äpfel", None, "你好世界 Привет", "", "123", "".join(chr(c) for c in range(0x4E00, 0x4F00)), "ab"]
+    monkeypatch.setattr(language_id, "KEPT", 300)
+    own = language_id.Bundler()
+    for _ in range(2):
+        assert np.array_equal(own.bundle(texts_), np.array([bundled(x) for x in texts_]))
+        assert own.seen.tolist() == [True, False, True, False, False, True, True]
+    assert np.array_equal(own.bundle(texts_[:3], np.array([0, 1, 0]), 2)[0], bundled(texts_[0]) + bundled(texts_[2]))
+    assert (language_id.letter_vector(ord("你")) != language_id.letter_vector(ord("好"))).any()
+
+
+def test_query_against_brute_force(spark, sf_dir):
+    """Prototypes and cosines computed text by text."""
+    import zlib
+
+    import numpy as np
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    own = {r.doc_id: bundled(r.text) for r in docs}
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in docs}
+    names = sorted({r.lang for r in docs if r.lang is not None and not held[r.doc_id]})
+    sums = np.array([sum((own[r.doc_id] for r in docs if r.lang == x and not held[r.doc_id] and r.text is not None), np.zeros(language_id.DIMENSIONS, int)) for x in names])
+    unit = sums / np.linalg.norm(sums, axis=1, keepdims=True)
+    for r in language_id.op8_language_id(spark, sf_dir).collect():
+        assert r.held_out == held[r.doc_id]
+        if not own[r.doc_id].any():
+            continue
+        cosines = unit @ own[r.doc_id] / np.linalg.norm(own[r.doc_id])
+        assert r.score == pytest.approx(max(0, cosines.max()), abs=1e-5) and cosines[names.index(r.lang_pred)] > cosines.max() - 1e-5
+
+
+def test_language_of_long_repeated_and_equal_texts(spark):
+    long = "the house and the garden " * 20_000
+    rows = [(1, long), (1, long), (2, "the house"), (3, "the house"), (4, "das haus")]
+    docs = frame(spark, rows).selectExpr("doc_id", "text", "CASE doc_id WHEN 1 THEN 'en' WHEN 4 THEN 'de' WHEN 2 THEN 'aa' WHEN 3 THEN 'bb' END AS lang")
+    names, prototypes = language_id.learn(docs, "lang")
+    out = sorted((r.doc_id, r.lang_pred, r.score) for r in language_id.identify(docs, names, prototypes).collect())
+    assert out[0] == out[1] and out[0][1] == "en" and out[0][2] == pytest.approx(1, abs=1e-6)
+    assert out[2][1] == out[3][1] == "aa" and out[4][1] == "de"  # of equal similarities the first language
 
 
 def test_rules_agree_with_their_sql(spark, sf_dir):
