@@ -2,25 +2,30 @@
 
 * Examples are a bounded sample of the labelled rows (MAX_POSITIVE and MAX_NEGATIVE, first by a hash of their id); votes
   are weighted so that the classes count as in all labelled rows.
-* Terms are words and word beginnings of four and five letters; the vocabulary is those that go with the label in the
-  examples (likelihood ratio), at most MAX_TERMS. Document frequencies are counted over all documents.
+* Terms are words and word beginnings of four and five letters: all that are in an example. A term's weight is its inverse
+  document frequency, over all documents, times a factor between FLOOR and 1 that rises with the likelihood ratio by which
+  the term goes with the label in the examples; so no term is left out, and the usual ones don't drown the telling ones.
 * Every document is compared with the examples by exact cosine. Examples lie in blocks of BLOCK; for each term and block
-  the index knows the highest weight. A query sums these to a bound for each block, visits blocks from the highest bound
-  down, scores the postings of its terms there, and stops when no block can change its NEIGHBOURS best.
+  the index knows the highest weight. Documents come in batches: the sums of these highest weights are a bound for each
+  document and block; the two blocks with the highest bounds are scored, then all whose bound reaches the document's
+  NEIGHBOURS-th best. The lists of terms that are in many examples are kept dense, so that scoring a block is a product of
+  matrices and a few lists.
 * Votes are weighted by one over distance. The raw vote is turned into a probability by a monotone fit on the examples,
-  each scored without itself. Documents without a term of the vocabulary get the rate of such examples.
+  each scored without itself.
 
-All documents are scored in one pass; what is broadcast (vocabulary, index, fit) is bounded by the parameters above.
+Documents are read twice, for the frequencies and for the scores, and never shuffled; what is broadcast (terms, index, fit) is
+bounded by the examples. Cosines are rounded to nine digits, so that the order of additions decides nothing.
 
-Defined cases: null and empty texts have no term and get the rate of examples without terms; with no labelled rows every
-score is 0; equal similarities are ordered by the examples' place in the index; equal texts get equal scores; an
-empty table stays empty; columns of the input that have the name of a result column are replaced.
+Defined cases: texts without a term of the examples (null and empty ones too) get the label's rate in all labelled rows; a text
+of any length counts whole; with no labelled rows every score is 0; equal similarities are ordered by the examples'
+place in the index; equal texts get equal scores; repeated labelled rows are examples as often as they come; an empty
+table stays empty; columns of the input that have the name of a result column are replaced.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,18 +34,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, stored, table
+from .common import remainder, slices, stored, table, tidied
 
-MAX_POSITIVE = 3000
-MAX_NEGATIVE = 6000
-MAX_TERMS = 4096
-#: A term must be in so many positive examples and go with the label at this likelihood ratio.
-LEAST_POSITIVE = 4
-LEAST_RATIO = 15.0
+MAX_POSITIVE = 800
+MAX_NEGATIVE = 2000
+#: Least factor of a term, and the likelihood ratio at which the factor is 1.
+FLOOR, FULL_RATIO = 0.1, 15.0
 BLOCK = 64
+#: Lists of terms that are in more than this share of the examples are kept dense.
+DENSE = 0.03
 NEIGHBOURS = 16
 EVIDENCE = 3
 THRESHOLD = 0.7
+#: Documents scored together.
+BATCH = 256
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -53,74 +60,80 @@ def word_counts(text: str | None) -> Counter:
     return Counter(_WORD.findall(text.lower())) if text else Counter()
 
 
-def examples_of(labels: DataFrame, doc_id: str, label: str, seed: int = 0) -> DataFrame:
-    """A bounded sample of (doc_id, label, weight); weight: labelled rows that one example stands for."""
+def term_counts(text: str | None) -> Counter:
+    own: Counter = Counter()
+    for w, n in word_counts(text).items():
+        for t in terms_of(w):
+            own[t] += n
+    return own
+
+
+def examples_of(labels: DataFrame, doc_id: str, label: str, seed: int = 0) -> tuple[DataFrame, dict[int, int]]:
+    """A bounded sample of (doc_id, label, weight), weight being the labelled rows that one example stands for; and the rows of each label."""
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     totals = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     parts = []
     for value, most in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE)):
         chosen = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
         parts.append(chosen.withColumn("weight", F.lit(totals.get(value, 0) / max(1, min(most, totals.get(value, 0))))))
-    return parts[0].union(parts[1])
+    return parts[0].union(parts[1]), totals
 
 
-def vocabulary_of(examples: DataFrame) -> list[str]:
-    """examples: (label, text)."""
+class Places:
+    """Words of a text -> places of their terms in the list of terms, remembered for words met before."""
+
+    def __init__(self, terms: list[str]):
+        self.place = {t: i for i, t in enumerate(terms)}
+        self.memory: dict[str, tuple[int, ...]] = {}
+
+    def counts(self, text: str | None) -> tuple[list[int], list[int]]:
+        own: dict[int, int] = {}
+        for w, n in word_counts(text).items():
+            if (ids := self.memory.get(w)) is None:
+                if len(self.memory) > 300_000:
+                    self.memory.clear()
+                ids = self.memory[w] = tuple(self.place[t] for t in terms_of(w) if t in self.place)
+            for t in ids:
+                own[t] = own.get(t, 0) + n
+        order = sorted(own)
+        return order, [own[t] for t in order]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        n = [0, 0]
-        for batch in batches:
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n[label] += 1
-                for t in {t for w in word_counts(text) for t in terms_of(w)}:
-                    found[t][label] += 1
-        found[""] = n  # no term is empty: this counts the examples
-        yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([x[1] for x in found.values()], pa.int64()), pa.array([x[0] for x in found.values()], pa.int64())], ["term", "pos", "neg"])
-
-    counts = stored(examples.select("label", "text").mapInArrow(run, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "terms")
-    total = counts.where("term = ''").first()
-    if not total or not total.pos or not total.neg:
-        return []
-    p, n = float(total.pos), float(total.neg)
-    share = (F.col("pos") + F.col("neg")) / (p + n)
-    part = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
-    ratio = 2 * (part(F.col("pos"), p * share) + part(F.col("neg"), n * share) + part(p - F.col("pos"), p * (1 - share)) + part(n - F.col("neg"), n * (1 - share)))
-    good = counts.where((F.col("term") != "") & (F.col("pos") >= LEAST_POSITIVE) & (F.col("pos") / p > F.col("neg") / n)).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
-    return sorted(r.term for r in good.orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).collect())
-
-
-def term_vectors(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """docs (… , text) with terms and counts in place of text: those of the vocabulary, in order."""
-    known = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})
-    names = [c for c in docs.columns if c != "text"]
+
+def document_frequency(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
+    """In how many documents each term is, and how many documents there are."""
+    known = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, memory = known.value, {}
+        places, n = Places(known.value), np.zeros(len(known.value) + 1, np.int64)
         for batch in batches:
-            terms, counts = [], []
             for text in batch.column("text").to_pylist():
-                own: Counter = Counter()
-                for w, n in word_counts(text).items():
-                    if (ids := memory.get(w)) is None:
-                        if len(memory) > 300_000:
-                            memory.clear()
-                        ids = memory[w] = tuple(place[t] for t in terms_of(w) if t in place)
-                    for t in ids:
-                        own[t] += n
-                order = sorted(own)
-                terms.append(order)
-                counts.append([own[t] for t in order])
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))], [*names, "terms", "counts"])
-
-    types = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"] + ["terms array<int>, counts array<long>"])
-    return docs.mapInArrow(run, types)
-
-
-def weigh(terms: list[int], counts: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                n[places.counts(text)[0]] += 1
+            n[-1] += batch.num_rows
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen])], ["term", "n"])
+
+    found = np.zeros(len(terms) + 1, np.int64)
+    counts = docs.select("text").mapInArrow(tidied(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row a term of the examples
+    found[counts["term"].to_numpy()] = counts["n"].to_numpy()
+    return found[:-1], int(found[-1])
+
+
+def factors(labels: np.ndarray, terms: list[np.ndarray], n_terms: int) -> np.ndarray:
+    """Of each term, how well it goes with label 1 in the examples (likelihood ratio), between FLOOR and 1."""
+    pos, neg = (np.bincount(np.concatenate([t for t, y in zip(terms, labels, strict=True) if y == kind] or [np.zeros(0, np.int64)]), minlength=n_terms).astype(float) for kind in (1, 0))
+    p, n = float((labels == 1).sum()), float((labels == 0).sum())
+    if not p or not n:
+        return np.ones(n_terms)
+    share = (pos + neg) / (p + n)
+    part = lambda k, e: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(e, 1e-9)), 0.0)
+    ratio = 2 * (part(pos, p * share) + part(neg, n * share) + part(p - pos, p * (1 - share)) + part(n - neg, n * (1 - share)))
+    return FLOOR + (1 - FLOOR) * np.where(pos / p > neg / n, np.minimum(1, ratio / FULL_RATIO), 0) ** 2
+
+
+def weigh(terms: list[int], counts: list[int], importance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Terms and TF-IDF weights of length 1."""
     t = np.array(terms, np.int64)
-    w = (1 + np.log(np.array(counts, np.float64))) * idf[t]
+    w = (1 + np.log(np.array(counts, np.float64))) * importance[t]
     return t, w / np.sqrt(w @ w) if len(w) else w
 
 
@@ -131,67 +144,114 @@ class BlockMaxIndex:
     ids: np.ndarray
     labels: np.ndarray
     weights: np.ndarray
-    highest: np.ndarray = field(repr=False)  # term x block
-    postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = field(repr=False)  # block -> term -> places in the block, weights
+    row: np.ndarray = field(repr=False)  # term -> row of the dense lists, or -1
+    dense: np.ndarray = field(repr=False)  # dense lists: row x place
+    first: np.ndarray = field(repr=False)  # sparse terms: term -> where its blocks begin in the next four
+    block: np.ndarray = field(repr=False)
+    highest: np.ndarray = field(repr=False)
+    begin: np.ndarray = field(repr=False)  # where the postings of a term in a block begin and end
+    end: np.ndarray = field(repr=False)
+    place: np.ndarray = field(repr=False)  # postings: place in the block, weight
+    weight: np.ndarray = field(repr=False)
 
     @classmethod
     def of(cls, examples: list[tuple[int, int, float, np.ndarray, np.ndarray]], n_terms: int) -> BlockMaxIndex:
-        """examples: id, label, vote weight, terms, term weights. Those with the same strongest term go side by side."""
-        examples = sorted(examples, key=lambda x: (int(x[3][np.argmax(x[4])]), -float(x[4].max()), x[0]))
+        """examples: id, label, vote weight, terms, term weights. Those with the same strongest frequent term go side by side."""
+        often = np.bincount(np.concatenate([x[3] for x in examples]), minlength=n_terms) > DENSE * len(examples)
+
+        def strongest(x) -> tuple:
+            w = np.where(often[x[3]], x[4], x[4] - 1)
+            return int(x[3][np.argmax(w)]), -float(w.max()), x[0], x[1]
+
+        examples = sorted(examples, key=strongest)
         blocks = -(-len(examples) // BLOCK)
-        highest = np.zeros((n_terms, blocks))
-        lists: list[dict] = [defaultdict(lambda: ([], [])) for _ in range(blocks)]
-        for i, (_, _, _, terms, own) in enumerate(examples):
-            highest[terms, i // BLOCK] = np.maximum(highest[terms, i // BLOCK], own)
-            for t, w in zip(terms.tolist(), own.tolist(), strict=True):
-                lists[i // BLOCK][t][0].append(i % BLOCK)
-                lists[i // BLOCK][t][1].append(w)
-        postings = [{t: (np.array(a), np.array(w)) for t, (a, w) in x.items()} for x in lists]
-        first = [np.array([x[k] for x in examples], kind) for k, kind in ((0, np.int64), (1, np.int64), (2, np.float64))]
-        return cls(*first, highest, postings)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples that share a term, nearest first; ties: the lower place first."""
-        none = np.zeros(0, np.int64), np.zeros(0)
-        if not len(terms) or not self.highest.shape[1]:
-            return none
-        bounds = weights @ self.highest[terms]
-        order = np.argsort(-bounds, kind="stable")
-        pairs = list(zip(terms.tolist(), weights.tolist(), strict=True))
-        places, scores = none
-        for b in order.tolist():
-            if bounds[b] <= 0 or (len(scores) == k and bounds[b] < scores[-1] - 1e-12):
-                break
-            own = np.zeros(BLOCK)
-            lists = self.postings[b]
-            for t, q in pairs:
-                if (found := lists.get(t)) is not None:
-                    own[found[0]] += q * found[1]
-            at = np.flatnonzero(own)
+        example = np.repeat(np.arange(len(examples)), [len(x[3]) for x in examples])
+        term, w = (np.concatenate([x[k] for x in examples]) for k in (3, 4))
+        row = np.full(n_terms, -1, np.int32)
+        row[often] = np.arange(often.sum())
+        dense = np.zeros((int(often.sum()), blocks * BLOCK))
+        heavy = often[term]
+        dense[row[term[heavy]], example[heavy]] = w[heavy]
+        term, example, w = term[~heavy], example[~heavy], w[~heavy]
+        order = np.lexsort((example, term))
+        term, example, w = term[order], example[order], w[order]
+        key = term * blocks + example // BLOCK
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        end = np.concatenate([begin[1:], [len(key)]]) if len(key) else begin
+        highest = np.maximum.reduceat(w, begin) if len(key) else w
+        first = np.searchsorted(term[begin], np.arange(n_terms + 1))
+        about = [np.array([x[k] for x in examples], kind) for k, kind in ((0, np.int64), (1, np.int64), (2, np.float64))]
+        return cls(*about, row, dense, first, (key[begin] % blocks).astype(np.int32), highest, begin.astype(np.int32), end.astype(np.int32), (example % BLOCK).astype(np.int16), w)
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each query (terms, weights) the places and cosines of the k nearest examples that share a term, nearest first; ties: the
+        lower place first; -1 where there are no more. without: for each query a place that is left out."""
+        n, blocks = len(queries), self.dense.shape[1] // BLOCK
+        doc = np.repeat(np.arange(n), [len(t) for t, _ in queries])
+        term, q = (np.concatenate([x[i] for x in queries]) if n else np.zeros(0, np.int64) for i in (0, 1))
+        term = term.astype(np.int64)
+        often = self.row[term] >= 0
+        dense = np.zeros((n, len(self.dense)))
+        dense[doc[often], self.row[term[often]]] = q[often]
+        doc, term, q = doc[~often], term[~often], q[~often]
+        many = self.first[term + 1] - self.first[term]
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.first[term], many)
+        doc, q = np.repeat(doc, many), np.repeat(q, many)
+        bounds = dense @ self.dense.reshape(len(self.dense), blocks, BLOCK).max(axis=2) if len(self.dense) else np.zeros((n, blocks))
+        bounds = bounds + np.bincount(doc * blocks + self.block[at], q * self.highest[at], n * blocks).reshape(n, blocks)
+        order = np.argsort(self.block[at], kind="stable")
+        doc, q, at = doc[order], q[order], at[order]
+        edges = np.searchsorted(self.block[at], np.arange(blocks + 1))
+        scores = np.zeros((n, blocks * BLOCK))
+
+        def score(need: np.ndarray) -> None:
+            for b in np.flatnonzero(need.any(axis=0)).tolist():
+                docs = np.flatnonzero(need[:, b])
+                own = dense[docs] @ self.dense[:, b * BLOCK : (b + 1) * BLOCK]
+                inside = np.arange(edges[b], edges[b + 1])
+                inside = inside[need[doc[inside], b]]
+                size = self.end[at[inside]] - self.begin[at[inside]]
+                p = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.begin[at[inside]], size)
+                local = np.searchsorted(docs, np.repeat(doc[inside], size))
+                own = own + np.bincount(local * BLOCK + self.place[p], np.repeat(q[inside], size) * self.weight[p], len(docs) * BLOCK).reshape(len(docs), BLOCK)
+                scores[docs, b * BLOCK : (b + 1) * BLOCK] = own
             if without is not None:
-                at = at[self.ids[b * BLOCK + at] != without]
-            places, scores = np.concatenate([places, b * BLOCK + at]), np.concatenate([scores, own[at]])
-            best = np.lexsort((places, -scores))[:k]
-            places, scores = places[best], scores[best]
-        return places, scores
-
-    def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
-        w = self.weights[places] / (0.05 + np.maximum(0, 1 - cosines))
-        return float(w @ self.labels[places] / w.sum())
+                scores[np.arange(n), without] = 0
+
+        need = np.zeros((n, blocks), bool)
+        np.put_along_axis(need, np.argsort(-bounds, axis=1, kind="stable")[:, :2], True, axis=1)
+        score(need)
+        k = min(k, scores.shape[1])
+        reached = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+        more = ~need & (bounds > 0) & (bounds >= reached[:, None] - 1e-8)
+        score(more)
+        keys = np.rint(scores * 1e9).astype(np.int64) * scores.shape[1] + np.arange(scores.shape[1])[::-1]
+        best = np.argpartition(-keys, k - 1, axis=1)[:, :k]
+        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(keys, best, 1), axis=1), 1)
+        cosines = np.rint(np.take_along_axis(scores, best, 1) * 1e9) / 1e9
+        return np.where(cosines > 0, best, -1), cosines
+
+    def votes(self, places: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+        """The weighted share of label 1 among each query's neighbours; nan without any."""
+        there = places >= 0
+        w = np.where(there, self.weights[places] / (0.05 + np.maximum(0, 1 - cosines)), 0)
+        total = w.sum(axis=1)
+        return np.where(total > 0, (w * self.labels[places]).sum(axis=1) / np.maximum(total, 1e-300), np.nan)
 
 
 @dataclass
 class Model:
-    vocabulary: list[str]
-    idf: np.ndarray
+    terms: list[str]
+    importance: np.ndarray
     index: BlockMaxIndex | None
     #: Raw vote -> probability, a rising step function.
     steps: np.ndarray
     values: np.ndarray
-    without_terms: float
+    rate: float
 
     def probability(self, raw: np.ndarray) -> np.ndarray:
-        return np.interp(raw, self.steps, self.values) if len(self.steps) else raw
+        known = np.interp(np.nan_to_num(raw), self.steps, self.values) if len(self.steps) else raw
+        return np.clip(np.where(np.isnan(raw), self.rate, known), 0, 1)
 
 
 def rising_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,64 +267,81 @@ def rising_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     return centres, np.array([s / n for s, n, _ in levels])
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[Model, DataFrame]:
-    """The model, and (doc_id, terms, counts) of every document for score()."""
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    chosen = examples_of(labels, doc_id, label)  # at most MAX_POSITIVE + MAX_NEGATIVE rows, so it may be broadcast
-    examples = stored(docs.join(F.broadcast(chosen), "doc_id"), "examples")
-    vocabulary = vocabulary_of(examples)
-    vectors = stored(term_vectors(docs, vocabulary), "vectors")
-    n = vectors.count()
-    df = {r.t: r.n for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
-    idf = np.log((1 + n) / (1 + np.array([df.get(i, 0) for i in range(len(vocabulary))], np.float64))) + 1
-    rows = term_vectors(examples.select("doc_id", "label", "weight", "text"), vocabulary).collect()
-    weighed = [(r.doc_id, r.label, r.weight, *weigh(r.terms, r.counts, idf)) for r in rows]
-    full, empty = [x for x in weighed if len(x[3])], [x for x in weighed if not len(x[3])]
-    without = sum(x[1] * x[2] for x in empty) / max(1e-9, sum(x[2] for x in empty)) if empty else 0.0
-    model = Model(vocabulary, idf, BlockMaxIndex.of(full, len(vocabulary)) if full else None, np.zeros(0), np.zeros(0), without)
-    if full:
-        known = spark.sparkContext.broadcast(model)
-        own = spark.createDataFrame([(i,) for i in range(len(full))], "i int").repartition(spark.sparkContext.defaultParallelism)
-        places = spark.sparkContext.broadcast([(x[0], x[3], x[4]) for x in full])
-
-        def leave_one_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = known.value.index
-            for batch in batches:
-                raw = []
-                for i in batch.column(0).to_pylist():
-                    name, terms, weights = places.value[i]
-                    found = index.nearest(terms, weights, NEIGHBOURS, without=name)
-                    raw.append(index.vote(*found) if len(found[0]) else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.float64())], ["i", "raw"])
-
-        scored = [r for r in own.mapInArrow(leave_one_out, "i int, raw double").collect() if r.raw is not None]
-        if scored:
-            x = np.array([r.raw for r in scored])
-            y, w = (np.array([full[r.i][k] for r in scored], np.float64) for k in (1, 2))
-            model.steps, model.values = rising_fit(x, y, w)
-    return model, vectors
-
-
-def score(vectors: DataFrame, model: Model) -> DataFrame:
+    chosen, totals = examples_of(labels, doc_id, label)  # at most MAX_POSITIVE + MAX_NEGATIVE rows, so it may be broadcast
+    rate = totals.get(1, 0) / max(1, sum(totals.values()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [term_counts(x) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "label", "weight")] + [pa.array([list(x) for x in found], pa.list_(pa.string())), pa.array([list(x.values()) for x in found], pa.list_(pa.int64()))], ["doc_id", "label", "weight", "terms", "counts"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    counted = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "weight", "text").mapInArrow(tidied(count), f"doc_id {kind}, label int, weight double, terms array<string>, counts array<long>")
+    rows = sorted((r for r in stored(counted, "examples").collect() if r.terms), key=lambda r: (r.doc_id, r.label))  # the examples
+    if not rows:
+        return Model([], np.zeros(0), None, np.zeros(0), np.zeros(0), rate)
+    terms = sorted({t for r in rows for t in r.terms})
+    place = {t: i for i, t in enumerate(terms)}
+    own = [sorted((place[t], n) for t, n in zip(r.terms, r.counts, strict=True)) for r in rows]
+    of = [np.array([t for t, _ in x], np.int64) for x in own]
+    frequency, n = document_frequency(docs, terms)
+    importance = (np.log((1 + n) / (1 + frequency)) + 1) * factors(np.array([r.label for r in rows]), of, len(terms))
+    weighed = [(r.doc_id, r.label, r.weight, *weigh(t, [k for _, k in x], importance)) for r, t, x in zip(rows, of, own, strict=True)]
+    model = Model(terms, importance, BlockMaxIndex.of(weighed, len(terms)), np.zeros(0), np.zeros(0), rate)
+    by_example = {(int(i), int(y), k): p for p, (i, y, k) in enumerate(_numbered(zip(model.index.ids, model.index.labels, strict=True)))}
+    at = np.array([by_example[int(i), int(y), k] for i, y, k in _numbered((x[0], x[1]) for x in weighed)])
+    raw = np.full(len(weighed), np.nan)
+    known = spark.sparkContext.broadcast((model.index, [(x[3], x[4]) for x in weighed], at))
+    parts = spark.createDataFrame([(i,) for i in range(0, len(weighed), BATCH)], "i int").repartition(max(1, min(64, -(-len(weighed) // BATCH))), "i")
+
+    def leave_one_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, queries, at = known.value
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                votes = index.votes(*index.nearest(queries[i : i + BATCH], NEIGHBOURS, at[i : i + BATCH]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(votes), dtype=np.int32)), pa.array(votes, from_pandas=False)], ["i", "raw"])
+
+    for r in parts.mapInArrow(leave_one_out, "i int, raw double").collect():  # the examples
+        raw[r.i] = np.nan if r.raw is None else r.raw
+    full = ~np.isnan(raw)
+    if full.any():
+        y, w = (np.array([x[k] for x in weighed], np.float64)[full] for k in (1, 2))
+        model.steps, model.values = rising_fit(raw[full], y, w)
+    return model
+
+
+def _numbered(pairs) -> Iterator[tuple]:
+    """Pairs with how often the same pair came before."""
+    seen: Counter = Counter()
+    for a, b in pairs:
+        yield a, b, seen[int(a), int(b)]
+        seen[int(a), int(b)] += 1
+
+
+def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score, evidence): evidence is the nearest examples with their labels and cosines."""
-    known = vectors.sparkSession.sparkContext.broadcast(model)
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
-        for batch in batches:
-            raw, evidence = np.full(batch.num_rows, -1.0), []
-            for i, (terms, counts) in enumerate(zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)):
-                evidence.append([])
-                if terms and m.index:
-                    places, cosines = m.index.nearest(*weigh(terms, counts, m.idf), NEIGHBOURS)
-                    if len(places):
-                        raw[i] = m.index.vote(places, cosines)
-                        evidence[-1] = [{"doc_id": int(m.index.ids[p]), "label": int(m.index.labels[p]), "cosine": float(c)} for p, c in zip(places[:EVIDENCE], cosines[:EVIDENCE], strict=True)]
-            found = np.where(raw < 0, m.without_terms, np.clip(m.probability(np.maximum(raw, 0)), 0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found), pa.array(evidence, _EVIDENCE)], ["doc_id", "score", "evidence"])
-
-    return vectors.mapInArrow(run, f"doc_id {vectors.schema['doc_id'].dataType.simpleString()}, score double, evidence array<struct<doc_id: long, label: int, cosine: double>>")
+        words = Places(m.terms)
+        for whole in batches:
+            for own in slices(whole, "text", 1 << 20):
+                for start in range(0, own.num_rows, BATCH):
+                    batch = own.slice(start, BATCH)
+                    raw, evidence = np.full(batch.num_rows, np.nan), [[] for _ in range(batch.num_rows)]
+                    if m.index:
+                        places, cosines = m.index.nearest([weigh(*words.counts(x), m.importance) for x in batch.column("text").to_pylist()], NEIGHBOURS)
+                        raw = m.index.votes(places, cosines)
+                        for i, (p, c) in enumerate(zip(places[:, :EVIDENCE].tolist(), cosines[:, :EVIDENCE].tolist(), strict=True)):
+                            evidence[i] = [{"doc_id": int(m.index.ids[a]), "label": int(m.index.labels[a]), "cosine": b} for a, b in zip(p, c, strict=True) if a >= 0]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(m.probability(raw)), pa.array(evidence, _EVIDENCE)], ["doc_id", "score", "evidence"])
+
+    return docs.mapInArrow(tidied(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, evidence array<struct<doc_id: long, label: int, cosine: double>>")
 
 
 _EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
@@ -275,5 +352,6 @@ def held_out() -> Column:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, vectors = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held_out()))
-    return score(vectors, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
