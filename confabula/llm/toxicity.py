@@ -14,23 +14,23 @@
   each scored without itself.
 
 Documents are read twice, for the frequencies and for the scores, and never shuffled; what is broadcast (terms, index, fit) is
-bounded by the examples. Cosines are rounded to nine digits, so that the order of additions decides nothing.
+bounded by the examples. Cosines are sums in single precision, rounded to six digits.
 
 Defined cases: texts without a term of the examples (null and empty ones too) get the label's rate in all labelled rows; a text
 of any length counts whole; with no labelled rows every score is 0; equal similarities are ordered by the examples'
-place in the index; equal texts get equal scores; repeated labelled rows are examples as often as they come; an empty
+place in the index; equal texts get equal scores but for rounding; repeated labelled rows are examples as often as they come; an empty
 table stays empty; columns of the input that have the name of a result column are replaced.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,23 +46,24 @@ DENSE = 0.03
 NEIGHBOURS = 16
 EVIDENCE = 3
 THRESHOLD = 0.7
-#: Documents scored together.
-BATCH = 256
-
-_WORD = re.compile(r"[^\W\d_]+")
-
+#: Documents scored together, and what cosines are rounded to.
+BATCH, DIGITS = 256, 1e6
 
 def terms_of(word: str) -> list[str]:
-    return [word] + [word[:n] + "-" for n in (4, 5) if len(word) > n]
+    return [word] + [word[:n] + "-" for n in (4, 5) if len(word) > n] if word else []
 
 
-def word_counts(text: str | None) -> Counter:
-    return Counter(_WORD.findall(text.lower())) if text else Counter()
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The words (runs of letters, in lower case) of the texts: of each its text's row and its number in the list of distinct words."""
+    found = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), "")), r"[^\pL]+")
+    coded = found.flatten().dictionary_encode()
+    return np.repeat(np.arange(len(texts)), np.diff(np.asarray(found.offsets))), np.asarray(coded.indices), coded.dictionary.to_pylist()
 
 
 def term_counts(text: str | None) -> Counter:
     own: Counter = Counter()
-    for w, n in word_counts(text).items():
+    _, numbers, words = words_of(pa.array([text], pa.string()))
+    for w, n in zip(words, np.bincount(numbers, minlength=len(words)).tolist(), strict=True):
         for t in terms_of(w):
             own[t] += n
     return own
@@ -80,23 +81,29 @@ def examples_of(labels: DataFrame, doc_id: str, label: str, seed: int = 0) -> tu
 
 
 class Places:
-    """Words of a text -> places of their terms in the list of terms, remembered for words met before."""
+    """Texts -> places of their terms in the list of terms, remembered for words met before."""
 
     def __init__(self, terms: list[str]):
         self.place = {t: i for i, t in enumerate(terms)}
         self.memory: dict[str, tuple[int, ...]] = {}
 
-    def counts(self, text: str | None) -> tuple[list[int], list[int]]:
-        own: dict[int, int] = {}
-        for w, n in word_counts(text).items():
-            if (ids := self.memory.get(w)) is None:
-                if len(self.memory) > 300_000:
-                    self.memory.clear()
-                ids = self.memory[w] = tuple(self.place[t] for t in terms_of(w) if t in self.place)
-            for t in ids:
-                own[t] = own.get(t, 0) + n
-        order = sorted(own)
-        return order, [own[t] for t in order]
+    def of(self, word: str) -> tuple[int, ...]:
+        if (ids := self.memory.get(word)) is None:
+            if len(self.memory) > 300_000:
+                self.memory.clear()
+            ids = self.memory[word] = tuple(self.place[t] for t in terms_of(word) if t in self.place)
+        return ids
+
+    def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows (text, term, count), sorted by text and term."""
+        doc, numbers, words = words_of(texts)
+        ids = [self.of(w) for w in words]
+        size = np.array([len(x) for x in ids], np.int64)
+        flat, first = np.fromiter((t for x in ids for t in x), np.int64, int(size.sum())), np.cumsum(size) - size
+        many = size[numbers]
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[numbers], many)
+        keys, n = np.unique(np.repeat(doc, many) * max(1, len(self.place)) + flat[at], return_counts=True)
+        return keys // max(1, len(self.place)), keys % max(1, len(self.place)), n
 
 
 def document_frequency(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
@@ -105,10 +112,10 @@ def document_frequency(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, n = Places(known.value), np.zeros(len(known.value) + 1, np.int64)
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                n[places.counts(text)[0]] += 1
-            n[-1] += batch.num_rows
+        for whole in batches:
+            for batch in slices(whole, "text", 4 << 20):
+                n[:-1] += np.bincount(places.counts(batch.column("text"))[1], minlength=len(n) - 1)
+                n[-1] += batch.num_rows
         seen = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen])], ["term", "n"])
 
@@ -130,11 +137,10 @@ def factors(labels: np.ndarray, terms: list[np.ndarray], n_terms: int) -> np.nda
     return FLOOR + (1 - FLOOR) * np.where(pos / p > neg / n, np.minimum(1, ratio / FULL_RATIO), 0) ** 2
 
 
-def weigh(terms: list[int], counts: list[int], importance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms and TF-IDF weights of length 1."""
-    t = np.array(terms, np.int64)
-    w = (1 + np.log(np.array(counts, np.float64))) * importance[t]
-    return t, w / np.sqrt(w @ w) if len(w) else w
+def weigh(doc: np.ndarray, term: np.ndarray, counts: np.ndarray, importance: np.ndarray, n: int) -> np.ndarray:
+    """TF-IDF weights of rows (document, term, count), of length 1 for each of n documents."""
+    w = (1 + np.log(counts)) * importance[term]
+    return w / np.sqrt(np.bincount(doc, w * w, n))[doc]
 
 
 @dataclass
@@ -169,7 +175,7 @@ class BlockMaxIndex:
         term, w = (np.concatenate([x[k] for x in examples]) for k in (3, 4))
         row = np.full(n_terms, -1, np.int32)
         row[often] = np.arange(often.sum())
-        dense = np.zeros((int(often.sum()), blocks * BLOCK))
+        dense = np.zeros((int(often.sum()), blocks * BLOCK), np.float32)
         heavy = often[term]
         dense[row[term[heavy]], example[heavy]] = w[heavy]
         term, example, w = term[~heavy], example[~heavy], w[~heavy]
@@ -183,15 +189,12 @@ class BlockMaxIndex:
         about = [np.array([x[k] for x in examples], kind) for k, kind in ((0, np.int64), (1, np.int64), (2, np.float64))]
         return cls(*about, row, dense, first, (key[begin] % blocks).astype(np.int32), highest, begin.astype(np.int32), end.astype(np.int32), (example % BLOCK).astype(np.int16), w)
 
-    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """For each query (terms, weights) the places and cosines of the k nearest examples that share a term, nearest first; ties: the
-        lower place first; -1 where there are no more. without: for each query a place that is left out."""
-        n, blocks = len(queries), self.dense.shape[1] // BLOCK
-        doc = np.repeat(np.arange(n), [len(t) for t, _ in queries])
-        term, q = (np.concatenate([x[i] for x in queries]) if n else np.zeros(0, np.int64) for i in (0, 1))
-        term = term.astype(np.int64)
+    def nearest(self, doc: np.ndarray, term: np.ndarray, q: np.ndarray, n: int, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each of n documents, given by rows (document, term, weight), the places and cosines of the k nearest examples that share
+        a term, nearest first; ties: the lower place first; -1 where there are no more. without: for each a place that is left out."""
+        blocks = self.dense.shape[1] // BLOCK
         often = self.row[term] >= 0
-        dense = np.zeros((n, len(self.dense)))
+        dense = np.zeros((n, len(self.dense)), np.float32)
         dense[doc[often], self.row[term[often]]] = q[often]
         doc, term, q = doc[~often], term[~often], q[~often]
         many = self.first[term + 1] - self.first[term]
@@ -223,12 +226,12 @@ class BlockMaxIndex:
         score(need)
         k = min(k, scores.shape[1])
         reached = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-        more = ~need & (bounds > 0) & (bounds >= reached[:, None] - 1e-8)
+        more = ~need & (bounds > 0) & (bounds >= reached[:, None] - 1e-5)
         score(more)
-        keys = np.rint(scores * 1e9).astype(np.int64) * scores.shape[1] + np.arange(scores.shape[1])[::-1]
+        keys = np.rint(scores * DIGITS).astype(np.int64) * scores.shape[1] + np.arange(scores.shape[1])[::-1]
         best = np.argpartition(-keys, k - 1, axis=1)[:, :k]
         best = np.take_along_axis(best, np.argsort(-np.take_along_axis(keys, best, 1), axis=1), 1)
-        cosines = np.rint(np.take_along_axis(scores, best, 1) * 1e9) / 1e9
+        cosines = np.rint(np.take_along_axis(scores, best, 1) * DIGITS) / DIGITS
         return np.where(cosines > 0, best, -1), cosines
 
     def votes(self, places: np.ndarray, cosines: np.ndarray) -> np.ndarray:
@@ -289,7 +292,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     of = [np.array([t for t, _ in x], np.int64) for x in own]
     frequency, n = document_frequency(docs, terms)
     importance = (np.log((1 + n) / (1 + frequency)) + 1) * factors(np.array([r.label for r in rows]), of, len(terms))
-    weighed = [(r.doc_id, r.label, r.weight, *weigh(t, [k for _, k in x], importance)) for r, t, x in zip(rows, of, own, strict=True)]
+    weighed = []
+    for r, t, x in zip(rows, of, own, strict=True):
+        weighed.append((r.doc_id, r.label, r.weight, t, weigh(np.zeros(len(t), np.int64), t, np.array([k for _, k in x]), importance, 1)))
     model = Model(terms, importance, BlockMaxIndex.of(weighed, len(terms)), np.zeros(0), np.zeros(0), rate)
     by_example = {(int(i), int(y), k): p for p, (i, y, k) in enumerate(_numbered(zip(model.index.ids, model.index.labels, strict=True)))}
     at = np.array([by_example[int(i), int(y), k] for i, y, k in _numbered((x[0], x[1]) for x in weighed)])
@@ -301,7 +306,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         index, queries, at = known.value
         for batch in batches:
             for i in batch.column(0).to_pylist():
-                votes = index.votes(*index.nearest(queries[i : i + BATCH], NEIGHBOURS, at[i : i + BATCH]))
+                own = queries[i : i + BATCH]
+                doc = np.repeat(np.arange(len(own)), [len(t) for t, _ in own])
+                votes = index.votes(*index.nearest(doc, *(np.concatenate(x) for x in zip(*own, strict=True)), len(own), NEIGHBOURS, at[i : i + BATCH]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(votes), dtype=np.int32)), pa.array(votes, from_pandas=False)], ["i", "raw"])
 
     for r in parts.mapInArrow(leave_one_out, "i int, raw double").collect():  # the examples
@@ -335,7 +342,8 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                     batch = own.slice(start, BATCH)
                     raw, evidence = np.full(batch.num_rows, np.nan), [[] for _ in range(batch.num_rows)]
                     if m.index:
-                        places, cosines = m.index.nearest([weigh(*words.counts(x), m.importance) for x in batch.column("text").to_pylist()], NEIGHBOURS)
+                        doc, term, n = words.counts(batch.column("text"))
+                        places, cosines = m.index.nearest(doc, term, weigh(doc, term, n, m.importance, batch.num_rows), batch.num_rows, NEIGHBOURS)
                         raw = m.index.votes(places, cosines)
                         for i, (p, c) in enumerate(zip(places[:, :EVIDENCE].tolist(), cosines[:, :EVIDENCE].tolist(), strict=True)):
                             evidence[i] = [{"doc_id": int(m.index.ids[a]), "label": int(m.index.labels[a]), "cosine": b} for a, b in zip(p, c, strict=True) if a >= 0]
