@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -60,13 +61,16 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return np.repeat(np.arange(len(texts)), np.diff(np.asarray(found.offsets))), np.asarray(coded.indices), coded.dictionary.to_pylist()
 
 
-def term_counts(text: str | None) -> Counter:
-    own: Counter = Counter()
-    _, numbers, words = words_of(pa.array([text], pa.string()))
-    for w, n in zip(words, np.bincount(numbers, minlength=len(words)).tolist(), strict=True):
-        for t in terms_of(w):
-            own[t] += n
-    return own
+def term_counts(texts: pa.Array) -> list[Counter]:
+    """The terms of each text, as often as they come."""
+    rows, numbers, words = words_of(texts)
+    terms = [terms_of(w) for w in words]
+    found: list[Counter] = [Counter() for _ in range(len(texts))]
+    keys, n = np.unique(rows * max(1, len(words)) + numbers, return_counts=True)
+    for row, word, times in zip((keys // max(1, len(words))).tolist(), (keys % max(1, len(words))).tolist(), n.tolist(), strict=True):
+        for t in terms[word]:
+            found[row][t] += times
+    return found
 
 
 def examples_of(labels: DataFrame, doc_id: str, label: str, seed: int = 0) -> tuple[DataFrame, dict[int, int]]:
@@ -147,11 +151,12 @@ def weigh(doc: np.ndarray, term: np.ndarray, counts: np.ndarray, importance: np.
 class BlockMaxIndex:
     """Postings by term and block of examples, with the highest weight of every term in every block."""
 
+    order: np.ndarray = field(repr=False)  # place -> number of the example as given
     ids: np.ndarray
     labels: np.ndarray
     weights: np.ndarray
     row: np.ndarray = field(repr=False)  # term -> row of the dense lists, or -1
-    dense: np.ndarray = field(repr=False)  # dense lists: row x place
+    dense: np.ndarray = field(repr=False)  # dense lists: block x row x place in the block
     first: np.ndarray = field(repr=False)  # sparse terms: term -> where its blocks begin in the next four
     block: np.ndarray = field(repr=False)
     highest: np.ndarray = field(repr=False)
@@ -169,10 +174,11 @@ class BlockMaxIndex:
             w = np.where(often[x[3]], x[4], x[4] - 1)
             return int(x[3][np.argmax(w)]), -float(w.max()), x[0], x[1]
 
-        examples = sorted(examples, key=strongest)
+        given = sorted(range(len(examples)), key=lambda i: strongest(examples[i]))
+        examples = [examples[i] for i in given]
         blocks = -(-len(examples) // BLOCK)
         example = np.repeat(np.arange(len(examples)), [len(x[3]) for x in examples])
-        term, w = (np.concatenate([x[k] for x in examples]) for k in (3, 4))
+        term, w = (np.concatenate([x[k] for x in examples]).astype(kind) for k, kind in ((3, np.int64), (4, np.float64)))
         row = np.full(n_terms, -1, np.int32)
         row[often] = np.arange(often.sum())
         dense = np.zeros((int(often.sum()), blocks * BLOCK), np.float32)
@@ -187,20 +193,21 @@ class BlockMaxIndex:
         highest = np.maximum.reduceat(w, begin) if len(key) else w
         first = np.searchsorted(term[begin], np.arange(n_terms + 1))
         about = [np.array([x[k] for x in examples], kind) for k, kind in ((0, np.int64), (1, np.int64), (2, np.float64))]
-        return cls(*about, row, dense, first, (key[begin] % blocks).astype(np.int32), highest, begin.astype(np.int32), end.astype(np.int32), (example % BLOCK).astype(np.int16), w)
+        dense = np.ascontiguousarray(dense.reshape(len(dense), blocks, BLOCK).transpose(1, 0, 2))
+        return cls(np.array(given), *about, row, dense, first, (key[begin] % blocks).astype(np.int32), highest, begin.astype(np.int32), end.astype(np.int32), (example % BLOCK).astype(np.int16), w)
 
     def nearest(self, doc: np.ndarray, term: np.ndarray, q: np.ndarray, n: int, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """For each of n documents, given by rows (document, term, weight), the places and cosines of the k nearest examples that share
         a term, nearest first; ties: the lower place first; -1 where there are no more. without: for each a place that is left out."""
-        blocks = self.dense.shape[1] // BLOCK
-        often = self.row[term] >= 0
-        dense = np.zeros((n, len(self.dense)), np.float32)
+        term = term.astype(np.int64)
+        blocks, often = len(self.dense), self.row[term] >= 0
+        dense = np.zeros((n, self.dense.shape[1]), np.float32)
         dense[doc[often], self.row[term[often]]] = q[often]
         doc, term, q = doc[~often], term[~often], q[~often]
         many = self.first[term + 1] - self.first[term]
         at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.first[term], many)
         doc, q = np.repeat(doc, many), np.repeat(q, many)
-        bounds = dense @ self.dense.reshape(len(self.dense), blocks, BLOCK).max(axis=2) if len(self.dense) else np.zeros((n, blocks))
+        bounds = dense @ self.dense.max(axis=2).T
         bounds = bounds + np.bincount(doc * blocks + self.block[at], q * self.highest[at], n * blocks).reshape(n, blocks)
         order = np.argsort(self.block[at], kind="stable")
         doc, q, at = doc[order], q[order], at[order]
@@ -210,7 +217,7 @@ class BlockMaxIndex:
         def score(need: np.ndarray) -> None:
             for b in np.flatnonzero(need.any(axis=0)).tolist():
                 docs = np.flatnonzero(need[:, b])
-                own = dense[docs] @ self.dense[:, b * BLOCK : (b + 1) * BLOCK]
+                own = (dense if len(docs) == n else dense[docs]) @ self.dense[b]
                 inside = np.arange(edges[b], edges[b + 1])
                 inside = inside[need[doc[inside], b]]
                 size = self.end[at[inside]] - self.begin[at[inside]]
@@ -244,13 +251,23 @@ class BlockMaxIndex:
 
 @dataclass
 class Model:
+    """The index is built by each worker from the examples, which are much smaller, and not pickled."""
+
     terms: list[str]
     importance: np.ndarray
-    index: BlockMaxIndex | None
-    #: Raw vote -> probability, a rising step function.
-    steps: np.ndarray
-    values: np.ndarray
+    #: id, label, vote weight, terms, term weights.
+    examples: list[tuple[int, int, float, np.ndarray, np.ndarray]]
     rate: float
+    #: Raw vote -> probability, a rising step function.
+    steps: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    values: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+    @cached_property
+    def index(self) -> BlockMaxIndex | None:
+        return BlockMaxIndex.of(self.examples, len(self.terms)) if self.examples else None
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "index"}
 
     def probability(self, raw: np.ndarray) -> np.ndarray:
         known = np.interp(np.nan_to_num(raw), self.steps, self.values) if len(self.steps) else raw
@@ -278,14 +295,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [term_counts(x) for x in batch.column("text").to_pylist()]
+            found = term_counts(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "label", "weight")] + [pa.array([list(x) for x in found], pa.list_(pa.string())), pa.array([list(x.values()) for x in found], pa.list_(pa.int64()))], ["doc_id", "label", "weight", "terms", "counts"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     counted = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "weight", "text").mapInArrow(tidied(count), f"doc_id {kind}, label int, weight double, terms array<string>, counts array<long>")
     rows = sorted((r for r in stored(counted, "examples").collect() if r.terms), key=lambda r: (r.doc_id, r.label))  # the examples
     if not rows:
-        return Model([], np.zeros(0), None, np.zeros(0), np.zeros(0), rate)
+        return Model([], np.zeros(0), [], rate)
     terms = sorted({t for r in rows for t in r.terms})
     place = {t: i for i, t in enumerate(terms)}
     own = [sorted((place[t], n) for t, n in zip(r.terms, r.counts, strict=True)) for r in rows]
@@ -294,21 +311,22 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     importance = (np.log((1 + n) / (1 + frequency)) + 1) * factors(np.array([r.label for r in rows]), of, len(terms))
     weighed = []
     for r, t, x in zip(rows, of, own, strict=True):
-        weighed.append((r.doc_id, r.label, r.weight, t, weigh(np.zeros(len(t), np.int64), t, np.array([k for _, k in x]), importance, 1)))
-    model = Model(terms, importance, BlockMaxIndex.of(weighed, len(terms)), np.zeros(0), np.zeros(0), rate)
-    by_example = {(int(i), int(y), k): p for p, (i, y, k) in enumerate(_numbered(zip(model.index.ids, model.index.labels, strict=True)))}
-    at = np.array([by_example[int(i), int(y), k] for i, y, k in _numbered((x[0], x[1]) for x in weighed)])
+        w = weigh(np.zeros(len(t), np.int64), t, np.array([k for _, k in x]), importance, 1)
+        weighed.append((r.doc_id, r.label, r.weight, t.astype(np.int32), w.astype(np.float32)))
+    model = Model(terms, importance, weighed, rate)
     raw = np.full(len(weighed), np.nan)
-    known = spark.sparkContext.broadcast((model.index, [(x[3], x[4]) for x in weighed], at))
+    known = spark.sparkContext.broadcast(model)
     parts = spark.createDataFrame([(i,) for i in range(0, len(weighed), BATCH)], "i int").repartition(max(1, min(64, -(-len(weighed) // BATCH))), "i")
 
     def leave_one_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, queries, at = known.value
+        index, examples = known.value.index, known.value.examples
+        at = np.empty(len(examples), np.int64)
+        at[index.order] = np.arange(len(examples))
         for batch in batches:
             for i in batch.column(0).to_pylist():
-                own = queries[i : i + BATCH]
-                doc = np.repeat(np.arange(len(own)), [len(t) for t, _ in own])
-                votes = index.votes(*index.nearest(doc, *(np.concatenate(x) for x in zip(*own, strict=True)), len(own), NEIGHBOURS, at[i : i + BATCH]))
+                own = examples[i : i + BATCH]
+                doc = np.repeat(np.arange(len(own)), [len(x[3]) for x in own])
+                votes = index.votes(*index.nearest(doc, *(np.concatenate([x[k] for x in own]) for k in (3, 4)), len(own), NEIGHBOURS, at[i : i + BATCH]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(votes), dtype=np.int32)), pa.array(votes, from_pandas=False)], ["i", "raw"])
 
     for r in parts.mapInArrow(leave_one_out, "i int, raw double").collect():  # the examples
@@ -320,14 +338,6 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return model
 
 
-def _numbered(pairs) -> Iterator[tuple]:
-    """Pairs with how often the same pair came before."""
-    seen: Counter = Counter()
-    for a, b in pairs:
-        yield a, b, seen[int(a), int(b)]
-        seen[int(a), int(b)] += 1
-
-
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score, evidence): evidence is the nearest examples with their labels and cosines."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from confabula.llm import quality_pu, toxicity
@@ -26,8 +27,8 @@ def test_block_max_search_finds_what_comparing_with_all_finds(seed, monkeypatch)
     monkeypatch.setattr(toxicity, "DENSE", 0.1125)
     examples = [(i, y, w, np.where(t < 12, t, t * 7), v) for i, y, w, t, v in vectors(500, 40, seed)]
     index = toxicity.BlockMaxIndex.of(examples, 300)
-    assert 0 < len(index.dense) < 40
-    dense = np.zeros((index.dense.shape[1], 300))
+    assert 0 < index.dense.shape[1] < 40
+    dense = np.zeros((len(index.dense) * toxicity.BLOCK, 300))
     by_id = {x[0]: x for x in examples}
     for place, name in enumerate(index.ids):
         dense[place, by_id[name][3]] = by_id[name][4]
@@ -52,7 +53,7 @@ def test_toxicity_query_against_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     text = {r.doc_id: r.text for r in docs}
     learn = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.doc_id in text}
-    counts = {i: toxicity.term_counts(x) for i, x in text.items()}
+    counts = dict(zip(text, toxicity.term_counts(pa.array(list(text.values()), pa.string())), strict=True))
     examples = [i for i in learn if counts[i]]
     terms = sorted({t for i in examples for t in counts[i]})
     factor = dict(zip(terms, toxicity.factors(np.array([learn[i] for i in examples]), [np.array([k for k, t in enumerate(terms) if t in counts[i]]) for i in examples], len(terms)), strict=True))
