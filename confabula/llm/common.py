@@ -22,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Set here only where the session has none (tests, local runs)."""
+    """The folder that driver and executors share. Where the session names none, a local master gets a temporary folder (tests,
+    local runs); on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="confabula-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -39,7 +42,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing lazy refers to any more."""
+    for df in tables:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def remainder(column: str, n: int):

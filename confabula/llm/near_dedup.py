@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, packed, slices, stored, table, tidied
+from .common import bounded_batches, discard, packed, slices, stored, table, tidied
 from .hashing import LOWER, Substrings, mix, words
 from .id_filter import keep_ids
 
@@ -180,7 +180,7 @@ def sized(rows: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """Those of the pairs (a, b, n_a, n_b) of nodes whose full sets are similar enough.
+    """A stored table of those of the pairs (a, b, n_a, n_b) of nodes whose full sets are similar enough.
 
     A node's text becomes its set once for a task and node. Nodes with many pairs (at most one in A_TASK pairs) are spread:
     their text goes to several tasks, each with a share of the pairs.
@@ -193,7 +193,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     salted = likely.join(often, "b", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("a"), F.col("shares")), F.lit(0)).cast("int")).drop("shares")
     kept = texts.toDF("b", "text_b").join(often, "b", "left").select("b", "text_b", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias("salt"))
     full = salted.join(texts.toDF("a", "text_a"), "a").join(kept, ["b", "salt"])
-    return full.mapInArrow(tidied(_confirm(size)), "a long, b long").distinct()
+    links = stored(full.mapInArrow(tidied(_confirm(size)), "a long, b long").distinct(), "links")
+    discard(likely, texts, often)
+    return links
 
 
 def _confirm(size: int):
@@ -229,7 +231,8 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
-        edges = stored(small, "edges")
+        before, edges = edges, stored(small, "edges")
+        discard(before)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if (now.n, now.s) == state or now.n == 0:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
@@ -247,7 +250,7 @@ def links_between(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     members = stored(keys.join(shared, "key").select("key", "place", "node", "pivot"), "buckets")
     pairs = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     pairs = sized(sized(pairs, nodes, "a"), nodes, "b").where(alike("a", "b")).select("a", "b", "n_a", "n_b")
-    links = stored(confirmed(pairs, docs, size), "links")
+    links = confirmed(pairs, docs, size)
     parts = components(links)
     left = members.where("node <> pivot").select("key", "place", "node")
     while True:
@@ -278,7 +281,7 @@ def links_between(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
         met = a.join(b, (a["key"] == b["key"]) & (a["salt"] == b["salt"]) & (F.col("c") != F.col("d")) & once & alike("a", "b") & (F.col("place") == first_shared("a", "b")))
         swap = F.col("a") < F.col("b")
         pairs = met.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"), F.when(swap, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(swap, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b"))
-        more = stored(confirmed(pairs.toDF("a", "b", "n_a", "n_b").distinct(), docs, size), "links")
+        more = confirmed(pairs.toDF("a", "b", "n_a", "n_b").distinct(), docs, size)
         links = links.union(more)
         if more.limit(1).count():
             parts = components(links)

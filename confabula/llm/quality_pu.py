@@ -1,20 +1,22 @@
 """Document quality learnt from trusted positives and unlabelled text (non-negative PU learning).
 
-Positives are rows labelled 1; everything without a label is unlabelled. Labels of 0 aren't used. A bounded sample of each
-(SAMPLE, first by a hash of the id) is described by counts and ratios of its text; then
+Positives are rows labelled 1; everything that isn't given as labelled is unlabelled. Labels of 0 aren't used. A bounded sample of
+each (SAMPLE, first by a hash of the id) is described by counts and ratios of its text; then
 
-* a first classifier tells positives from unlabelled rows; on the half of the sample that it hasn't seen, the share of
-  positives among the unlabelled (the class prior) is the least ratio, over score thresholds, of unlabelled to positive rows
-  above the threshold, plus a margin for chance in either;
+* a first classifier tells positives from unlabelled rows. It scores all unlabelled rows, in parallel, and Spark counts them by
+  score. The share of positives among the unlabelled (the class prior) is the least ratio, over score thresholds, of
+  unlabelled to positive rows above the threshold, with a margin for chance in either when the threshold is chosen; the positives here
+  are the half that the classifier hasn't seen;
 * a second one minimises the risk  prior * loss(P as 1) + max(0, loss(U as 0) - prior * loss(P as 0)); where a batch makes
   the second part negative, the step goes the other way, so that it can't be fitted below zero.
 
-Both are networks with one hidden layer on standardised features, trained by gradient steps on the driver (SAMPLE bounds
-the rows). All documents are described and scored in one pass without a shuffle.
+Both are networks with one hidden layer on standardised features (N_FEATURES of them, about a thousand numbers in all), trained by
+gradient steps on the driver; SAMPLE bounds the rows, twelve for every number. No document is shuffled.
 
-Defined cases: a text without words (null, empty, white space) has score 0; rows with a null id aren't learnt from; with
-no positives or no unlabelled rows every score is 0; equal texts get equal scores; an empty table stays empty; columns of
-the input that have the name of a result column are replaced.
+Defined cases: a text without words (null, empty, white space) has score 0; a text of any length is described whole; rows with a
+null id aren't learnt from; repeated ids are learnt from as often as they come; with no positives or no unlabelled rows every
+score is 0; equal texts get equal scores; an empty table stays empty; columns of the input that have the name of a result
+column are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, slices, stored, table, utf8
+from .common import remainder, slices, stored, table, tidied, utf8
 
 #: Rows of each kind that are learnt from.
 SAMPLE = 12_000
@@ -117,6 +119,24 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def risk(on_p: np.ndarray, on_u: np.ndarray, prior: float) -> tuple[float, float]:
+    """Both parts of the risk of the scores (0 to 1) of positive and unlabelled rows: with positives as 1, and with the unlabelled as 0."""
+    off = lambda s: np.log1p(-np.minimum(s, 1 - 1e-12))
+    return float(-prior * np.log(np.maximum(on_p, 1e-12)).mean()), float(-off(on_u).mean() + prior * off(on_p).mean())
+
+
+def slopes(on_p: np.ndarray, on_u: np.ndarray, prior: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """How the risk changes with each row's margin; where its second part is below zero, that part's change the other way.
+
+    Of the logistic loss, d/dz of the loss as 1 is s - 1, of the loss as 0 it is s. prior None: positives against unlabelled.
+    """
+    if prior is None:
+        return (on_p - 1) / len(on_p), on_u / len(on_u)
+    if risk(on_p, on_u, prior)[1] >= 0:
+        return prior * (on_p - 1) / len(on_p) - prior * on_p / len(on_p), on_u / len(on_u)
+    return prior * on_p / len(on_p), -on_u / len(on_u)
+
+
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed: int = SEED) -> Network:
     """prior: minimise the non-negative PU risk with it; None: just tell positive from unlabelled rows."""
     rng = np.random.default_rng(seed)
@@ -134,15 +154,7 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, see
         hidden = np.tanh(rows @ a + b)
         s = sigmoid(hidden @ c + d)
         on_p, on_u = s[: len(x)], s[len(x) :]
-        # of the logistic loss: d/dz of loss as 1 is s - 1, of loss as 0 is s
-        if prior is None:
-            slope = np.concatenate([(on_p - 1) / len(x), on_u / len(y)])
-        else:
-            negative = -np.log1p(-np.minimum(on_u, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(on_p, 1 - 1e-12)).mean()
-            if negative >= 0:
-                slope = np.concatenate([prior * (on_p - 1) / len(x) - prior * on_p / len(x), on_u / len(y)])
-            else:
-                slope = np.concatenate([prior * on_p / len(x), -on_u / len(y)])
+        slope = np.concatenate(slopes(on_p, on_u, prior))
         back = np.outer(slope, c) * (1 - hidden**2)
         grads = [rows.T @ back + 1e-4 * a, back.sum(axis=0), hidden.T @ slope + 1e-4 * c, slope.sum()]
         rate = 3e-3 * (1 - step / (EPOCHS * steps)) + 1e-4
@@ -153,13 +165,19 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, see
     return net
 
 
-def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Share of positives among the unlabelled rows, from halves that the classifier hasn't seen."""
-    net = train(positive[::2], unlabelled[::2], None)
-    p, u = np.sort(net.margin(positive[1::2])), np.sort(net.margin(unlabelled[1::2]))
-    cuts = np.unique(np.quantile(p, np.linspace(0, 0.98, 200)))
-    above_p, above_u = 1 - np.searchsorted(p, cuts) / len(p), 1 - np.searchsorted(u, cuts) / len(u)
-    margin = np.sqrt(np.log(200) / (2 * len(u))) + np.sqrt(np.log(200) / (2 * len(p)))
+#: Score thresholds that are tried for the prior.
+CUTS = 200
+
+
+def cuts_of(margins: np.ndarray) -> np.ndarray:
+    return np.unique(np.quantile(margins, np.linspace(0, 0.98, CUTS)))
+
+
+def estimated_prior(positive: np.ndarray, cuts: np.ndarray, counts: np.ndarray) -> float:
+    """positive: margins of positives that the classifier hasn't seen; counts: unlabelled rows below the first cut, between cuts, and above."""
+    p, n = np.sort(positive), max(1, int(counts.sum()))
+    above_p, above_u = 1 - np.searchsorted(p, cuts) / len(p), counts[::-1].cumsum()[::-1][1:] / n
+    margin = np.sqrt(np.log(CUTS) / (2 * n)) + np.sqrt(np.log(CUTS) / (2 * len(p)))
     best = int(np.argmin((above_u + margin) / np.maximum(above_p, 1e-9)))
     return float(np.clip(above_u[best] / max(above_p[best], 1e-9), 0.01, 0.99))
 
@@ -171,7 +189,7 @@ class Model:
 
 
 def fit(docs: DataFrame, positives: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
-    """positives: ids of trusted positives; labelled: ids of all rows that have a label, whatever it is."""
+    """positives: ids of trusted positives; labelled: ids of all rows that aren't to be taken as unlabelled."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def sample(ids: DataFrame) -> DataFrame:
@@ -184,7 +202,28 @@ def fit(docs: DataFrame, positives: DataFrame, labelled: DataFrame, doc_id: str
     positive, unlabelled = (np.array([r.features for r in rows if r.positive == kind]) for kind in (True, False))
     if len(positive) < 4 or len(unlabelled) < 4:
         return Model(None, 0.0)
-    prior = estimated_prior(positive, unlabelled)
+    first = train(positive[::2], unlabelled[::2], None)
+    unseen = first.margin(positive[1::2])
+    cuts = cuts_of(unseen)
+    known = docs.sparkSession.sparkContext.broadcast((first, cuts))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, edges = known.value
+        for whole in batches:
+            for batch in slices(whole, "text", 4 << 20):
+                found = [describe(x) for x in utf8(batch.column("text"))]
+                full = [i for i, x in enumerate(found) if x is not None]
+                if full:
+                    at = np.searchsorted(edges, net.margin(np.array([found[i] for i in full])), "right")
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(full)), pa.array(at)], ["doc_id", "bin"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    bins = docs.where("doc_id is not null").mapInArrow(tidied(place), f"doc_id {kind}, bin long")
+    unseen_rows = bins.join(labelled.select(F.col(doc_id).alias("doc_id")), "doc_id", "left_anti").groupBy("bin").agg(F.count("*").alias("n"))
+    counts = np.zeros(len(cuts) + 1, np.int64)
+    for r in unseen_rows.collect():  # at most CUTS + 1 rows
+        counts[r.bin] = r.n
+    prior = estimated_prior(unseen, cuts, counts)
     return Model(train(positive, unlabelled, prior), prior)
 
 
@@ -213,5 +252,5 @@ def held_out() -> Column:
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = fit(docs, labels.where(~held_out() & (F.col("quality") == 1)), labels)
+    model = fit(docs, labels.where(~held_out() & (F.col("quality") == 1)), labels.where(~held_out()))
     return score(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

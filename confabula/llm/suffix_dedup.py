@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, packed, slices, stored, table, tidied, utf8
+from .common import bounded_batches, discard, packed, slices, stored, table, tidied, utf8
 from .hashing import Substrings, mix
 from .id_filter import id_bitmap, keep_ids
 
@@ -433,7 +433,7 @@ def _merge(of: Lengths):
 
 
 def marked_rows(docs: DataFrame, of: Lengths, hot_at: int) -> DataFrame:
-    """(rid, prefixes, hot): the fingerprints of each row that are there more than once, and those of them that are hot."""
+    """A stored table (rid, prefixes, hot): the fingerprints of each row that are there more than once, and those of them that are hot."""
     prints = docs.select("rid", "text").mapInArrow(tidied(_fingerprints(of)), "prefix long, rid long")
     twice = prints.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1")
     spread = F.when(F.col("n") > hot_at, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
@@ -447,12 +447,14 @@ def marked_rows(docs: DataFrame, of: Lengths, hot_at: int) -> DataFrame:
     else:
         salted, sides = prints.withColumn("salt", F.lit(0)), sides.where("salt = 0")
     found = salted.join(sides, ["prefix", "salt"]).groupBy("rid")
-    return found.agg(F.collect_set("prefix").alias("prefixes"), F.collect_set(F.when(F.col("hot"), F.col("prefix"))).alias("hot"))
+    marked = stored(found.agg(F.collect_set("prefix").alias("prefixes"), F.collect_set(F.when(F.col("hot"), F.col("prefix"))).alias("hot")), "marked")
+    discard(twice)
+    return marked
 
 
 def repeated_spans(docs: DataFrame, of: Lengths, hot_at: int = HOT) -> DataFrame:
-    """docs: (rid, doc_id, text). (rid, doc_id, spans) of the documents with strings that also start elsewhere; spans: (first, end, size)."""
-    again = stored(marked_rows(docs, of, hot_at), "prefixes")
+    """docs: (rid, doc_id, text). A stored table (rid, doc_id, spans) of the documents with strings that also start elsewhere; spans: (first, end, size)."""
+    again = marked_rows(docs, of, hot_at)
     total = again.agg(F.sum(F.size("prefixes")).alias("n")).first().n or 0
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(tasks, math.ceil(total / ENTRIES))
@@ -460,6 +462,7 @@ def repeated_spans(docs: DataFrame, of: Lengths, hot_at: int = HOT) -> DataFrame
     bitmap = id_bitmap(again, "rid")
     texts = keep_ids(docs, "rid", again, bitmap, exact=False).join(again, "rid")
     runs = stored(texts.mapInArrow(tidied(sorted_runs(parts, of)), RUNS), "runs")
+    discard(again)
     chunks = runs.where("part is not null").select("part", "run", "heads", "rest").repartition(tasks, "part").sortWithinPartitions("part", "run")
     found = chunks.mapInArrow(tidied(_merge(of)), "run long, entry long, first long, last long, size long")
     hot = runs.where("size is not null")
@@ -472,7 +475,9 @@ def repeated_spans(docs: DataFrame, of: Lengths, hot_at: int = HOT) -> DataFrame
     places = runs.where("rid is not null").select("run", "rid", "doc_id", "entries", "firsts", F.lit(1).alias("kind"))
     both = found.unionByName(places, allowMissingColumns=True).repartition(tasks, "run").sortWithinPartitions("run", "kind")
     spans = both.select("run", "kind", "entry", "first", "last", "size", "rid", "doc_id", "entries", "firsts").mapInArrow(tidied(_placed), "rid long, doc_id long, spans array<struct<first: long, end: long, size: int>>")
-    return spans.groupBy("rid", "doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    out = stored(spans.groupBy("rid", "doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans")), "repeats")
+    discard(runs)
+    return out
 
 
 _SIZED = pa.struct([("first", pa.int64()), ("end", pa.int64()), ("size", pa.int32())])
@@ -568,7 +573,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     names = docs.columns
     rows = docs.withColumn("_rid", row_id(doc_id, text)).withColumn("_id", F.col(doc_id).cast("long"))
     long = rows.where(F.octet_length(text) >= of.base).select(F.col("_rid").alias("rid"), F.col("_id").alias("doc_id"), F.col(text).alias("text"))
-    spans = stored(repeated_spans(long, of, hot_at).toDF("_rid", "_id", "_spans"), "repeats")
+    spans = repeated_spans(long, of, hot_at).toDF("_rid", "_id", "_spans")
     bitmap = id_bitmap(spans, "_rid")
     types = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [RESULT] + [f"{c} long" for c in ALSO[: 2 * len(of.sizes) - 2]] + ["kept_text string" if as_text else "kept_bytes binary"])
     maybe = keep_ids(rows, "_rid", spans, bitmap, exact=False)

@@ -129,6 +129,67 @@ def test_quality_needs_positives_and_scores_empty_texts_zero(spark):
     assert {r.score for r in quality_pu.score(docs, quality_pu.fit(docs, positives.where("false"), positives)).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("low", [False, True])
+def test_steps_follow_the_risk(low):
+    """Against differences of the risk: down where its second part is positive, and else up that part alone."""
+    rng = np.random.default_rng(3)
+    z_p, z_u, prior = rng.normal(2 if low else 0, 1, 9), rng.normal(-5 if low else 1, 1, 7), 0.6
+    value = lambda a, b: (lambda r: -r[1] if low else r[0] + r[1])(quality_pu.risk(quality_pu.sigmoid(a), quality_pu.sigmoid(b), prior))
+    assert (quality_pu.risk(quality_pu.sigmoid(z_p), quality_pu.sigmoid(z_u), prior)[1] < 0) is low
+    on_p, on_u = quality_pu.slopes(quality_pu.sigmoid(z_p), quality_pu.sigmoid(z_u), prior)
+    step = 1e-6
+    for i in range(9):
+        assert on_p[i] == pytest.approx((value(z_p + step * np.eye(9)[i], z_u) - value(z_p, z_u)) / step, abs=1e-4)
+    for i in range(7):
+        assert on_u[i] == pytest.approx((value(z_p, z_u + step * np.eye(7)[i]) - value(z_p, z_u)) / step, abs=1e-4)
+
+
+def test_prior_of_a_known_mixture():
+    rng = np.random.default_rng(4)
+    positive, negative = rng.normal(2, 1, 4000), rng.normal(-2, 1, 4000)
+    cuts = quality_pu.cuts_of(positive[:2000])
+    for share in (0.2, 0.7):
+        n = int(4000 * share)
+        mixed = np.concatenate([positive[4000 - n :] if n <= 2000 else rng.normal(2, 1, n), negative[: 4000 - n]])
+        counts = np.bincount(np.searchsorted(cuts, mixed, "right"), minlength=len(cuts) + 1)
+        assert quality_pu.estimated_prior(positive[:2000], cuts, counts) == pytest.approx(share, abs=0.06)
+
+
+def test_quality_query_against_plain_python(spark, sf_dir):
+    """The same model and scores, without Spark but for the order of the sample."""
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows}
+    about = {r.doc_id: quality_pu.describe(r.text.encode() if r.text else None) for r in rows}
+    learnt = {i for i in labels if i in held and not held[i]}
+    p = np.array([about[r.doc_id] for r in rows if r.doc_id in learnt and labels[r.doc_id] == 1 and about[r.doc_id]])
+    u = np.array([about[r.doc_id] for r in rows if r.doc_id not in learnt and about[r.doc_id]])
+    first = quality_pu.train(p[::2], u[::2], None)
+    unseen = first.margin(p[1::2])
+    cuts = quality_pu.cuts_of(unseen)
+    prior = quality_pu.estimated_prior(unseen, cuts, np.bincount(np.searchsorted(cuts, first.margin(u), "right"), minlength=len(cuts) + 1))
+    net = quality_pu.train(p, u, prior)
+    for r in quality_pu.op4_quality_classifier(spark, sf_dir).collect():
+        want = float(net.probability(np.array([about[r.doc_id]]))[0]) if about[r.doc_id] else 0.0
+        assert r.score == pytest.approx(want, abs=1e-6) and r.held_out == held[r.doc_id] and r.predicted == (r.score >= 0.7)
+
+
+def test_quality_of_repeated_rows_ties_and_an_empty_table(spark):
+    good = [(i % 20, " ".join(f"Word{j * i % 31} runs well, over there." for j in range(40)), 1) for i in range(40)]
+    junk = [(100 + i % 40, "$ # ! buy now now now | x" * (5 + i % 40), None) for i in range(80)]
+    docs = spark.createDataFrame([*good, *junk], SCHEMA)
+    model = quality_pu.fit(docs, docs.where("label = 1").select("doc_id"), docs.where("label = 1").select("doc_id"))
+    rows = quality_pu.score(docs, model).collect()
+    assert len(rows) == 120 and len({r.score for r in rows if r.doc_id == 101}) == 1
+    assert quality_pu.score(docs.where("false"), model).count() == 0
+    none = quality_pu.fit(docs.where("false"), docs.select("doc_id"), docs.select("doc_id"))
+    assert {r.score for r in quality_pu.score(docs, none).collect()} == {0.0}
+
+
 @pytest.mark.parametrize(("query", "label", "least"), [(toxicity.op3_toxicity, "toxic", 0.85), (quality_pu.op4_quality_classifier, "quality", 0.7)])
 def test_held_out_labels_are_told_apart(query, label, least, spark):
     """Share of pairs of a held-out 1 and a held-out 0 that the scores put in order."""
