@@ -6,9 +6,9 @@ mostly of repeated three-word windows, are rejected whatever their lines say.
 
 One pass over the partitions, no shuffle, memory bounded by a batch. Words are runs of anything but ASCII white space.
 
-Defined cases: a null text has no words and no lines, so it fails the base rules; an empty text likewise; documents that
-are equal get equal verdicts; an empty table stays empty; columns of the input that have the name of a result column are
-replaced.
+Defined cases: a null text has no words and no lines, so it fails the base rules; an empty text likewise; a text of any
+length is judged whole; documents that are equal get equal verdicts, and repeated rows each have theirs; an empty table
+stays empty; columns of the input that have the name of a result column are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, table, utf8
 
-#: Phrases of licence, legal and browser notices, in lower case.
+#: Phrases of licence, legal and browser notices in four languages, in lower case.
 BOILERPLATE = (
     "all rights reserved",
     "licensed under",
@@ -36,6 +36,13 @@ BOILERPLATE = (
     "uses cookies",
     "enable javascript",
     "lorem ipsum",
+    "tous droits réservés",
+    "politique de confidentialité",
+    "alle rechte vorbehalten",
+    "datenschutzerklärung",
+    "nutzungsbedingungen",
+    "todos los derechos reservados",
+    "política de privacidad",
 )
 #: What may end a short line that isn't a heading or a menu entry.
 ENDINGS = (".", "!", "?", ":", ";", ",", '"', "'", ")", "…", "”", "»")

@@ -47,6 +47,7 @@ RULES = quality_rules.Rules()
         (b"a | b | c | d.", True),
         (b"Licensed under the Some Licence, version 2.", True),
         (b"### $$$ a b.", True),
+        ("Alle Rechte vorbehalten, auch die der Übersetzung und Vervielfältigung.".encode(), True),
         (b"stop!! it!! now!!", True),
         ("Ein Satz mit „Worten“ und … Ende.".encode(), False),
     ],
@@ -63,9 +64,10 @@ def test_repeated_words_counts_words_in_repeated_windows():
 
 def test_rules_over_rows(spark):
     good = " ".join(f"word{i} runs{i} on{i} and{i} on." for i in range(40))
-    rows = [(1, good), (2, good + "\nHome\nAll rights reserved."), (3, None), (4, ""), (None, "a b c " * 100), (5, "\n".join(["x | y | z"] * 30) + "\n" + good)]
+    rows = [(6, good + ("\n" + good) * 400), (1, good), (1, good), (2, good + "\nHome\nAll rights reserved."), (3, None), (4, ""), (None, "a b c " * 100), (5, "\n".join(["x | y | z"] * 30) + "\n" + good)]
     out = {r.doc_id: r for r in quality_rules.apply_rules(frame(spark, rows).selectExpr("*", "'?' AS kept"), clean=True).collect()}
     assert [out[i].kept for i in (1, 2, 3, 4, None, 5)] == [True, True, False, False, False, False]
+    assert out[6].n_words == 401 * 200 and out[6].base_failed and out[6].n_dup_lines == 400
     assert out[1].clean_text is None and out[2].clean_text == good and out[2].n_removed_lines == 2
     assert out[5].n_dup_lines == 29 and out[None].base_failed and out[3].n_words == 0
     assert quality_rules.apply_rules(spark.createDataFrame([], SCHEMA)).count() == 0
