@@ -13,8 +13,8 @@
 * Votes are weighted by one over distance. The raw vote is turned into a probability by a monotone fit on the examples,
   each scored without itself.
 
-Documents are read twice, for the frequencies and for the scores, and never shuffled; what is broadcast (terms, index, fit) is
-bounded by the examples. Cosines are sums in single precision, rounded to six digits.
+Documents are read once; their terms are written as numbers, which give the frequencies and then the scores. What is
+broadcast (terms, examples, fit) is bounded by the examples. Cosines are sums in single precision, rounded to six digits.
 
 Defined cases: texts without a term of the examples (null and empty ones too) get the label's rate in all labelled rows; a text
 of any length counts whole; with no labelled rows every score is 0; equal similarities are ordered by the examples'
@@ -110,21 +110,46 @@ class Places:
         return keys // max(1, len(self.place)), keys % max(1, len(self.place)), n
 
 
-def document_frequency(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
-    """In how many documents each term is, and how many documents there are."""
+def term_vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """(doc_id, steps, counts) of docs (doc_id, text): the places of a text's terms, as differences, and how often each comes."""
     known = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, n = Places(known.value), np.zeros(len(known.value) + 1, np.int64)
+        places = Places(known.value)
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
-                n[:-1] += np.bincount(places.counts(batch.column("text"))[1], minlength=len(n) - 1)
-                n[-1] += batch.num_rows
+                doc, term, n = places.counts(batch.column("text"))
+                edges = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
+                steps = np.diff(term, prepend=0)
+                steps[edges[:-1][edges[:-1] < len(term)]] = term[edges[:-1][edges[:-1] < len(term)]]
+                lists = [pa.ListArray.from_arrays(pa.array(edges), pa.array(x.astype(np.int32))) for x in (steps, n)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], ["doc_id", "steps", "counts"])
+
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, steps array<int>, counts array<int>")
+
+
+def rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (document, term, count) of a batch of term_vectors()."""
+    size = np.diff(np.asarray(batch.column("steps").offsets))
+    steps, n = (np.asarray(batch.column(c).flatten()).astype(np.int64) for c in ("steps", "counts"))
+    upto, first = np.cumsum(steps), np.cumsum(size) - size
+    before = np.concatenate([[0], upto])[first]
+    return np.repeat(np.arange(len(size)), size), upto - np.repeat(before, size), n
+
+
+def document_frequency(vectors: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
+    """In how many documents each term is, and how many documents there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(n_terms + 1, np.int64)
+        for batch in batches:
+            n[:-1] += np.bincount(rows_of(batch)[1], minlength=n_terms)
+            n[-1] += batch.num_rows
         seen = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen])], ["term", "n"])
 
-    found = np.zeros(len(terms) + 1, np.int64)
-    counts = docs.select("text").mapInArrow(tidied(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row a term of the examples
+    found = np.zeros(n_terms + 1, np.int64)
+    counts = vectors.mapInArrow(tidied(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row a term of the examples
     found[counts["term"].to_numpy()] = counts["n"].to_numpy()
     return found[:-1], int(found[-1])
 
@@ -287,7 +312,8 @@ def rising_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     return centres, np.array([s / n for s, n, _ in levels])
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[Model, DataFrame]:
+    """The model, and a stored table of the documents' term vectors for score()."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     chosen, totals = examples_of(labels, doc_id, label)  # at most MAX_POSITIVE + MAX_NEGATIVE rows, so it may be broadcast
@@ -300,19 +326,27 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     counted = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "weight", "text").mapInArrow(tidied(count), f"doc_id {kind}, label int, weight double, terms array<string>, counts array<long>")
-    rows = sorted((r for r in stored(counted, "examples").collect() if r.terms), key=lambda r: (r.doc_id, r.label))  # the examples
-    if not rows:
-        return Model([], np.zeros(0), [], rate)
-    terms = sorted({t for r in rows for t in r.terms})
-    place = {t: i for i, t in enumerate(terms)}
-    own = [sorted((place[t], n) for t, n in zip(r.terms, r.counts, strict=True)) for r in rows]
-    of = [np.array([t for t, _ in x], np.int64) for x in own]
-    frequency, n = document_frequency(docs, terms)
-    importance = (np.log((1 + n) / (1 + frequency)) + 1) * factors(np.array([r.label for r in rows]), of, len(terms))
-    weighed = []
-    for r, t, x in zip(rows, of, own, strict=True):
-        w = weigh(np.zeros(len(t), np.int64), t, np.array([k for _, k in x]), importance, 1)
-        weighed.append((r.doc_id, r.label, r.weight, t.astype(np.int32), w.astype(np.float32)))
+    rows = stored(counted, "examples").where("size(terms) > 0").orderBy("doc_id", "label").toArrow().combine_chunks()  # the examples
+    if not rows.num_rows:
+        return Model([], np.zeros(0), [], rate), stored(term_vectors(docs, []), "vectors")
+    lists = rows["terms"].combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    by_name = np.asarray(pc.sort_indices(coded.dictionary))
+    terms = coded.dictionary.take(pa.array(by_name)).to_pylist()
+    place = np.empty(len(terms), np.int64)
+    place[by_name] = np.arange(len(terms))
+    example = np.repeat(np.arange(rows.num_rows), np.diff(np.asarray(lists.offsets)))
+    term, n = place[np.asarray(coded.indices)], np.asarray(rows["counts"].combine_chunks().flatten())
+    order = np.lexsort((term, example))
+    example, term, n = example[order], term[order], n[order]
+    vectors = stored(term_vectors(docs, terms), "vectors")
+    frequency, total = document_frequency(vectors, len(terms))
+    edges = np.searchsorted(example, np.arange(rows.num_rows + 1))
+    of = [term[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+    ids, labels_, votes_ = (rows[c].to_pylist() for c in ("doc_id", "label", "weight"))
+    importance = (np.log((1 + total) / (1 + frequency)) + 1) * factors(np.array(labels_), of, len(terms))
+    w = weigh(example, term, n, importance, rows.num_rows).astype(np.float32)
+    weighed = [(ids[i], labels_[i], votes_[i], of[i].astype(np.int32), w[edges[i] : edges[i + 1]]) for i in range(rows.num_rows)]
     model = Model(terms, importance, weighed, rate)
     raw = np.full(len(weighed), np.nan)
     known = spark.sparkContext.broadcast(model)
@@ -335,31 +369,32 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if full.any():
         y, w = (np.array([x[k] for x in weighed], np.float64)[full] for k in (1, 2))
         model.steps, model.values = rising_fit(raw[full], y, w)
-    return model
+    return model, vectors
 
 
-def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score, evidence): evidence is the nearest examples with their labels and cosines."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    known = docs.sparkSession.sparkContext.broadcast(model)
+def score(vectors: DataFrame, model: Model) -> DataFrame:
+    """vectors: from fit(), or term_vectors() of other documents with the model's terms. (doc_id, score, evidence): evidence is the
+    nearest examples with their labels and cosines."""
+    known = vectors.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
-        words = Places(m.terms)
         for whole in batches:
-            for own in slices(whole, "text", 1 << 20):
-                for start in range(0, own.num_rows, BATCH):
-                    batch = own.slice(start, BATCH)
-                    raw, evidence = np.full(batch.num_rows, np.nan), [[] for _ in range(batch.num_rows)]
-                    if m.index:
-                        doc, term, n = words.counts(batch.column("text"))
-                        places, cosines = m.index.nearest(doc, term, weigh(doc, term, n, m.importance, batch.num_rows), batch.num_rows, NEIGHBOURS)
-                        raw = m.index.votes(places, cosines)
-                        for i, (p, c) in enumerate(zip(places[:, :EVIDENCE].tolist(), cosines[:, :EVIDENCE].tolist(), strict=True)):
-                            evidence[i] = [{"doc_id": int(m.index.ids[a]), "label": int(m.index.labels[a]), "cosine": b} for a, b in zip(p, c, strict=True) if a >= 0]
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(m.probability(raw)), pa.array(evidence, _EVIDENCE)], ["doc_id", "score", "evidence"])
-
-    return docs.mapInArrow(tidied(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, evidence array<struct<doc_id: long, label: int, cosine: double>>")
+            for start in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(start, BATCH)
+                raw, evidence = np.full(batch.num_rows, np.nan), [[] for _ in range(batch.num_rows)]
+                if m.index:
+                    doc, term, n = rows_of(batch)
+                    places, cosines = m.index.nearest(doc, term, weigh(doc, term, n, m.importance, batch.num_rows), batch.num_rows, NEIGHBOURS)
+                    raw = m.index.votes(places, cosines)
+                    for i, (p, c) in enumerate(zip(places[:, :EVIDENCE].tolist(), cosines[:, :EVIDENCE].tolist(), strict=True)):
+                        evidence[i] = [{"doc_id": int(m.index.ids[a]), "label": int(m.index.labels[a]), "cosine": b} for a, b in zip(p, c, strict=True) if a >= 0]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(m.probability(raw)), pa.array(evidence, _EVIDENCE)], ["doc_id", "score", "evidence"])
+
+    # vectors are smaller than texts, so files would give few tasks to the dearest step
+    least = vectors.sparkSession.sparkContext.defaultParallelism
+    spread = vectors if vectors.rdd.getNumPartitions() >= least else vectors.repartition(least)
+    return spread.mapInArrow(tidied(run), f"doc_id {vectors.schema['doc_id'].dataType.simpleString()}, score double, evidence array<struct<doc_id: long, label: int, cosine: double>>")
 
 
 _EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
@@ -370,6 +405,5 @@ def held_out() -> Column:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
-    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    model, vectors = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held_out()))
+    return score(vectors, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

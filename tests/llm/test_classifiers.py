@@ -101,20 +101,22 @@ def rows(spark, bad: str, n: int = 60):
 
 def test_toxicity_over_odd_rows(spark):
     docs = rows(spark, "vile").selectExpr("*", "'x' AS score", "1 AS evidence")
-    model = toxicity.fit(docs, docs.select("doc_id", "label"), label="label")
-    out = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    model, found = toxicity.fit(docs, docs.select("doc_id", "label"), label="label")
+    out = {r.doc_id: r for r in toxicity.score(found, model).collect()}
     assert len(out) == 64
     assert out[0].score > 0.7 > out[1].score and out[62].score > 0.7 and out[None].score == pytest.approx(out[0].score, abs=0.3)
     assert out[60].score == out[61].score == 0.5  # no term: the label's rate
     assert out[0].evidence and all(e.label == 1 for e in out[0].evidence)
     assert out[0].score == pytest.approx(out[14].score, abs=1e-4) and out[1].score == pytest.approx(out[15].score, abs=1e-4)  # equal texts
-    none = toxicity.fit(docs, docs.select("doc_id", "label").where("false"), label="label")
-    assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
+    none, found = toxicity.fit(docs, docs.select("doc_id", "label").where("false"), label="label")
+    assert {r.score for r in toxicity.score(found, none).collect()} == {0.0}
     twice = docs.union(docs)
-    again = toxicity.fit(twice, twice.select("doc_id", "label"), label="label")
-    assert toxicity.score(twice, again).count() == 128
+    again, found = toxicity.fit(twice, twice.select("doc_id", "label"), label="label")
+    assert toxicity.score(found, again).count() == 128
+    assert toxicity.score(toxicity.term_vectors(docs, again.terms), again).count() == 64
     empty = docs.where("false")
-    assert toxicity.score(empty, toxicity.fit(empty, docs.select("doc_id", "label"), label="label")).count() == 0
+    model, found = toxicity.fit(empty, docs.select("doc_id", "label"), label="label")
+    assert toxicity.score(found, model).count() == 0
 
 
 def test_quality_needs_positives_and_scores_empty_texts_zero(spark):
