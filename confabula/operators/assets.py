@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import truncate, utf8_or_null
+from ..functions.text import cache_key, safe_path, safe_segment, truncate, utf8_or_null
 from .skills import rendered_skill
 
 
@@ -39,6 +39,13 @@ def fetched(requests: DataFrame, local: DataFrame, remote: DataFrame) -> DataFra
     return joined.withColumn("content", F.coalesce("_near", "_far")).withColumn("place", place).drop("_near", "_far")
 
 
+def addressed(requests: DataFrame, objects: DataFrame) -> DataFrame:
+    """requests: (skill_id, version, path) and more. The content under the key they make; null where a part isn't safe or nothing is there."""
+    safe = safe_segment(F.col("skill_id")) & safe_segment(F.col("version")) & safe_path(F.col("path"))
+    keyed = requests.withColumn("object_key", F.when(safe, object_key(F.col("skill_id"), F.col("version"), F.col("path"))))
+    return keyed.join(objects.select("object_key", "content"), "object_key", "left").withColumn("cache_key", cache_key(F.col("object_key")))
+
+
 def live_entries(cache: DataFrame, now: Column, ttl: str) -> DataFrame:
     """Cache entries that were read within the time to live."""
     return cache.where(F.col("last_access") >= now - F.expr(ttl))

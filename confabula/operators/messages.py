@@ -135,6 +135,22 @@ def prompt_sections(messages: DataFrame, summaries: DataFrame, facts: DataFrame,
     return head.union(summary).union(history)
 
 
+def full_prompt(sections: DataFrame, skills: DataFrame, frontend: DataFrame, queries: DataFrame) -> DataFrame:
+    """prompt_sections() with the skills on offer after the summary, and what the frontend shows and the user's query at the end.
+
+    skills: (session_id, skill_id, description); frontend, queries: (session_id, text). Sections without text are left out.
+    """
+    line = F.concat(F.lit("- "), F.col("skill_id"), F.lit(": "), F.coalesce("description", F.lit("")))
+    offered = skills.groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("content"))
+
+    def section(rows: DataFrame, number: int, role: str) -> DataFrame:
+        return rows.where("coalesce(content, '') <> ''").select("session_id", F.lit(number).cast("long").alias("section"), F.lit(0).cast("long").alias("pos"), F.lit(role).alias("role"), "content")
+
+    later = sections.withColumn("section", F.when(F.col("section") > 2, F.col("section") + 1).otherwise(F.col("section")))
+    out = later.unionByName(section(offered, 3, "system"))
+    return out.unionByName(section(frontend.withColumnRenamed("text", "content"), 6, "system")).unionByName(section(queries.withColumnRenamed("text", "content"), 7, "user"))
+
+
 def llm_row() -> Column:
     """A message as JSON for a model: role and content, and tool_calls, tool_call_id and name only where they have a value."""
     keep = lambda c: F.nullif(F.col(c), F.lit(""))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import masked
+
 
 def choice() -> list[Column]:
     return [F.desc("is_preferred"), F.asc("priority"), F.asc("created_at"), F.asc("provider_id")]
@@ -171,3 +173,20 @@ def bind_outcome(requests: DataFrame, models: DataFrame, providers: DataFrame, k
         .otherwise("OK")
     )
     return joined.select("model_id", "provider_id", "user_id", outcome.alias("outcome"))
+
+
+def provider_response(providers: DataFrame) -> DataFrame:
+    """What clients see of a provider: no key, a mask instead."""
+    return providers.select(F.col("id").cast("string").alias("id"), "name", masked(F.col("api_key")).alias("api_key_masked"), "is_active")
+
+
+def mapping_response(mappings: DataFrame, providers: DataFrame) -> DataFrame:
+    """What clients see of a mapping, with its provider's name where that is known."""
+    named = providers.select(F.col("id").alias("provider_id"), F.col("name").alias("provider_name"))
+    return mappings.join(named, "provider_id", "left").select(F.col("model_id").cast("string").alias("model_id"), F.col("provider_id").cast("string").alias("provider_id"), "provider_name", "is_preferred", "is_active", "priority")
+
+
+def model_response(models: DataFrame) -> DataFrame:
+    """What clients see of a model: limits that aren't set are null."""
+    limit = lambda c: F.nullif(F.col(c), F.lit(0)).alias(c)
+    return models.select(F.col("id").cast("string").alias("id"), "display_name", "vendor", "type", "billing_ratio", limit("context_window_tokens"), limit("max_output_tokens"), "is_active")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import title_or_default, total_pages
+from ..functions.text import iso_time, title_or_default, total_pages
 
 
 def listing() -> list[Column]:
@@ -76,3 +76,8 @@ def auto_title(sessions: DataFrame, titles: DataFrame, default: str = "New Chat"
     """titles: (id, title). Only default titles are replaced, and only by titles that aren't empty."""
     new = titles.where("coalesce(title, '') <> ''").select("id", F.col("title").alias("_title"))
     return sessions.join(new, "id", "left").withColumn("title", F.when(F.col("title") == default, F.coalesce("_title", "title")).otherwise(F.col("title"))).select(sessions.columns)
+
+
+def response(sessions: DataFrame) -> DataFrame:
+    """What clients see of a session: its times as text, and no pin columns."""
+    return sessions.select(F.col("id").cast("string").alias("id"), F.col("user_id").cast("string").alias("user_id"), "title", iso_time(F.col("updated_at")).alias("updated_at"))

@@ -17,7 +17,7 @@ from ..sources import bundles as B
 from ..sources import catalog as C
 from .chat import NOW, now
 from .content import SKILLS, matched
-from .models import MODEL, PROV, USE, usage
+from .models import MAP, MODEL, PROV, USE, usage
 
 
 def skills(spark, d):
@@ -91,6 +91,12 @@ def objects_found(spark, d):
     return A.fetched(p.select("object_key", "page_id"), p.where("page_id % 2 = 0"), p.where("page_id % 3 = 0").withColumn("content", F.concat(F.lit("far "), "content"))).select("page_id", "content", "place")
 
 
+def addressed(spark, d):
+    k = F.col("p_partkey")
+    asked = C.table(spark, d, "part").select(k.alias("k"), F.concat(F.lit("s"), k.cast("string")).alias("skill_id"), F.when(k % 13 == 0, "..").otherwise("1.0").alias("version"), F.when(k % 6 == 0, "../x").otherwise("references/b.md").alias("path"))
+    return A.addressed(asked, objects(spark, d)).select("k", F.col("content").cast("string").alias("content"), "cache_key")
+
+
 def cached(spark, d):
     e = C.events(spark, d).select("event_id", F.col("ts").alias("last_access"))
     return A.live_entries(e, F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"), "INTERVAL 6 HOURS").select("event_id")
@@ -249,6 +255,22 @@ Q: dict = {
     "load_skill": (loaded, LOADED),
     "load_asset": (assets, ASSET),
     "object_fetch": (objects_found, "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url WHEN page_id % 3 = 0 THEN 'far ' || url END AS content, CASE WHEN page_id % 2 = 0 THEN 'LOCAL' WHEN page_id % 3 = 0 THEN 'REMOTE' ELSE 'MISSING' END AS place FROM pages"),
+    "addressed_read": (
+        addressed,
+        f"""SELECT k, CASE WHEN k % 13 <> 0 AND k % 6 <> 0 AND k % 9 <> 0 AND len(paths) > 0 THEN name END AS content, CASE WHEN k % 13 <> 0 AND k % 6 <> 0 THEN sha1('skills/s' || k || '/1.0/references/b.md') END AS cache_key FROM ({BUNDLE})""",
+    ),
+    "provider_response": (
+        lambda s, d: R.provider_response(C.providers(s, d)),
+        f"SELECT id::VARCHAR AS id, name, CASE WHEN length(api_key) <= 8 THEN repeat('*', length(api_key)) ELSE left(api_key, 4) || '***' || right(api_key, 4) END AS api_key_masked, is_active FROM ({PROV})",
+    ),
+    "mapping_response": (
+        lambda s, d: R.mapping_response(C.mappings(s, d), C.providers(s, d).where("id % 2 = 0")),
+        f"SELECT model_id::VARCHAR AS model_id, provider_id::VARCHAR AS provider_id, p.name AS provider_name, is_preferred, m.is_active, priority FROM ({MAP}) m LEFT JOIN (SELECT * FROM ({PROV}) WHERE id % 2 = 0) p ON p.id = m.provider_id",
+    ),
+    "model_response": (
+        lambda s, d: R.model_response(C.models(s, d)),
+        f"SELECT id::VARCHAR AS id, display_name, vendor, type, billing_ratio, nullif(ctx, 0) AS context_window_tokens, nullif(outp, 0) AS max_output_tokens, is_active FROM ({MODEL})",
+    ),
     "cache_gc": (cached, "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-14 18:00:00'"),
     "skill_exposure": (
         lambda s, d: K.exposure(matched(s, d), "doc_id").select("doc_id", F.array_join("allowed_skills", ",").alias("allowed_skills"), F.array_join("expose", ",").alias("expose")),

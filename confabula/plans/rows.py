@@ -141,6 +141,24 @@ FRAMED = f"""WITH c AS ({CHUNK}), st AS (SELECT message_id, step, max(i) AS last
   UNION ALL SELECT message_id, last + 3, 'data: [DONE]' || chr(10) || chr(10) FROM n"""
 
 
+def whole_prompt(spark, d):
+    from .chat import sections
+
+    ids = C.messages(spark, d).select("session_id").distinct()
+    base = sections(spark, d).withColumn("content", F.lit("x")).drop("n_chars")
+    skills = ids.where("session_id % 4 < 2").select("session_id", F.explode(F.array(F.lit("b-skill"), F.lit("a-skill"))).alias("skill_id"), F.lit("helps").alias("description"))
+    frontend = ids.select("session_id", F.expr("if(session_id % 5 = 0, 'page 3', '')").alias("text"))
+    queries = ids.select("session_id", F.concat(F.lit("Question "), F.col("session_id").cast("string")).alias("text"))
+    return M.full_prompt(base, skills, frontend, queries).select("session_id", "section", "pos", "role", "content")
+
+
+WHOLE = f"""WITH w AS ({WINDOW}), ids AS (SELECT DISTINCT session_id FROM w)
+  SELECT session_id, 1::BIGINT AS section, 0::BIGINT AS pos, 'system' AS role, 'x' AS content FROM ids UNION ALL SELECT session_id, 2, 0, 'system', 'x' FROM ids WHERE session_id % 3 = 0
+  UNION ALL SELECT session_id, 3, 0, 'system', '- a-skill: helps' || chr(10) || '- b-skill: helps' FROM ids WHERE session_id % 4 < 2
+  UNION ALL SELECT session_id, CASE WHEN bucket = 'keep' THEN 4 ELSE 5 END, pos, role, 'x' FROM w
+  UNION ALL SELECT session_id, 6, 0, 'system', 'page 3' FROM ids WHERE session_id % 5 = 0 UNION ALL SELECT session_id, 7, 0, 'user', 'Question ' || session_id FROM ids"""
+
+
 def reasons(spark, d):
     e = C.events(spark, d).select(F.col("user_id").alias("message_id"), (F.col("event_id") % 3).alias("step"), F.col("event_id").alias("seq"), F.expr("CASE event_id % 4 WHEN 1 THEN 'length' WHEN 2 THEN 'tool_calls' END").alias("finish_reason"))
     return E.finish_reasons(e.where("message_id % 2 = 0 OR seq % 4 IN (0, 3)"))
@@ -188,6 +206,8 @@ Q: dict = {
     "messages_after_summary": (newer, f"SELECT session_id, pos FROM ({RICH}) WHERE session_id % 3 = 0 OR created_at > TIMESTAMP '2024-01-01 00:00:00' + to_minutes(session_id % 4)"),
     "summary_prompts": (prompts, PROMPTS),
     "summary_hot_list": (compressed, f"SELECT session_id, pos FROM ({WINDOW}) WHERE bucket = 'keep' AND session_id % 4 > 1"),
+    "full_prompt": (whole_prompt, WHOLE),
+    "session_response": (lambda s, d: S.response(C.sessions(s, d)), f"SELECT id::VARCHAR AS id, user_id::VARCHAR AS user_id, title, strftime(updated_at, '%Y-%m-%dT%H:%M:%S') AS updated_at FROM ({SES})"),
     "turn_row_order": (
         turn_order,
         f"""SELECT session_id, turn_no AS turn, pos, row_number() OVER (PARTITION BY session_id, turn_no ORDER BY pos) AS place FROM (
