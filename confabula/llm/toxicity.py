@@ -219,7 +219,7 @@ class BlockMaxIndex:
         first = np.searchsorted(term[begin], np.arange(n_terms + 1))
         about = [np.array([x[k] for x in examples], kind) for k, kind in ((0, np.int64), (1, np.int64), (2, np.float64))]
         dense = np.ascontiguousarray(dense.reshape(len(dense), blocks, BLOCK).transpose(1, 0, 2))
-        return cls(np.array(given), *about, row, dense, first, (key[begin] % blocks).astype(np.int32), highest, begin.astype(np.int32), end.astype(np.int32), (example % BLOCK).astype(np.int16), w)
+        return cls(np.array(given), *about, row, dense, first, (key[begin] % blocks).astype(np.int32), highest, begin.astype(np.int32), end.astype(np.int32), (example % BLOCK).astype(np.int32), w.astype(np.float32))
 
     def nearest(self, doc: np.ndarray, term: np.ndarray, q: np.ndarray, n: int, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """For each of n documents, given by rows (document, term, weight), the places and cosines of the k nearest examples that share
@@ -228,28 +228,25 @@ class BlockMaxIndex:
         blocks, often = len(self.dense), self.row[term] >= 0
         dense = np.zeros((n, self.dense.shape[1]), np.float32)
         dense[doc[often], self.row[term[often]]] = q[often]
-        doc, term, q = doc[~often], term[~often], q[~often]
+        doc, term, q = doc[~often].astype(np.int32), term[~often], q[~often].astype(np.float32)
         many = self.first[term + 1] - self.first[term]
         at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.first[term], many)
         doc, q = np.repeat(doc, many), np.repeat(q, many)
         bounds = dense @ self.dense.max(axis=2).T
         bounds = bounds + np.bincount(doc * blocks + self.block[at], q * self.highest[at], n * blocks).reshape(n, blocks)
-        order = np.argsort(self.block[at], kind="stable")
-        doc, q, at = doc[order], q[order], at[order]
-        edges = np.searchsorted(self.block[at], np.arange(blocks + 1))
-        scores = np.zeros((n, blocks * BLOCK))
+        block, width = self.block[at], blocks * BLOCK
+        scores = np.zeros((n, width), np.float32)
 
         def score(need: np.ndarray) -> None:
             for b in np.flatnonzero(need.any(axis=0)).tolist():
                 docs = np.flatnonzero(need[:, b])
-                own = (dense if len(docs) == n else dense[docs]) @ self.dense[b]
-                inside = np.arange(edges[b], edges[b + 1])
-                inside = inside[need[doc[inside], b]]
-                size = self.end[at[inside]] - self.begin[at[inside]]
-                p = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.begin[at[inside]], size)
-                local = np.searchsorted(docs, np.repeat(doc[inside], size))
-                own = own + np.bincount(local * BLOCK + self.place[p], np.repeat(q[inside], size) * self.weight[p], len(docs) * BLOCK).reshape(len(docs), BLOCK)
-                scores[docs, b * BLOCK : (b + 1) * BLOCK] = own
+                scores[docs, b * BLOCK : (b + 1) * BLOCK] = (dense if len(docs) == n else dense[docs]) @ self.dense[b]
+            own = np.flatnonzero(need[doc, block])
+            begin = self.begin[at[own]]
+            size = self.end[at[own]] - begin
+            p = np.arange(size.sum(), dtype=np.int32) + np.repeat(begin - (np.cumsum(size, dtype=np.int32) - size), size)
+            place = np.repeat((doc[own] * width + block[own] * BLOCK).astype(np.int32), size) + self.place[p]
+            scores[:] += np.bincount(place, np.repeat(q[own], size) * self.weight[p], n * width).reshape(n, width)
             if without is not None:
                 scores[np.arange(n), without] = 0
 
@@ -260,10 +257,10 @@ class BlockMaxIndex:
         reached = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
         more = ~need & (bounds > 0) & (bounds >= reached[:, None] - 1e-5)
         score(more)
-        keys = np.rint(scores * DIGITS).astype(np.int64) * scores.shape[1] + np.arange(scores.shape[1])[::-1]
+        keys = np.rint(scores * np.float32(DIGITS)).astype(np.int64) * scores.shape[1] + np.arange(scores.shape[1])[::-1]
         best = np.argpartition(-keys, k - 1, axis=1)[:, :k]
         best = np.take_along_axis(best, np.argsort(-np.take_along_axis(keys, best, 1), axis=1), 1)
-        cosines = np.rint(np.take_along_axis(scores, best, 1) * DIGITS) / DIGITS
+        cosines = np.rint(np.take_along_axis(scores, best, 1).astype(np.float64) * DIGITS) / DIGITS
         return np.where(cosines > 0, best, -1), cosines
 
     def votes(self, places: np.ndarray, cosines: np.ndarray) -> np.ndarray:
