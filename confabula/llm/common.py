@@ -54,6 +54,28 @@ def discard(*tables: DataFrame) -> None:
         place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: A key of more than a share of 1 / OFTEN of the rows is frequent; there are at most so many.
+OFTEN = 1000
+
+
+def joined(rows: DataFrame, values: DataFrame, keys: list[str], n: str, inner: bool = False) -> DataFrame:
+    """rows with the columns of values (a row for each key; a null key is one too). n: the column of values with how many of the rows have the key.
+
+    Frequent keys are OFTEN at most, whatever the input's size: their values are broadcast and their rows stay where they are. All
+    other keys are joined by a shuffle, in which no key is large. inner: rows without values are left out.
+    """
+    own = values.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in values.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    added = [c for c in values.columns if c not in keys]
+    limit = (values.agg(F.sum(n)).first()[0] or 0) / OFTEN
+    often = F.broadcast(own.where(F.col(n) > limit))
+    hot = rows.join(often, same).select(*rows.columns, *added)
+    rest = rows.join(F.broadcast(own.where(F.col(n) > limit).select([f"_{k}" for k in keys])), same, "left_anti")
+    return hot.union(rest.join(own.where(F.col(n) <= limit), same, "inner" if inner else "left").select(*rows.columns, *added))
+
+
 def remainder(column: str, n: int):
     """crc32 of the id as text, modulo n: the split between learning and held-out rows. A null id has no remainder."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

@@ -13,6 +13,7 @@ from .packing import op10_packing
 from .quality_pu import op4_quality_classifier
 from .quality_rules import op7_quality_rules, op7_sql
 from .sharding import op2_sharding, op2_sql
+from .simhash import op13_simhash
 from .suffix_dedup import op5_suffix_dedup
 from .token_output import op1_token_output
 from .toxicity import op3_toxicity
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_near_dedup": op9_near_dedup,
     "op10_packing": op10_packing,
+    "op13_simhash": op13_simhash,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_sharding": op2_sql(),
