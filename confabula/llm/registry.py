@@ -17,6 +17,7 @@ from .simhash import op13_simhash
 from .suffix_dedup import op5_suffix_dedup
 from .token_output import op1_token_output
 from .toxicity import op3_toxicity
+from .vector_codes import op12_sql, op12_vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
@@ -29,10 +30,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_near_dedup": op9_near_dedup,
     "op10_packing": op10_packing,
+    "op12_vector_codes": op12_vector_codes,
     "op13_simhash": op13_simhash,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_sharding": op2_sql(),
     "op6_decontamination": op6_sql(),
     "op7_quality_rules": op7_sql(),
+    "op12_vector_codes": op12_sql(),
 }
