@@ -35,64 +35,92 @@ PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Largest integer of a component.
 LIMIT = 1 << 27
 #: Entries in a leaf of a ball tree.
-LEAF = 8
+LEAF = 16
 #: Share by which bounds are widened.
 SLACK = 1e-9
 
 
 class Ball(NamedTuple):
-    center: np.ndarray
-    radius: float
+    place: int
     entries: np.ndarray
     inside: tuple[Ball, Ball] | None
 
 
+class BallTree:
+    """Balls over the entries (rows of integers) of one part position."""
+
+    def __init__(self, entries: np.ndarray):
+        self.entries, self.points = entries, entries.astype(np.float64)
+        self.squares = (self.points**2).sum(axis=1)
+        centers: list[np.ndarray] = []
+        radii: list[float] = []
+
+        def ball(own: np.ndarray) -> Ball:
+            points, place = self.points[own], len(centers)
+            centers.append(points.mean(axis=0))
+            away = distances(points, centers[place])
+            radii.append(float(away.max()) * (1 + SLACK) + SLACK)
+            if len(own) <= LEAF or not away.any():
+                return Ball(place, own, None)
+            one = points[away.argmax()]
+            other = points[distances(points, one).argmax()]
+            nearer = distances(points, one) < distances(points, other)
+            return Ball(place, own, (ball(own[nearer]), ball(own[~nearer])))
+
+        self.top = ball(np.arange(len(entries)))
+        self.centers, self.radii = np.array(centers), np.array(radii)
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row of integers: the index of the nearest entry, of equally near ones the lowest, and the squared distance."""
+        best, at, points = np.full(len(x), np.iinfo(np.int64).max), np.zeros(len(x), np.int64), x.astype(np.float64)
+        reach = np.full(len(x), np.inf)
+        squares = (points**2).sum(axis=1)
+        sizes = squares[:, None] + (self.centers**2).sum(axis=1)
+        away = sizes - 2 * points @ self.centers.T
+        bounds = np.sqrt(np.maximum(away - sizes * SLACK, 0)) * (1 - SLACK) - self.radii
+        most = max(int(np.abs(x).max(initial=0)), int(np.abs(self.entries).max()))
+        whole = 4 * most * most * x.shape[1] < 1 << 53  # then every sum below is a whole number that a float holds exactly
+
+        def visit(ball: Ball, rows: np.ndarray) -> None:
+            rows = rows[bounds[rows, ball.place] <= reach[rows]]
+            if not len(rows):
+                return
+            if ball.inside is None:
+                if whole:
+                    exact = (squares[rows, None] + self.squares[ball.entries] - 2 * points[rows] @ self.points[ball.entries].T).astype(np.int64)
+                else:
+                    exact = ((x[rows, None, :] - self.entries[None, ball.entries, :]) ** 2).sum(axis=2)
+                k = exact.argmin(axis=1)
+                found, name = exact[np.arange(len(rows)), k], ball.entries[k]
+                better = (found < best[rows]) | ((found == best[rows]) & (name < at[rows]))
+                mine = rows[better]
+                best[mine], at[mine] = found[better], name[better]
+                reach[mine] = np.sqrt(best[mine].astype(np.float64)) * (1 + SLACK)
+                return
+            one, other = ball.inside
+            first = away[rows, one.place] <= away[rows, other.place]
+            for mine, a, b in ((rows[first], one, other), (rows[~first], other, one)):
+                visit(a, mine)
+                visit(b, mine)
+
+        visit(self.top, np.arange(len(x)))
+        return at, best
+
+
 def distances(x: np.ndarray, center: np.ndarray) -> np.ndarray:
     return np.sqrt(((x - center) ** 2).sum(axis=1))
 
 
-def ball_tree(entries: np.ndarray, own: np.ndarray | None = None) -> Ball:
-    """A tree over the rows of entries; own: the rows in this ball, ascending."""
-    own = np.arange(len(entries)) if own is None else own
-    points = entries[own].astype(np.float64)
-    center = points.mean(axis=0)
-    away = distances(points, center)
-    radius = float(away.max()) * (1 + SLACK) + SLACK
-    if len(own) <= LEAF or not away.any():
-        return Ball(center, radius, own, None)
-    one = points[away.argmax()]
-    other = points[distances(points, one).argmax()]
-    nearer = distances(points, one) < distances(points, other)
-    return Ball(center, radius, own, (ball_tree(entries, own[nearer]), ball_tree(entries, own[~nearer])))
-
-
-def nearest(tree: Ball, entries: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of x: the index of the nearest entry, of equally near ones the lowest, and the squared distance."""
-    best, at, points = np.full(len(x), np.iinfo(np.int64).max), np.zeros(len(x), np.int64), x.astype(np.float64)
-
-    def visit(ball: Ball, rows: np.ndarray) -> None:
-        if not len(rows):
-            return
-        if ball.inside is None:
-            exact = ((x[rows, None, :] - entries[None, ball.entries, :]) ** 2).sum(axis=2)
-            k = exact.argmin(axis=1)
-            found, name = exact[np.arange(len(rows)), k], ball.entries[k]
-            better = (found < best[rows]) | ((found == best[rows]) & (name < at[rows]))
-            best[rows[better]], at[rows[better]] = found[better], name[better]
-            return
-        away = [distances(points[rows], b.center) for b in ball.inside]
-        bounds = [d * (1 - SLACK) - b.radius for d, b in zip(away, ball.inside, strict=True)]
-        first = away[0] <= away[1]
-        for own, a, b in ((first, 0, 1), (~first, 1, 0)):
-            mine = rows[own]
-            visit(ball.inside[a], mine[bounds[a][own] <= reach(mine)])
-            visit(ball.inside[b], mine[bounds[b][own] <= reach(mine)])
-
-    def reach(rows: np.ndarray) -> np.ndarray:
-        return np.sqrt(best[rows].astype(np.float64)) * (1 + SLACK)
-
-    visit(tree, np.arange(len(x)))
-    return at, best
+def gathered(batches: Iterator[pa.RecordBatch], least: int = 8192) -> Iterator[pa.RecordBatch]:
+    """Batches of at least so many rows (the last may be smaller), as a search costs less in large ones."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= least:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
 
 
 def integers(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> DataFrame:
@@ -129,11 +157,11 @@ def refined(rows: DataFrame, books: np.ndarray) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees, total, count = None, np.zeros(books.shape, np.int64), np.zeros(books.shape[:2], np.int64)
-        for batch in batches:
-            trees = trees or [ball_tree(x) for x in known.value]
+        for batch in gathered(batches):
+            trees = trees or [BallTree(x) for x in known.value]
             x = parts_of(batch, width)
             for p in range(PARTS):
-                at, _ = nearest(trees[p], known.value[p], x[:, p])
+                at, _ = trees[p].nearest(x[:, p])
                 np.add.at(total[p], at, x[:, p])
                 count[p] += np.bincount(at, minlength=n)
         part, entry = np.nonzero(count)
@@ -155,10 +183,10 @@ def coded(rows: DataFrame, books: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = None
-        for batch in batches:
-            trees = trees or [ball_tree(x) for x in known.value]
+        for batch in gathered(batches):
+            trees = trees or [BallTree(x) for x in known.value]
             x = parts_of(batch, width)
-            found = [nearest(trees[p], known.value[p], x[:, p]) for p in range(PARTS)]
+            found = [trees[p].nearest(x[:, p]) for p in range(PARTS)]
             digits = np.stack([at for at, _ in found], axis=1).astype(np.uint8).tobytes().hex()
             codes = [digits[i : i + 2 * PARTS] for i in range(0, len(digits), 2 * PARTS)]
             error = sum(d for _, d in found)

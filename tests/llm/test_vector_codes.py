@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from confabula.llm.vector_codes import ball_tree, nearest, op12_sql, op12_vector_codes, vector_codes
+from confabula.llm.vector_codes import BallTree, op12_sql, op12_vector_codes, vector_codes
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -61,7 +61,7 @@ def test_ball_tree_finds_the_nearest_and_of_ties_the_lowest(seed):
     entries, x = rng.integers(-high, high, (n, 6)), rng.integers(-high, high, (400, 6))
     x[:50] = entries[rng.integers(0, n, 50)]
     exact = ((x[:, None] - entries[None]) ** 2).sum(axis=2)
-    at, best = nearest(ball_tree(entries), entries, x)
+    at, best = BallTree(entries).nearest(x)
     assert (at == exact.argmin(axis=1)).all() and (best == exact.min(axis=1)).all()
 
 
