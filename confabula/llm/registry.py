@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op11_token_alignment
 from .decontamination import op6_decontamination, op6_sql
 from .language_id import op8_language_id
 from .near_dedup import op9_near_dedup
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_near_dedup": op9_near_dedup,
     "op10_packing": op10_packing,
+    "op11_token_alignment": op11_token_alignment,
     "op12_vector_codes": op12_vector_codes,
     "op13_simhash": op13_simhash,
 }
