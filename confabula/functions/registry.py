@@ -44,13 +44,12 @@ class Registry:
         return len(self._own)
 
     def derive(self, expose: set[str] = frozenset(), allow: set[str] | None = None, deny: set[str] = frozenset(), extra: list[Definition] = ()) -> Registry:
-        """A scope: exposed tools always, visible ones if allowed and not denied; extra definitions come on top."""
+        """The tools that a request sees. extra: found at run time; they replace those of the same name, and then all are
+        filtered alike: a hidden one must be exposed; a visible one must be allowed, if there is a list, and not denied."""
         out = Registry()
-        for name, d in self._own.items():
-            if name in expose or (d.visible and (allow is None or name in allow) and name not in deny):
+        for name, d in (self._own | {d.name: d for d in extra}).items():
+            if (name not in deny and (allow is None or name in allow)) if d.visible else name in expose:
                 out.register(d)
-        for d in extra:
-            out.register(d)
         return out
 
     def install(self, spark: SparkSession) -> None:

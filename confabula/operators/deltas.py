@@ -32,29 +32,30 @@ def lifecycle(chunks: DataFrame) -> DataFrame:
     """The event log: (message_id, step, seq, sub, event, delta).
 
     In a step the first reasoning opens reasoning; the first text closes reasoning that is open and opens text, which
-    stays open; later reasoning opens reasoning again. At the end open reasoning is closed, then text.
+    stays open; later reasoning opens reasoning again, and then stays open too. At the end open reasoning is closed, then text.
+    Empty reasoning or text is none.
     """
     step = Window.partitionBy("message_id", "step")
     before = step.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    kind = F.when(F.col("content").isNotNull() & F.col("reasoning").isNotNull(), "both").when(F.col("content").isNotNull(), "text").when(F.col("reasoning").isNotNull(), "reasoning")
-    rows = chunks.withColumn("kind", kind).where("kind IS NOT NULL")
-    # reasoning is open before a chunk if the chunk before it was reasoning alone; text, once it has begun
-    rows = rows.withColumn("r_open", F.coalesce(F.last("kind").over(before) == "reasoning", F.lit(False))).withColumn("t_open", F.coalesce(F.max(F.col("kind") != "reasoning").over(before), F.lit(False)))
-    has_r, has_t = F.col("kind") != "text", F.col("kind") != "reasoning"
+    has_r, has_t = F.coalesce("reasoning", F.lit("")) != "", F.coalesce("content", F.lit("")) != ""
+    rows = chunks.where(has_r | has_t).withColumn("t_open", F.coalesce(F.max(has_t).over(before), F.lit(False)))
+    # the first text closes reasoning, so reasoning is open if it came since then, or at all while there is no text
+    later = F.coalesce(F.max(has_r & F.col("t_open")).over(before), F.lit(False))
+    rows = rows.withColumn("r_open", F.when(F.col("t_open"), later).otherwise(F.coalesce(F.max(has_r).over(before), F.lit(False))))
     none = F.lit(None).cast("string")
     event = lambda sub, name, delta, when: F.when(when, F.struct(F.lit(sub).alias("sub"), F.lit(name).alias("event"), delta.alias("delta")))
     log = F.array_compact(
         F.array(
             event(0, "reasoning-start", none, has_r & ~F.col("r_open")),
             event(1, "reasoning-delta", F.col("reasoning"), has_r),
-            event(2, "reasoning-end", none, has_t & (F.col("r_open") | has_r)),
+            event(2, "reasoning-end", none, has_t & ~F.col("t_open") & (F.col("r_open") | has_r)),
             event(3, "text-start", none, has_t & ~F.col("t_open")),
             event(4, "text-delta", F.col("content"), has_t),
         )
     )
     steps = rows.select("message_id", "step", "seq", F.explode(log).alias("e")).select("message_id", "step", "seq", "e.*")
-    ends = rows.groupBy("message_id", "step").agg(F.max("seq").alias("seq"), F.max_by("kind", "seq").alias("last"), F.max(F.col("kind") != "reasoning").alias("text"))
-    close = F.array_compact(F.array(event(5, "reasoning-end", none, F.col("last") == "reasoning"), event(6, "text-end", none, F.col("text"))))
+    ends = rows.groupBy("message_id", "step").agg(F.max("seq").alias("seq"), F.max(has_t).alias("text"), F.max(has_r).alias("some"), F.max(has_r & F.col("t_open")).alias("later"))
+    close = F.array_compact(F.array(event(5, "reasoning-end", none, F.when(F.col("text"), F.col("later")).otherwise(F.col("some"))), event(6, "text-end", none, F.col("text"))))
     return steps.union(ends.select("message_id", "step", "seq", F.explode(close).alias("e")).select("message_id", "step", "seq", "e.*"))
 
 

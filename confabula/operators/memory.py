@@ -34,7 +34,8 @@ def forget(memories: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def forget_user(memories: DataFrame, user: Column) -> DataFrame:
-    return memories.where(F.col("user_id") != user)
+    """All but the user's memories; those of no user stay."""
+    return memories.where(~F.col("user_id").eqNullSafe(user))
 
 
 def listing(memories: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tools import overlay
+
 META = ["skill_id", "display_name", "enabled"]
 
 
@@ -43,22 +45,20 @@ def exposure(matches: DataFrame, key: str) -> DataFrame:
     return matches.groupBy(key).agg(F.array_sort(F.collect_set("skill_id")).alias("allowed_skills")).withColumn("expose", tools)
 
 
-def visible_tools(tools: DataFrame, scopes: DataFrame) -> DataFrame:
+def visible_tools(tools: DataFrame, scopes: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     """tools: (tool, default_visible); scopes: (scope_id, expose, allow, deny), arrays of names, allow may be null.
 
-    A tool that is hidden by default is visible only if exposed, which overrides allow and deny; any other must be
-    allowed (if there is a list) and not denied, unless exposed. Names given in a list are looked up by equality; only scopes
-    without an allow list take the tools that are visible by default, which each of them sees.
+    A tool that is hidden by default is visible if it is exposed, whatever allow and deny say; a tool that is visible by default
+    must be allowed (if there is a list) and not denied, exposed or not. extra: tools found at run time; they replace those of
+    the same name before anything is filtered. A registry's names are two arrays in one row, so scopes aren't joined with tools.
     """
-    given = scopes.select("scope_id", "deny", F.explode(F.array_union(F.coalesce("expose", F.expr("cast(array() as array<string>)")), F.coalesce("allow", F.expr("cast(array() as array<string>)")))).alias("tool"), "expose")
-    named = given.join(F.broadcast(tools), "tool")  # the tools of a registry, as many as are written
-    exposed = F.coalesce(F.array_contains("expose", F.col("tool")), F.lit(False))
-    denied = F.coalesce(F.array_contains("deny", F.col("tool")), F.lit(False))
-    named = named.where(exposed | (F.col("default_visible") & ~denied)).select("scope_id", "tool")
-    seen_by_default = [r.tool for r in tools.where("default_visible").select("tool").distinct().collect()]
+    known = overlay(tools, extra, "tool") if extra is not None else tools
+    sides = known.agg(F.collect_set(F.when(F.col("default_visible"), F.col("tool"))).alias("shown"), F.collect_set(F.when(~F.col("default_visible"), F.col("tool"))).alias("hidden"))
     none = F.expr("cast(array() as array<string>)")
-    left = F.array_except(F.array_except(F.array(*map(F.lit, seen_by_default)).cast("array<string>"), F.coalesce("deny", none)), F.coalesce("expose", none))
-    return named.union(scopes.where("allow IS NULL").select("scope_id", F.explode(left).alias("tool")))
+    rows = scopes.withColumns({"_shown": sides.select("shown").scalar(), "_hidden": sides.select("hidden").scalar()})
+    allowed = F.when(F.col("allow").isNull(), F.col("_shown")).otherwise(F.array_intersect("_shown", "allow"))
+    seen = F.concat(F.array_except(allowed, F.coalesce("deny", none)), F.array_intersect("_hidden", F.coalesce("expose", none)))
+    return rows.select("scope_id", F.explode(seen).alias("tool"))
 
 
 def rendered_skill(name: Column, body: Column, manifest: Column) -> Column:

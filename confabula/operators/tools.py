@@ -46,7 +46,7 @@ def run_results(calls: DataFrame, tools: DataFrame, outputs: DataFrame) -> DataF
     output, error, seconds). A tool whose output isn't kept has a placeholder, its own one or a fixed text.
     """
     joined = calls.join(tools.withColumn("_known", F.lit(True)), "name", "left").join(outputs, "id", "left")
-    missing = ~F.forall("required_context", lambda k: F.array_contains("context", k))
+    missing = ~F.coalesce(F.forall("required_context", lambda k: F.array_contains("context", k)), F.lit(False))
     error = (
         F.when(F.col("_known").isNull(), F.concat(F.lit("Tool unavailable: "), "name"))
         .when(missing, "Missing context")
@@ -103,12 +103,14 @@ def round_robin(pool: DataFrame, turn: Column) -> DataFrame:
 def weighted_pick(pool: DataFrame, seed: int) -> DataFrame:
     """One instance a request, with probability in proportion to weight (0 if negative; all alike if all are 0).
 
-    Chance comes from a hash of request, instance and seed, so a task that runs again picks the same.
+    Chance is 32 bits of a digest of request, instance and seed, so a task that runs again picks the same. The instance with the
+    least -ln(chance) / weight wins, which gives each its share.
     """
     weight = F.greatest("weight", F.lit(0.0))
     total = F.sum(weight).over(Window.partitionBy("request_id"))
     own = F.when(total > 0, weight).otherwise(1.0)
-    chance = (F.pmod(F.xxhash64("request_id", "instance", F.lit(seed)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
+    named = F.concat_ws("|", F.col("request_id").cast("string"), F.col("instance").cast("string"), F.lit(str(seed)))
+    chance = (F.conv(F.left(F.md5(named.cast("binary")), F.lit(8)), 16, 10).cast("double") + 1) / F.lit(float((1 << 32) + 1))
     return pool.withColumn("_k", F.when(own > 0, -F.log(chance) / own)).where("_k IS NOT NULL").groupBy("request_id").agg(F.min_by("instance", F.struct("_k", "instance")).alias("instance"))
 
 

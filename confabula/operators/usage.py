@@ -16,16 +16,22 @@ def billed(usage: DataFrame) -> DataFrame:
     return usage.withColumn("billable_tokens", F.when(F.col("scope") == "SYSTEM", F.col("usage_tokens") * F.col("billing_ratio")).otherwise(0).cast("long"))
 
 
-def ledger(usage: DataFrame, key: str = "provider_id") -> DataFrame:
-    """Counters of each provider; negative amounts count as 0 and rows where both are 0 do nothing."""
-    positive = usage.select(key, F.greatest("usage_tokens", F.lit(0)).alias("u"), F.greatest("billable_tokens", F.lit(0)).alias("b")).where("u > 0 OR b > 0")
-    return positive.groupBy(key).agg(F.sum("u").alias("usage_tokens"), F.sum("b").alias("billable_usage_tokens"))
-
-
-def add_to_ledger(counters: DataFrame, delta: DataFrame, key: str = "provider_id") -> DataFrame:
-    new = delta.select(key, F.col("usage_tokens").alias("_u"), F.col("billable_usage_tokens").alias("_b"))
-    joined = counters.join(new, key, "left")
-    return joined.select(key, (F.col("usage_tokens") + F.coalesce("_u", F.lit(0))).alias("usage_tokens"), (F.col("billable_usage_tokens") + F.coalesce("_b", F.lit(0))).alias("billable_usage_tokens"))
+def ledger(usage: DataFrame, keys: str | list[str] = "provider_id") -> DataFrame:
+    """Counters of each provider (and owner, if that is a key); negative amounts count as 0 and rows where both are 0 do nothing."""
+    keys = [keys] if isinstance(keys, str) else keys
+    positive = usage.select(*keys, F.greatest("usage_tokens", F.lit(0)).alias("u"), F.greatest("billable_tokens", F.lit(0)).alias("b")).where("u > 0 OR b > 0")
+    return positive.groupBy(*keys).agg(F.sum("u").alias("usage_tokens"), F.sum("b").alias("billable_usage_tokens"))
+
+
+def add_to_ledger(counters: DataFrame, delta: DataFrame, key: str = "provider_id", owner: str = "owner_user_id") -> tuple[DataFrame, DataFrame]:
+    """The counters with the amounts added, and the amounts that name no provider of that owner (null: the system), with an error."""
+    there = counters.select(F.col(key).alias("_key"), F.col(owner).alias("_owner"))
+    new = delta.select(F.col(key).alias("_key"), F.col(owner).alias("_owner"), F.col("usage_tokens").alias("_u"), F.col("billable_usage_tokens").alias("_b"))
+    same = (F.col(key) == F.col("_key")) & F.col(owner).eqNullSafe(F.col("_owner"))
+    own = counters.join(new, same, "left")
+    added = own.select(key, owner, (F.col("usage_tokens") + F.coalesce("_u", F.lit(0))).alias("usage_tokens"), (F.col("billable_usage_tokens") + F.coalesce("_b", F.lit(0))).alias("billable_usage_tokens"))
+    refused = delta.join(there, same, "left_anti").select(key, owner, "usage_tokens", "billable_usage_tokens", F.lit("PROVIDER_NOT_FOUND").alias("error"))
+    return added, refused
 
 
 def billing_events(usage: DataFrame, time: Column) -> DataFrame:

@@ -198,10 +198,16 @@ def reranked(spark, d):
     return V.recall(m.where("id % 20 = 0").select(F.col("id").alias("query_id"), "user_id", F.col("embedding").alias("vector")), m, 5, None, dot).select("query_id", "id", "rank")
 
 
-def counters(spark, d):
-    delta = U.ledger(usage(spark, d).select("provider_id", "usage_tokens", "billable_tokens"))
-    base = C.providers(spark, d).select(F.col("id").alias("provider_id"), (F.col("id") * 10).alias("usage_tokens"), F.col("id").alias("billable_usage_tokens"))
-    return U.add_to_ledger(base, delta)
+def added(spark, d):
+    """Usage of providers of which some aren't there; every third provider is a user's, and every fifth amount names the wrong owner."""
+    base = C.providers(spark, d).select(F.col("id").alias("provider_id"), F.expr("if(id % 3 = 0, cast(id % 7 as string), null)").alias("owner_user_id"), (F.col("id") * 10).alias("usage_tokens"), F.col("id").alias("billable_usage_tokens"))
+    rows = usage(spark, d).withColumn("owner_user_id", F.expr("if(trace_id % 5 = 0, 'other', if(provider_id % 3 = 0, cast(provider_id % 7 as string), null))"))
+    return U.add_to_ledger(base, U.ledger(rows, ["provider_id", "owner_user_id"]))
+
+
+ADDED = f"""WITH b AS (SELECT id AS provider_id, CASE WHEN id % 3 = 0 THEN (id % 7)::VARCHAR END AS owner_user_id, id FROM ({PROV})),
+  d AS (SELECT provider_id, CASE WHEN trace_id % 5 = 0 THEN 'other' WHEN provider_id % 3 = 0 THEN (provider_id % 7)::VARCHAR END AS owner_user_id, sum(greatest(usage_tokens, 0))::BIGINT AS u, sum(greatest(billable_tokens, 0))::BIGINT AS b
+    FROM ({USE}) WHERE usage_tokens > 0 OR billable_tokens > 0 GROUP BY 1, 2)"""
 
 
 def scalars(spark, d):
@@ -221,8 +227,12 @@ SCALARS = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'a/b' WHEN 1 THEN 'o
 
 def picks(spark, d):
     e = C.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("request_id"), F.col("l_suppkey").alias("instance"), F.expr("case when l_orderkey % 10 = 0 then 0.0 when l_linenumber % 2 = 0 then -1.0 else l_quantity end").alias("weight")).groupBy("request_id", "instance").agg(F.max("weight").alias("weight"))
-    best = e.groupBy("request_id").agg(F.max("weight").alias("best"))
-    return X.weighted_pick(e, 7).join(e, ["request_id", "instance"]).join(best, "request_id").select("request_id", ((F.col("weight") > 0) | (F.col("best") <= 0)).alias("usable"))
+    return X.weighted_pick(e, 7)
+
+
+PICKS = """WITH e AS (SELECT l_orderkey AS request_id, l_suppkey AS instance, max(greatest(CASE WHEN l_orderkey % 10 = 0 THEN 0.0 WHEN l_linenumber % 2 = 0 THEN -1.0 ELSE l_quantity END, 0))::DOUBLE AS weight FROM lineitem GROUP BY 1, 2),
+  o AS (SELECT *, CASE WHEN sum(weight) OVER (PARTITION BY request_id) > 0 THEN weight ELSE 1.0 END AS own, (('0x' || left(md5(request_id || '|' || instance || '|7'), 8))::BIGINT + 1) / 4294967297.0::DOUBLE AS chance FROM e)
+  SELECT request_id, arg_min(instance, -ln(chance) / own) AS instance FROM o WHERE own > 0 GROUP BY 1"""
 
 
 def outcomes(spark, d):
@@ -323,11 +333,16 @@ Q: dict = {
           SELECT q.vec_id AS query_id, m.vec_id AS id, round(list_dot_product(q.embedding::DOUBLE[], m.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings m ON m.label = q.label WHERE q.vec_id % 20 = 0)) WHERE rank <= 5""",
     ),
     "ledger_counters": (
-        counters,
-        f"""SELECT p.id AS provider_id, p.id * 10 + coalesce(u, 0) AS usage_tokens, p.id + coalesce(b, 0) AS billable_usage_tokens FROM ({PROV}) p LEFT JOIN (
-          SELECT provider_id, sum(greatest(usage_tokens, 0))::BIGINT AS u, sum(greatest(billable_tokens, 0))::BIGINT AS b FROM ({USE}) WHERE usage_tokens > 0 OR billable_tokens > 0 GROUP BY 1) x ON x.provider_id = p.id""",
+        lambda s, d: added(s, d)[0],
+        f"""{ADDED} SELECT b.provider_id, b.owner_user_id, id * 10 + coalesce(u, 0) AS usage_tokens, id + coalesce(d.b, 0) AS billable_usage_tokens
+          FROM b LEFT JOIN d ON d.provider_id = b.provider_id AND d.owner_user_id IS NOT DISTINCT FROM b.owner_user_id""",
+    ),
+    "ledger_refused": (
+        lambda s, d: added(s, d)[1],
+        f"""{ADDED} SELECT provider_id, owner_user_id, u AS usage_tokens, b AS billable_usage_tokens, 'PROVIDER_NOT_FOUND' AS error
+          FROM d WHERE NOT EXISTS (SELECT 1 FROM b WHERE d.provider_id = b.provider_id AND d.owner_user_id IS NOT DISTINCT FROM b.owner_user_id)""",
     ),
     "scalar_functions": (scalars, SCALARS),
-    "weighted_pick": (picks, "SELECT DISTINCT l_orderkey AS request_id, true AS usable FROM lineitem"),
+    "weighted_pick": (picks, PICKS),
     "attempts_and_access": (outcomes, OUTCOMES),
 }

@@ -61,7 +61,7 @@ def bit(n: str, i: int) -> str:
 
 
 VISIBLE = " UNION ALL ".join(
-    f"SELECT n_nationkey::BIGINT AS scope_id, '{t}' AS tool FROM nation WHERE {bit('n_nationkey', i)} OR ({str(v).lower()} AND (n_nationkey % 3 = 0 OR {bit('n_nationkey // 2', i)}) AND NOT {bit('n_nationkey // 3', i)})"
+    f"SELECT n_nationkey::BIGINT AS scope_id, '{t}' AS tool FROM nation WHERE CASE WHEN {str(v).lower()} THEN (n_nationkey % 3 = 0 OR {bit('n_nationkey // 2', i)}) AND NOT {bit('n_nationkey // 3', i)} ELSE {bit('n_nationkey', i)} END"
     for i, (t, v) in enumerate((("search", True), ("load", False), ("draw", True), ("count", True)))
 )
 

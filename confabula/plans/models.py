@@ -55,7 +55,7 @@ def usage(spark, d):
     """Each event is a turn's usage, of the model its user and event number give."""
     e = C.events(spark, d)
     m = C.models(spark, d).select(F.col("id").alias("mid"), "display_name", "type", "billing_ratio")
-    n = F.col("event_id") % C.models(spark, d).count() + 1
+    n = F.col("event_id") % C.models(spark, d).agg(F.count("*")).scalar() + 1
     joined = e.withColumn("mid", n).join(m, "mid")
     return U.billed(
         joined.select(
