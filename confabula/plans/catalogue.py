@@ -198,11 +198,18 @@ def reranked(spark, d):
     return V.recall(m.where("id % 20 = 0").select(F.col("id").alias("query_id"), "user_id", F.col("embedding").alias("vector")), m, 5, None, dot).select("query_id", "id", "rank")
 
 
+def owned_counters(spark, d):
+    """Every third provider is a user's."""
+    return C.providers(spark, d).select(F.col("id").alias("provider_id"), F.expr("if(id % 3 = 0, cast(id % 7 as string), null)").alias("owner_user_id"), (F.col("id") * 10).alias("usage_tokens"), F.col("id").alias("billable_usage_tokens"))
+
+
+def owned_usage(spark, d, events=None):
+    """Usage of providers of which some aren't there; every fifth amount names the wrong owner."""
+    return usage(spark, d, events).withColumn("owner_user_id", F.expr("if(trace_id % 5 = 0, 'other', if(provider_id % 3 = 0, cast(provider_id % 7 as string), null))"))
+
+
 def added(spark, d):
-    """Usage of providers of which some aren't there; every third provider is a user's, and every fifth amount names the wrong owner."""
-    base = C.providers(spark, d).select(F.col("id").alias("provider_id"), F.expr("if(id % 3 = 0, cast(id % 7 as string), null)").alias("owner_user_id"), (F.col("id") * 10).alias("usage_tokens"), F.col("id").alias("billable_usage_tokens"))
-    rows = usage(spark, d).withColumn("owner_user_id", F.expr("if(trace_id % 5 = 0, 'other', if(provider_id % 3 = 0, cast(provider_id % 7 as string), null))"))
-    return U.add_to_ledger(base, U.ledger(rows, ["provider_id", "owner_user_id"]))
+    return U.add_to_ledger(owned_counters(spark, d), U.ledger(owned_usage(spark, d), ["provider_id", "owner_user_id"]))
 
 
 ADDED = f"""WITH b AS (SELECT id AS provider_id, CASE WHEN id % 3 = 0 THEN (id % 7)::VARCHAR END AS owner_user_id, id FROM ({PROV})),

@@ -51,9 +51,9 @@ def duplicates(spark, d):
     return R.insert_unique(old, C.models(spark, d).where("id % 2 = 1").select("id", "display_name"), ["display_name"], ["id"])[1]
 
 
-def usage(spark, d):
+def usage(spark, d, events=None):
     """Each event is a turn's usage, of the model its user and event number give."""
-    e = C.events(spark, d)
+    e = C.events(spark, d) if events is None else events
     m = C.models(spark, d).select(F.col("id").alias("mid"), "display_name", "type", "billing_ratio")
     n = F.col("event_id") % C.models(spark, d).agg(F.count("*")).scalar() + 1
     joined = e.withColumn("mid", n).join(m, "mid")

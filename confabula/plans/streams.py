@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources import catalog as C
 from ..sources.shared import shared_path
-from ..streaming import flows
+from ..streaming import flows, state
+from . import catalogue
+from .content import CHUNK
 
 
 def ledger(spark, d):
@@ -28,9 +31,63 @@ def dedup(spark, d):
 
 def hot(spark, d):
     path = shared_path(spark, "stream-hot")
-    query = flows.start(flows.file_stream(spark, d, "events.parquet", flows.EVENTS), "append", path, flows.hot_list_step(path))
-    query.awaitTermination()
-    return flows.hot_lists(spark, path, query.lastProgress["batchId"]).select("user_id", "event_id", "rank")
+    state.start(state.rolling(flows.file_stream(spark, d, "events.parquet", flows.EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))), path, "update", lambda batch, _: batch.write.format("noop").mode("overwrite").save()).awaitTermination()
+    return state.rolling_lists(spark, path + "-progress").select("user_id", "event_id", "rank")
+
+
+def closed_hours(spark, d):
+    return flows.finished(flows.usage_by_hour(flows.event_stream(spark, d)), "append", "stream-closed-hours")
+
+
+def updated_users(spark, d):
+    """The ledger by user in update mode, merged by key."""
+    path, flow = shared_path(spark, "stream-updated"), flows.usage_by_user(flows.event_stream(spark, d))
+    flows.start(flow, "update", path, keys=["user_id"]).awaitTermination()
+    return flows.KeyedTable(spark, path, flows.columns(flow), ["user_id"]).read()
+
+
+def lifecycle(spark, d):
+    """The chunks come as three files, cut by seq wherever that falls in a message; the last chunk of a step says that it ends."""
+    source, path = shared_path(spark, "stream-chunks"), shared_path(spark, "stream-lifecycle")
+    chunks = C.chunks(spark, d)
+    ends = chunks.groupBy("message_id", "step").agg(F.max("seq").alias("end"))
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("seq"))
+    told = chunks.join(ends, ["message_id", "step"]).select("message_id", "step", "seq", at.alias("ts"), "reasoning", "content", F.when(F.col("seq") == F.col("end"), "stop").alias("finish_reason"), F.expr("cast(null as array<struct<index: int, id: string, name: string, arguments: string>>)").alias("tool_calls"))
+    for number, part in enumerate(("seq < 7", "seq >= 7 AND seq < 31", "seq >= 31")):
+        told.where(part).coalesce(1).write.parquet(f"{source}/in{number}")
+    stream = flows.file_stream(spark, source, "*.parquet", state.CHUNKS, 1)
+    state.start(state.interpreted(stream, "1 day"), path).awaitTermination()
+    return spark.read.schema(state.LOG).parquet(path)
+
+
+_BEFORE = "WINDOW prev AS (PARTITION BY message_id, step ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+LIFECYCLE = f"""WITH k AS (SELECT message_id, step, i AS seq, nullif(reasoning, '') AS r, nullif(content, '') AS t FROM ({CHUNK})),
+  w AS (SELECT *, coalesce(bool_or(t IS NOT NULL) OVER prev, false) AS t_open FROM k WHERE r IS NOT NULL OR t IS NOT NULL {_BEFORE}),
+  x AS (SELECT *, CASE WHEN t_open THEN coalesce(bool_or(r IS NOT NULL AND t_open) OVER prev, false) ELSE coalesce(bool_or(r IS NOT NULL) OVER prev, false) END AS r_open FROM w {_BEFORE}),
+  e AS (SELECT message_id, step, max(seq) AS seq, bool_or(t IS NOT NULL) AS text, bool_or(r IS NOT NULL) AS thought, bool_or(r IS NOT NULL AND t_open) AS later FROM x GROUP BY 1, 2)
+  SELECT message_id, step, seq, 0 AS sub, 'reasoning-start' AS event, NULL AS delta FROM x WHERE r IS NOT NULL AND NOT r_open
+  UNION ALL SELECT message_id, step, seq, 1, 'reasoning-delta', r FROM x WHERE r IS NOT NULL
+  UNION ALL SELECT message_id, step, seq, 2, 'reasoning-end', NULL FROM x WHERE t IS NOT NULL AND NOT t_open AND (r_open OR r IS NOT NULL)
+  UNION ALL SELECT message_id, step, seq, 3, 'text-start', NULL FROM x WHERE t IS NOT NULL AND NOT t_open
+  UNION ALL SELECT message_id, step, seq, 4, 'text-delta', t FROM x WHERE t IS NOT NULL
+  UNION ALL SELECT message_id, step, seq, 5, 'reasoning-end', NULL FROM e WHERE CASE WHEN text THEN later ELSE thought END
+  UNION ALL SELECT message_id, step, seq, 6, 'text-end', NULL FROM e WHERE text"""
+
+
+def exactly_once(spark, d):
+    """Usage in three files; every batch is given to the ledger twice."""
+    source, path = shared_path(spark, "stream-usage"), shared_path(spark, "stream-counters")
+    for number in range(3):
+        C.events(spark, d).where(f"event_id % 3 = {number}").coalesce(1).write.parquet(f"{source}/in{number}")
+    own = state.Ledger(spark, path)
+    own.create(catalogue.owned_counters(spark, d))
+
+    def step(batch, number):
+        for _ in range(2):
+            own.step(catalogue.owned_usage(spark, d, batch), number)
+
+    flows.start(flows.file_stream(spark, source, "*.parquet", flows.EVENTS, 1), "append", path, step).awaitTermination()
+    return own
 
 
 Q: dict = {
@@ -44,4 +101,9 @@ Q: dict = {
     ),
     "stream_dedup": (dedup, "SELECT event_id, event_type FROM events"),
     "stream_hot_list": (hot, "SELECT user_id, event_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank, max(ts) OVER (PARTITION BY user_id) AS last, max(ts) OVER () AS now FROM events) WHERE rank <= 50 AND last >= now - INTERVAL 24 HOURS"),
+    "stream_hours_closed": (closed_hours, "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n_events FROM events GROUP BY 1, 2 HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"),
+    "stream_updated_users": (updated_users, "SELECT user_id, count(*) AS n_events, sum(floor(value))::BIGINT AS usage_tokens FROM events GROUP BY 1"),
+    "stream_lifecycle": (lifecycle, LIFECYCLE),
+    "stream_ledger": (lambda s, d: exactly_once(s, d).counters(), catalogue.Q["ledger_counters"][1]),
+    "stream_ledger_refused": (lambda s, d: exactly_once(s, d).refused().drop("batch").groupBy("provider_id", "owner_user_id", "error").agg(F.sum("usage_tokens").alias("usage_tokens"), F.sum("billable_usage_tokens").alias("billable_usage_tokens")), catalogue.Q["ledger_refused"][1]),
 }

@@ -20,6 +20,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is directly below a folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return [x.getPath().getName() for x in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table that is needed no more."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

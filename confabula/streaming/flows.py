@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.keyed import KeyedTable
 from ..sources.shared import remove, shared_path
 
 
@@ -27,16 +28,31 @@ def event_stream(spark: SparkSession, sf_dir: str, delay: str = "1 hour") -> Dat
     return file_stream(spark, sf_dir, "events.parquet", EVENTS).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 
-def start(flow: DataFrame, mode: str, path: str, each: Callable[[DataFrame, int], None] | None = None, once: bool = True) -> StreamingQuery:
-    """Write the flow to path: appended rows as files, a complete or updated result as the whole table of the last batch."""
+def start(flow: DataFrame, mode: str, path: str, each: Callable[[DataFrame, int], None] | None = None, once: bool = True, keys: list[str] | None = None) -> StreamingQuery:
+    """Write the flow to path: appended rows as files, a complete result as the whole table of the last batch, an updated one
+    into a keyed table, of which a batch rewrites the buckets of its keys (keys: the flow's grouping columns)."""
     writer = flow.writeStream.outputMode(mode).option("checkpointLocation", path + "-progress")
     if once:
         writer = writer.trigger(availableNow=True)
     if mode == "append" and each is None:
         return writer.format("parquet").start(path)
+    if mode == "update" and each is None:
+        each = merged(path, flow, keys)
     return writer.foreachBatch(each or (lambda batch, _: batch.write.mode("overwrite").parquet(path))).start()
 
 
+def columns(flow: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flow.schema)
+
+
+def merged(path: str, flow: DataFrame, keys: list[str] | None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that merges a batch's rows into a keyed table."""
+    if not keys:
+        raise ValueError("an updated result needs the keys by which it is merged")
+    schema = columns(flow)
+    return lambda batch, _: KeyedTable(batch.sparkSession, path, schema, keys).upsert(batch)
+
+
 def finished(flow: DataFrame, mode: str, name: str) -> DataFrame:
     """The result once all that is there has been read."""
     path = shared_path(flow.sparkSession, name)
