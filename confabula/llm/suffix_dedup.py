@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, packed, slices, stored, table, tidied, utf8
+from .common import OFTEN, bounded_batches, discard, packed, slices, stored, table, tidied, utf8
 from .hashing import Substrings, mix
 from .id_filter import id_bitmap, keep_ids
 
@@ -436,16 +436,13 @@ def marked_rows(docs: DataFrame, of: Lengths, hot_at: int) -> DataFrame:
     """A stored table (rid, prefixes, hot): the fingerprints of each row that are there more than once, and those of them that are hot."""
     prints = docs.select("rid", "text").mapInArrow(tidied(_fingerprints(of)), "prefix long, rid long")
     twice = prints.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1")
-    spread = F.when(F.col("n") > hot_at, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
     twice = stored(twice.select("prefix", (F.col("n") > hot_at).alias("hot"), "n"), "prefixes")
-    # at most one prefix in hot_at rows is hot; the list is broadcast only where it has at most 100,000 of them
-    few = twice.where("hot").limit(100_001).count() <= 100_000
+    # a prefix of more than a share of 1 / OFTEN of the rows is spread; there are OFTEN of these at most, so they are broadcast
+    limit = (twice.agg(F.sum("n")).first()[0] or 0) / OFTEN
+    spread = F.when(F.col("n") > limit, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
     sides = twice.select("prefix", "hot", F.explode(spread).alias("salt"))
-    if few:
-        known = F.broadcast(twice.where("hot").select("prefix", F.lit(True).alias("often")))
-        salted = prints.join(known, "prefix", "left").select("prefix", "rid", F.when(F.col("often"), F.pmod("rid", F.lit(SPREAD))).otherwise(0).cast("int").alias("salt"))
-    else:
-        salted, sides = prints.withColumn("salt", F.lit(0)), sides.where("salt = 0")
+    known = F.broadcast(twice.where(F.col("n") > limit).select("prefix", F.lit(True).alias("often")))
+    salted = prints.join(known, "prefix", "left").select("prefix", "rid", F.when(F.col("often"), F.pmod("rid", F.lit(SPREAD))).otherwise(0).cast("int").alias("salt"))
     found = salted.join(sides, ["prefix", "salt"]).groupBy("rid")
     marked = stored(found.agg(F.collect_set("prefix").alias("prefixes"), F.collect_set(F.when(F.col("hot"), F.col("prefix"))).alias("hot")), "marked")
     discard(twice)

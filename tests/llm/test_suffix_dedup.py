@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from confabula.llm import suffix_dedup
 from confabula.llm.suffix_dedup import PASSAGE, PIECE, SPAN, Chunk, LoserTree, decoded, op5_suffix_dedup, remove_repeats, shared_prefix
 
 from .helpers import SCHEMA, frame, texts
@@ -59,6 +60,13 @@ def test_two_lengths_and_hot_prefixes(spark, hot_at):
         remove_repeats(docs, span=100, also=100)
 
 
+@pytest.mark.parametrize("often", [1, 1_000_000])
+def test_no_prefix_or_every_prefix_is_spread(spark, monkeypatch, often):
+    monkeypatch.setattr(suffix_dedup, "OFTEN", often)
+    rows = texts(3)
+    assert found(remove_repeats(frame(spark, rows).repartition(6), also=PASSAGE), "n_repeated", "n_passages") == brute(rows, SPAN, PASSAGE)
+
+
 def test_hot_passage_before_different_texts(spark):
     rng = random.Random(8)
     noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
