@@ -10,7 +10,8 @@ a table key, so 32 minhashes serve 64 tables of four hashes. Two sets of similar
 2. Keys that only one node has are dropped. In every other bucket each node is paired with the bucket's smallest node.
    Pairs whose sizes or parity bits rule similarity 0.8 out are dropped, which loses nothing (a parity bit tells whether an
    odd number of shingles fall on it: a lower bound of what two sets differ in). Pairs with fewer than LEAST_EQUAL of 32
-   equal minhashes are dropped too: of pairs of similarity 0.8 that are about one in a million, fewer above. What is left
+   equal minhashes are dropped too: of pairs of similarity 0.8 that are about one in a million, fewer above (least_equal=0
+   turns this off). What is left
    is confirmed on the texts' full sets.
 3. Links give components (alternating large and small stars; every round is written, only counts reach the driver).
 4. A bucket whose nodes are not all in one component may still hide a link between two of its other nodes. Its smallest
@@ -153,17 +154,18 @@ def signatures(docs: DataFrame, size: int = WORDS) -> DataFrame:
     return docs.mapInArrow(tidied(run), "doc_id long, n_shingles long, one long, two long, sub array<int>, sig array<long>")
 
 
-def alike(a: str, b: str) -> Column:
+def alike(a: str, b: str, least_equal: int) -> Column:
     """Whether sizes (n_) and sketches (sig_) of two nodes allow the similarity.
 
-    Two sets differ in no fewer shingles than their parity bits do, so that bound loses nothing.
+    Two sets differ in no fewer shingles than their parity bits do, so that bound loses nothing. least_equal: equal minhashes
+    that a pair must have; 0 drops no pair.
     """
 
     planes = " | ".join(f"(sig_{a}[{i}] ^ sig_{b}[{i}])" for i in range(N_HASHES // 8))
     others = f"bit_count(({planes} | shiftrightunsigned({planes}, 32)) & {0xFFFFFFFF}L)"
     differ = [f"bit_count(sig_{a}[{i}] ^ sig_{b}[{i}])" for i in range(N_HASHES // 8, N_HASHES // 8 + SKETCH // 64)]
     sizes = f"least(n_{a}, n_{b}) * 100 >= greatest(n_{a}, n_{b}) * {PERCENT}"
-    return F.expr(f"{sizes} AND ({' + '.join(differ)}) * {100 + PERCENT} <= (n_{a} + n_{b}) * {100 - PERCENT} AND {others} <= {N_HASHES - LEAST_EQUAL}")
+    return F.expr(f"{sizes} AND ({' + '.join(differ)}) * {100 + PERCENT} <= (n_{a} + n_{b}) * {100 - PERCENT} AND {others} <= {N_HASHES - least_equal}")
 
 
 def first_shared(a: str, b: str) -> Column:
@@ -243,13 +245,13 @@ def label(members: DataFrame, parts: DataFrame) -> DataFrame:
     return members.join(parts, "node", "left").select("key", "place", "node", F.coalesce("component", "node").alias("component"))
 
 
-def links_between(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+def links_between(nodes: DataFrame, docs: DataFrame, size: int, least_equal: int = LEAST_EQUAL) -> DataFrame:
     """(node, component) for the nodes that have links."""
     keys = table_keys(nodes)
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
     members = stored(keys.join(shared, "key").select("key", "place", "node", "pivot"), "buckets")
     pairs = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    pairs = sized(sized(pairs, nodes, "a"), nodes, "b").where(alike("a", "b")).select("a", "b", "n_a", "n_b")
+    pairs = sized(sized(pairs, nodes, "a"), nodes, "b").where(alike("a", "b", least_equal)).select("a", "b", "n_a", "n_b")
     links = confirmed(pairs, docs, size)
     parts = components(links)
     left = members.where("node <> pivot").select("key", "place", "node")
@@ -278,7 +280,7 @@ def links_between(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
         a, b = sized(a, nodes, "a"), sized(b, nodes, "b")
         # of two nodes that both take their turn, one meets the other
         once = ~F.col("out") | (F.col("a") > F.col("b")) if last else F.lit(True)
-        met = a.join(b, (a["key"] == b["key"]) & (a["salt"] == b["salt"]) & (F.col("c") != F.col("d")) & once & alike("a", "b") & (F.col("place") == first_shared("a", "b")))
+        met = a.join(b, (a["key"] == b["key"]) & (a["salt"] == b["salt"]) & (F.col("c") != F.col("d")) & once & alike("a", "b", least_equal) & (F.col("place") == first_shared("a", "b")))
         swap = F.col("a") < F.col("b")
         pairs = met.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"), F.when(swap, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(swap, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b"))
         more = confirmed(pairs.toDF("a", "b", "n_a", "n_b").distinct(), docs, size)
@@ -290,13 +292,14 @@ def links_between(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
         left = stored(left, "left")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest doc_id linked with it, directly or not), kept. size: words in a shingle."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, least_equal: int = LEAST_EQUAL) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (the smallest doc_id linked with it, directly or not), kept. size: words in a
+    shingle; least_equal: 0 confirms every pair that shares a table key, at the cost of more comparisons of full sets."""
     docs = bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = stored(signatures(docs, size), "signatures")
     sets = rows.where("n_shingles > 0 and doc_id is not null").groupBy("one", "two")
     nodes = stored(sets.agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sub").alias("sub"), F.first("sig").alias("sig")), "nodes")
-    parts = links_between(nodes, docs, size)
+    parts = links_between(nodes, docs, size, least_equal)
     own = rows.select("doc_id", "n_shingles", "one", "two").join(nodes.select("one", "two", "node"), ["one", "two"], "left")
     out = own.join(parts, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("found"))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")))

@@ -37,6 +37,14 @@ def test_against_all_pairs(spark, seed):
     assert sorted(map(tuple, near_duplicates(frame(spark, rows)).collect())) == brute(rows, 5)
 
 
+def test_every_pair_that_shares_a_key_can_be_confirmed(spark):
+    """Similarities just below and above the bound, without the filter by equal minhashes."""
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = [(k, " ".join(words[: 120 - k] + [f"o{k}x{i}" for i in range(k)])) for k in range(0, 24, 2)] + [(100 + k, x) for k, x in texts(4, 30)]
+    assert sorted(map(tuple, near_duplicates(frame(spark, rows), size=2, least_equal=0).collect())) == brute(rows)
+
+
 def test_chain_of_links_in_one_bucket(spark):
     """Neighbours are similar, distant ones aren't: no single node meets all others."""
     rng = random.Random(9)
