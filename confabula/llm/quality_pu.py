@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import remainder, slices, stored, table, tidied, utf8
 
-#: Rows of each kind that are learnt from.
+#: Rows of each kind that are learnt from; the unlabelled ones are weighted so that their scores are spread as those of all unlabelled rows.
 SAMPLE = 12_000
 HIDDEN = 24
 EPOCHS = 40
@@ -119,26 +119,28 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def risk(on_p: np.ndarray, on_u: np.ndarray, prior: float) -> tuple[float, float]:
-    """Both parts of the risk of the scores (0 to 1) of positive and unlabelled rows: with positives as 1, and with the unlabelled as 0."""
+def risk(on_p: np.ndarray, on_u: np.ndarray, prior: float, weights: np.ndarray | float = 1.0) -> tuple[float, float]:
+    """Both parts of the risk of the scores (0 to 1) of positive and unlabelled rows: with positives as 1, and with the unlabelled as 0.
+    weights: of the unlabelled rows, 1 on average."""
     off = lambda s: np.log1p(-np.minimum(s, 1 - 1e-12))
-    return float(-prior * np.log(np.maximum(on_p, 1e-12)).mean()), float(-off(on_u).mean() + prior * off(on_p).mean())
+    return float(-prior * np.log(np.maximum(on_p, 1e-12)).mean()), float(-(weights * off(on_u)).mean() + prior * off(on_p).mean())
 
 
-def slopes(on_p: np.ndarray, on_u: np.ndarray, prior: float | None) -> tuple[np.ndarray, np.ndarray]:
+def slopes(on_p: np.ndarray, on_u: np.ndarray, prior: float | None, weights: np.ndarray | float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """How the risk changes with each row's margin; where its second part is below zero, that part's change the other way.
 
     Of the logistic loss, d/dz of the loss as 1 is s - 1, of the loss as 0 it is s. prior None: positives against unlabelled.
     """
     if prior is None:
-        return (on_p - 1) / len(on_p), on_u / len(on_u)
-    if risk(on_p, on_u, prior)[1] >= 0:
-        return prior * (on_p - 1) / len(on_p) - prior * on_p / len(on_p), on_u / len(on_u)
-    return prior * on_p / len(on_p), -on_u / len(on_u)
+        return (on_p - 1) / len(on_p), weights * on_u / len(on_u)
+    if risk(on_p, on_u, prior, weights)[1] >= 0:
+        return prior * (on_p - 1) / len(on_p) - prior * on_p / len(on_p), weights * on_u / len(on_u)
+    return prior * on_p / len(on_p), -weights * on_u / len(on_u)
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed: int = SEED) -> Network:
-    """prior: minimise the non-negative PU risk with it; None: just tell positive from unlabelled rows."""
+def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed: int = SEED, weights: np.ndarray | None = None) -> Network:
+    """prior: minimise the non-negative PU risk with it; None: just tell positive from unlabelled rows. weights: how many rows of
+    the corpus each unlabelled one stands for, 1 on average."""
     rng = np.random.default_rng(seed)
     both = np.concatenate([positive, unlabelled])
     scale = both.std(axis=0)
@@ -148,13 +150,14 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, see
     first, second = [np.zeros_like(x) for x in net.layers], [np.zeros_like(x) for x in net.layers]
     steps = max(1, max(len(p), len(u)) // BATCH)
     for step in range(EPOCHS * steps):
-        x, y = p[rng.integers(0, len(p), BATCH)], u[rng.integers(0, len(u), BATCH)]
+        x, at = p[rng.integers(0, len(p), BATCH)], rng.integers(0, len(u), BATCH)
+        y = u[at]
         rows = np.concatenate([x, y])
         a, b, c, d = net.layers
         hidden = np.tanh(rows @ a + b)
         s = sigmoid(hidden @ c + d)
         on_p, on_u = s[: len(x)], s[len(x) :]
-        slope = np.concatenate(slopes(on_p, on_u, prior))
+        slope = np.concatenate(slopes(on_p, on_u, prior, 1.0 if weights is None else weights[at]))
         back = np.outer(slope, c) * (1 - hidden**2)
         grads = [rows.T @ back + 1e-4 * a, back.sum(axis=0), hidden.T @ slope + 1e-4 * c, slope.sum()]
         rate = 3e-3 * (1 - step / (EPOCHS * steps)) + 1e-4
@@ -182,6 +185,16 @@ def estimated_prior(positive: np.ndarray, cuts: np.ndarray, counts: np.ndarray)
     return float(np.clip(above_u[best] / max(above_p[best], 1e-9), 0.01, 0.99))
 
 
+def standing_for(bins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Weights, 1 on average, with which the sampled rows have the shares of all unlabelled rows: bins, of the sampled; counts, of all
+    rows by bin. Rows of a bin that the sample hasn't met count with the next bin that it has, of the last ones with the one before."""
+    there = np.bincount(bins, minlength=len(counts))
+    met = np.flatnonzero(there)
+    into = met[np.minimum(np.searchsorted(met, np.arange(len(counts))), len(met) - 1)]
+    shares = np.bincount(into, counts, minlength=len(counts)) / max(1, counts.sum())
+    return (shares * len(bins))[bins] / there[bins]
+
+
 @dataclass
 class Model:
     network: Network | None
@@ -224,7 +237,8 @@ def fit(docs: DataFrame, positives: DataFrame, labelled: DataFrame, doc_id: str
     for r in unseen_rows.collect():  # at most CUTS + 1 rows
         counts[r.bin] = r.n
     prior = estimated_prior(unseen, cuts, counts)
-    return Model(train(positive, unlabelled, prior), prior)
+    weights = standing_for(np.searchsorted(cuts, first.margin(unlabelled), "right"), counts)
+    return Model(train(positive, unlabelled, prior, weights=weights), prior)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -157,6 +157,25 @@ def test_prior_of_a_known_mixture():
         assert quality_pu.estimated_prior(positive[:2000], cuts, counts) == pytest.approx(share, abs=0.06)
 
 
+def test_sampled_rows_stand_for_all(spark, monkeypatch):
+    """The shares of weighted rows are those of all rows; and with a small sample the risk that is minimised is about the same."""
+    rng = np.random.default_rng(5)
+    bins, counts = rng.integers(2, 7, 50), np.array([3, 0, 40, 10, 0, 25, 90, 7])
+    weights = quality_pu.standing_for(bins, counts)
+    got = np.bincount(bins, weights, minlength=8) / 50
+    want = np.array([0, 0, 43, 10, 0, 25, 97, 0]) / counts.sum()
+    assert got[[2, 3, 5, 6]].sum() + got[4] == pytest.approx(1) and weights.mean() == pytest.approx(1)
+    assert got[2] == pytest.approx(want[2]) and got[6] == pytest.approx(want[6])
+    assert quality_pu.standing_for(bins, np.bincount(bins, minlength=8)) == pytest.approx(np.ones(50))
+    good = [(i, " ".join(f"Word{j * i % 31} runs well, over there." for j in range(40)), 1) for i in range(40)]
+    junk = [(100 + i, "$ # ! buy now now now | x" * (5 + i), None) for i in range(300)]
+    docs = spark.createDataFrame(good + junk, SCHEMA)
+    positives = docs.where("label = 1").select("doc_id")
+    monkeypatch.setattr(quality_pu, "SAMPLE", 30)
+    out = {r.doc_id: r.score for r in quality_pu.score(docs, quality_pu.fit(docs, positives, positives)).collect()}
+    assert np.mean([out[i] for i in range(40)]) > 0.7 > 0.3 > np.mean([out[100 + i] for i in range(300)])
+
+
 def test_quality_query_against_plain_python(spark, sf_dir):
     """The same model and scores, without Spark but for the order of the sample."""
     import zlib
