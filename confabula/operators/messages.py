@@ -22,8 +22,45 @@ def up_to(order: Column) -> WindowSpec:
     return whole().orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def turns(messages: DataFrame) -> DataFrame:
-    """turn_no: every user row starts a turn; what comes before the first one is turn 0."""
+#: A session of more than a share of 1 / OFTEN of all rows is cut into parts; there are at most so many.
+OFTEN = 1000
+
+
+def long_sessions(messages: DataFrame, least: int = 100_000, parts: int = 256) -> DataFrame:
+    """(session_id, cuts): the sessions of more than least rows that also have more than a thousandth of all rows, with the
+    positions at which they are cut into parts of about the same size. There are at most OFTEN of them, whatever the input's size.
+
+    For turns() and context_window(): they then run over the parts of such a session in as many tasks.
+    """
+    counts = messages.groupBy("session_id").agg(F.count("*").alias("n"))
+    bound = F.greatest(F.lit(least).cast("double"), counts.agg(F.sum("n")).scalar() / OFTEN)
+    own = messages.join(F.broadcast(counts.where(F.col("n") > bound).select("session_id")), "session_id", "left_semi")
+    return own.groupBy("session_id").agg(F.array_distinct(F.percentile_approx("pos", [i / parts for i in range(1, parts)], 20 * parts)).alias("cuts"))
+
+
+def _running(messages: DataFrame, value: Column, name: str, newest_first: bool, cuts: DataFrame) -> DataFrame:
+    """messages with the running sum of value by pos and its total by session (name, name_total), by a prefix sum in two passes.
+
+    Each part of a long session adds up its own rows; the parts' totals, at most OFTEN sessions times their parts, give what
+    comes before each part.
+    """
+    part = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("pos"))), F.lit(0))
+    rows = messages.join(F.broadcast(cuts), "session_id", "left").withColumn("_part", part).withColumn("_value", value)
+    order = F.desc if newest_first else F.asc
+    own = Window.partitionBy("session_id", "_part")
+    totals = rows.where("cuts IS NOT NULL").groupBy("session_id", "_part").agg(F.sum("_value").alias("_sum"))
+    others = Window.partitionBy("session_id").orderBy(order("_part"))
+    before = F.sum("_sum").over(others.rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select("session_id", "_part", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_sum").over(whole()).alias("_total"))
+    local = rows.withColumn(name, F.sum("_value").over(own.orderBy(order("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_own", F.sum("_value").over(own))
+    out = local.join(F.broadcast(offsets), ["session_id", "_part"], "left")
+    return out.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).withColumn(f"{name}_total", F.coalesce("_total", "_own")).select(*messages.columns, name, f"{name}_total")
+
+
+def turns(messages: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
+    """turn_no: every user row starts a turn; what comes before the first one is turn 0. cuts: from long_sessions()."""
+    if cuts is not None:
+        return _running(messages, is_user(), "turn_no", False, cuts).drop("turn_no_total")
     return messages.withColumn("turn_no", F.sum(is_user()).over(up_to(F.asc("pos"))))
 
 
@@ -32,11 +69,24 @@ def turn_counts(messages: DataFrame) -> DataFrame:
 
 
 def history_page(messages: DataFrame, page: int, size: int) -> DataFrame:
-    """The rows of the page's turns, newest turns on page 1, with turn_rank (1: newest). System rows and turn 0 are never shown."""
+    """The rows of the page's turns, newest turns on page 1, with turn_rank (1: newest). System rows and turn 0 are never shown.
+
+    User rows are the anchors: only the newest page * size of a session are ranked, of which Spark keeps no more before it
+    shuffles them. The oldest anchor of the page and the anchor before its newest bound the page; rows outside these
+    positions reach no window.
+    """
     if page < 1 or not 1 <= size <= 100:
         raise ValueError("page is at least 1, size between 1 and 100")
-    own = turns(messages).withColumn("turn_rank", F.sum(is_user()).over(whole()) - F.col("turn_no") + 1)
-    return own.where((F.col("turn_no") > 0) & F.col("turn_rank").between((page - 1) * size + 1, page * size) & F.col("role").isin("user", "assistant", "tool"))
+    users = messages.where("role = 'user'").select("session_id", "pos")
+    rank = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("pos")))
+    anchors = users.withColumn("rank", rank).where(F.col("rank") <= page * size)
+    inside = F.col("rank") > (page - 1) * size
+    bounds = anchors.groupBy("session_id").agg(F.min(F.when(inside, F.col("pos"))).alias("_from"), F.min(F.when(~inside, F.col("pos"))).alias("_before"), F.max("rank").alias("_oldest"))
+    counted = bounds.where("_from IS NOT NULL").join(users.groupBy("session_id").agg(F.count("*").alias("_turns")), "session_id")
+    shown = messages.where(F.col("role").isin("user", "assistant", "tool"))
+    rows = shown.join(counted, "session_id").where((F.col("pos") >= F.col("_from")) & (F.col("_before").isNull() | (F.col("pos") < F.col("_before"))))
+    rows = rows.withColumn("turn_no", F.col("_turns") - F.col("_oldest") + F.sum(is_user()).over(up_to(F.asc("pos"))))
+    return rows.withColumn("turn_rank", F.col("_turns") - F.col("turn_no") + 1).select(*messages.columns, "turn_no", "turn_rank")
 
 
 def ui_groups(messages: DataFrame) -> DataFrame:
@@ -81,13 +131,19 @@ def ui_messages(messages: DataFrame) -> DataFrame:
     return groups.where(F.size("rows") > 0).select("session_id", "turn_no", F.when(F.col("is_user"), "user").otherwise("assistant").alias("role"), "first_pos", parts.alias("parts"))
 
 
-def context_window(messages: DataFrame, budget: Column | int, low: float = 0.5, high: float = 0.8) -> DataFrame:
-    """run_tokens from the newest row back; keep while it is within the low mark, else compress; and whether to compress at all."""
+def context_window(messages: DataFrame, budget: Column | int, low: float = 0.5, high: float = 0.8, cuts: DataFrame | None = None) -> DataFrame:
+    """run_tokens from the newest row back; keep while it is within the low mark, else compress; and whether to compress at all.
+
+    cuts: from long_sessions().
+    """
     budget = F.lit(budget) if isinstance(budget, int) else budget
     tokens = F.coalesce("token_count", F.lit(0))
-    run = F.sum(tokens).over(up_to(F.desc("pos")))
+    if cuts is None:
+        rows = messages.withColumn("run_tokens", F.sum(tokens).over(up_to(F.desc("pos")))).withColumn("total_tokens", F.sum(tokens).over(whole()))
+    else:
+        rows = _running(messages, tokens, "run_tokens", True, cuts).withColumnRenamed("run_tokens_total", "total_tokens")
     mark = lambda ratio: (budget * F.lit(ratio)).cast("int")
-    return messages.withColumn("run_tokens", run).withColumn("total_tokens", F.sum(tokens).over(whole())).withColumn("bucket", F.when(F.col("run_tokens") <= mark(low), "keep").otherwise("compress")).withColumn("needs_compress", F.col("total_tokens") >= mark(high))
+    return rows.withColumn("bucket", F.when(F.col("run_tokens") <= mark(low), "keep").otherwise("compress")).withColumn("needs_compress", F.col("total_tokens") >= mark(high))
 
 
 def newest(rows: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:

@@ -6,16 +6,11 @@ finds what the index holds. There is no stemming and there are no stop words.
 
 from __future__ import annotations
 
-import zlib
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens, truncate
-
-
-#: Folders of a written index, by a hash of the token.
-FOLDERS = 64
+from ..sources.postings import TokenIndex
 
 
 def token_index(messages: DataFrame) -> DataFrame:
@@ -23,25 +18,18 @@ def token_index(messages: DataFrame) -> DataFrame:
     return messages.select(F.explode(F.array_distinct(tokens(F.col("content")))).alias("token"), "session_id", "pos")
 
 
-def folder(token: Column) -> Column:
-    return F.pmod(F.crc32(token.cast("binary")), F.lit(FOLDERS)).cast("int")
-
-
-def write_index(index: DataFrame, path: str) -> None:
-    """Write the index in folders by token, sorted by token within, so that a search reads few row groups of few folders."""
-    placed = index.withColumn("folder", folder(F.col("token")))
-    placed.repartition("folder", F.pmod(F.xxhash64("session_id"), F.lit(4))).sortWithinPartitions("folder", "token").write.partitionBy("folder").parquet(path)
+def words_of(spark: SparkSession, keyword: str) -> list[str]:
+    """The tokens of a keyword, as many as were typed."""
+    return spark.range(1).select(F.array_distinct(tokens(F.lit(keyword))).alias("w")).first().w
 
 
-def search(messages: DataFrame, index: DataFrame, keyword: str) -> DataFrame:
-    """Messages that have any token of the keyword. Its tokens, as many as were typed, are literal filters on the index.
+def search(messages: DataFrame, index: DataFrame | TokenIndex, keyword: str) -> DataFrame:
+    """Messages that have any token of the keyword. Its tokens are literal filters on the index.
 
-    On a written index they choose its folders and reach its scan.
+    index: a token table, or an index on disk, whose folders they choose and whose scan they reach.
     """
-    words = index.sparkSession.range(1).select(F.array_distinct(tokens(F.lit(keyword))).alias("w")).first().w
-    hits = index.where(F.col("token").isin(words))
-    if "folder" in index.columns:
-        hits = hits.where(F.col("folder").isin(sorted({zlib.crc32(w.encode()) % FOLDERS for w in words})))
+    words = words_of(messages.sparkSession, keyword)
+    hits = index.postings(words) if isinstance(index, TokenIndex) else index.where(F.col("token").isin(words))
     return messages.join(hits.select("session_id", "pos").distinct(), ["session_id", "pos"], "left_semi")
 
 

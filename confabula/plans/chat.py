@@ -81,6 +81,14 @@ SHOW = ["id", "user_id", "title", "is_pinned", "pinned_at", "updated_at"]
 
 Q: dict = {
     "history_turns": (history_turns, f"SELECT session_id, pos, role, turn_no FROM ({TURNS})"),
+    "history_turns_in_parts": (
+        lambda s, d: M.turns(C.messages(s, d), M.long_sessions(C.messages(s, d), 4, 3)).select("session_id", "pos", "role", "turn_no"),
+        f"SELECT session_id, pos, role, turn_no FROM ({TURNS})",
+    ),
+    "context_window_in_parts": (
+        lambda s, d: M.context_window(C.messages(s, d), BUDGET, cuts=M.long_sessions(C.messages(s, d), 4, 3)).select("session_id", "pos", "run_tokens", "total_tokens", "bucket", "needs_compress"),
+        f"SELECT session_id, pos, run_tokens, total_tokens, bucket, needs_compress FROM ({WINDOW})",
+    ),
     "history_page": (history_page, page_sql(1)),
     "history_page_p2": (lambda s, d: history_page(s, d, 2), page_sql(2)),
     "turn_counts": (lambda s, d: M.turn_counts(C.messages(s, d)), f"SELECT session_id, count(*) FILTER (WHERE role = 'user') AS n_turns FROM ({MSG}) GROUP BY 1"),

@@ -11,6 +11,7 @@ from ..operators import search as H
 from ..operators import skills as K
 from ..operators import tools as X
 from ..sources import catalog as C
+from ..sources.postings import TokenIndex
 from ..sources.shared import shared_path
 from .chat import MSG
 
@@ -23,19 +24,30 @@ _INDEXES: dict[tuple[str, str], str] = {}
 
 
 def written_index(spark, d):
-    """The token index of the messages, written once for a session and directory."""
+    """The token index of the messages, kept for a session and directory; it follows the table's files at every search."""
     key = (spark.sparkContext.applicationId, d)
-    if key not in _INDEXES:
-        path = shared_path(spark, "token-index")
-        H.write_index(H.token_index(C.messages(spark, d)), path)
-        _INDEXES[key] = path
-    return spark.read.parquet(_INDEXES[key])
+    index = TokenIndex(spark, _INDEXES.setdefault(key, shared_path(spark, "token-index")), T.tokens)
+    index.follow(f"{d}/conversations.parquet", C.messages_of)
+    return index
 
 
 def found(spark, d):
     return H.search(C.messages(spark, d), written_index(spark, d), KEYWORD)
 
 
+def grown(spark, d):
+    """An index of some messages, to which others are added; some change, some go, and the segments are merged."""
+    m = C.messages(spark, d)
+    index = TokenIndex(spark, shared_path(spark, "grown-index"), T.tokens)
+    index.add(m.where("session_id % 3 <> 1"))
+    index.add(m.where("session_id % 3 = 1"))
+    index.change(m.where("pos = 2").withColumn("content", F.lit("house")))
+    index.delete(m.where("pos = 1 AND session_id % 2 = 0"))
+    index.merge()
+    index.change(m.where("pos = 3").withColumn("content", F.lit("nothing here")))
+    return index.postings(H.words_of(spark, KEYWORD)).select("session_id", "pos", "token")
+
+
 def timed(spark, d):
     rows = found(spark, d).withColumn("created_at", F.expr("timestampadd(MINUTE, cast(pos as int), timestamp_ntz'2024-01-01 00:00:00')"))
     return H.in_time_range(rows, "created_at", F.lit("2024-01-01T00:02:00"), F.lit("2024-01-01T00:05:00")).select("session_id", "pos")
@@ -123,6 +135,11 @@ Q: dict = {
     "token_estimate": (lambda s, d: C.table(s, d, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens")), "SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE length(text) // 4 END AS tokens FROM documents"),
     "search_tokens_index": (lambda s, d: H.token_index(C.messages(s, d)).groupBy("token").agg(F.count("*").alias("n_messages")), f"SELECT token, count(*) AS n_messages FROM ({TOK}) GROUP BY 1"),
     "search_keyword": (lambda s, d: found(s, d).select("session_id", "pos", "role"), f"SELECT session_id, pos, role FROM ({MSG}) JOIN ({HIT}) USING (session_id, pos)"),
+    "search_grown_index": (
+        grown,
+        f"""SELECT session_id, pos, token FROM ({TOK}) WHERE token IN ('the', 'house', 'of', 'que') AND pos NOT IN (2, 3) AND NOT (pos = 1 AND session_id % 2 = 0)
+          UNION ALL SELECT session_id, pos, 'house' FROM ({MSG}) WHERE pos = 2""",
+    ),
     "search_in_session_timerange": (timed, f"SELECT session_id, pos FROM ({HIT}) WHERE pos BETWEEN 2 AND 5"),
     "search_render": (
         lambda s, d: H.render(found(s, d), "session_id", "pos", F.col("pos").cast("string"), 3, 200),

@@ -15,7 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session_id, pos, role, content, token_count; pos orders a session and is unique in it."""
-    return table(spark, sf_dir, "conversations").select(
+    return messages_of(table(spark, sf_dir, "conversations"))
+
+
+def messages_of(conversations: DataFrame) -> DataFrame:
+    return conversations.select(
         F.col("conv_id").alias("session_id"), F.col("turn").alias("pos"), "role", F.col("text").alias("content"), F.expr("cast(length(text) div 4 as bigint)").alias("token_count")
     )
 

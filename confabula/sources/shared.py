@@ -31,6 +31,18 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return [x.getPath().getName() for x in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)]
 
 
+def listed(spark: SparkSession, path: str) -> dict[str, tuple[int, int]]:
+    """The data files of a table by name, with length and time of the last change."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(place, True)
+    out = {}
+    while found.hasNext():
+        x = found.next()
+        if not x.getPath().getName().startswith(("_", ".")):
+            out[x.getPath().toString()] = (x.getLen(), x.getModificationTime())
+    return out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table that is needed no more."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
