@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.automaton import contained
 from .tools import overlay
 
 META = ["skill_id", "display_name", "enabled"]
@@ -14,26 +15,15 @@ def skill_meta(skills: DataFrame) -> DataFrame:
     return skills.where("enabled").select(META)
 
 
-#: Triggers that are compared with a text in one expression.
-TRIGGERS_AT_ONCE = 1000
-
-
 def match(queries: DataFrame, skills: DataFrame, key: str, text: str, k: int = 2) -> DataFrame:
     """The k skills with most trigger hits for each query; a trigger listed twice counts twice, an empty one never.
 
-    The catalogue's distinct triggers are brought to the driver and become arrays that each text is compared with in
-    generated code, TRIGGERS_AT_ONCE to a pass; the triggers found are then joined with the skills that list them. So texts
-    aren't multiplied by skills, and no trigger is evaluated twice.
+    The catalogue's distinct triggers become an automaton (several beyond its size), which finds those in a text in one pass over
+    it; the triggers found are then joined with the skills that list them.
     """
     listed = skills.where("enabled").select("skill_id", F.explode("triggers").alias("trigger")).where("trigger <> ''").select("skill_id", F.lower("trigger").alias("trigger"))
     weights = listed.groupBy("trigger", "skill_id").agg(F.count("*").alias("times"))
-    known = [r.trigger for r in listed.select("trigger").distinct().orderBy("trigger").collect()]  # the catalogue, a small dimension
-    low = queries.select(key, F.lower(text).alias("_low"))
-    found = None
-    for at in range(0, max(1, len(known)), TRIGGERS_AT_ONCE):
-        some = F.array(*map(F.lit, known[at : at + TRIGGERS_AT_ONCE])).cast("array<string>")
-        part = low.select(key, F.explode(F.filter(some, lambda t: F.contains(F.col("_low"), t))).alias("trigger"))
-        found = part if found is None else found.union(part)
+    found = contained(queries.select(key, F.lower(text).alias("_low")), listed.select("trigger").distinct(), key, "_low", "trigger")
     hits = found.join(weights, "trigger").groupBy(key, "skill_id").agg(F.sum("times").alias("hits"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("hits"), F.asc("skill_id")))
     return hits.withColumn("rank", rank.cast("long")).where(F.col("rank") <= max(1, k)).select(key, "skill_id", "hits", "rank")

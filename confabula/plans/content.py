@@ -58,6 +58,12 @@ def matched(spark, d):
     return K.match(docs, C.skills(spark), "doc_id", "text", 2)
 
 
+def many_triggers(spark, d):
+    """Every benchmark item is a skill; its triggers are the words of its text."""
+    items = C.table(spark, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id")).alias("skill_id"), F.lit(True).alias("enabled"), F.split("text", " ").alias("triggers"))
+    return K.match(C.table(spark, d, "documents").select("doc_id", "text"), items, "doc_id", "text", 3)
+
+
 SKILLS = ", ".join(f"('{i}', [{', '.join(repr(t) for t in ts)}])" for i, _, e, ts in C.SKILLS if e)
 
 
@@ -153,6 +159,13 @@ Q: dict = {
           SELECT doc_id, skill_id, hits, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, skill_id) AS rank FROM (
             SELECT doc_id, skill_id, len(list_filter(triggers, lambda t: t <> '' AND contains(lower(text), lower(t))))::BIGINT AS hits FROM documents, s) WHERE hits > 0) WHERE rank <= 2""",
     ),
+    "skill_match_many": (
+        many_triggers,
+        """WITH t AS (SELECT 'b' || item_id AS skill_id, lower(unnest(string_split(text, ' '))) AS trigger FROM benchmark), w AS (SELECT skill_id, trigger, count(*) AS times FROM t WHERE trigger <> '' GROUP BY 1, 2),
+          f AS (SELECT doc_id, trigger FROM documents, (SELECT DISTINCT trigger FROM w) WHERE contains(lower(text), trigger))
+          SELECT doc_id, skill_id, hits, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, skill_id) AS rank FROM (
+            SELECT doc_id, skill_id, sum(times)::BIGINT AS hits FROM f JOIN w USING (trigger) GROUP BY 1, 2)) WHERE rank <= 3""",
+    ),
     "tool_visibility": (visible, VISIBLE),
     "truncate_marker": (
         lambda s, d: C.table(s, d, "documents").select("doc_id", F.md5(T.truncate(F.col("text")).cast("binary")).alias("digest")),
