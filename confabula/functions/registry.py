@@ -8,16 +8,27 @@ from dataclasses import dataclass, field
 from pyspark.sql import SparkSession
 
 
+class ToolError(Exception):
+    """What a tool declares as its error: a result, not a failure of the job."""
+
+    def __init__(self, reason: str, detail: str | None = None, retryable: bool = False):
+        super().__init__(reason)
+        self.reason, self.detail, self.retryable = reason, detail, retryable
+
+
 @dataclass(frozen=True)
 class Definition:
-    """parameters: a JSON schema of type object whose required keys are among its properties."""
+    """A function with its policy: whether it is seen by default, how long a call may take (None: any time), what the context
+    must hold, and whether its output is stored. parameters: a JSON schema of type object whose required keys are among its properties."""
 
     name: str
     function: Callable
     returns: str
     parameters: dict = field(default_factory=lambda: {"type": "object", "properties": {}})
     visible: bool = True
-    timeout_seconds: int = 5
+    timeout_seconds: float | None = 5
+    required_context: tuple[str, ...] = ()
+    persist: bool = True
 
     def __post_init__(self) -> None:
         p = self.parameters

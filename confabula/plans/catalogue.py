@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from .. import errors
 from ..functions import text as T
+from ..functions.registry import Definition, Registry, ToolError
 from ..operators import assets as A
+from ..operators import dispatch as D
 from ..operators import memory as V
 from ..operators import registry as R
 from ..operators import search as H
@@ -118,6 +120,34 @@ RESULTS = """WITH c AS (SELECT *, CASE WHEN event_id % 7 = 0 THEN 'gone' ELSE ev
     CASE WHEN name = 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'kept short' ELSE '[output not kept]' END END AS placeholder FROM o"""
 
 
+def half(context, k, strict=False):
+    if k % 5 == 0:
+        raise ToolError("NOT_DIVISIBLE", str(k), True)
+    return {"half": k // 2, "user": context["user"]}
+
+
+def dispatched(spark, d):
+    """Each event calls the tool of its type; some have damaged arguments, some no session, and one tool isn't there."""
+    integer = {"type": "object", "properties": {"k": {"type": "integer"}}, "required": ["k"], "additionalProperties": False}
+    own = Registry()
+    own.register(Definition("click", half, "string", integer, required_context=("user",)))
+    own.register(Definition("view", lambda context, k: str(k), "string", integer, required_context=("user", "session"), persist=False))
+    own.register(Definition("purchase", lambda context, **_: "done", "string", timeout_seconds=None))
+    i = F.col("event_id")
+    context = F.when(i % 3 == 0, F.create_map(F.lit("user"), F.lit("u"))).otherwise(F.create_map(F.lit("user"), F.lit("u"), F.lit("session"), F.lit("s")))
+    calls = C.events(spark, d).select((i - i % 4).alias("message_id"), (i % 4).cast("int").alias("index"), i.cast("string").alias("id"), F.col("event_type").alias("name"), F.expr("CASE event_id % 7 WHEN 0 THEN '[1]' WHEN 1 THEN '{\"k\": true}' ELSE props END").alias("arguments"), context.alias("context"))
+    return D.dispatch(calls, own).select("message_id", "index", "id", "name", "output", "error", "detail", "retryable", "placeholder")
+
+
+DISPATCHED = """WITH e AS (SELECT *, json_extract(props, '$.k')::BIGINT AS k FROM events),
+  o AS (SELECT *, CASE WHEN event_type NOT IN ('click', 'view', 'purchase') THEN 'Tool unavailable' WHEN event_id % 7 = 0 OR (event_type <> 'purchase' AND event_id % 7 = 1) OR (event_type = 'view' AND event_id % 3 = 0) THEN 'Tool preflight failed'
+    WHEN event_type = 'click' AND k % 5 = 0 THEN 'NOT_DIVISIBLE' END AS error FROM e)
+  SELECT event_id - event_id % 4 AS message_id, (event_id % 4)::INTEGER AS index, event_id::VARCHAR AS id, event_type AS name,
+    CASE WHEN error IS NULL THEN CASE event_type WHEN 'click' THEN '{"half": ' || (k // 2) || ', "user": "u"}' WHEN 'view' THEN k::VARCHAR ELSE 'done' END END AS output, error,
+    CASE error WHEN 'Tool unavailable' THEN event_type WHEN 'NOT_DIVISIBLE' THEN k::VARCHAR WHEN 'Tool preflight failed' THEN CASE WHEN event_id % 7 = 0 THEN 'NOT_AN_OBJECT' WHEN event_type <> 'purchase' AND event_id % 7 = 1 THEN 'TYPE:k' ELSE 'CONTEXT:session' END END AS detail,
+    CASE WHEN error IS NOT NULL THEN error = 'NOT_DIVISIBLE' END AS retryable, CASE WHEN event_type = 'view' THEN '[output not kept]' END AS placeholder FROM o"""
+
+
 def owned_models(spark, d):
     m = C.models(spark, d)
     return m.withColumn("owner_user_id", F.expr("if(id % 5 = 0, null, cast(id % 7 as string))")).withColumn("scope", F.expr("if(id % 5 = 0, 'SYSTEM', 'USER')")).withColumn("updated_at", F.expr("timestampadd(MINUTE, cast(id % 50 as int), timestamp_ntz'2024-01-01 00:00:00')"))
@@ -296,6 +326,7 @@ Q: dict = {
             SELECT doc_id, skill_id, len(list_filter(triggers, lambda t: t <> '' AND contains(lower(text), lower(t))))::BIGINT AS hits FROM documents, s) WHERE hits > 0) WHERE rank <= 2 GROUP BY 1""",
     ),
     "tool_results": (results, RESULTS),
+    "tool_dispatch": (dispatched, DISPATCHED),
     "tool_elapsed": (lambda s, d: X.elapsed(C.events(s, d).select(F.col("user_id").alias("id"), "ts")), "SELECT user_id AS id, min(ts) AS started, max(ts) AS finished, epoch(max(ts) - min(ts))::DOUBLE AS seconds FROM events GROUP BY 1"),
     "tool_overlay": (
         lambda s, d: X.overlay(C.table(s, d, "nation").select(F.col("n_name").alias("tool"), F.lit("base").alias("origin")), C.table(s, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_name").alias("tool"), F.lit("own").alias("origin")), "tool"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources import catalog as C
 from ..sources.shared import shared_path
-from ..streaming import flows, state
+from ..streaming import finish, flows, state
 from . import catalogue
 from .content import CHUNK
 
@@ -90,6 +90,36 @@ def exactly_once(spark, d):
     return own
 
 
+def finished_turns(spark, d):
+    """The messages of all conversations come as two files; what the steps leave is told by kind."""
+    source, path = shared_path(spark, "stream-turns"), shared_path(spark, "stream-finished")
+    rows = C.messages(spark, d).select(
+        "session_id", "pos", "role", "content", F.when(F.col("pos") % 7 == 3, "left out").alias("persisted_output_placeholder"), F.expr("cast(null as bigint)").alias("token_count"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("pos")).alias("ts"),
+        (F.col("session_id") % 9).cast("string").alias("user_id"), F.concat_ws("-", "session_id", F.floor(F.col("pos") / 2)).alias("trace_id"), (F.col("session_id") % 8).alias("provider_id"), F.expr("if(session_id % 2 = 0, null, 'o')").alias("owner_user_id"),
+        F.expr("if(session_id % 2 = 0, 'SYSTEM', 'USER')").alias("scope"), F.lit(3).cast("long").alias("billing_ratio"), F.lit("m").alias("model_name"), F.lit(1).cast("long").alias("model_type"),
+    )
+    for number in range(2):
+        rows.where(f"(pos div 2) % 2 = {number}").coalesce(1).write.parquet(f"{source}/in{number}")
+    own = finish.Finisher(spark, path, lambda name, e: None, 5)
+    own.ledger.create(spark.range(6).select(F.col("id").alias("provider_id"), F.expr("if(id % 2 = 0, null, 'o')").alias("owner_user_id"), F.lit(0).cast("long").alias("usage_tokens"), F.lit(0).cast("long").alias("billable_usage_tokens")))
+    flows.start(flows.file_stream(spark, source, "*.parquet", finish.TURNS, 1), "append", path + "-flow", own.run).awaitTermination()
+    none = F.lit(None).cast("long")
+    hot = own.hot.read().select(F.lit("hot").alias("kind"), F.col("session_id").alias("a"), F.col("pos").alias("b"), F.col("token_count").alias("n"))
+    archive = own.archived().select(F.lit("archive"), "session_id", "pos", F.length("content").cast("long"))
+    memory = own.memories().groupBy("user_id").agg(F.count("*").alias("n")).select(F.lit("memory"), F.col("user_id").cast("long"), none, "n")
+    counted = own.ledger.counters().select(F.lit("ledger"), "provider_id", "usage_tokens", "billable_usage_tokens")
+    billed = own.published().select(F.from_json("value", "userId string, usageTokens long").alias("v")).groupBy("v.userId").agg(F.sum("v.usageTokens").alias("n")).select(F.lit("billing"), F.col("userId").cast("long"), none, "n")
+    return hot.union(archive).union(memory).union(counted).union(billed)
+
+
+FINISHED = """WITH m AS (SELECT conv_id AS s, turn AS pos, role, CASE WHEN turn % 7 = 3 THEN 'left out' ELSE text END AS content FROM conversations), t AS (SELECT *, (length(content) // 4)::BIGINT AS tokens FROM m),
+  u AS (SELECT s, pos // 2 AS k, sum(tokens)::BIGINT AS usage FROM t GROUP BY 1, 2 HAVING sum(tokens) > 0)
+  SELECT 'hot' AS kind, s AS a, pos AS b, tokens AS n FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY pos DESC) AS rank FROM t) WHERE rank <= 5
+  UNION ALL SELECT 'archive', s, pos, length(content) FROM t
+  UNION ALL SELECT 'memory', s % 9, NULL, count(*) FROM t WHERE role IN ('user', 'assistant') AND content IS NOT NULL GROUP BY 2
+  UNION ALL SELECT 'ledger', p.i, coalesce(sum(usage), 0)::BIGINT, coalesce(sum(CASE WHEN p.i % 2 = 0 THEN usage * 3 ELSE 0 END), 0)::BIGINT FROM (SELECT unnest(range(6)) AS i) p LEFT JOIN u ON u.s % 8 = p.i GROUP BY p.i
+  UNION ALL SELECT 'billing', s % 9, NULL, sum(usage)::BIGINT FROM u WHERE s % 2 = 0 GROUP BY 2"""
+
 Q: dict = {
     "stream_usage_ledger": (ledger, "SELECT user_id, count(*) AS n_events, sum(floor(value))::BIGINT AS usage_tokens FROM events GROUP BY 1"),
     "stream_usage_by_hour": (hours, "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n_events FROM events GROUP BY 1, 2"),
@@ -104,6 +134,7 @@ Q: dict = {
     "stream_hours_closed": (closed_hours, "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n_events FROM events GROUP BY 1, 2 HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"),
     "stream_updated_users": (updated_users, "SELECT user_id, count(*) AS n_events, sum(floor(value))::BIGINT AS usage_tokens FROM events GROUP BY 1"),
     "stream_lifecycle": (lifecycle, LIFECYCLE),
+    "stream_finished_turns": (finished_turns, FINISHED),
     "stream_ledger": (lambda s, d: exactly_once(s, d).counters(), catalogue.Q["ledger_counters"][1]),
     "stream_ledger_refused": (lambda s, d: exactly_once(s, d).refused().drop("batch").groupBy("provider_id", "owner_user_id", "error").agg(F.sum("usage_tokens").alias("usage_tokens"), F.sum("billable_usage_tokens").alias("billable_usage_tokens")), catalogue.Q["ledger_refused"][1]),
 }
