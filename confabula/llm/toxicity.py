@@ -10,16 +10,16 @@
   document and block; the two blocks with the highest bounds are scored, then all whose bound reaches the document's
   NEIGHBOURS-th best. The lists of terms that are in many examples are kept dense, so that scoring a block is a product of
   matrices and a few lists.
-* Votes are weighted by one over distance. The raw vote is turned into a probability by a monotone fit on the examples,
-  each scored without itself.
+* Votes are weighted by one over distance. The raw vote is turned into a probability by a monotone fit on the examples.
+* An example is never a neighbour of a row with its doc_id, in the fit and in scoring, so no row's own label votes on it.
 
 Documents are read once; their terms are written as numbers, which give the frequencies and then the scores. What is
 broadcast (terms, examples, fit) is bounded by the examples. Cosines are sums in single precision, rounded to six digits.
 
 Defined cases: texts without a term of the examples (null and empty ones too) get the label's rate in all labelled rows; a text
 of any length counts whole; with no labelled rows every score is 0; equal similarities are ordered by the examples'
-place in the index; equal texts get equal scores but for rounding; repeated labelled rows are examples as often as they come; an empty
-table stays empty; columns of the input that have the name of a result column are replaced.
+place in the index; equal texts get equal scores but for rounding and for their own examples, which don't vote; repeated labelled rows
+are examples as often as they come, and none of them votes on a row of that doc_id; an empty table stays empty; columns of the input that have the name of a result column are replaced.
 """
 
 from __future__ import annotations
@@ -176,7 +176,6 @@ def weigh(doc: np.ndarray, term: np.ndarray, counts: np.ndarray, importance: np.
 class BlockMaxIndex:
     """Postings by term and block of examples, with the highest weight of every term in every block."""
 
-    order: np.ndarray = field(repr=False)  # place -> number of the example as given
     ids: np.ndarray
     labels: np.ndarray
     weights: np.ndarray
@@ -199,8 +198,7 @@ class BlockMaxIndex:
             w = np.where(often[x[3]], x[4], x[4] - 1)
             return int(x[3][np.argmax(w)]), -float(w.max()), x[0], x[1]
 
-        given = sorted(range(len(examples)), key=lambda i: strongest(examples[i]))
-        examples = [examples[i] for i in given]
+        examples = sorted(examples, key=strongest)
         blocks = -(-len(examples) // BLOCK)
         example = np.repeat(np.arange(len(examples)), [len(x[3]) for x in examples])
         term, w = (np.concatenate([x[k] for x in examples]).astype(kind) for k, kind in ((3, np.int64), (4, np.float64)))
@@ -219,11 +217,30 @@ class BlockMaxIndex:
         first = np.searchsorted(term[begin], np.arange(n_terms + 1))
         about = [np.array([x[k] for x in examples], kind) for k, kind in ((0, np.int64), (1, np.int64), (2, np.float64))]
         dense = np.ascontiguousarray(dense.reshape(len(dense), blocks, BLOCK).transpose(1, 0, 2))
-        return cls(np.array(given), *about, row, dense, first, (key[begin] % blocks).astype(np.int32), highest, begin.astype(np.int32), end.astype(np.int32), (example % BLOCK).astype(np.int32), w.astype(np.float32))
+        return cls(*about, row, dense, first, (key[begin] % blocks).astype(np.int32), highest, begin.astype(np.int32), end.astype(np.int32), (example % BLOCK).astype(np.int32), w.astype(np.float32))
 
-    def nearest(self, doc: np.ndarray, term: np.ndarray, q: np.ndarray, n: int, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    @cached_property
+    def dense_highest(self) -> np.ndarray:
+        return self.dense.max(axis=2).T
+
+    @cached_property
+    def by_id(self) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(self.ids, kind="stable")
+        return self.ids[order], order
+
+    def own(self, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row, place): for each row the places of the examples that have its doc_id."""
+        known, order = self.by_id
+        there = np.flatnonzero(np.asarray(ids.is_valid()))
+        asked = np.asarray(ids.drop_null()).astype(np.int64)
+        first = np.searchsorted(known, asked, "left")
+        many = np.searchsorted(known, asked, "right") - first
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+        return np.repeat(there, many), order[at]
+
+    def nearest(self, doc: np.ndarray, term: np.ndarray, q: np.ndarray, n: int, k: int, without: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """For each of n documents, given by rows (document, term, weight), the places and cosines of the k nearest examples that share
-        a term, nearest first; ties: the lower place first; -1 where there are no more. without: for each a place that is left out."""
+        a term, nearest first; ties: the lower place first; -1 where there are no more. without: pairs (document, place) that are left out."""
         term = term.astype(np.int64)
         blocks, often = len(self.dense), self.row[term] >= 0
         dense = np.zeros((n, self.dense.shape[1]), np.float32)
@@ -232,7 +249,7 @@ class BlockMaxIndex:
         many = self.first[term + 1] - self.first[term]
         at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.first[term], many)
         doc, q = np.repeat(doc, many), np.repeat(q, many)
-        bounds = dense @ self.dense.max(axis=2).T
+        bounds = dense @ self.dense_highest
         bounds = bounds + np.bincount(doc * blocks + self.block[at], q * self.highest[at], n * blocks).reshape(n, blocks)
         block, width = self.block[at], blocks * BLOCK
         scores = np.zeros((n, width), np.float32)
@@ -248,7 +265,7 @@ class BlockMaxIndex:
             place = np.repeat((doc[own] * width + block[own] * BLOCK).astype(np.int32), size) + self.place[p]
             scores[:] += np.bincount(place, np.repeat(q[own], size) * self.weight[p], n * width).reshape(n, width)
             if without is not None:
-                scores[np.arange(n), without] = 0
+                scores[without] = 0
 
         need = np.zeros((n, blocks), bool)
         np.put_along_axis(need, np.argsort(-bounds, axis=1, kind="stable")[:, :2], True, axis=1)
@@ -351,13 +368,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     def leave_one_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, examples = known.value.index, known.value.examples
-        at = np.empty(len(examples), np.int64)
-        at[index.order] = np.arange(len(examples))
         for batch in batches:
             for i in batch.column(0).to_pylist():
                 own = examples[i : i + BATCH]
                 doc = np.repeat(np.arange(len(own)), [len(x[3]) for x in own])
-                votes = index.votes(*index.nearest(doc, *(np.concatenate([x[k] for x in own]) for k in (3, 4)), len(own), NEIGHBOURS, at[i : i + BATCH]))
+                votes = index.votes(*index.nearest(doc, *(np.concatenate([x[k] for x in own]) for k in (3, 4)), len(own), NEIGHBOURS, index.own(pa.array([x[0] for x in own], pa.int64()))))
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(votes), dtype=np.int32)), pa.array(votes, from_pandas=False)], ["i", "raw"])
 
     for r in parts.mapInArrow(leave_one_out, "i int, raw double").collect():  # the examples
@@ -382,7 +397,7 @@ def score(vectors: DataFrame, model: Model) -> DataFrame:
                 raw, evidence = np.full(batch.num_rows, np.nan), [[] for _ in range(batch.num_rows)]
                 if m.index:
                     doc, term, n = rows_of(batch)
-                    places, cosines = m.index.nearest(doc, term, weigh(doc, term, n, m.importance, batch.num_rows), batch.num_rows, NEIGHBOURS)
+                    places, cosines = m.index.nearest(doc, term, weigh(doc, term, n, m.importance, batch.num_rows), batch.num_rows, NEIGHBOURS, m.index.own(batch.column("doc_id")))
                     raw = m.index.votes(places, cosines)
                     for i, (p, c) in enumerate(zip(places[:, :EVIDENCE].tolist(), cosines[:, :EVIDENCE].tolist(), strict=True)):
                         evidence[i] = [{"doc_id": int(m.index.ids[a]), "label": int(m.index.labels[a]), "cosine": b} for a, b in zip(p, c, strict=True) if a >= 0]
@@ -403,4 +418,4 @@ def held_out() -> Column:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, vectors = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held_out()))
-    return score(vectors, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return score(vectors, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")

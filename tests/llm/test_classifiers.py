@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from confabula.llm import quality_pu, toxicity
 
@@ -35,7 +36,7 @@ def test_block_max_search_finds_what_comparing_with_all_finds(seed, monkeypatch)
     queries = [(np.where(t < 12, t, t * 7), v) for _, _, _, t, v in vectors(60, 40, seed + 100)] + [(np.zeros(0, np.int64), np.zeros(0))]
     without = np.arange(61)
     flat = [np.concatenate(x) for x in zip(*queries, strict=True)]
-    places, cosines = index.nearest(np.repeat(np.arange(61), [len(t) for t, _ in queries]), flat[0].astype(np.int64), flat[1], 61, 16, without)
+    places, cosines = index.nearest(np.repeat(np.arange(61), [len(t) for t, _ in queries]), flat[0].astype(np.int64), flat[1], 61, 16, (without, without))
     for (terms, weights), p, c, left_out in zip(queries, places, cosines, without, strict=True):
         query = np.zeros(300)
         query[terms] = weights
@@ -78,13 +79,24 @@ def test_toxicity_query_against_brute_force(spark, sf_dir):
     rate = sum(learn.values()) / len(learn)
     ties = 0
     for r in toxicity.op3_toxicity(spark, sf_dir).collect():
-        own = vote(r.doc_id)
+        own = vote(r.doc_id, r.doc_id)
         want = rate if own is None else float(np.interp(own, steps, values))
+        assert all(e.doc_id != r.doc_id and learn[e.doc_id] == e.label for e in r.evidence)
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == (r.score >= 0.7)
         ties += abs(r.score - want) > 1e-3
     assert ties <= 2  # of examples with the same cosine, other ones may be within the nearest
 
 
+def test_no_row_votes_on_itself(spark):
+    """A label that goes against its text's neighbours changes nothing for the row itself; repeated labelled rows too."""
+    docs = rows(spark, "vile")
+    labels = docs.select("doc_id", F.when(F.col("doc_id") == 0, 0).otherwise(F.col("label")).alias("label"))
+    model, found = toxicity.fit(docs, labels.union(labels.where("doc_id = 0")), label="label")
+    out = {r.doc_id: r for r in toxicity.score(found, model).collect()}
+    assert out[0].score > 0.5 and all(e.doc_id != i for i, r in out.items() for e in r.evidence)
+    assert any(e.doc_id == 0 for r in out.values() for e in r.evidence)
+
+
 def test_rising_fit_rises_and_keeps_the_mean():
     rng = np.random.default_rng(5)
     x, w = rng.random(200), rng.random(200) + 0.1
