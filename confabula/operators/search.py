@@ -1,11 +1,14 @@
 """Keyword search over messages through a token table.
 
 Both sides are cut into tokens the same way (lower-case runs of letters and digits, two characters at least), so a query
-finds what the index holds. There is no stemming and there are no stop words.
+finds what the index holds. There is no stemming and there are no stop words. Scripts without spaces are cut into pairs of
+letters, or, with a lexicon, into words (functions/segmentation.py: tokens for the index, query_tokens for the query).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,22 +16,22 @@ from ..functions.text import tokens, truncate
 from ..sources.postings import TokenIndex
 
 
-def token_index(messages: DataFrame) -> DataFrame:
+def token_index(messages: DataFrame, cut: Callable[[Column], Column] = tokens) -> DataFrame:
     """Distinct (token, session_id, pos)."""
-    return messages.select(F.explode(F.array_distinct(tokens(F.col("content")))).alias("token"), "session_id", "pos")
+    return messages.select(F.explode(F.array_distinct(cut(F.col("content")))).alias("token"), "session_id", "pos")
 
 
-def words_of(spark: SparkSession, keyword: str) -> list[str]:
+def words_of(spark: SparkSession, keyword: str, cut: Callable[[Column], Column] = tokens) -> list[str]:
     """The tokens of a keyword, as many as were typed."""
-    return spark.range(1).select(F.array_distinct(tokens(F.lit(keyword))).alias("w")).first().w
+    return spark.range(1).select(F.array_distinct(cut(F.lit(keyword))).alias("w")).first().w
 
 
-def search(messages: DataFrame, index: DataFrame | TokenIndex, keyword: str) -> DataFrame:
+def search(messages: DataFrame, index: DataFrame | TokenIndex, keyword: str, cut: Callable[[Column], Column] = tokens) -> DataFrame:
     """Messages that have any token of the keyword. Its tokens are literal filters on the index.
 
     index: a token table, or an index on disk, whose folders they choose and whose scan they reach.
     """
-    words = words_of(messages.sparkSession, keyword)
+    words = words_of(messages.sparkSession, keyword, cut)
     hits = index.postings(words) if isinstance(index, TokenIndex) else index.where(F.col("token").isin(words))
     return messages.join(hits.select("session_id", "pos").distinct(), ["session_id", "pos"], "left_semi")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.segmentation import Segmenter
 from ..operators import deltas as E
 from ..operators import memory as V
 from ..operators import search as H
@@ -48,6 +49,25 @@ def grown(spark, d):
     return index.postings(H.words_of(spark, KEYWORD)).select("session_id", "pos", "token")
 
 
+def segments(spark, d):
+    """Every word of the messages, as if it were written without spaces, cut by the short words of the same messages that are usual."""
+    words = C.messages(spark, d).select(F.explode(T.tokens(F.col("content"), 1)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return words.select("word", "n", F.array_join(Segmenter(words.where("n >= 20 AND length(word) <= 6")).path(F.col("word")), " ").alias("path"))
+
+
+#: One position of all words in each step: the least cost up to there, of all words that end there, and the path that has it.
+SEGMENTS = f"""WITH RECURSIVE w AS MATERIALIZED (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+')) AS word FROM ({MSG})) GROUP BY 1),
+  lexicon AS (SELECT word AS part, n FROM w WHERE n >= 20 AND length(word) <= 6), total AS (SELECT sum(n) AS t FROM lexicon),
+  spots AS (SELECT word, s, unnest(range(s + 1, least(length(word), s + 6) + 1)) AS e FROM (SELECT word, unnest(range(length(word))) AS s FROM w)),
+  edges AS MATERIALIZED (SELECT word, e, list({{'s': s, 'cost': CAST(floor(1000 * ln(t / coalesce(n, 1)) + 0.5) AS BIGINT), 'part': part}}) AS choices
+    FROM (SELECT word, e, s, substr(word, s + 1, e - s) AS part FROM spots) LEFT JOIN lexicon USING (part), total WHERE n IS NOT NULL OR e - s = 1 GROUP BY 1, 2),
+  walk AS (SELECT word, 0 AS e, [0::BIGINT] AS best, [''] AS paths FROM w UNION ALL
+    SELECT word, e, list_append(best, (least // 1000)::BIGINT), list_append(paths, ltrim(paths[least % 1000 + 1] || ' ' || substr(word, (least % 1000 + 1)::BIGINT, (e - least % 1000)::BIGINT))) FROM (
+      SELECT walk.word, walk.e + 1 AS e, best, paths, list_min(list_transform(choices, lambda x: (best[x.s + 1] + x.cost) * 1000 + x.s)) AS least
+      FROM walk JOIN edges ON edges.word = walk.word AND edges.e = walk.e + 1))
+  SELECT w.word, w.n, paths[length(w.word) + 1] AS path FROM w JOIN walk ON walk.word = w.word AND walk.e = length(w.word)"""
+
+
 def timed(spark, d):
     rows = found(spark, d).withColumn("created_at", F.expr("timestampadd(MINUTE, cast(pos as int), timestamp_ntz'2024-01-01 00:00:00')"))
     return H.in_time_range(rows, "created_at", F.lit("2024-01-01T00:02:00"), F.lit("2024-01-01T00:05:00")).select("session_id", "pos")
@@ -141,6 +161,7 @@ Q: dict = {
     "token_estimate": (lambda s, d: C.table(s, d, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens")), "SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE length(text) // 4 END AS tokens FROM documents"),
     "search_tokens_index": (lambda s, d: H.token_index(C.messages(s, d)).groupBy("token").agg(F.count("*").alias("n_messages")), f"SELECT token, count(*) AS n_messages FROM ({TOK}) GROUP BY 1"),
     "search_keyword": (lambda s, d: found(s, d).select("session_id", "pos", "role"), f"SELECT session_id, pos, role FROM ({MSG}) JOIN ({HIT}) USING (session_id, pos)"),
+    "word_segments": (segments, SEGMENTS),
     "search_grown_index": (
         grown,
         f"""SELECT session_id, pos, token FROM ({TOK}) WHERE token IN ('the', 'house', 'of', 'que') AND pos NOT IN (2, 3) AND NOT (pos = 1 AND session_id % 2 = 0)
