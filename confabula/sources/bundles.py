@@ -1,14 +1,20 @@
-"""Skill bundles on disk: <root>/<skill_id>/<version>/SKILL.md and asset files, read by Spark."""
+"""Skill bundles on disk: <root>/<skill_id>/<version>/SKILL.md and asset files, read by Spark's binary source or by the data
+source of bundle_source.py, which gives the same rows and can be a stream."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frontmatter import as_json
 from ..functions.text import asset_kind
 
 _PATH = r"([^/]+)/([^/]+)/(.+)$"
-_FRONT = r"(?s)^---\n(.*?)\n---(?:\n(.*))?$"
+_FRONT = r"(?s)^---[ \t]*\r?\n((?:.*?\n)??)[ \t]*---[ \t]*\r?(?:\n(.*))?$"
+#: What a document's head says of its assets.
+_DECLARED = "struct<path: string, kind: string, description: string>"
+#: JSON of values that count as false.
+_FALSE = ("false", "null", "0", "0.0", '""', "[]", "{}")
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
@@ -30,17 +36,9 @@ def body(text: Column) -> Column:
     return F.when(text.rlike(_FRONT), F.regexp_extract(text, _FRONT, 2)).otherwise(text)
 
 
-def scalar(front: Column, key: str) -> Column:
-    """The value of a top-level key, unquoted; null if it is absent or empty."""
-    found = F.regexp_extract(front, rf"(?m)^{key}:[ \t]*(.*?)[ \t]*$", 1)
-    return F.nullif(F.regexp_replace(found, r"^[\"'](.*)[\"']$", "$1"), F.lit(""))
-
-
-def items(front: Column, key: str) -> Column:
-    """The entries of a top-level list of scalars."""
-    block = F.regexp_extract(front, rf"(?m)^{key}:[ \t]*\n((?:[ \t]*-[ \t]+.*(?:\n|$))*)", 1)
-    lines = F.filter(F.split(block, "\n"), lambda x: F.trim(x) != "")
-    return F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, r"^[ \t]*-[ \t]+", ""), r"^[\"'](.*)[\"']$", "$1"))
+def field(meta: Column, key: str, kind: str = "string") -> Column:
+    """A field of the head (a variant) as that type; null if it is absent or can't be of that type."""
+    return F.try_variant_get(meta, f"$.{key}", kind)
 
 
 def bundles(spark: SparkSession, root: str) -> DataFrame:
@@ -51,14 +49,16 @@ def bundles_of(found: DataFrame) -> DataFrame:
     """found: (skill_id, version, path, content). One row for each skill: its last version's document fields and its asset
     manifest in order of path. The directory's version counts; without frontmatter the fields have their defaults."""
     text = F.col("content").cast("string")
-    docs = found.where("path = 'SKILL.md'").select("skill_id", "version", text.alias("skill_md")).withColumn("front", front_matter(F.col("skill_md")))
+    docs = found.where("path = 'SKILL.md'").select("skill_id", "version", text.alias("skill_md"), F.parse_json(as_json(front_matter(text))).alias("meta"))
+    meta, text_of = F.col("meta"), lambda key: F.nullif(field(F.col("meta"), key), F.lit(""))
     docs = docs.select(
         "skill_id",
         "version",
-        F.coalesce(scalar(F.col("front"), "display_name"), F.col("skill_id")).alias("display_name"),
-        F.coalesce(scalar(F.col("front"), "description"), F.lit("")).alias("description"),
-        (F.coalesce(F.lower(scalar(F.col("front"), "enabled")), F.lit("true")) != "false").alias("enabled"),
-        items(F.col("front"), "triggers").alias("triggers"),
+        F.coalesce(text_of("display_name"), text_of("name"), F.col("skill_id")).alias("display_name"),
+        F.coalesce(text_of("description"), F.lit("")).alias("description"),
+        F.coalesce(~F.to_json(field(meta, "enabled", "variant")).isin(*_FALSE), F.lit(True)).alias("enabled"),
+        F.coalesce(field(meta, "triggers", "array<string>"), F.expr("cast(array() as array<string>)")).alias("triggers"),
+        F.coalesce(field(meta, "assets", f"array<{_DECLARED}>"), F.expr(f"cast(array() as array<{_DECLARED}>)")).alias("declared_assets"),
         "skill_md",
     )
     asset = F.struct("path", F.concat_ws("/", F.lit("skills"), "skill_id", "version", "path").alias("object_key"), asset_kind(F.col("path")).alias("kind"), F.octet_length("content").cast("long").alias("size_bytes"))
