@@ -95,12 +95,12 @@ def ui_groups(messages: DataFrame) -> DataFrame:
     return shown.groupBy("session_id", "turn_no", (F.col("role") == "user").alias("is_user")).agg(F.count("*").alias("n_parts"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
 
-_PART = "array<struct<kind: string, text: string, call_id: string, input: string>>"
+_PART = "array<struct<kind: string, text: string, state: string, call_id: string, input: string>>"
 
 
-def _part(kind: Column, text: Column, call: Column | None = None, arguments: Column | None = None) -> Column:
+def _part(kind: Column, text: Column, state: str | None = None, call: Column | None = None, arguments: Column | None = None) -> Column:
     none = F.lit(None).cast("string")
-    return F.struct(kind.alias("kind"), text.alias("text"), (none if call is None else call).alias("call_id"), (none if arguments is None else arguments).alias("input"))
+    return F.struct(kind.alias("kind"), text.alias("text"), F.lit(state).cast("string").alias("state"), (none if call is None else call).alias("call_id"), (none if arguments is None else arguments).alias("input"))
 
 
 def ui_messages(messages: DataFrame) -> DataFrame:
@@ -109,26 +109,37 @@ def ui_messages(messages: DataFrame) -> DataFrame:
     A user row is a message of its own. The other rows between two user rows make one message: each assistant row gives a
     step-start part, then reasoning, tool calls and text, where it has them. A tool part is named by its tool; its text is the
     output of the last tool row of the group with that call id, or empty, its input the arguments, {} if they aren't JSON.
-    Groups without an assistant row give no message. One session's group is sorted in one task.
+    Text and reasoning are in state done, tool parts in state output-available. Groups without an assistant row give no message.
+    turn_no is taken from the rows if they have it. With a column id the message has one: the user row's, or that of the last
+    assistant row that has one, else an empty string; with a column created_at, that of the group's first row.
+    One session's group is sorted in one task.
     """
-    shown = turns(messages.where("role <> 'system'")).withColumn("is_user", F.col("role") == "user")
+    spoken = messages.where("role <> 'system'")
+    shown = (spoken if "turn_no" in messages.columns else turns(spoken)).withColumn("is_user", F.col("role") == "user")
     none = F.expr(f"cast(array() as {_PART})")
 
     def text(kind: str, value: str) -> Column:
-        return F.when(F.coalesce(value, F.lit("")) != "", F.array(_part(F.lit(kind), F.col(value)))).otherwise(none)
+        return F.when(F.coalesce(value, F.lit("")) != "", F.array(_part(F.lit(kind), F.col(value), "done"))).otherwise(none)
 
     arguments = lambda c: F.when(F.try_parse_json(c).isNotNull(), c).otherwise("{}")
     calls = F.coalesce("tool_calls", F.expr("cast(array() as array<struct<id: string, name: string, arguments: string>>)"))
-    tools = F.transform(calls, lambda c: _part(F.concat(F.lit("tool-"), c["name"]), F.lit(None).cast("string"), F.coalesce(c["id"], F.lit("")), arguments(c["arguments"])))
+    tools = F.transform(calls, lambda c: _part(F.concat(F.lit("tool-"), c["name"]), F.lit(None).cast("string"), "output-available", F.coalesce(c["id"], F.lit("")), arguments(c["arguments"])))
     start = F.array(_part(F.lit("step-start"), F.lit(None).cast("string")))
     made = F.when(F.col("role") == "user", text("text", "content")).when(F.col("role") == "assistant", F.concat(start, text("reasoning", "reasoning_content"), tools, text("text", "content")))
     result = F.when((F.col("role") == "tool") & (F.coalesce("tool_call_id", F.lit("")) != ""), F.struct("pos", F.col("tool_call_id").alias("id"), F.coalesce("content", F.lit("")).alias("output")))
+    named = []
+    if "id" in messages.columns:
+        speaker = F.col("role").isin("user", "assistant") & F.col("id").isNotNull()
+        named.append(F.coalesce(F.max_by(F.col("id").cast("string"), F.when(speaker, F.col("pos"))), F.lit("")).alias("id"))
+    if "created_at" in messages.columns:
+        named.append(F.min_by("created_at", "pos").alias("created_at"))
     groups = shown.groupBy("session_id", "turn_no", "is_user").agg(
-        F.min("pos").alias("first_pos"), F.array_sort(F.collect_list(F.when(made.isNotNull(), F.struct("pos", made.alias("parts"))))).alias("rows"), F.array_sort(F.collect_list(result)).alias("results")
+        F.min("pos").alias("first_pos"), F.array_sort(F.collect_list(F.when(made.isNotNull(), F.struct("pos", made.alias("parts"))))).alias("rows"), F.array_sort(F.collect_list(result)).alias("results"), *named
     )
     output = lambda c: F.coalesce(F.try_element_at(F.filter("results", lambda r: r["id"] == c), F.lit(-1))["output"], F.lit(""))
     parts = F.transform(F.flatten(F.transform("rows", lambda r: r["parts"])), lambda p: F.when(p["kind"].startswith("tool-"), p.withField("text", output(p["call_id"]))).otherwise(p))
-    return groups.where(F.size("rows") > 0).select("session_id", "turn_no", F.when(F.col("is_user"), "user").otherwise("assistant").alias("role"), "first_pos", parts.alias("parts"))
+    kept = [c for c in ("id", "created_at") if c in groups.columns]
+    return groups.where(F.size("rows") > 0).select("session_id", "turn_no", F.when(F.col("is_user"), "user").otherwise("assistant").alias("role"), "first_pos", *kept, parts.alias("parts"))
 
 
 def context_window(messages: DataFrame, budget: Column | int, low: float = 0.5, high: float = 0.8, cuts: DataFrame | None = None) -> DataFrame:

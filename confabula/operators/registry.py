@@ -160,8 +160,8 @@ def update_providers(rows: DataFrame, changes: DataFrame, now: Column) -> DataFr
     return sparse_update(rows, changes.withColumn("api_key_fingerprint", fingerprint(F.col("api_key"))), "id", ["name", "api_base_url", "api_key", "type", "is_active", "api_key_fingerprint"], now)
 
 
-def bind_outcome(requests: DataFrame, models: DataFrame, providers: DataFrame, kind: str = "OPENAI_COMPATIBLE_LLM") -> DataFrame:
-    """Whether each (model_id, provider_id, user_id) may be bound: both must be the user's, and the provider of that type."""
+def bind_outcome(requests: DataFrame, models: DataFrame, providers: DataFrame, kind: str = "OPENAI_COMPATIBLE_LLM", keep: list[str] = ()) -> DataFrame:
+    """Whether each (model_id, provider_id, user_id) may be bound: both must be the user's, and the provider of that type. keep: further columns of the requests."""
     mine = models.select(F.col("id").alias("model_id"), F.col("owner_user_id").alias("_m"), F.lit(True).alias("_model"))
     theirs = providers.select(F.col("id").alias("provider_id"), F.col("owner_user_id").alias("_p"), F.col("type").alias("_type"), F.lit(True).alias("_provider"))
     joined = requests.join(mine, "model_id", "left").join(theirs, "provider_id", "left")
@@ -172,7 +172,7 @@ def bind_outcome(requests: DataFrame, models: DataFrame, providers: DataFrame, k
         .when(~F.col("_type").eqNullSafe(F.lit(kind)), "TYPE_UNSUPPORTED")
         .otherwise("OK")
     )
-    return joined.select("model_id", "provider_id", "user_id", outcome.alias("outcome"))
+    return joined.select(*keep, "model_id", "provider_id", "user_id", outcome.alias("outcome"))
 
 
 def provider_response(providers: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from .. import errors
 from ..functions import text as T
 from ..functions.registry import Definition, Registry, ToolError
 from ..operators import assets as A
+from ..operators import bindings as N
 from ..operators import dispatch as D
 from ..operators import memory as V
 from ..operators import registry as R
@@ -198,6 +199,61 @@ BIND = f"""WITH q AS (SELECT id AS model_id, id % 120 + 1 AS provider_id, CASE W
   FROM q LEFT JOIN ({PROV}) p ON p.id = q.provider_id"""
 
 
+def owned_mappings(spark, d):
+    m = C.mappings(spark, d)
+    owner = F.expr("if(model_id % 5 = 0, null, cast(model_id % 7 as string))")
+    return m.withColumns({"owner_user_id": owner, "provider_model_name": F.concat(F.lit("pm"), F.col("provider_id").cast("string")), "updated_at": F.col("created_at")})
+
+
+def bind_requests(spark, d):
+    """Every model is bound again to half of its providers, and to one more that its owner has; some requests come from others."""
+    again = C.mappings(spark, d).where("(model_id + provider_id) % 2 = 0").select("model_id", "provider_id", (F.col("model_id") * 10**7 + F.col("provider_id") * 2 + 1).alias("request_id"))
+    more = C.models(spark, d).select(F.col("id").alias("model_id"), (F.col("id") % 35 + 35).alias("provider_id"), (F.col("id") * 10**7 + F.col("id") * 17 % 1000 * 2).alias("request_id"))
+    return again.union(more).select(
+        "request_id", "model_id", "provider_id", F.expr("if(model_id % 13 = 0, 'x', if(model_id % 5 = 0, null, cast(model_id % 7 as string)))").alias("user_id"), F.concat(F.lit("new"), F.col("request_id").cast("string")).alias("provider_model_name"),
+        F.expr("if(provider_id % 11 = 0, null, (model_id + provider_id) % 3 <> 0)").alias("is_preferred"), (F.col("provider_id") % 4 != 0).alias("is_active"),
+    )
+
+
+def bound(spark, d):
+    return N.bind_owned(owned_mappings(spark, d), bind_requests(spark, d), owned_models(spark, d), owned_providers(spark, d), now())
+
+
+OWNED_MAP = f"SELECT *, {OWNER.format('model_id')} AS owner_user_id, 'pm' || provider_id AS provider_model_name, created_at AS updated_at FROM ({MAP})"
+BIND_REQUESTS = f"""SELECT *, CASE WHEN model_id % 13 = 0 THEN 'x' ELSE {OWNER.format('model_id')} END AS user_id, (provider_id % 11 = 0 OR (model_id + provider_id) % 3 <> 0) AND provider_id % 4 <> 0 AS pref, provider_id % 4 <> 0 AS act FROM (
+  SELECT model_id, provider_id, model_id * 10000000 + provider_id * 2 + 1 AS request_id FROM ({MAP}) WHERE (model_id + provider_id) % 2 = 0 UNION ALL SELECT id, id % 35 + 35, id * 10000000 + id * 17 % 1000 * 2 FROM ({MODEL}))"""
+BIND_ANSWERS = f"""SELECT r.*, CASE WHEN m.id IS NULL OR user_id IS DISTINCT FROM {OWNER.format('model_id')} THEN 'MODEL_NOT_FOUND' WHEN p.id IS NULL OR user_id IS DISTINCT FROM {OWNER.format('provider_id')} THEN 'PROVIDER_NOT_FOUND' WHEN provider_id % 3 = 0 THEN 'TYPE_UNSUPPORTED' ELSE 'OK' END AS outcome
+  FROM ({BIND_REQUESTS}) r LEFT JOIN ({MODEL}) m ON m.id = model_id LEFT JOIN ({PROV}) p ON p.id = provider_id"""
+BOUND = f"""WITH m AS ({OWNED_MAP}), w AS (SELECT * FROM ({BIND_ANSWERS}) WHERE outcome = 'OK'),
+  k AS (SELECT w.*, coalesce(m.is_preferred, false) AS had, min(request_id) OVER (PARTITION BY w.model_id) = request_id AS first FROM w LEFT JOIN m ON m.model_id = w.model_id AND m.provider_id = w.provider_id),
+  c AS (SELECT model_id, max(request_id) AS cleared_at FROM k WHERE pref AND NOT (first AND had) GROUP BY 1),
+  l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_id, provider_id ORDER BY request_id DESC) AS rn FROM k) WHERE rn = 1),
+  j AS (SELECT coalesce(m.model_id, l.model_id) AS model_id, coalesce(m.provider_id, l.provider_id) AS provider_id, coalesce('new' || l.request_id, provider_model_name) AS provider_model_name, coalesce(priority, 0) AS priority, coalesce(l.pref, m.is_preferred) AS pref,
+    coalesce(l.act, m.is_active) AS is_active, coalesce(m.created_at, TIMESTAMP '{NOW}') AS created_at, CASE WHEN l.request_id IS NOT NULL THEN TIMESTAMP '{NOW}' ELSE m.updated_at END AS updated_at, coalesce(l.request_id, -1) AS asked_at FROM m FULL JOIN l ON l.model_id = m.model_id AND l.provider_id = m.provider_id)
+  SELECT j.model_id, j.provider_id, {OWNER.format('j.model_id')} AS owner_user_id, provider_model_name, priority, pref AND coalesce(cleared_at, -1) <= asked_at AS is_preferred, is_active, created_at, CASE WHEN pref AND coalesce(cleared_at, -1) > asked_at THEN TIMESTAMP '{NOW}' ELSE updated_at END AS updated_at
+  FROM j LEFT JOIN c ON c.model_id = j.model_id"""
+
+
+def unbind_requests(spark, d):
+    """Two of three providers of each model, some asked for twice, some by others; and pairs that don't exist."""
+    own = F.expr("if(model_id % 5 = 0, null, cast(model_id % 7 as string))")
+    named = C.mappings(spark, d).where("provider_id % 3 > 0").withColumn("copy", F.explode(F.expr("if(provider_id % 4 = 0, array(0, 1), array(0))"))).select("model_id", "provider_id", "copy")
+    absent = C.models(spark, d).select(F.col("id").alias("model_id"), F.lit(10**6).cast("long").alias("provider_id"), F.lit(0).alias("copy"))
+    return named.union(absent).select((F.col("model_id") * 10**7 + F.col("provider_id") * 2 + F.col("copy")).alias("request_id"), "model_id", "provider_id", F.when(F.col("model_id") % 13 == 0, "x").otherwise(own).alias("user_id"))
+
+
+def unbound_owned(spark, d):
+    return N.unbind_owned(owned_mappings(spark, d), unbind_requests(spark, d), owned_models(spark, d), now())
+
+
+UNBIND_ANSWERS = f"""SELECT x.model_id * 10000000 + x.provider_id * 2 + copy AS request_id, x.model_id, x.provider_id, CASE WHEN x.model_id % 13 = 0 THEN 'x' ELSE {OWNER.format('x.model_id')} END AS user_id, CASE WHEN m.id IS NULL OR x.model_id % 13 = 0 THEN 'MODEL_NOT_FOUND' WHEN copy = 1 OR absent THEN 'MAPPING_NOT_FOUND' ELSE 'OK' END AS outcome
+  FROM (SELECT model_id, provider_id, unnest(CASE WHEN provider_id % 4 = 0 THEN [0, 1] ELSE [0] END) AS copy, false AS absent FROM ({MAP}) WHERE provider_id % 3 > 0 UNION ALL SELECT id, 1000000, 0, true FROM ({MODEL})) x LEFT JOIN ({MODEL}) m ON m.id = x.model_id"""
+UNBOUND = f"""WITH m AS ({OWNED_MAP}), gone AS (SELECT DISTINCT model_id, provider_id FROM ({UNBIND_ANSWERS}) WHERE outcome = 'OK'),
+  lost AS (SELECT DISTINCT m.model_id FROM m SEMI JOIN gone ON gone.model_id = m.model_id AND gone.provider_id = m.provider_id WHERE is_preferred),
+  l AS (SELECT m.*, m.model_id IN (SELECT model_id FROM lost) AND is_active AND row_number() OVER (PARTITION BY m.model_id, is_active ORDER BY priority, created_at, m.provider_id) = 1 AS rises FROM m ANTI JOIN gone ON gone.model_id = m.model_id AND gone.provider_id = m.provider_id)
+  SELECT model_id, provider_id, owner_user_id, provider_model_name, priority, is_preferred OR rises AS is_preferred, is_active, created_at, CASE WHEN rises THEN TIMESTAMP '{NOW}' ELSE updated_at END AS updated_at FROM l"""
+
+
 def owned_deletes(spark, d):
     asked = C.models(spark, d).where("id % 4 = 0").select(F.col("id").alias("model_id"), F.expr("if(id % 5 = 0, null, cast(id % 14 as string))").alias("user_id"))
     models, mappings = R.delete_models(owned_models(spark, d), C.mappings(spark, d), asked)
@@ -306,6 +362,10 @@ Q: dict = {
         addressed,
         f"""SELECT k, CASE WHEN k % 13 <> 0 AND k % 6 <> 0 AND k % 9 <> 0 AND len(paths) > 0 THEN name END AS content, CASE WHEN k % 13 <> 0 AND k % 6 <> 0 THEN sha1('skills/s' || k || '/1.0/references/b.md') END AS cache_key FROM ({BUNDLE})""",
     ),
+    "bind_owned": (lambda s, d: bound(s, d)[0], BOUND),
+    "bind_owned_outcomes": (lambda s, d: bound(s, d)[1], f"SELECT request_id, model_id, provider_id, user_id, outcome FROM ({BIND_ANSWERS})"),
+    "unbind_owned": (lambda s, d: unbound_owned(s, d)[0], UNBOUND),
+    "unbind_owned_outcomes": (lambda s, d: unbound_owned(s, d)[1], UNBIND_ANSWERS),
     "provider_response": (
         lambda s, d: R.provider_response(C.providers(s, d)),
         f"SELECT id::VARCHAR AS id, name, CASE WHEN length(api_key) <= 8 THEN repeat('*', length(api_key)) ELSE left(api_key, 4) || '***' || right(api_key, 4) END AS api_key_masked, is_active FROM ({PROV})",

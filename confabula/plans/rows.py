@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import deltas as E
+from ..operators import history as Y
 from ..operators import messages as M
 from ..operators import sessions as S
 from ..operators import usage as U
@@ -41,6 +42,33 @@ SHOWN = f"""WITH m AS (SELECT *, sum((role = 'user')::BIGINT) OVER (PARTITION BY
   SELECT session_id, turn_no, CASE WHEN is_user THEN 'user' ELSE 'assistant' END AS role, min(pos)::BIGINT AS first_pos, count(*)::BIGINT AS n_parts, md5(string_agg(line, chr(10) ORDER BY pos, i)) AS digest FROM p GROUP BY session_id, turn_no, is_user"""
 
 
+def owners_history(spark, d):
+    """The second page, of one turn, as digests: asked by owners, by others and for sessions that aren't there; some messages have no id."""
+    m = C.rich_messages(spark, d).withColumn("id", F.expr("if(pos % 10 = 3 AND session_id % 2 = 0, null, concat('m', pos))"))
+    asked = C.sessions(spark, d).select(F.col("id").alias("request_id"), F.expr("if(id % 7 = 0, -id, id)").alias("session_id"), F.expr("if(id % 3 = 0, user_id + 1, user_id)").alias("user_id"))
+    out = Y.history(m, C.sessions(spark, d), asked, 2, 1)
+    line = lambda p: F.concat_ws("|", *[F.coalesce(p[c], F.lit("-")) for c in ("kind", "text", "state", "call_id", "input")])
+    return out.withColumn("digest", F.md5(F.array_join(F.transform("parts", line), "\n").cast("binary"))).drop("parts")
+
+
+HISTORY = f"""WITH r AS (SELECT id AS request_id, CASE WHEN id % 7 = 0 THEN -id ELSE id END AS session_id, CASE WHEN id % 3 = 0 OR id % 7 = 0 THEN 'SESSION_NOT_FOUND' ELSE 'OK' END AS outcome FROM ({SES})),
+  a AS (SELECT *, CASE WHEN pos % 10 = 3 AND session_id % 2 = 0 THEN NULL ELSE 'm' || pos END AS id, sum((role = 'user')::BIGINT) OVER (PARTITION BY session_id ORDER BY pos ROWS UNBOUNDED PRECEDING)::BIGINT AS turn_no FROM ({RICH})),
+  t AS (SELECT session_id, count(*) FILTER (WHERE role = 'user') AS total FROM a GROUP BY 1),
+  m AS (SELECT a.* FROM a JOIN t ON t.session_id = a.session_id WHERE turn_no > 0 AND total - turn_no = 1 AND role <> 'system'),
+  res AS (SELECT session_id, call_id, last(content ORDER BY pos) AS output FROM m WHERE role = 'tool' GROUP BY 1, 2),
+  p AS (
+    SELECT session_id, true AS is_user, pos, 0 AS i, 'text|' || content || '|done|-|-' AS line FROM m WHERE role = 'user' AND content <> ''
+    UNION ALL SELECT session_id, false, pos, 0, 'step-start|-|-|-|-' FROM m WHERE role = 'assistant'
+    UNION ALL SELECT session_id, false, pos, 1, 'reasoning|' || reasoning || '|done|-|-' FROM m WHERE reasoning IS NOT NULL
+    UNION ALL SELECT m.session_id, false, pos, 2, 'tool-search|' || coalesce(res.output, '') || '|output-available|c' || turn || 'a|{{"k": 1}}' FROM m LEFT JOIN res ON res.session_id = m.session_id AND res.call_id = 'c' || turn || 'a' WHERE has_calls
+    UNION ALL SELECT session_id, false, pos, 3, 'tool-load||output-available|c' || turn || 'b|{{}}' FROM m WHERE has_calls
+    UNION ALL SELECT session_id, false, pos, 4, 'text|' || content || '|done|-|-' FROM m WHERE role = 'assistant' AND content <> ''),
+  g AS (SELECT session_id, turn_no, role = 'user' AS is_user, min(pos)::BIGINT AS first_pos, strftime(min(created_at), '%Y-%m-%dT%H:%M:%S') AS created_at, coalesce(max_by(id, CASE WHEN role <> 'tool' AND id IS NOT NULL THEN pos END), '') AS id, bool_or(role <> 'tool') AS spoken FROM m GROUP BY 1, 2, 3),
+  u AS (SELECT g.*, md5(coalesce((SELECT string_agg(line, chr(10) ORDER BY pos, i) FROM p WHERE p.session_id = g.session_id AND p.is_user = g.is_user), '')) AS digest FROM g WHERE spoken)
+  SELECT r.request_id, r.session_id, r.outcome, CASE WHEN r.outcome = 'OK' THEN coalesce(t.total, 0) END AS total, CASE WHEN r.outcome = 'OK' THEN coalesce(t.total, 0) END AS total_page, u.turn_no, u.first_pos, u.id, CASE WHEN u.is_user THEN 'user' WHEN NOT u.is_user THEN 'assistant' END AS role, u.created_at, u.digest
+  FROM r LEFT JOIN t ON t.session_id = r.session_id LEFT JOIN u ON u.session_id = r.session_id AND r.outcome = 'OK'"""
+
+
 def rows_for_model(spark, d):
     return C.rich_messages(spark, d).select("session_id", "pos", M.llm_row().alias("row"))
 
@@ -200,6 +228,7 @@ def titled(spark, d):
 
 Q: dict = {
     "history_parts": (shown, SHOWN),
+    "history_of_owner": (owners_history, HISTORY),
     "model_rows": (rows_for_model, LLM),
     "redacted_messages": (lambda s, d: M.redacted(C.rich_messages(s, d)).select("session_id", "pos", "content"), f"SELECT session_id, pos, coalesce(placeholder, content) AS content FROM ({RICH})"),
     "session_summary_stamped": (summarised, f"SELECT id, updated_at, CASE WHEN id % 8 = 0 AND id % 16 <> 0 THEN 'short' END AS current_summary, CASE WHEN id % 8 = 0 AND id % 16 <> 0 THEN TIMESTAMP '{NOW}' END AS summary_updated_at FROM ({SES})"),
