@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..settings import DEFAULTS
+
 TRUNCATED = "\n...[truncated]"
 KINDS = {"references": "reference", "templates": "template", "scripts": "script", "examples": "example"}
 
@@ -14,7 +16,7 @@ def contains_ignoring_case(text: Column, part: Column) -> Column:
     return (part != "") & F.contains(F.lower(text), F.lower(part))
 
 
-def truncate(text: Column, limit: int = 4000) -> Column:
+def truncate(text: Column, limit: int = DEFAULTS.result_characters) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit(TRUNCATED))).otherwise(text)
 
 
@@ -24,7 +26,7 @@ def token_estimate(content: Column, known: Column | None = None) -> Column:
     return guess if known is None else F.coalesce(known.cast("long"), guess)
 
 
-def prompt_budget(context: Column, output: Column, default: int = 128_000, reserve: int = 4096, least: int = 1024) -> Column:
+def prompt_budget(context: Column, output: Column, default: int = DEFAULTS.context_tokens, reserve: int = DEFAULTS.output_reserve_tokens, least: int = DEFAULTS.least_prompt_tokens) -> Column:
     """Zero counts as missing, as in the chat service."""
     return F.greatest(F.coalesce(F.nullif(context, F.lit(0)), F.lit(default)) - F.coalesce(F.nullif(output, F.lit(0)), F.lit(reserve)), F.lit(least)).cast("long")
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import cache_key, safe_path, safe_segment, truncate, utf8_or_null
+from ..settings import DEFAULTS
 from .skills import rendered_skill
 
 
@@ -62,7 +63,7 @@ def load_skills(requests: DataFrame, skills: DataFrame) -> DataFrame:
     return joined.select("request_id", "skill_id", outcome.alias("outcome"), F.when(outcome == "OK", text).alias("output"))
 
 
-def load_assets(requests: DataFrame, skills: DataFrame, objects: DataFrame, characters: int = 4000) -> DataFrame:
+def load_assets(requests: DataFrame, skills: DataFrame, objects: DataFrame, characters: int = DEFAULTS.result_characters) -> DataFrame:
     """requests: (request_id, skill_id, path). The asset's text, cut at the character limit, or why there is none.
 
     Only paths that the manifest declares are looked for, under the object key declared; what isn't UTF-8 isn't text.

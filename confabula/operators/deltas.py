@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_STEPS = 5
+from ..settings import DEFAULTS
+
+MAX_STEPS = DEFAULTS.max_steps
 
 
 def joined(text: str) -> Column:
@@ -99,19 +101,21 @@ def frames(log: DataFrame, ends: DataFrame) -> DataFrame:
     tool = F.when(kind.startswith("tool-input"), F.col("tool"))
     body = F.to_json(F.struct(kind.alias("type"), id_of.alias("id"), "delta", F.col("call_id").alias("toolCallId"), tool.alias("toolName"), F.try_parse_json("input").alias("input"), "output"))
     line = F.when(kind.isin(*EVENTS), F.concat(F.lit("data: "), body, F.lit("\n\n"))).otherwise(F.raise_error(F.concat(F.lit("unknown event "), "event")).cast("string"))
-    n = F.row_number().over(Window.partitionBy("message_id").orderBy("step", "seq", "sub")).cast("long")
     data = lambda *c: F.concat(F.lit("data: "), F.to_json(F.struct(*c)), F.lit("\n\n"))
-    counted = ends.join(log.groupBy("message_id").agg(F.count("*").alias("last")), "message_id", "left").withColumn("last", F.coalesce("last", F.lit(0)))
-    head = ends.select("message_id", F.lit(0).cast("long").alias("n"), data(F.lit("start").alias("type"), F.concat(F.lit("msg_"), F.col("message_id").cast("string")).alias("messageId")).alias("frame"))
-    raw = counted.where("status = 'refused'").select("message_id", (F.col("last") + 1).alias("n"), F.concat(F.lit("\n[System Error]: "), F.coalesce("error", F.lit(""))).alias("frame"))
     closing = (
         F.when(F.col("status") == "aborted", data(F.lit("abort").alias("type"), F.lit("user_cancelled").alias("reason")))
         .when(F.col("status") == "failed", data(F.lit("error").alias("type"), F.coalesce("error", F.lit("")).alias("errorText")))
         .otherwise(data(F.lit("finish").alias("type")))
     )
-    tail = counted.select("message_id", (F.col("last") + 2).alias("n"), closing.alias("frame"))
-    done = counted.select("message_id", (F.col("last") + 3).alias("n"), F.lit("data: [DONE]\n\n").alias("frame"))
-    return head.union(log.select("message_id", n.alias("n"), line.alias("frame"))).union(raw).union(tail).union(done)
+    head = data(F.lit("start").alias("type"), F.concat(F.lit("msg_"), F.col("message_id").cast("string")).alias("messageId"))
+    raw = F.when(F.col("status") == "refused", F.concat(F.lit("\n[System Error]: "), F.coalesce("error", F.lit(""))))
+    # the end of a message is a row behind its events, whose number is then one more than theirs
+    rows = log.withColumn("_end", F.lit(False)).unionByName(ends.select("message_id", "status", "error", F.lit(True).alias("_end")), allowMissingColumns=True)
+    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy("message_id").orderBy("_end", "step", "seq", "sub")).cast("long"))
+    one = lambda n, frame: F.struct(n.cast("long").alias("n"), frame.alias("frame"))
+    at = F.col("_n")
+    around = F.filter(F.array(one(F.lit(0), head), one(at, raw), one(at + 1, closing), one(at + 2, F.lit("data: [DONE]\n\n"))), lambda x: x["frame"].isNotNull())
+    return numbered.select("message_id", F.explode(F.when(F.col("_end"), around).otherwise(F.array(one(at, line)))).alias("x")).select("message_id", "x.n", "x.frame")
 
 
 def exhausted(steps: DataFrame, most: int = MAX_STEPS) -> DataFrame:

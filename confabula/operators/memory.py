@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine
+from ..settings import DEFAULTS
 
 
-def recall(queries: DataFrame, memories: DataFrame, limit: int = 10, threshold: float | None = None, scorer=cosine, shares: int = 8) -> DataFrame:
+def recall(queries: DataFrame, memories: DataFrame, limit: int = DEFAULTS.memory_limit, threshold: float | None = None, scorer=cosine, shares: int = 8) -> DataFrame:
     """queries: (query_id, user_id, vector). The nearest memories of the same user, by an exact score; equal scores by id.
 
     Work is split by user_id, and a user's memories into shares by their id, so that one user's aren't all in one task; the

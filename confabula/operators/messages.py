@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..settings import DEFAULTS
+
 
 def is_user() -> Column:
     return F.expr("cast(role = 'user' as bigint)")
@@ -142,7 +144,7 @@ def ui_messages(messages: DataFrame) -> DataFrame:
     return groups.where(F.size("rows") > 0).select("session_id", "turn_no", F.when(F.col("is_user"), "user").otherwise("assistant").alias("role"), "first_pos", *kept, parts.alias("parts"))
 
 
-def context_window(messages: DataFrame, budget: Column | int, low: float = 0.5, high: float = 0.8, cuts: DataFrame | None = None) -> DataFrame:
+def context_window(messages: DataFrame, budget: Column | int, low: float = DEFAULTS.low_ratio, high: float = DEFAULTS.high_ratio, cuts: DataFrame | None = None) -> DataFrame:
     """run_tokens from the newest row back; keep while it is within the low mark, else compress; and whether to compress at all.
 
     cuts: from long_sessions().
@@ -163,7 +165,7 @@ def newest(rows: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
     return rows.withColumn("rank", rank.cast("long")).where(F.col("rank") <= n)
 
 
-def hot_list(rows: DataFrame, key: str, order: list[Column], now: Column, length: int = 50, ttl: str = "INTERVAL 24 HOURS", time: str = "ts") -> DataFrame:
+def hot_list(rows: DataFrame, key: str, order: list[Column], now: Column, length: int = DEFAULTS.hot_list_length, ttl: str = DEFAULTS.hot_list_ttl, time: str = "ts") -> DataFrame:
     """The newest rows of each key, none for keys whose last write is older than the time to live."""
     last = F.max(time).over(Window.partitionBy(key))
     return newest(rows.withColumn("_last", last).where(F.col("_last") >= now - F.expr(ttl)).drop("_last"), key, order, length)
@@ -174,7 +176,7 @@ def replace_hot_list(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return current.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def backfill(messages: DataFrame, summaries: DataFrame, n: int, newest_rows: bool) -> DataFrame:
+def backfill(messages: DataFrame, summaries: DataFrame, n: int = DEFAULTS.backfill_rows, newest_rows: bool = True) -> DataFrame:
     """The oldest or newest n rows after each session's summary (session_id, summary_pos; null: none yet), in their order."""
     after = messages.join(summaries, "session_id", "left").where("summary_pos IS NULL OR pos > summary_pos")
     return newest(after, "session_id", [F.desc("pos") if newest_rows else F.asc("pos")], n)

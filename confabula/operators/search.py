@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens, truncate
+from ..settings import DEFAULTS
 from ..sources.postings import TokenIndex
 
 
@@ -48,7 +49,7 @@ def limit_or_default(value: Column, default: int = 10) -> Column:
     return F.coalesce(F.try_to_number(value, F.lit("999999999")).cast("int"), F.lit(default))
 
 
-def render(rows: DataFrame, key: str, order: str, stamp: Column, limit: int = 10, characters: int = 4000) -> DataFrame:
+def render(rows: DataFrame, key: str, order: str, stamp: Column, limit: int = DEFAULTS.search_limit, characters: int = DEFAULTS.result_characters) -> DataFrame:
     """The first rows of each key as lines '[role] (time): content', cut at the character limit."""
     from .messages import newest
 

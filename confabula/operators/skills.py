@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.automaton import contained
+from ..settings import DEFAULTS
 from .tools import overlay
 
 META = ["skill_id", "display_name", "enabled"]
@@ -15,7 +16,7 @@ def skill_meta(skills: DataFrame) -> DataFrame:
     return skills.where("enabled").select(META)
 
 
-def match(queries: DataFrame, skills: DataFrame, key: str, text: str, k: int = 2) -> DataFrame:
+def match(queries: DataFrame, skills: DataFrame, key: str, text: str, k: int = DEFAULTS.skills_a_turn) -> DataFrame:
     """The k skills with most trigger hits for each query; a trigger listed twice counts twice, an empty one never.
 
     The catalogue's distinct triggers become an automaton (several beyond its size), which finds those in a text in one pass over

@@ -57,15 +57,16 @@ def asked_skills(spark, d):
 
 
 def loaded(spark, d):
-    return A.load_skills(asked_skills(spark, d), skills(spark, d)).select("request_id", "outcome", F.length("output").cast("long").alias("n_output"))
+    return A.load_skills(asked_skills(spark, d), skills(spark, d)).select("request_id", "outcome", F.length("output").cast("long").alias("n_output"), F.md5(F.col("output").cast("binary")).alias("digest"))
 
 
-LOADED = f"""WITH b AS (SELECT *, CASE WHEN f THEN name ELSE skill_id END AS shown, CASE WHEN k % 7 = 0 THEN length('Body of ' || name)
-    ELSE length('skill_id: s' || k || chr(10) || 'display_name: "' || name || '"' || chr(10) || 'description: ' || brand || chr(10) || 'version: 0.0' || chr(10) || 'enabled: ' || CASE WHEN k % 5 = 0 THEN 'False' ELSE 'true' END || chr(10) || 'triggers:' || chr(10) || '  - ' || name || chr(10) || '  - t' || k || chr(10)) + 4 + CASE WHEN k % 11 = 0 THEN 0 ELSE 4 END + length('Text ' || v) END AS n,
-    list_sum(list_transform(paths, lambda p: length('- ' || p || ' (' || CASE WHEN p LIKE 'ref%' THEN 'reference, ' || strlen(name) ELSE 'script, 1' END || ' bytes)') + 1)) AS m FROM ({BUNDLE})),
-  r AS (SELECT c_custkey AS request_id, c_custkey * 2 AS k FROM customer)
-  SELECT request_id, CASE WHEN request_id % 6 = 0 THEN 'MISSING_SKILL_ID' WHEN request_id % 4 = 0 THEN 'DENIED' WHEN b.k IS NULL THEN 'SKILL_NOT_FOUND' ELSE 'OK' END AS outcome,
-    CASE WHEN request_id % 6 <> 0 AND request_id % 4 <> 0 THEN 2 + length(shown) + 1 + n + coalesce(m, 0) END::BIGINT AS n_output FROM r LEFT JOIN b ON b.k = r.k"""
+LOADED = f"""WITH b AS (SELECT *, CASE WHEN f THEN name ELSE skill_id END AS shown, CASE WHEN k % 7 = 0 THEN 'Body of ' || name
+    ELSE '---' || chr(10) || 'skill_id: s' || k || chr(10) || 'display_name: "' || name || '"' || chr(10) || 'description: ' || brand || chr(10) || 'version: 0.0' || chr(10) || 'enabled: ' || CASE WHEN k % 5 = 0 THEN 'False' ELSE 'true' END || chr(10)
+      || 'triggers:' || chr(10) || '  - ' || name || chr(10) || '  - t' || k || chr(10) || CASE WHEN k % 11 = 0 THEN '' ELSE '---' || chr(10) END || 'Text ' || v END AS body,
+    list_transform(paths, lambda p: chr(10) || '- ' || p || ' (' || CASE WHEN p LIKE 'ref%' THEN 'reference, ' || strlen(name) ELSE 'script, 1' END || ' bytes)') AS lines FROM ({BUNDLE})),
+  r AS (SELECT c_custkey AS request_id, c_custkey * 2 AS k FROM customer),
+  o AS (SELECT request_id, b.k, CASE WHEN request_id % 6 <> 0 AND request_id % 4 <> 0 THEN '# ' || shown || chr(10) || body || coalesce(array_to_string(lines, ''), '') END AS output FROM r LEFT JOIN b ON b.k = r.k)
+  SELECT request_id, CASE WHEN request_id % 6 = 0 THEN 'MISSING_SKILL_ID' WHEN request_id % 4 = 0 THEN 'DENIED' WHEN k IS NULL THEN 'SKILL_NOT_FOUND' ELSE 'OK' END AS outcome, length(output) AS n_output, md5(output) AS digest FROM o"""
 
 
 def objects(spark, d):
@@ -261,9 +262,9 @@ def owned_deletes(spark, d):
 
 
 def wide_update(spark, d):
-    m = owned_models(spark, d).withColumns({"support_vision": F.col("id") % 2 == 0, "support_tools": F.lit(True)})
-    columns = ["display_name", "vendor", "type", "billing_ratio", "support_vision", "support_tools", "context_window_tokens", "max_output_tokens", "is_active"]
-    given = m.where("id % 3 = 0").select("id", F.transform(F.filter(F.array([F.struct(F.lit(i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(columns)]), lambda x: (x["i"] + F.col("id")) % 2 == 0), lambda x: x["c"]).alias("present"), F.lit("N").alias("display_name"), F.lit(None).cast("string").alias("vendor"), F.lit(9).alias("type"), F.lit(8).alias("billing_ratio"), F.lit(False).alias("support_vision"), F.lit(False).alias("support_tools"), F.lit(7).alias("context_window_tokens"), F.lit(6).alias("max_output_tokens"), F.lit(None).cast("boolean").alias("is_active"))
+    m = owned_models(spark, d).withColumns({"support_vision": F.col("id") % 2 == 0, "support_tools": F.lit(True), "support_thinking": F.col("id") % 2 == 1, "support_streaming": F.lit(True)})
+    columns = ["display_name", "vendor", "type", "billing_ratio", "support_vision", "support_tools", "context_window_tokens", "max_output_tokens", "is_active", "support_thinking", "support_streaming"]
+    given = m.where("id % 3 = 0").select("id", F.transform(F.filter(F.array([F.struct(F.lit(i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(columns)]), lambda x: (x["i"] + F.col("id")) % 2 == 0), lambda x: x["c"]).alias("present"), F.lit("N").alias("display_name"), F.lit(None).cast("string").alias("vendor"), F.lit(9).alias("type"), F.lit(8).alias("billing_ratio"), F.lit(False).alias("support_vision"), F.lit(False).alias("support_tools"), F.lit(7).alias("context_window_tokens"), F.lit(6).alias("max_output_tokens"), F.lit(None).cast("boolean").alias("is_active"), F.lit(True).alias("support_thinking"), F.lit(False).alias("support_streaming"))
     return R.sparse_update(m, given, "id", columns, now()).select("id", *columns)
 
 
@@ -415,7 +416,7 @@ Q: dict = {
     "sparse_update_wide": (
         wide_update,
         f"""SELECT id, {set_to(0, 'display_name', "'N'", 'display_name')}, {set_to(1, 'vendor', 'NULL', 'vendor')}, {set_to(2, 'type', '9', 'type')}, {set_to(3, 'billing_ratio', '8', 'billing_ratio')}, {set_to(4, 'support_vision', 'false', 'id % 2 = 0')},
-          {set_to(5, 'support_tools', 'false', 'true')}, {set_to(6, 'context_window_tokens', '7', 'ctx')}, {set_to(7, 'max_output_tokens', '6', 'outp')}, {set_to(8, 'is_active', 'NULL', 'is_active')} FROM ({MODEL})""",
+          {set_to(5, 'support_tools', 'false', 'true')}, {set_to(6, 'context_window_tokens', '7', 'ctx')}, {set_to(7, 'max_output_tokens', '6', 'outp')}, {set_to(8, 'is_active', 'NULL', 'is_active')}, {set_to(9, 'support_thinking', 'true', 'id % 2 = 1')}, {set_to(10, 'support_streaming', 'false', 'true')} FROM ({MODEL})""",
     ),
     "memory_list": (
         lambda s, d: V.listing(memories(s, d)),

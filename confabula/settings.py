@@ -1,4 +1,7 @@
-"""Typed settings, read from simple 'key: value' text; unknown keys and values of another type are errors."""
+"""Typed settings, read from simple 'key: value' text; unknown keys and values of another type are errors.
+
+Operators take their limits as arguments, of which DEFAULTS gives the default values; what parse() read is passed to them.
+"""
 
 from __future__ import annotations
 
@@ -20,6 +23,8 @@ class Settings:
     skills_a_turn: int = 2
     skill_refresh_seconds: int = 30
     hot_list_length: int = 50
+    hot_list_hours: int = 24
+    search_limit: int = 10
     memory_threshold: float = 0.6
     memory_limit: int = 10
 
@@ -35,3 +40,10 @@ class Settings:
                 raise ValueError(f"unknown setting: {line.strip()}")
             found[key] = (int if kinds[key] == "int" else float)(value)
         return cls(**found)
+
+    @property
+    def hot_list_ttl(self) -> str:
+        return f"INTERVAL {self.hot_list_hours} HOURS"
+
+
+DEFAULTS = Settings()

@@ -58,23 +58,16 @@ def providers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each (model_id, provider_id): the earliest line of the pair.
-
-    The line's order (day, order, number, flags) is one decimal number of 36 digits, as its minimum can be aggregated by
-    hashing, which that of a struct can't.
-    """
-    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
-    digits = lambda x, n: F.lpad(x.cast("string"), n, "0")
-    order = F.concat(digits(F.unix_date(F.col("l_shipdate").cast("date")), 6), digits(F.col("l_orderkey"), 18), digits(F.col("l_linenumber"), 6), digits(F.ascii("l_returnflag"), 3), digits(F.ascii("l_linestatus"), 3))
-    first = lines.groupBy("l_partkey", "l_suppkey").agg(F.min(order.cast("decimal(36,0)")).alias("x")).withColumn("x", digits(F.col("x"), 36))
-    part = lambda at, n: F.substring("x", at, n).cast("int")
+    """One row for each (model_id, provider_id): the earliest line of the pair, by day, order, number and flags."""
+    place = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    first = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min(place).alias("x"))
     return first.select(
         F.col("l_partkey").alias("model_id"),
         F.col("l_suppkey").alias("provider_id"),
-        part(25, 6).cast("long").alias("priority"),
-        (part(31, 3) == ord("A")).alias("is_preferred"),
-        (part(34, 3) == ord("O")).alias("is_active"),
-        F.date_from_unix_date(part(1, 6)).cast("timestamp_ntz").alias("created_at"),
+        F.col("x.l_linenumber").cast("long").alias("priority"),
+        (F.col("x.l_returnflag") == "A").alias("is_preferred"),
+        (F.col("x.l_linestatus") == "O").alias("is_active"),
+        F.col("x.l_shipdate").alias("created_at"),
     )
 
 

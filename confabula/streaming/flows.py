@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..settings import DEFAULTS
 from ..sources.keyed import KeyedTable
 from ..sources.shared import remove, shared_path
 
@@ -84,7 +85,7 @@ def once_each(events: DataFrame) -> DataFrame:
 HOT = "user_id long, event_id long, ts timestamp, clock timestamp"
 
 
-def hot_list_step(path: str, length: int = 50, ttl: str = "INTERVAL 24 HOURS") -> Callable[[DataFrame, int], None]:
+def hot_list_step(path: str, length: int = DEFAULTS.hot_list_length, ttl: str = DEFAULTS.hot_list_ttl) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that keeps the newest rows of each user, at most length, as one table for each batch number.
 
     What it reads and writes is bounded by users times length. Time is that of the rows: the clock stands at the newest row

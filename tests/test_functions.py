@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import inspect
+
 import pytest
 from pyspark.sql import functions as F
 
 from confabula import errors, settings
 from confabula.functions import counting, registry, text
+from confabula.operators import memory, messages, skills
 from confabula.sources import bundles, written
 
 
@@ -50,6 +53,23 @@ def test_tokens_are_counted_by_the_vocabulary_or_as_characters(spark):
     assert [r.n for r in rows.select(counting.token_count(F.col("t"), "/nowhere.json").alias("n")).collect()] == [19, 0, 0, 40]
 
 
+def test_tokens_by_the_vocabulary_of_each_rows_model(spark, tmp_path):
+    from tokenizers import Tokenizer
+    from tokenizers.models import WordLevel
+    from tokenizers.pre_tokenizers import Split, WhitespaceSplit
+
+    files = {}
+    for name, cut in (("words", WhitespaceSplit()), ("commas", Split(",", "removed"))):
+        t = Tokenizer(WordLevel({"?": 0}, unk_token="?"))
+        t.pre_tokenizer = cut
+        files[name] = str(tmp_path / f"{name}.json")
+        t.save(files[name])
+    known = {"big-*": files["words"], "big-small-*": files["commas"], "exact": files["commas"], "broken": "/nowhere.json"}
+    rows = [("a b,c d", "big-1"), ("a b,c d", "big-small-1"), ("a b,c d", "exact"), ("a b,c d", "other"), ("a b,c d", None), ("a b,c d", "broken"), ("", "big-1"), (None, None)]
+    got = spark.createDataFrame(rows, "t string, m string").select(counting.token_count_by_model(F.col("t"), F.col("m"), known, files["words"]).alias("n"))
+    assert [r.n for r in got.collect()] == [3, 2, 2, 3, 3, 7, 0, 0]
+
+
 def test_search_tokens_of_scripts_without_spaces(spark):
     got = spark.range(1).select(text.tokens(F.lit("Die ABC 你好世界 x ひら")).alias("t")).first().t
     assert got == ["die", "abc", "你好", "好世", "世界", "ひら"]
@@ -73,11 +93,28 @@ def test_settings_are_typed():
     assert settings.Settings.parse("") == settings.Settings()
     own = settings.Settings.parse("# limits\nmax_steps: 7\nhigh_ratio: 0.9\n")
     assert own.max_steps == 7 and own.high_ratio == 0.9 and own.low_ratio == 0.5
+    assert own.hot_list_ttl == "INTERVAL 24 HOURS"
     for bad in ("colour: red", "max_steps: many", "max_steps 3"):
         with pytest.raises(ValueError):
             settings.Settings.parse(bad)
 
 
+def test_operators_take_their_limits_from_the_settings():
+    own = settings.Settings.parse("low_ratio: 0.25\nhigh_ratio: 0.75\nresult_characters: 3")
+    defaults = {name: p.default for f in (text.prompt_budget, text.truncate, messages.context_window, messages.hot_list, memory.recall, skills.match) for name, p in inspect.signature(f).parameters.items() if isinstance(p.default, int | float) and not isinstance(p.default, bool)}
+    d = settings.DEFAULTS
+    assert (defaults["default"], defaults["reserve"], defaults["least"], defaults["low"], defaults["high"], defaults["length"], defaults["k"]) == (d.context_tokens, d.output_reserve_tokens, d.least_prompt_tokens, d.low_ratio, d.high_ratio, d.hot_list_length, d.skills_a_turn)
+    assert (own.low_ratio, own.high_ratio, own.result_characters, own.memory_limit) == (0.25, 0.75, 3, d.memory_limit)
+
+
+def test_limits_that_were_read_are_followed(spark):
+    own = settings.Settings.parse("low_ratio: 0.25\nhigh_ratio: 0.75\nresult_characters: 3")
+    rows = spark.createDataFrame([(1, p, 10) for p in range(8)], "session_id long, pos long, token_count long")
+    got = messages.context_window(rows, 100, own.low_ratio, own.high_ratio).orderBy("pos").collect()
+    assert [r.bucket for r in got] == ["compress"] * 6 + ["keep"] * 2 and all(r.needs_compress for r in got)
+    assert spark.range(1).select(text.truncate(F.lit("abcd"), own.result_characters).alias("t")).first().t.startswith("abc\n")
+
+
 def test_codes_have_names_and_names_codes(spark):
     row = spark.range(1).select(errors.code_of(F.lit(errors.Outcome.PROVIDER_IN_USE)).alias("c"), errors.name_of(F.lit(40001)).alias("n"), errors.name_of(F.lit(1)).alias("none")).first()
     assert (row.c, row.n, row.none) == (40013, "SESSION_NOT_FOUND", None)

@@ -113,3 +113,20 @@ def test_events_of_a_step_follow_the_rule(spark):
 def test_no_events_are_unbalanced(spark):
     rows = [(1, k, *c) for k, chunks in enumerate(STEPS) for c in chunks]
     assert deltas.unbalanced(deltas.lifecycle(spark.createDataFrame(rows, "message_id long, step int, seq long, reasoning string, content string"))).count() == 0
+
+
+def test_frames_of_messages_with_and_without_events(spark):
+    empty = "cast(null as string)"
+    log = spark.sql(f"SELECT * FROM VALUES (1L, 1, 5L, 0, 'text-start', {empty}), (1L, 1, 5L, 1, 'text-delta', 'hi'), (1L, 2, 0L, 0, 'start-step', {empty}), (3L, 1, 0L, 0, 'start-step', {empty}) AS t(message_id, step, seq, sub, event, delta)")
+    log = log.selectExpr("*", *[f"{empty} AS {c}" for c in ("call_id", "tool", "input", "output")])
+    ends = spark.createDataFrame([(1, "refused", "no money"), (2, "failed", None)], "message_id long, status string, error string")
+    got = {}
+    for r in deltas.frames(log, ends).orderBy("message_id", "n").collect():
+        got.setdefault(r.message_id, []).append((r.n, r.frame))
+    data = lambda x: f"data: {x}\n\n"
+    assert got[1] == [
+        (0, data('{"type":"start","messageId":"msg_1"}')), (1, data('{"type":"text-start","id":"t_1"}')), (2, data('{"type":"text-delta","id":"t_1","delta":"hi"}')), (3, data('{"type":"start-step"}')),
+        (4, "\n[System Error]: no money"), (5, data('{"type":"finish"}')), (6, data("[DONE]")),
+    ]
+    assert got[2] == [(0, data('{"type":"start","messageId":"msg_2"}')), (2, data('{"type":"error","errorText":""}')), (3, data("[DONE]"))]
+    assert got[3] == [(1, data('{"type":"start-step"}'))]
