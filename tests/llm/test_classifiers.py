@@ -223,6 +223,19 @@ def test_quality_of_repeated_rows_ties_and_an_empty_table(spark):
     assert {r.score for r in quality_pu.score(docs, none).collect()} == {0.0}
 
 
+def test_quality_of_a_long_text_and_of_columns_with_names_of_its_own(spark):
+    good = [(i, " ".join(f"Word{j * i % 31} runs well, over there." for j in range(40)), 1) for i in range(40)]
+    junk = [(100 + i, "$ # ! buy now now now | x" * (5 + i % 40), None) for i in range(80)]
+    long = good[7][1]
+    docs = spark.createDataFrame([*good, *junk], SCHEMA)
+    model = quality_pu.fit(docs, docs.where("label = 1").select("doc_id"), docs.where("label = 1").select("doc_id"))
+    more = spark.createDataFrame([(1, " ".join([long] * 2000), 1), (2, " ".join([junk[7][1]] * 5000), None)], SCHEMA)
+    for name in ("score", "held_out", "predicted", "margin", "features"):
+        more = more.withColumn(name, F.lit(-1))
+    got = {r.doc_id: r for r in quality_pu.score(more, model).collect()}
+    assert got[1].score > got[2].score and all(0 <= r.score <= 1 and r.margin == -1 for r in got.values())
+
+
 @pytest.mark.parametrize(("query", "label", "least"), [(toxicity.op3_toxicity, "toxic", 0.85), (quality_pu.op4_quality_classifier, "quality", 0.7)])
 def test_held_out_labels_are_told_apart(query, label, least, spark):
     """Share of pairs of a held-out 1 and a held-out 0 that the scores put in order."""

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from confabula.llm.near_dedup import components, near_duplicates, op9_near_dedup, signatures
 
@@ -83,6 +84,14 @@ def test_nulls_repeated_rows_and_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_columns_with_names_of_its_own_do_no_harm(spark):
+    rows = texts(4, 40)
+    more = frame(spark, rows)
+    for name in ("key", "node", "n", "size", "n_shingles", "component_id", "kept", "a", "b", "sets"):
+        more = more.withColumn(name, F.lit(-1))
+    assert sorted(map(tuple, near_duplicates(more, size=2).collect())) == brute(rows)
+
+
 def test_components_of_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}

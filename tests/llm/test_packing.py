@@ -4,6 +4,7 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from confabula.llm.packing import LENGTH, best_fit, op10_packing, pack
@@ -60,6 +61,15 @@ def test_nulls_repeated_rows_and_empty_table(spark):
     assert pack(spark.createDataFrame([], SCHEMA), PATH).count() == 0
 
 
+def test_columns_with_names_of_its_own_do_no_harm(spark):
+    rows = texts(5, 30)
+    more = frame(spark, rows)
+    for name in ("piece", "start", "length", "ids_crc32", "part", "rank", "before", "sequence_id", "offset"):
+        more = more.withColumn(name, F.lit(-1))
+    got = pack(more, PATH).collect()
+    assert sorted((tuple(r[:5]) for r in got), key=str) == expected(rows) and valid(got)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_best_fit_places_every_piece_once(seed):
     rng = random.Random(seed)

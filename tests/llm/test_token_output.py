@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from confabula.llm.common import new_path
@@ -87,6 +88,15 @@ def test_nulls_repeated_rows_and_empty_table(spark):
     assert read_tokens(spark, path).count() == 0
 
 
+def test_columns_with_names_of_its_own_do_no_harm(spark):
+    path, rows = new_path(spark, "tokens"), [(3, "one two"), (1, "three"), (2, "")]
+    more = frame(spark, rows)
+    for name in ("start", "n_tokens", "ids_crc32", "ids", "segment"):
+        more = more.withColumn(name, F.lit(-1))
+    write_tokens(more, path, PATH)
+    assert sorted(tuple(r) for r in read_tokens(spark, path).collect()) == expected(rows)
+
+
 def test_query_on_test_data(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert [tuple(r) for r in op1_token_output(spark, sf_dir).orderBy("doc_id").collect()] == expected(docs)
