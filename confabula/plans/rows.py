@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import completions as L
 from ..operators import deltas as E
 from ..operators import history as Y
 from ..operators import messages as M
@@ -142,6 +143,26 @@ def framed(spark, d):
     return E.frames(log, ends)
 
 
+def loop_rows(spark, d):
+    """Two steps at most; some messages call tools in the first, some in both, some say so without calling any."""
+    asks = "step = 1 AND message_id % 3 < 2 OR step = 2 AND message_id % 5 = 0"
+    chunks = C.chunks(spark, d).withColumn("finish_reason", F.expr(f"if({asks}, if(seq % 4 = step - 1, 'tool_calls', null), 'length')"))
+    both = F.explode(F.array(F.lit(0), F.lit(1)))
+    calls = chunks.select("message_id", "step").distinct().where("(message_id + step) % 4 <> 0").select(
+        "message_id", "step", both.alias("index")).selectExpr("message_id", "step", "index", "concat('c', step, index) AS call_id", "'search' AS tool", "if(index = 0, '{\"k\":0}', '[1]') AS input", "concat('out', message_id) AS output", "if(index = 1, 'kept short', null) AS placeholder")
+    out = L.loop_messages(L.with_warnings(chunks, calls, 2), calls)
+    named = F.array_join(F.transform("tool_calls", lambda c: F.concat_ws("|", c["id"], c["name"], c["arguments"])), ",")
+    return out.select("message_id", F.col("step").cast("long").alias("step"), "place", "role", "content", "reasoning_content", named.alias("calls"), "tool_call_id", "name", "placeholder")
+
+
+LOOP = f"""WITH st AS (SELECT message_id, step, coalesce(string_agg(content, '' ORDER BY i), '') AS content, string_agg(reasoning, '' ORDER BY i) AS reasoning, (step = 1 AND message_id % 3 < 2 OR step = 2 AND message_id % 5 = 0) AND bool_or(i % 4 = step - 1) AND (message_id + step) % 4 <> 0 AS goes_on FROM ({CHUNK}) GROUP BY 1, 2),
+  e AS (SELECT message_id, min(step) FILTER (WHERE NOT goes_on) AS last FROM st GROUP BY 1), k AS (SELECT st.* FROM st JOIN e ON e.message_id = st.message_id WHERE last IS NULL OR step <= last)
+  SELECT message_id, step::BIGINT AS step, 0::BIGINT AS place, 'assistant' AS role, nullif(content, '') AS content, reasoning AS reasoning_content, 'c' || step || '0|search|{{"k":0}},c' || step || '1|search|{{}}' AS calls, NULL AS tool_call_id, NULL AS name, NULL AS placeholder FROM k WHERE goes_on
+  UNION ALL SELECT message_id, step, j + 1, 'tool', 'out' || message_id, NULL, NULL, 'c' || step || j, 'search', CASE WHEN j = 1 THEN 'kept short' END FROM k, (VALUES (0), (1)) v(j) WHERE goes_on
+  UNION ALL SELECT message_id, step, 0, 'assistant', content, reasoning, NULL, NULL, NULL, NULL FROM k WHERE NOT goes_on
+  UNION ALL SELECT k.message_id, 3, 0, 'assistant', 'No answer after 2 steps.', NULL, NULL, NULL, NULL, NULL FROM k JOIN e ON e.message_id = k.message_id WHERE step = 2 AND goes_on AND last IS NULL"""
+
+
 def line(body: str) -> str:
     return f"'data: {{\"type\":\"' || {body} || '}}' || chr(10) || chr(10)"
 
@@ -229,6 +250,7 @@ def titled(spark, d):
 Q: dict = {
     "history_parts": (shown, SHOWN),
     "history_of_owner": (owners_history, HISTORY),
+    "loop_messages": (loop_rows, LOOP),
     "model_rows": (rows_for_model, LLM),
     "redacted_messages": (lambda s, d: M.redacted(C.rich_messages(s, d)).select("session_id", "pos", "content"), f"SELECT session_id, pos, coalesce(placeholder, content) AS content FROM ({RICH})"),
     "session_summary_stamped": (summarised, f"SELECT id, updated_at, CASE WHEN id % 8 = 0 AND id % 16 <> 0 THEN 'short' END AS current_summary, CASE WHEN id % 8 = 0 AND id % 16 <> 0 THEN TIMESTAMP '{NOW}' END AS summary_updated_at FROM ({SES})"),
