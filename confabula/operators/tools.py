@@ -69,35 +69,80 @@ def overlay(base: DataFrame, extra: DataFrame, key: str) -> DataFrame:
     return base.join(extra.select(key), key, "left_anti").unionByName(extra)
 
 
-def pools(instances: DataFrame, requests: DataFrame) -> DataFrame:
-    """instances: (service, instance, developer, healthy, enabled); requests: (request_id, service, developer).
+def _met(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join by the columns on, of which nulls meet nulls."""
+    other = right.withColumnsRenamed({c: f"_other_{c}" for c in on})
+    both = [F.col(c).eqNullSafe(F.col(f"_other_{c}")) for c in on]
+    return left.join(other, both, how).drop(*[f"_other_{c}" for c in on])
 
-    (request_id, service, instances): a tagged request gets its developer's instances if there are any, else those without a
-    tag; missing flags mean usable. Instances are one sorted array for each service and tag, so requests aren't multiplied.
+
+def usable(instances: DataFrame) -> DataFrame:
+    """instances: (service, instance, developer, healthy, enabled); missing flags mean usable. Distinct (service, tag, instance)."""
+    return instances.where("instance IS NOT NULL AND coalesce(healthy, true) AND coalesce(enabled, true)").select("service", F.col("developer").alias("tag"), "instance").distinct()
+
+
+def pools(known: DataFrame, requests: DataFrame) -> DataFrame:
+    """known: from usable(). requests: (request_id, service, developer).
+
+    (request_id, service, tag, n): a tagged request gets its developer's instances if there are any, else those without a tag
+    (tag is null); n is their number. Neither instances nor arrays of them are joined with requests, only their numbers.
     """
-    usable = instances.where("coalesce(healthy, true) AND coalesce(enabled, true)").groupBy("service", F.col("developer").alias("tag")).agg(F.array_sort(F.collect_set("instance")).alias("own"))
-    tagged = usable.where("tag IS NOT NULL").withColumnRenamed("tag", "developer")
-    base = usable.where("tag IS NULL").select("service", F.col("own").alias("base"))
-    joined = requests.join(tagged, ["service", "developer"], "left").join(base, "service", "left")
-    return joined.select("request_id", "service", F.coalesce("own", "base").alias("instances")).where("instances IS NOT NULL")
+    sizes = known.groupBy("service", "tag").agg(F.count("*").alias("n"))
+    own = sizes.where("tag IS NOT NULL").select("service", F.col("tag").alias("developer"), F.col("n").alias("_own"))
+    base = sizes.where("tag IS NULL").select("service", F.col("n").alias("_base"))
+    joined = requests.join(own, ["service", "developer"], "left").join(base, "service", "left")
+    return joined.select("request_id", "service", F.when(F.col("_own").isNotNull(), F.col("developer")).alias("tag"), F.coalesce("_own", "_base").alias("n")).where("n IS NOT NULL")
 
 
-def gray_pool(instances: DataFrame, requests: DataFrame) -> DataFrame:
-    """pools() with a row for each instance."""
-    return pools(instances, requests).select("request_id", "service", F.explode("instances").alias("instance"))
+def gray_pool(instances: DataFrame, requests: DataFrame, side: int = 4096) -> DataFrame:
+    """pools() with a row for each instance: (request_id, service, instance).
 
+    The result is as large as requests times instances. Both sides of a service and tag are cut into blocks of about side rows, so
+    a pair of blocks is about side * side rows; pairs are dealt out to as many tasks as there are, whatever the service.
+    """
+    key = ["service", "_tag"]
+    boxed = lambda rows: rows.withColumn("_tag", F.struct("tag"))  # noqa: E731  nulls meet nulls in it, and it keeps the partitioning below
+    known = usable(instances)
+    pool = boxed(pools(known, requests))
+    shares = lambda n: F.ceil(n / F.lit(side)).cast("int")
+    sizes = pool.groupBy(key).agg(shares(F.max("n")).alias("_rows"), shares(F.count("*")).alias("_columns"))
+    tasks = sizes.agg(F.sum(F.col("_rows").cast("long") * F.col("_columns"))).first()[0] or 1
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = boxed(known).join(sizes, key).select(*key, block("instance", "_rows").alias("_row"), every("_columns").alias("_column"), "instance")
+    blocks = left.groupBy(*key, "_row", "_column").agg(F.collect_list("instance").alias("_block"))
+    right = pool.join(sizes, key).select("request_id", *key, block("request_id", "_columns").alias("_column"), every("_rows").alias("_row"))
+    # as many tasks as pairs of blocks: the shuffle carries little, so its size says nothing of the work
+    right = right.repartition(min(tasks, 1 << 15), *key, "_row", "_column")
+    return right.join(blocks.hint("merge"), [*key, "_row", "_column"]).select("request_id", "service", F.explode("_block").alias("instance"))
+
+
+def _placed(known: DataFrame) -> DataFrame:
+    """place: an instance's number in order, from 0, in its service and tag."""
+    return known.withColumn("place", F.row_number().over(Window.partitionBy("service", "tag").orderBy("instance")).cast("long") - 1)
+
+
+def without_tried(pool: DataFrame, known: DataFrame, tried: DataFrame) -> DataFrame:
+    """pool: from pools(). tried: (request_id, instance), the instances that a request shall not get again.
+
+    The pool with their places (_tried, in order) and n less by these; requests that have tried all are left out.
+    """
+    own = pool.select("request_id", "service", "tag").distinct().join(tried.distinct(), "request_id")
+    seen = _met(own, _placed(known), ["service", "tag", "instance"]).groupBy("request_id", "service", "tag").agg(F.array_sort(F.collect_list("place")).alias("_places"))
+    places = F.coalesce("_places", F.expr("cast(array() as array<bigint>)"))
+    return _met(pool, seen, ["request_id", "service", "tag"], "left").select("request_id", "service", "tag", (F.col("n") - F.size(places)).alias("n"), places.alias("_tried")).where("n > 0")
 
-def without_tried(pool: DataFrame, tried: DataFrame) -> DataFrame:
-    """pool: from pools(). tried: (request_id, instance), the instances that a request shall not get again."""
-    seen = tried.groupBy("request_id").agg(F.collect_set("instance").alias("_tried"))
-    left = F.when(F.col("_tried").isNull(), F.col("instances")).otherwise(F.array_except("instances", "_tried"))
-    return pool.join(seen, "request_id", "left").withColumn("instances", left).where(F.size("instances") > 0).drop("_tried")
 
+def round_robin(pool: DataFrame, known: DataFrame, turn: Column) -> DataFrame:
+    """One instance a request: its place in order is the turn modulo their number, places tried not counted.
 
-def round_robin(pool: DataFrame, turn: Column) -> DataFrame:
-    """One instance a request: its place in order is the turn modulo their number."""
-    at = (F.pmod(turn, F.size("instances")) + 1).cast("int")
-    return pool.select("request_id", "service", F.element_at("instances", at).alias("instance"))
+    pool: from pools() or without_tried(). The place is worked out from numbers, and the instance joined by its place.
+    """
+    place = F.pmod(turn.cast("long"), F.col("n"))
+    if "_tried" in pool.columns:
+        place = F.aggregate("_tried", place, lambda at, gone: at + F.when(gone <= at, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
+    asked = pool.select("request_id", "service", "tag", place.alias("place"))
+    return _met(asked, _placed(known), ["service", "tag", "place"]).select("request_id", "service", "instance")
 
 
 def weighted_pick(pool: DataFrame, seed: int) -> DataFrame:

@@ -78,12 +78,21 @@ def cascade(spark, d):
     return left_mappings.groupBy("model_id").agg(F.count("*").alias("n_mappings")).join(left_models.select(F.col("id").alias("model_id")), "model_id", "full_outer")
 
 
-def pools(spark, d):
+def instances(spark, d):
     """Suppliers as service instances: the nation is the service, every seventh belongs to a developer."""
     s = C.table(spark, d, "supplier")
-    pool = s.select(F.col("s_nationkey").alias("service"), F.col("s_suppkey").alias("instance"), F.expr("if(s_suppkey % 7 = 0, 'dev', null)").alias("developer"), (F.col("s_acctbal") >= 0).alias("healthy"), F.lit(None).cast("boolean").alias("enabled"))
-    asked = C.table(spark, d, "customer").select(F.col("c_custkey").alias("request_id"), F.col("c_nationkey").alias("service"), F.expr("if(c_custkey % 2 = 0, 'dev', null)").alias("developer"))
-    return X.pools(pool, asked)
+    return s.select(F.col("s_nationkey").alias("service"), F.col("s_suppkey").alias("instance"), F.expr("if(s_suppkey % 7 = 0, 'dev', null)").alias("developer"), (F.col("s_acctbal") >= 0).alias("healthy"), F.lit(None).cast("boolean").alias("enabled"))
+
+
+def pool_requests(spark, d):
+    return C.table(spark, d, "customer").select(F.col("c_custkey").alias("request_id"), F.col("c_nationkey").alias("service"), F.expr("if(c_custkey % 2 = 0, 'dev', null)").alias("developer"))
+
+
+def picked(spark, d):
+    """Every request has tried one instance."""
+    known, asked = X.usable(instances(spark, d)), pool_requests(spark, d)
+    tried = asked.select("request_id", (F.col("request_id") % 100 + 1).alias("instance"))
+    return X.round_robin(X.without_tried(X.pools(known, asked), known, tried), known, F.col("request_id"))
 
 
 POOL = """WITH i AS (SELECT s_nationkey AS service, s_suppkey AS instance, CASE WHEN s_suppkey % 7 = 0 THEN 'dev' END AS tag FROM supplier WHERE s_acctbal >= 0),
@@ -155,9 +164,9 @@ Q: dict = {
         f"""SELECT user_id::VARCHAR AS "userId", NULL::VARCHAR AS "groupId", usage_tokens AS "usageTokens", billing_ratio AS "billingRatio", trace_id::VARCHAR AS "traceId", model_name AS "modelName", model_type AS "modelType", strftime(ts, '%Y-%m-%dT%H:%M:%S') AS "requestTime"
           FROM ({USE}) WHERE scope = 'SYSTEM' AND usage_tokens > 0""",
     ),
-    "gray_pool": (lambda s, d: pools(s, d).select("request_id", "service", F.explode("instances").alias("instance")), f"{POOL} SELECT request_id, service, instance FROM pool"),
+    "gray_pool": (lambda s, d: X.gray_pool(instances(s, d), pool_requests(s, d)), f"{POOL} SELECT request_id, service, instance FROM pool"),
     "round_robin_pick": (
-        lambda s, d: X.round_robin(X.without_tried(pools(s, d), C.table(s, d, "customer").select(F.col("c_custkey").alias("request_id"), (F.col("c_custkey") % 100 + 1).alias("instance"))), F.col("request_id")),
+        picked,
         f"""{POOL}, p AS (SELECT * FROM pool WHERE instance <> request_id % 100 + 1)
           SELECT request_id, service, instance FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY instance) - 1 AS i, count(*) OVER (PARTITION BY request_id) AS n FROM p) WHERE i = request_id % n""",
     ),
