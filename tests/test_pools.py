@@ -31,3 +31,21 @@ def test_one_service_is_work_for_many_tasks(spark):
     got = tools.gray_pool(spark.createDataFrame(MANY, INSTANCES), asked, 20).withColumn("task", F.spark_partition_id())
     shares = [r["count"] for r in got.groupBy("task").count().collect()]
     assert sum(shares) == 200 * 60 and len(shares) > 5 and max(shares) < 200 * 60 / 2
+
+
+@pytest.mark.parametrize("turn", [0, 1, 5, 1000, -1])
+def test_a_request_in_turn_gets_what_it_has_not_tried(spark, turn):
+    tried = [(0, 10), (0, 10), (1, 13), (2, 10), (2, 11), (12, 100), (12, 101), (12, 104), (12, 159), (12, 999), (13, 130)]
+    known = tools.usable(spark.createDataFrame(ROWS + MANY, INSTANCES))
+    asked = tools.pools(known, spark.createDataFrame(ASKED, REQUESTS))
+    for seen in ([], tried):
+        rest = tools.without_tried(asked, known, spark.createDataFrame(seen, "request_id long, instance long")) if seen else asked
+        got = tools.round_robin(rest, known, F.col("request_id") + turn)
+        left = [(r, s, [i for i in pool(s, t) if (r, i) not in seen]) for r, s, t in ASKED]
+        assert sorted(map(tuple, got.collect())) == sorted((r, s, p[(r + turn) % len(p)]) for r, s, p in left if p)
+
+
+def test_instances_are_not_copied_into_requests(spark):
+    known = tools.usable(spark.createDataFrame(MANY, INSTANCES))
+    asked = tools.pools(known, spark.createDataFrame(ASKED, REQUESTS))
+    assert asked.columns == ["request_id", "service", "tag", "n"] and {r.n for r in asked.collect()} == {60}
