@@ -111,9 +111,3 @@ def parsed_object(text: Column) -> Column:
 
 def total_pages(total: Column, size: int) -> Column:
     return F.lit(0).cast("long") if size == 0 else F.ceil(total / size).cast("long")
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Of two arrays of numbers, in double precision."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
