@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import catalog as C
-from ..sources.shared import shared_path
+from ..sources.shared import listed, shared_path
 from ..streaming import finish, flows, state
 from . import catalogue
 from .content import CHUNK
 
 
+def arriving(spark, name, parts, keys, schema):
+    """A stream of the parts as files, one part after the other and about a part in a batch. Rows of a key are in one file of a part,
+    so files are as many as the shuffle has tasks, and a batch that ends within a part cuts no key's rows there."""
+    source, most = shared_path(spark, name), 1
+    for number, part in enumerate(parts):
+        part.repartition(*keys).write.parquet(f"{source}/in{number}")
+        most = max(most, len(listed(spark, f"{source}/in{number}")))
+    return flows.file_stream(spark, source, "*.parquet", schema, most)
+
+
 def ledger(spark, d):
     return flows.finished(flows.usage_by_user(flows.event_stream(spark, d)), "complete", "stream-ledger")
 
@@ -47,15 +57,13 @@ def updated_users(spark, d):
 
 
 def lifecycle(spark, d):
-    """The chunks come as three files, cut by seq wherever that falls in a message; the last chunk of a step says that it ends."""
-    source, path = shared_path(spark, "stream-chunks"), shared_path(spark, "stream-lifecycle")
+    """The chunks come in three parts, cut by seq wherever that falls in a message; the last chunk of a step says that it ends."""
+    path = shared_path(spark, "stream-lifecycle")
     chunks = C.chunks(spark, d)
     ends = chunks.groupBy("message_id", "step").agg(F.max("seq").alias("end"))
     at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("seq"))
     told = chunks.join(ends, ["message_id", "step"]).select("message_id", "step", "seq", at.alias("ts"), "reasoning", "content", F.when(F.col("seq") == F.col("end"), "stop").alias("finish_reason"), F.expr("cast(null as array<struct<index: int, id: string, name: string, arguments: string>>)").alias("tool_calls"))
-    for number, part in enumerate(("seq < 7", "seq >= 7 AND seq < 31", "seq >= 31")):
-        told.where(part).coalesce(1).write.parquet(f"{source}/in{number}")
-    stream = flows.file_stream(spark, source, "*.parquet", state.CHUNKS, 1)
+    stream = arriving(spark, "stream-chunks", [told.where(part) for part in ("seq < 7", "seq >= 7 AND seq < 31", "seq >= 31")], ["message_id", "step"], state.CHUNKS)
     state.start(state.interpreted(stream, "1 day"), path).awaitTermination()
     return spark.read.schema(state.LOG).parquet(path)
 
@@ -75,10 +83,9 @@ LIFECYCLE = f"""WITH k AS (SELECT message_id, step, i AS seq, nullif(reasoning,
 
 
 def exactly_once(spark, d):
-    """Usage in three files; every batch is given to the ledger twice."""
-    source, path = shared_path(spark, "stream-usage"), shared_path(spark, "stream-counters")
-    for number in range(3):
-        C.events(spark, d).where(f"event_id % 3 = {number}").coalesce(1).write.parquet(f"{source}/in{number}")
+    """Usage in three parts; every batch is given to the ledger twice."""
+    path = shared_path(spark, "stream-counters")
+    stream = arriving(spark, "stream-usage", [C.events(spark, d).where(f"event_id % 3 = {number}") for number in range(3)], ["event_id"], flows.EVENTS)
     own = state.Ledger(spark, path)
     own.create(catalogue.owned_counters(spark, d))
 
@@ -86,23 +93,22 @@ def exactly_once(spark, d):
         for _ in range(2):
             own.step(catalogue.owned_usage(spark, d, batch), number)
 
-    flows.start(flows.file_stream(spark, source, "*.parquet", flows.EVENTS, 1), "append", path, step).awaitTermination()
+    flows.start(stream, "append", path, step).awaitTermination()
     return own
 
 
 def finished_turns(spark, d):
-    """The messages of all conversations come as two files; what the steps leave is told by kind."""
-    source, path = shared_path(spark, "stream-turns"), shared_path(spark, "stream-finished")
+    """The messages of all conversations come in two parts; what the steps leave is told by kind."""
+    path = shared_path(spark, "stream-finished")
     rows = C.messages(spark, d).select(
         "session_id", "pos", "role", "content", F.when(F.col("pos") % 7 == 3, "left out").alias("persisted_output_placeholder"), F.expr("cast(null as bigint)").alias("token_count"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("pos")).alias("ts"),
         (F.col("session_id") % 9).cast("string").alias("user_id"), F.concat_ws("-", "session_id", F.floor(F.col("pos") / 2)).alias("trace_id"), (F.col("session_id") % 8).alias("provider_id"), F.expr("if(session_id % 2 = 0, null, 'o')").alias("owner_user_id"),
         F.expr("if(session_id % 2 = 0, 'SYSTEM', 'USER')").alias("scope"), F.lit(3).cast("long").alias("billing_ratio"), F.lit("m").alias("model_name"), F.lit(1).cast("long").alias("model_type"),
     )
-    for number in range(2):
-        rows.where(f"(pos div 2) % 2 = {number}").coalesce(1).write.parquet(f"{source}/in{number}")
+    stream = arriving(spark, "stream-turns", [rows.where(f"(pos div 2) % 2 = {number}") for number in range(2)], ["session_id"], finish.TURNS)
     own = finish.Finisher(spark, path, lambda name, e: None, 5)
     own.ledger.create(spark.range(6).select(F.col("id").alias("provider_id"), F.expr("if(id % 2 = 0, null, 'o')").alias("owner_user_id"), F.lit(0).cast("long").alias("usage_tokens"), F.lit(0).cast("long").alias("billable_usage_tokens")))
-    flows.start(flows.file_stream(spark, source, "*.parquet", finish.TURNS, 1), "append", path + "-flow", own.run).awaitTermination()
+    flows.start(stream, "append", path + "-flow", own.run).awaitTermination()
     none = F.lit(None).cast("long")
     hot = own.hot.read().select(F.lit("hot").alias("kind"), F.col("session_id").alias("a"), F.col("pos").alias("b"), F.col("token_count").alias("n"))
     archive = own.archived().select(F.lit("archive"), "session_id", "pos", F.length("content").cast("long"))
