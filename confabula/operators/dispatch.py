@@ -23,6 +23,8 @@ from ..functions.registry import Definition, Registry, ToolError
 RESULTS = "message_id long, index int, id string, name string, output string, error string, detail string, retryable boolean, placeholder string, started_at timestamp, finished_at timestamp"
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list}
 _NOT_KEPT = "[output not kept]"
+#: Calls that are Python objects at once; lanes are forked while they are, and each keeps a copy of what it then saw.
+AT_A_TIME = 1024
 
 
 def broken_rule(arguments: object, schema: dict) -> str | None:
@@ -144,6 +146,12 @@ class Lanes:
         self.free = []
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_A_TIME):
+            yield batch.slice(at, AT_A_TIME)
+
+
 def dispatch(calls: DataFrame, scope: Registry, at_once: int = 8) -> DataFrame:
     """RESULTS of calls (message_id, index, id, name, arguments: JSON, context: map of strings), in the calls' order within a partition.
 
@@ -153,7 +161,7 @@ def dispatch(calls: DataFrame, scope: Registry, at_once: int = 8) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lanes = Lanes(scope, at_once)
         try:
-            for batch in batches:
+            for batch in slices(batches):
                 rows = batch.to_pylist()
                 found = lanes.run([(r["name"], dict(r["context"] or []), _parsed(r["arguments"])) for r in rows])
                 out = []
