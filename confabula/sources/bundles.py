@@ -49,6 +49,8 @@ def bundles_of(found: DataFrame) -> DataFrame:
     """found: (skill_id, version, path, content). One row for each skill: its last version's document fields and its asset
     manifest in order of path. The directory's version counts; without frontmatter the fields have their defaults."""
     text = F.col("content").cast("string")
+    versions = found.where("path = 'SKILL.md'").groupBy("skill_id").agg(F.max("version").alias("version"))
+    found = found.join(versions, ["skill_id", "version"])  # of other versions nothing is sorted or read
     docs = found.where("path = 'SKILL.md'").select("skill_id", "version", text.alias("skill_md"), F.parse_json(as_json(front_matter(text))).alias("meta"))
     meta, text_of = F.col("meta"), lambda key: F.nullif(field(F.col("meta"), key), F.lit(""))
     docs = docs.select(
@@ -64,7 +66,5 @@ def bundles_of(found: DataFrame) -> DataFrame:
     asset = F.struct("path", F.concat_ws("/", F.lit("skills"), "skill_id", "version", "path").alias("object_key"), asset_kind(F.col("path")).alias("kind"), F.octet_length("content").cast("long").alias("size_bytes"))
     assets = found.where("path <> 'SKILL.md'").groupBy("skill_id", "version").agg(F.array_sort(F.collect_list(asset)).alias("assets_manifest"))
     whole = docs.join(assets, ["skill_id", "version"], "left")
-    row = F.struct(*[c for c in whole.columns if c != "skill_id"])
-    last = whole.groupBy("skill_id").agg(F.max_by(row, "version").alias("x"))
     empty = F.expr("cast(array() as array<struct<path: string, object_key: string, kind: string, size_bytes: bigint>>)")
-    return last.select("skill_id", "x.*").withColumn("assets_manifest", F.coalesce("assets_manifest", empty))
+    return whole.withColumn("assets_manifest", F.coalesce("assets_manifest", empty))
