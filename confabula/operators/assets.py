@@ -52,13 +52,23 @@ def live_entries(cache: DataFrame, now: Column, ttl: str) -> DataFrame:
     return cache.where(F.col("last_access") >= now - F.expr(ttl))
 
 
+def _apart(key: Column, request: str) -> Column:
+    """The key; without one, a key that no other request has (and nothing that is looked for: it begins with a blank), so that these rows are dealt out too."""
+    return F.coalesce(key, F.concat(F.lit(" "), F.col(request).cast("string")))
+
+
 def load_skills(requests: DataFrame, skills: DataFrame) -> DataFrame:
-    """requests: (request_id, skill_id, allowed: array). The rendered skill, whether it is enabled or not, or why there is none."""
+    """requests: (request_id, skill_id, allowed: array). The rendered skill, whether it is enabled or not, or why there is none.
+
+    Catalogue and requests are merged by skill, whatever the catalogue's size seems to be; a request that may not load one meets none.
+    """
     asked = requests.withColumn("skill_id", F.trim(F.coalesce("skill_id", F.lit(""))))
-    known = skills.select("skill_id", "display_name", "skill_md", "assets_manifest", F.lit(True).alias("_known"))
-    joined = asked.join(known, "skill_id", "left")
+    known = skills.select(F.col("skill_id").alias("_key"), "display_name", "skill_md", "assets_manifest", F.lit(True).alias("_known"))
     allowed = F.coalesce(F.array_contains("allowed", F.col("skill_id")), F.lit(False))
-    outcome = F.when(F.col("skill_id") == "", "MISSING_SKILL_ID").when(~allowed, "DENIED").when(F.col("_known").isNull(), "SKILL_NOT_FOUND").otherwise("OK")
+    refused = F.when(F.col("skill_id") == "", "MISSING_SKILL_ID").when(~allowed, "DENIED")
+    asked = asked.select("request_id", "skill_id", refused.alias("_refused")).withColumn("_key", _apart(F.when(F.col("_refused").isNull(), F.col("skill_id")), "request_id"))
+    joined = asked.join(known.hint("merge"), "_key", "left")
+    outcome = F.when(F.col("_refused").isNotNull(), F.col("_refused")).when(F.col("_known").isNull(), "SKILL_NOT_FOUND").otherwise("OK")
     text = rendered_skill(F.col("display_name"), F.col("skill_md"), F.col("assets_manifest"))
     return joined.select("request_id", "skill_id", outcome.alias("outcome"), F.when(outcome == "OK", text).alias("output"))
 
@@ -69,9 +79,12 @@ def load_assets(requests: DataFrame, skills: DataFrame, objects: DataFrame, char
     Only paths that the manifest declares are looked for, under the object key declared; what isn't UTF-8 isn't text.
     """
     asked = requests.select("request_id", F.trim(F.coalesce("skill_id", F.lit(""))).alias("skill_id"), F.trim(F.coalesce("path", F.lit(""))).alias("path"))
-    known = skills.select("skill_id", F.lit(True).alias("_known"))
-    declared = skills.select("skill_id", F.explode("assets_manifest").alias("_a")).select("skill_id", F.col("_a.path").alias("path"), F.col("_a.object_key").alias("object_key"), F.lit(True).alias("_declared"))
-    joined = asked.join(known, "skill_id", "left").join(declared, ["skill_id", "path"], "left").join(objects.select("object_key", "content"), "object_key", "left")
+    asked = asked.withColumn("_key", _apart(F.when((F.col("skill_id") != "") & (F.col("path") != ""), F.col("skill_id")), "request_id"))
+    known = skills.select(F.col("skill_id").alias("_key"), F.lit(True).alias("_known"))
+    declared = skills.select(F.col("skill_id").alias("_key"), F.explode("assets_manifest").alias("_a")).select("_key", F.col("_a.path").alias("path"), F.col("_a.object_key").alias("object_key"), F.lit(True).alias("_declared"))
+    stored = objects.select(F.col("object_key").alias("_stored"), "content")
+    joined = asked.join(known.hint("merge"), "_key", "left").join(declared.hint("merge"), ["_key", "path"], "left")
+    joined = joined.withColumn("_stored", _apart(F.col("object_key"), "request_id")).join(stored.hint("merge"), "_stored", "left")
     text = utf8_or_null(F.col("content"))
     outcome = (
         F.when((F.col("skill_id") == "") | (F.col("path") == ""), "MISSING_INPUT")

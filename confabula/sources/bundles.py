@@ -3,7 +3,7 @@ source of bundle_source.py, which gives the same rows and can be a stream."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.frontmatter import as_json
@@ -47,13 +47,23 @@ def bundles(spark: SparkSession, root: str) -> DataFrame:
 
 def bundles_of(found: DataFrame) -> DataFrame:
     """found: (skill_id, version, path, content). One row for each skill: its last version's document fields and its asset
-    manifest in order of path. The directory's version counts; without frontmatter the fields have their defaults."""
-    text = F.col("content").cast("string")
-    versions = found.where("path = 'SKILL.md'").groupBy("skill_id").agg(F.max("version").alias("version"))
-    found = found.join(versions, ["skill_id", "version"])  # of other versions nothing is sorted or read
-    docs = found.where("path = 'SKILL.md'").select("skill_id", "version", text.alias("skill_md"), F.parse_json(as_json(front_matter(text))).alias("meta"))
+    manifest in order of path. The directory's version counts; without frontmatter the fields have their defaults.
+
+    Documents and files are each dealt out by skill once, then merged: a few bytes make many files, which Spark would broadcast by its
+    estimate. A document is sorted by its skill and version only, and the assets of other versions aren't collected.
+    """
+    is_doc, skill = F.col("path") == "SKILL.md", Window.partitionBy("skill_id")
+    docs = found.where(is_doc).select("skill_id", "version", F.col("content").cast("string").alias("skill_md"))
+    docs = docs.withColumn("_n", F.row_number().over(skill.orderBy(F.desc("version")))).where("_n = 1")
+    files = found.select("skill_id", "version", "path", F.octet_length("content").cast("long").alias("size_bytes"))
+    files = files.withColumn("_last", F.max(F.when(is_doc, F.col("version"))).over(skill)).where((F.col("version") == F.col("_last")) & ~is_doc)
+    asset = F.struct("path", F.concat_ws("/", F.lit("skills"), "skill_id", "version", "path").alias("object_key"), asset_kind(F.col("path")).alias("kind"), "size_bytes")
+    assets = files.groupBy("skill_id").agg(F.array_sort(F.collect_list(asset)).alias("assets_manifest"))
+    empty = F.expr("cast(array() as array<struct<path: string, object_key: string, kind: string, size_bytes: bigint>>)")
+    docs = docs.join(assets.hint("merge"), "skill_id", "left").withColumn("assets_manifest", F.coalesce("assets_manifest", empty))
+    docs = docs.withColumn("meta", F.parse_json(as_json(front_matter(F.col("skill_md")))))
     meta, text_of = F.col("meta"), lambda key: F.nullif(field(F.col("meta"), key), F.lit(""))
-    docs = docs.select(
+    return docs.select(
         "skill_id",
         "version",
         F.coalesce(text_of("display_name"), text_of("name"), F.col("skill_id")).alias("display_name"),
@@ -62,9 +72,5 @@ def bundles_of(found: DataFrame) -> DataFrame:
         F.coalesce(field(meta, "triggers", "array<string>"), F.expr("cast(array() as array<string>)")).alias("triggers"),
         F.coalesce(field(meta, "assets", f"array<{_DECLARED}>"), F.expr(f"cast(array() as array<{_DECLARED}>)")).alias("declared_assets"),
         "skill_md",
+        "assets_manifest",
     )
-    asset = F.struct("path", F.concat_ws("/", F.lit("skills"), "skill_id", "version", "path").alias("object_key"), asset_kind(F.col("path")).alias("kind"), F.octet_length("content").cast("long").alias("size_bytes"))
-    assets = found.where("path <> 'SKILL.md'").groupBy("skill_id", "version").agg(F.array_sort(F.collect_list(asset)).alias("assets_manifest"))
-    whole = docs.join(assets, ["skill_id", "version"], "left")
-    empty = F.expr("cast(array() as array<struct<path: string, object_key: string, kind: string, size_bytes: bigint>>)")
-    return whole.withColumn("assets_manifest", F.coalesce("assets_manifest", empty))
