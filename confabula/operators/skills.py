@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.automaton import contained
+from ..functions.automaton import most_hit
 from ..settings import DEFAULTS
 from .tools import overlay
 
@@ -19,13 +19,12 @@ def skill_meta(skills: DataFrame) -> DataFrame:
 def match(queries: DataFrame, skills: DataFrame, key: str, text: str, k: int = DEFAULTS.skills_a_turn) -> DataFrame:
     """The k skills with most trigger hits for each query; a trigger listed twice counts twice, an empty one never.
 
-    The catalogue's distinct triggers become an automaton (several beyond its size), which finds those in a text in one pass over
-    it; the triggers found are then joined with the skills that list them.
+    The catalogue's triggers become an automaton (several beyond its size, each with whole skills), which finds those in a text in one
+    pass over it; where a key has one text, its hits are summed there and only the best k leave the task.
     """
-    listed = skills.where("enabled").select("skill_id", F.explode("triggers").alias("trigger")).where("trigger <> ''").select("skill_id", F.lower("trigger").alias("trigger"))
-    weights = listed.groupBy("trigger", "skill_id").agg(F.count("*").alias("times"))
-    found = contained(queries.select(key, F.lower(text).alias("_low")), listed.select("trigger").distinct(), key, "_low", "trigger")
-    hits = found.join(weights, "trigger").groupBy(key, "skill_id").agg(F.sum("times").alias("hits"))
+    listed = skills.where("enabled").select("skill_id", F.explode("triggers").alias("trigger")).where("trigger <> ''")
+    weights = listed.groupBy(F.col("skill_id").alias("owner"), F.lower("trigger").alias("pattern")).agg(F.count("*").alias("times"))
+    hits = most_hit(queries.select(key, F.lower(text).alias("_low")), weights, key, "_low", max(1, k)).withColumnRenamed("owner", "skill_id")
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("hits"), F.asc("skill_id")))
     return hits.withColumn("rank", rank.cast("long")).where(F.col("rank") <= max(1, k)).select(key, "skill_id", "hits", "rank")
 
